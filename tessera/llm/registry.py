@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op01_mixing
+from . import op01_mixing, op05_pieces
 
 QUERIES = {
     "op1_mixing": op01_mixing.op1_mixing,
+    "op5_pieces": op05_pieces.op5_pieces,
 }
 
 SQL = {
