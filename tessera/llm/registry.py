@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op05_pieces
+from . import op01_mixing, op05_pieces, op06_quality
 
 QUERIES = {
     "op1_mixing": op01_mixing.op1_mixing,
     "op5_pieces": op05_pieces.op5_pieces,
+    "op6_quality": op06_quality.op6_quality,
 }
 
 SQL = {
