@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op05_pieces, op06_quality, op09_private
+from . import op01_mixing, op05_pieces, op06_quality, op08_flac, op09_private
 
 QUERIES = {
     "op1_mixing": op01_mixing.op1_mixing,
     "op5_pieces": op05_pieces.op5_pieces,
     "op6_quality": op06_quality.op6_quality,
+    "op8_flac": op08_flac.op8_flac,
     "op9_private": op09_private.op9_private,
 }
 
