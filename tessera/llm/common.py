@@ -46,15 +46,14 @@ def n_words(text: Column) -> Column:
 def put_file(uri: str, data: bytes) -> None:
     """Write one file from within a task, through the file system that the URI names.
 
-    Names are unique per attempt, so a retried task never overwrites a file in use; only files
-    listed in the task's returned manifest count.
+    The file appears under its name only when it is whole. Callers give the same bytes for the same
+    name on every attempt, so a retried or speculative task changes nothing.
     """
     from pyarrow import fs
 
-    if "://" not in uri and ":" not in uri.split("/")[0]:
-        system, path = fs.LocalFileSystem(), uri
-    else:
-        system, path = fs.FileSystem.from_uri(uri)
+    system, path = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as out:
+    part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
         out.write(data)
+    system.move(part, path)

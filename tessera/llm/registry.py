@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op05_pieces, op06_quality, op08_flac, op09_private
+from . import op01_mixing, op02_warc, op05_pieces, op06_quality, op08_flac, op09_private
 
 QUERIES = {
     "op1_mixing": op01_mixing.op1_mixing,
+    "op2_warc": op02_warc.op2_warc,
     "op5_pieces": op05_pieces.op5_pieces,
     "op6_quality": op06_quality.op6_quality,
     "op8_flac": op08_flac.op8_flac,
@@ -14,4 +15,5 @@ QUERIES = {
 
 SQL = {
     "op1_mixing": op01_mixing.OP1_SQL,
+    "op2_warc": op02_warc.OP2_SQL,
 }
