@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op02_warc, op05_pieces, op06_quality, op08_flac, op09_private
+from . import op01_mixing, op02_warc, op04_similar, op05_pieces, op06_quality, op08_flac, op09_private, op10_tokens
 
 QUERIES = {
     "op1_mixing": op01_mixing.op1_mixing,
     "op2_warc": op02_warc.op2_warc,
+    "op4_similar": op04_similar.op4_similar,
     "op5_pieces": op05_pieces.op5_pieces,
     "op6_quality": op06_quality.op6_quality,
     "op8_flac": op08_flac.op8_flac,
     "op9_private": op09_private.op9_private,
+    "op10_tokens": op10_tokens.op10_tokens,
 }
 
 SQL = {
     "op1_mixing": op01_mixing.OP1_SQL,
     "op2_warc": op02_warc.OP2_SQL,
+    "op4_similar": op04_similar.OP4_SQL,
 }
