@@ -1,9 +1,9 @@
 """Quality rules: fixed counts per text, then a logistic regression on hashed n-grams.
 
 The model sees word unigrams, word bigrams and byte 4-grams, hashed into one table; a text's
-features are the shares of its n-grams that fall into each slot. It is fitted on a bounded sample
-of the labelled rows (the MAX_LABELLED with the smallest MD5 of their id), with one part held out
-to map its scores to probabilities (Platt's sigmoid). Scoring runs in Arrow batches over every
+features are the shares of its n-grams that fall into each slot. It is fitted in one task on a bounded
+sample of the labelled rows (the MAX_LABELLED with the smallest MD5 of their id), with one part held
+out to map its scores to probabilities (Platt's sigmoid). Scoring runs in Arrow batches over every
 whole text; a text is kept at a probability of at least KEEP_AT.
 
 Defined results: null and empty texts have no words and fail the base rule; without labelled rows
@@ -13,6 +13,7 @@ empty table gives an empty result; other columns are passed on only where asked
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from .arrays import SPACE, flat, grams, mix, repeated, slices, spans_hash, sums,
 
 SLOTS = 1 << 16
 #: Labelled rows used for fitting at most.
-MAX_LABELLED = 3000
+MAX_LABELLED = 2000
 KEEP_AT = 0.5
 _SCALE = 30.0
 _SYMBOL = np.zeros(256, bool)
@@ -108,13 +109,15 @@ def fit(texts: list[str], good: np.ndarray, *, rounds: int = 80, penalty: float
     if len(set(good[held])) < 2 or len(set(good[~held])) < 2:
         return plain
     rows, cols, vals = [], [], []
-    for slots, borders in Texts(pa.array(texts, pa.string())).families():
-        n = np.diff(borders)
-        key, count = np.unique(np.repeat(np.arange(len(n)), n) * SLOTS + slots, return_counts=True)
-        rows.append(key // SLOTS)
-        cols.append(key % SLOTS)
-        vals.append(_SCALE * count / n[key // SLOTS])
+    for begin in range(0, len(texts), 100):
+        for slots, borders in Texts(pa.array(texts[begin : begin + 100], pa.string())).families():
+            n = np.diff(borders)
+            key, count = np.unique(np.repeat(np.arange(len(n)), n) * SLOTS + slots, return_counts=True)
+            rows.append((key // SLOTS + begin).astype(np.int32))
+            cols.append((key % SLOTS).astype(np.int32))
+            vals.append((_SCALE * count / n[key // SLOTS]).astype(np.float32))
     row, col, val = map(np.concatenate, (rows, cols, vals))
+    del rows, cols, vals
 
     weights, bias = np.zeros(SLOTS), 0.0
     weight = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum())) * ~held
@@ -150,8 +153,15 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     # The sample has MAX_LABELLED rows of two numbers at most, whatever the tables hold.
     rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
-    found = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in found], np.array([r["quality"] == 1 for r in found], bool))
+
+    def learn(batches):
+        found = sorted(((r["doc_id"], r["text"], r["quality"]) for batch in batches for r in batch.to_pylist()), key=lambda r: r[0])
+        model = fit([r[1] for r in found], np.array([r[2] == 1 for r in found], bool))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # One task sees the bounded sample, the driver only the weights.
+    learned = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(learned[0]["model"]) if learned else Model(np.zeros(SLOTS), 0.0, 0.0, 50.0)
 
 
 def judge(documents: DataFrame, model: Model, *, min_words: int = 50, max_repeat_percent: int = 50, keep_at: float = KEEP_AT) -> DataFrame:
