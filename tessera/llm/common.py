@@ -38,6 +38,14 @@ def scan_splits(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python tasks in batches of so many rows.
+
+    Texts are long, and a batch lies in the memory of the JVM and of the worker at the same time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import put_file, shared_dir, stash
+from .common import put_file, shared_dir, small_batches, stash
 
 MIN_SHARED = 100
 HOT_SHARE = 1000
@@ -237,6 +237,7 @@ def payloads(archived: DataFrame) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = shared_dir(spark)
     if write_archives(pages, folder).isEmpty():

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, flat, grams, mix, slices, spans_hash, words
-from .common import stash
+from .common import small_batches, stash
 from .components import components
 
 BANDS, ROWS = 8, 3
@@ -280,6 +280,7 @@ def exploded(sets: DataFrame) -> DataFrame:
 
 
 def op4_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)
 
 

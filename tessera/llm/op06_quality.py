@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import SPACE, flat, grams, mix, repeated, slices, spans_hash, sums, words
+from .common import small_batches
 
 SLOTS = 1 << 16
 #: Labelled rows used for fitting at most.
@@ -185,6 +186,7 @@ def judge(documents: DataFrame, model: Model, *, min_words: int = 50, max_repeat
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judge(documents, model).drop("probability")
