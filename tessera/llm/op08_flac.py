@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrays import flat, slices
+from .common import small_batches
 
 BLOCK = 192
 SEEK_FRAMES = 8
 RATE = 8000
 #: Bytes of samples worked on at once within a batch.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 1_500_000
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -396,4 +397,5 @@ def pcm_blocks(media: DataFrame, samples: int = SEEK_FRAMES * BLOCK) -> DataFram
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 500)
     return describe(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
