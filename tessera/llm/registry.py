@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op02_warc, op04_similar, op05_pieces, op06_quality, op08_flac, op09_private, op10_tokens
+from . import op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op08_flac, op09_private, op10_tokens
 
 QUERIES = {
     "op1_mixing": op01_mixing.op1_mixing,
     "op2_warc": op02_warc.op2_warc,
+    "op3_chat": op03_chat.op3_chat,
     "op4_similar": op04_similar.op4_similar,
     "op5_pieces": op05_pieces.op5_pieces,
     "op6_quality": op06_quality.op6_quality,
@@ -18,5 +19,6 @@ QUERIES = {
 SQL = {
     "op1_mixing": op01_mixing.OP1_SQL,
     "op2_warc": op02_warc.OP2_SQL,
+    "op3_chat": op03_chat.OP3_SQL,
     "op4_similar": op04_similar.OP4_SQL,
 }
