@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op08_flac, op09_private, op10_tokens
+from . import op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op07_secrets, op08_flac, op09_private, op10_tokens
 
 QUERIES = {
     "op1_mixing": op01_mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_similar": op04_similar.op4_similar,
     "op5_pieces": op05_pieces.op5_pieces,
     "op6_quality": op06_quality.op6_quality,
+    "op7_secrets": op07_secrets.op7_secrets,
     "op8_flac": op08_flac.op8_flac,
     "op9_private": op09_private.op9_private,
     "op10_tokens": op10_tokens.op10_tokens,
