@@ -165,8 +165,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     return pickle.loads(learned[0]["model"]) if learned else Model(np.zeros(SLOTS), 0.0, 0.0, 50.0)
 
 
-def judge(documents: DataFrame, model: Model, *, min_words: int = 50, max_repeat_percent: int = 50, keep_at: float = KEEP_AT) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept."""
+def judge(documents: DataFrame, model: Model, *, min_words: int = 50, max_repeat_percent: int = 50, keep_at: float = KEEP_AT, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in carry and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # SLOTS doubles
 
     def run(batches):
@@ -176,13 +176,13 @@ def judge(documents: DataFrame, model: Model, *, min_words: int = 50, max_repeat
                 counts = texts.base()
                 probability = shared.value.probability(texts.score(shared.value))
                 failed = (counts["n_words"] < min_words) | (100 * counts["n_repeat_words"] > max_repeat_percent * counts["n_words"])
-                out = {"doc_id": batch.column("doc_id")} | {k: pa.array(v.astype(np.int64)) for k, v in counts.items()}
+                out = {c: batch.column(c) for c in carry} | {k: pa.array(v.astype(np.int64)) for k, v in counts.items()}
                 out |= {"base_failed": pa.array(failed), "probability": pa.array(probability), "kept": pa.array(~failed & (probability >= keep_at))}
                 yield pa.RecordBatch.from_pydict(out)
 
-    source = documents.select("doc_id", "text")
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
+    source = documents.select(*dict.fromkeys((*carry, "text")))
+    carried = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry)
+    return source.mapInArrow(run, f"{carried}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
