@@ -4,16 +4,18 @@ A document's tokens are the 64-bit hashes of its distinct word shingles. Documen
 form one class. The join then goes through groups of similar classes:
 
 1. Partition: classes that share a band of minimum hashes are compared with the smallest class of
-   that band; verified links join them into groups. This only shapes the groups: a link it misses
-   is found in step 3.
+   that band and with their next neighbours in it, if they agree in half of all bands; verified
+   links join them into groups. This only shapes the groups: a link it misses is found in step 3.
 2. Candidates: a set's tokens are dealt into K segments. Two sets whose similarity reaches the
    bound differ in at most D tokens, and each of those spoils one segment, so at least K - D minus
    the empty ones are equal. K and D follow from the sizes alone, in bands of sizes that can link.
    Equal segments point from a query class to a group, once per segment and group, never within a
    group; pairs with fewer common segments than the guarantee go.
-3. Matrix: for the groups left, the union of their members' tokens is stored, one row per group
-   and token. A query opens a group only if its overlap with that union reaches what a link to any
-   member needs; in opened groups it is compared with the members of fitting size.
+3. Matrix: for the groups left, the union of their members' tokens is stored as a row of BITS bits,
+   one per hashed token. Tokens of a query whose bits the row lacks are in no member, so its overlap
+   with the union is bounded; it opens a group only if the bound reaches what a link to any member
+   needs. In opened groups the members' own bits are asked in the same way, both ways round, and
+   what is left is compared token by token.
 
 Frequent passages make no long lists: a segment mixes tokens from the whole text, so equal segments
 mean equal texts there, not a shared passage. Components of all verified links are the result.
@@ -41,6 +43,10 @@ BANDS, ROWS = 8, 3
 #: How often texts with too many empty segments are dealt anew before they share one signature.
 DEALS = 8
 SIGNATURE_BITS = 48
+#: Bits of a row of the token-group matrix.
+BITS = 2048
+#: Neighbours within a band that a class is compared with while groups are shaped.
+NEIGHBOURS = 3
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -185,15 +191,28 @@ def segment_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, signature long")
 
 
+def token_bits(tokens: np.ndarray) -> list[int]:
+    """The matrix row of a set: BITS bits as 64-bit numbers."""
+    filled = np.zeros(BITS, bool)
+    filled[(tokens >> np.uint64(20)) % np.uint64(BITS)] = True
+    return np.packbits(filled).view(np.int64).tolist()
+
+
 def stored_sets(documents: DataFrame, n: int) -> DataFrame:
-    """class, tokens (sorted, as bytes) of the given documents."""
+    """class, tokens (sorted, as bytes), bits of the given documents."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                yield pa.RecordBatch.from_pydict({"class": batch.column("doc_id"), "tokens": pa.array([s.tobytes() for s in token_sets(batch.column("text"), n)], pa.binary())})
+                sets = token_sets(batch.column("text"), n)
+                yield pa.RecordBatch.from_pydict({"class": batch.column("doc_id"), "tokens": pa.array([s.tobytes() for s in sets], pa.binary()), "bits": pa.array(map(token_bits, sets), pa.list_(pa.int64()))})
 
-    return documents.mapInArrow(run, "class long, tokens binary")
+    return documents.mapInArrow(run, "class long, tokens binary, bits array<long>")
+
+
+def lacking(mine: str, theirs: str):
+    """How many bits of one row the other lacks: at least so many tokens are not shared."""
+    return F.aggregate(F.zip_with(mine, theirs, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda a, x: a + x)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,10 +241,16 @@ def similar(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame
     classes = members.where("doc_id = class and size > 0").select("class", "size").distinct()
 
     # Step 1, pairs to compare: each class with the smallest one of each of its bands.
-    banded = described.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", F.explode("bands").alias("band"))
-    pivots = banded.groupBy("band").agg(F.min(F.struct("doc_id", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
-    near = banded.join(pivots, "band").where((F.col("doc_id") != F.col("p.doc_id")) & (100 * F.least("size", "p.size") >= percent * F.greatest("size", "p.size")))
-    shaping = stash(near.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+    banded = described.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", "bands", F.explode("bands").alias("band"))
+    pivots = banded.groupBy("band").agg(F.min(F.struct("doc_id", "size", "bands")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    near = banded.join(pivots, "band").select("doc_id", "size", "bands", "band", F.col("p.doc_id").alias("first"), F.col("p.size").alias("its"), F.col("p.bands").alias("theirs"))
+    in_band = Window.partitionBy("band").orderBy("bands", "doc_id")
+    own = F.struct(F.col("doc_id").alias("first"), F.col("size").alias("its"), F.col("bands").alias("theirs"))
+    others = near.withColumn("o", F.array(F.struct("first", "its", "theirs"), *[F.lead(own, k).over(in_band) for k in range(1, NEIGHBOURS + 1)]))
+    beside = others.select("doc_id", "size", "bands", F.explode("o").alias("o")).where("o is not null").select("doc_id", "size", "bands", "o.*")
+    agree = F.aggregate(F.zip_with("bands", "theirs", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    beside = beside.where((F.col("doc_id") != F.col("first")) & (100 * F.least("size", "its") >= percent * F.greatest("size", "its")) & (agree >= BANDS // 2))
+    shaping = stash(beside.select(F.least("doc_id", "first").alias("a"), F.greatest("doc_id", "first").alias("b")).distinct())
 
     # Step 2, common segments. Copies of a class have the same segments; they fall together here.
     rows = segment_rows(source, n, percent)
@@ -253,32 +278,20 @@ def similar(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame
             need = F.when(F.col("size") >= low, F.lit(common)).otherwise(need)
     met = stash(met.where(F.col("common") >= need).select("class", "size", "other"))
 
-    # Step 3: overlap with each group's token union, then its members.
-    all_groups = sets.select("class").join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
+    # Step 3: a bound on the overlap with each group's token union, then with its members.
+    all_groups = sets.select("class", "bits").join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
     asked = all_groups.join(met.select(F.col("other").alias("group")).distinct(), "group", "left_semi")
-    matrix = exploded(asked.join(sets, "class").select(F.col("group").alias("id"), "tokens")).distinct().withColumnRenamed("id", "other")
-    queries = exploded(met.select("class").distinct().join(sets, "class").select(F.col("class").alias("id"), "tokens")).withColumnRenamed("id", "class")
-    overlap = met.join(queries, "class").join(matrix, ["other", "token"]).groupBy("class", "size", "other").agg(F.count("*").alias("overlap"))
-    opened = overlap.where(100 * F.col("overlap") >= percent * F.col("size")).select("class", "size", "other")
-    inside = asked.join(members.where("doc_id = class").select("class", F.col("size").alias("its")).distinct(), "class").select(F.col("class").alias("b"), F.col("group").alias("other"), "its")
-    compare = opened.join(inside, "other").where(100 * F.least("size", "its") >= percent * F.greatest("size", "its")).select(F.col("class").alias("a"), "b")
+    matrix = asked.groupBy(F.col("group").alias("other")).agg(F.array(*[F.bit_or(F.col("bits")[i]) for i in range(BITS // 64)]).alias("union"))
+    queries = met.join(sets.select("class", "bits"), "class")
+    opened = queries.join(matrix, "other").where(100 * (F.col("size") - lacking("bits", "union")) >= percent * F.col("size")).drop("union")
+    inside = asked.join(members.where("doc_id = class").select("class", F.col("size").alias("its")).distinct(), "class").select(F.col("class").alias("b"), F.col("group").alias("other"), "its", F.col("bits").alias("own"))
+    shared_most = F.least(F.col("size") - lacking("bits", "own"), F.col("its") - lacking("own", "bits"))
+    compare = opened.join(inside, "other").where((100 + percent) * shared_most >= percent * (F.col("size") + F.col("its"))).select(F.col("class").alias("a"), "b")
     found = verified(compare, sets, percent)
     labels = components(links.union(found)).withColumnRenamed("node", "class")
     return members.join(labels, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("label", "class").alias("component_id"))
 
 
-def exploded(sets: DataFrame) -> DataFrame:
-    """id, token from (id, tokens as bytes)."""
-
-    def run(batches):
-        for batch in batches:
-            for id_, value in zip(batch.column("id").to_pylist(), batch.column("tokens")):
-                tokens = np.frombuffer(value.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(len(tokens), id_, np.int64)), "token": pa.array(tokens)})
-
-    return sets.mapInArrow(run, "id long, token long")
-
-
 def op4_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)
