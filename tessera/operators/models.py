@@ -11,3 +11,119 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     both = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs]))
     return df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).select(both.alias("p")).select("p.*")
+
+
+def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
+
+
+def missing_columns(df: DataFrame, features: list[str]) -> None:
+    """Refuses a table that lacks a feature."""
+    lacking = [f for f in features if f not in df.columns]
+    if lacking:
+        raise ValueError(f"columns missing: {lacking}")
+
+
+def fit_linear(df: DataFrame, features: list[str], label: str):
+    """Least squares through the origin."""
+    from pyspark.ml.regression import LinearRegression
+
+    return LinearRegression(featuresCol="features", labelCol=label, fitIntercept=False, standardization=False, solver="normal").fit(_vectors(df, features))
+
+
+def ridge_weights(df: DataFrame, features: list[str], label: str, penalty: float) -> dict[str, float]:
+    """Weights of least squares through the origin with a penalty on the sum of their squares.
+
+    One aggregate of all products, as large as the number of features squared; the small system is solved on the driver.
+    """
+    import numpy as np
+
+    sums = {f"{a}|{b}": F.sum(F.col(a) * F.col(b)) for i, a in enumerate(features) for b in [*features[i:], label]}
+    got = df.agg(*[v.alias(k) for k, v in sums.items()]).collect()[0]
+    gram = np.array([[got[f"{a}|{b}"] if f"{a}|{b}" in sums else got[f"{b}|{a}"] for b in features] for a in features])
+    weights = np.linalg.solve(gram + penalty * np.eye(len(features)), np.array([got[f"{a}|{label}"] for a in features]))
+    return dict(zip(features, weights.tolist()))
+
+
+def coefficients(model, features: list[str], spark) -> DataFrame:
+    """feature, weight of a linear model as a table."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(w)).alias("weight")) for f, w in zip(features, model.coefficients)]))
+    return spark.range(1).select(pairs.alias("p")).select("p.*")
+
+
+def linear_score(weights: dict[str, float], bound: float = 5.0):
+    """The score as one column expression: clipped features times weights; null and NaN count as 0."""
+    out = F.lit(0.0)
+    for f, w in weights.items():
+        x = F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0))
+        out = out + F.least(F.greatest(x, F.lit(-bound)), F.lit(bound)) * w
+    return out
+
+
+def fit_trees(df: DataFrame, features: list[str], label: str, *, classify: bool = False, rounds: int = 10, depth: int = 3, seed: int = 1):
+    """Gradient-boosted trees on a label (for ranking: its percentile rank within the date)."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    kind = GBTClassifier if classify else GBTRegressor
+    return kind(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, minInstancesPerNode=20, subsamplingRate=0.7, seed=seed).fit(_vectors(df, features))
+
+
+def score(model, df: DataFrame, features: list[str], name: str = "score") -> DataFrame:
+    """Adds the model's score: the probability of 1 for classifiers, else the prediction."""
+    from pyspark.ml.functions import vector_to_array
+
+    missing_columns(df, features)
+    out = model.transform(_vectors(df, features))
+    value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+    return out.withColumn(name, value).select(*df.columns, name)
+
+
+def importance(model, features: list[str], spark) -> DataFrame:
+    """feature, gain, cumulative share, by gain."""
+    from pyspark.sql import Window
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(w)).alias("gain")) for f, w in zip(features, model.featureImportances.toArray())]))
+    table = spark.range(1).select(pairs.alias("p")).select("p.*")
+    w = Window.orderBy(F.desc("gain"), "feature").rowsBetween(Window.unboundedPreceding, 0)
+    return table.withColumn("cumulative", F.sum("gain").over(w))
+
+
+def fit_calibration(df: DataFrame, x: str, y: str, spark) -> DataFrame:
+    """x, y: breakpoints of an isotonic fit of y on x."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    model = IsotonicRegression(featuresCol=x, labelCol=y).fit(df)
+    points = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in zip(model.boundaries, model.predictions)]))
+    return spark.range(1).select(points.alias("p")).select("p.*")
+
+
+def calibrated(df: DataFrame, value: str, points: DataFrame, name: str = "calibrated") -> DataFrame:
+    """Adds the piecewise linear value of a breakpoint table (x, y), flat beyond its ends. The table is a parameter: few rows."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy("x")
+    first, last = points.agg(F.min("x").alias("_lo"), F.min_by("y", "x").alias("_ylo")), points.agg(F.max("x").alias("_hi"), F.max_by("y", "x").alias("_yhi"))
+    spans = points.select(F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.lead("x").over(w).alias("_x1"), F.lead("y").over(w).alias("_y1")).where("_x1 > _x0")
+    v = F.col(value)
+    inside = df.join(F.broadcast(spans), (v >= F.col("_x0")) & (v < F.col("_x1")), "left").join(F.broadcast(first)).join(F.broadcast(last))
+    line = F.col("_y0") + (v - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))
+    return inside.withColumn(name, F.when(v <= F.col("_lo"), F.col("_ylo")).when(v >= F.col("_hi"), F.col("_yhi")).otherwise(line)).select(*df.columns, name)
+
+
+def parameter_problems(parameters: DataFrame, features: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """feature, problem of a parameter table (feature, mean, std, kind) that must cover exactly the feature list."""
+    both = parameters.join(features.withColumn("_f", F.lit(1)), "feature", "full")
+    problem = F.when(F.col("kind").isNull(), "missing").when(F.col("_f").isNull(), "unexpected").when(~F.col("kind").isin(*kinds), "unknown kind").when(~(F.col("std") > 0), "no spread")
+    return both.select("feature", problem.alias("problem")).where("problem is not null")
+
+
+def marginal_effects(model, baselines: DataFrame, features: list[str]) -> DataFrame:
+    """feature, mean, sd, positive of the score at +1 less the score at -1 of each feature, other features as in the baselines."""
+    grid = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(s).alias("s")) for f in features for s in (-1.0, 1.0)]))
+    rows = baselines.withColumn("_id", F.monotonically_increasing_id()).select("_id", *features, grid.alias("g"))
+    rows = rows.select("_id", "g.f", "g.s", *[F.when(F.col("g.f") == f, F.col("g.s")).otherwise(F.col(f)).alias(f) for f in features])
+    scored = score(model, rows, features).groupBy("_id", "f").agg((F.max(F.when(F.col("s") > 0, F.col("score"))) - F.max(F.when(F.col("s") < 0, F.col("score")))).alias("e"))
+    return scored.groupBy(F.col("f").alias("feature")).agg(F.avg("e").alias("mean"), F.stddev_samp("e").alias("sd"), F.avg((F.col("e") > 0).cast("double")).alias("positive"))
