@@ -23,6 +23,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -272,6 +273,12 @@ class BatchCodec:
         return n_of, ids_of, texts_of
 
 
+@lru_cache(maxsize=1)
+def batch_codec(model: bytes) -> BatchCodec:
+    """The worker's codec, kept with what it remembers from task to task."""
+    return BatchCodec(model)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces with about so many bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -291,7 +298,7 @@ def encode_documents(documents: DataFrame, model_path: str, *, with_text: bool =
         model = documents.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, under 1 MB
 
     def run(batches):
-        codec = BatchCodec(model.value)
+        codec = batch_codec(model.value)
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for whole in batches:
             for batch in slices(whole, "text"):

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,12 @@ class Encoder:
         return ids, upto[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, kept with what it remembers from task to task."""
+    return Encoder(path)
+
+
 def expand(symbols: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The items of each symbol, one symbol after the other."""
     own = size[symbols]
@@ -242,8 +249,8 @@ def write_shards(documents: DataFrame, tokenizer_path: str, folder: str) -> Data
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, number = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        vocabulary = encoder.tokenizer.get_vocab_size()
+        coder, part, number = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        vocabulary = coder.tokenizer.get_vocab_size()
         held: list = []
 
         def flush():
@@ -257,7 +264,7 @@ def write_shards(documents: DataFrame, tokenizer_path: str, folder: str) -> Data
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 doc_ids = pc.fill_null(batch.column("doc_id"), -(1 << 63)).to_numpy()
-                ids, borders = encoder.run(batch.column("text"))
+                ids, borders = coder.run(batch.column("text"))
                 begin = 0
                 while begin < len(doc_ids):
                     room = max(0, SHARD_IDS - sum(len(h[2]) for h in held))
