@@ -57,7 +57,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     word = F.element_at("words", F.col("i"))
     front = F.aggregate(F.slice("words", F.lit(1), F.col("i") - 1), F.lit(0), lambda n, w: n + F.length(w) + 1)
     inner = F.regexp_extract(word, r"^([\w.-]*?)[=:]+(?=.)", 0)
-    quoted = F.regexp_extract(word, r"^[\w.-]*?[=:]*[\"'`(\[{<]*", 0)
+    quoted = F.regexp_extract(word, r"^[\w.-]*?[=:]+[\"'`(\[{<]*", 0)
     skip = F.when(inner != "", F.length(quoted)).otherwise(F.length(F.regexp_extract(word, r"^[\"'`(\[{<]*", 0)))
     value = F.regexp_replace(F.expr("substring(_word, _skip + 1)"), r"[\"'`)\]}>.,;:!?|*#$%&]+$", "")
     rows = found.withColumns({"_word": word, "_skip": skip, "_front": front, "_inner": inner})
