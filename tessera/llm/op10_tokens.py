@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,8 +37,8 @@ _SPACE = r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{
 END = 0
 SHARD_IDS = 1 << 20
 #: Pre-tokens and chunks remembered by a worker over batches, in two generations.
-MEMORY = 300_000
-SLICE_BYTES = 8_000_000
+MEMORY = 600_000
+SLICE_BYTES = 16_000_000
 
 
 class Encoder:
@@ -58,21 +59,24 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.old_chunks: dict[str, tuple[int, ...]] = {}
-
-    def chunk(self, text: str) -> tuple[int, ...]:
-        """Ids of a chunk that begins where a pre-token begins."""
-        out: tuple[int, ...] = ()
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of more than 16 bits are not supported")
+        # Ids are remembered as packed 16-bit numbers.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+
+    def chunk(self, text: str) -> bytes:
+        """Packed ids of a chunk that begins where a pre-token begins."""
+        out = b""
         known = self.known
         for piece in self.split(text):
             ids = known.get(piece)
             if ids is None:
                 ids = self.older.get(piece)
                 if ids is None:
-                    ids = tuple([t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))])
+                    ids = array("H", [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]).tobytes()
                 if len(piece) < 64:
                     known[piece] = ids
             out += ids
@@ -89,16 +93,16 @@ class Encoder:
         odd = pc.or_(pc.match_substring_regex(texts, f"(?:^|{_SPACE}) (?:{_SPACE}|$)|^$"), pc.greater(pc.binary_length(texts), 8 * SLICE_BYTES))
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         distinct = lists.flatten().dictionary_encode()
-        found, chunks, old = [], self.chunks, self.old_chunks
-        for word in distinct.dictionary.to_pylist():
-            ids = chunks.get(word)
-            if ids is None:
+        chunks, old, distinct_words = self.chunks, self.old_chunks, distinct.dictionary.to_pylist()
+        found = list(map(chunks.get, distinct_words))
+        for i, word in enumerate(distinct_words):
+            if found[i] is None:
                 ids = old.get(word)
                 if ids is None:
                     ids = self.chunk(" " + word)
                 if len(word) < 64:
                     chunks[word] = ids
-            found.append(ids)
+                found[i] = ids
         which = distinct.indices.to_numpy().astype(np.int64)
         first = lists.offsets.to_numpy()[:-1].astype(np.int64)
         # A text's first chunk has no space in front; these come as entries of their own.
@@ -112,13 +116,13 @@ class Encoder:
         special = {}
         for i in pc.indices_nonzero(odd).to_pylist():
             special[i] = len(found)
-            found.append(tuple(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids))
+            found.append(array("H", self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids).tobytes())
             which[first[i]] = special[i]
-        found.append((END,))
+        found.append(array("H", [END]).tobytes())
         ends = lists.offsets.to_numpy()[1:].astype(np.int64)
         which = np.insert(which, ends, len(found) - 1)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        flat = np.frombuffer(b"".join(found), np.uint16)
         ids = expand(which, np.cumsum(sizes) - sizes, sizes, flat)
         upto = np.concatenate([[0], np.cumsum(sizes[which])])
         return ids, upto[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
@@ -166,10 +170,13 @@ def re_pair(ids: np.ndarray, counts: np.ndarray, first: int, *, least: int = 16,
         left[chosen >> np.uint32(16)] = True
         right[chosen & np.uint32(0xFFFF)] = True
         at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & inner[:-1])
-        pair = seq[at] << np.uint32(16) | seq[at + 1]
-        rule = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        hit = chosen[rule] == pair
-        at, rule = at[hit], rule[hit]
+        # A small table from the place of the left and of the right symbol among the chosen ones to the rule.
+        lefts, rights = np.cumsum(left) - 1, np.cumsum(right) - 1
+        table = np.full((int(lefts[-1]) + 1, int(rights[-1]) + 1), -1, np.int16)
+        table[lefts[chosen >> np.uint32(16)], rights[chosen & np.uint32(0xFFFF)]] = np.arange(len(chosen))
+        rule = table[lefts[seq[at]], rights[seq[at + 1]]]
+        hit = rule >= 0
+        at, rule = at[hit], rule[hit].astype(np.int64)
         # In a run of overlapping pairs every second one is replaced, from the left.
         head = np.concatenate([[True], at[1:] != at[:-1] + 1])
         place = at - at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))] if len(at) else at
