@@ -64,4 +64,10 @@ def put_file(uri: str, data: bytes) -> None:
     part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
         out.write(data)
-    system.move(part, path)
+    try:
+        system.move(part, path)
+    except OSError:
+        # Some file systems refuse to replace a file; an earlier attempt has written the same bytes.
+        if system.get_file_info(path).type != fs.FileType.File:
+            raise
+        system.delete_file(part)

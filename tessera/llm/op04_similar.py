@@ -20,7 +20,8 @@ form one class. The join then goes through groups of similar classes:
 Frequent passages make no long lists: a segment mixes tokens from the whole text, so equal segments
 mean equal texts there, not a shared passage. Components of all verified links are the result.
 
-Defined results: null texts and texts without words have an empty set and link with nothing; with
+Defined results: rows without a doc_id cannot be named in the result and are left out; null texts
+and texts without words have an empty set and link with nothing; with
 fewer words than a shingle the whole sequence is the one token; repeated rows and equal texts are
 one class; an empty table gives an empty result; other columns are ignored.
 """
