@@ -10,11 +10,12 @@ form one class. The join then goes through groups of similar classes:
    bound differ in at most D tokens, and each of those spoils one segment, so at least K - D minus
    the empty ones are equal. K and D follow from the sizes alone, in bands of sizes that can link.
    Equal segments point from a query class to a group, once per segment and group, never within a
-   group; pairs with fewer common segments than the guarantee go.
+   group.
 3. Matrix: for the groups left, the union of their members' tokens is stored as a row of BITS bits,
    one per hashed token. Tokens of a query whose bits the row lacks are in no member, so its overlap
    with the union is bounded; it opens a group only if the bound reaches what a link to any member
-   needs. In opened groups the members' own bits are asked in the same way, both ways round, and
+   needs. The queries and rows that meet in a segment are asked in blocks of at most BLOCK by BLOCK,
+   dealt over all tasks; a family of texts just below the bound yields no rows there. In opened groups the members' own bits are asked in the same way, both ways round, and
    what is left is compared token by token.
 
 Frequent passages make no long lists: a segment mixes tokens from the whole text, so equal segments
@@ -46,6 +47,8 @@ DEALS = 8
 SIGNATURE_BITS = 48
 #: Bits of a row of the token-group matrix.
 BITS = 2048
+#: Queries, and matrix rows, that one task looks at together.
+BLOCK = 512
 #: Neighbours within a band that a class is compared with while groups are shaped.
 NEIGHBOURS = 3
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -216,6 +219,67 @@ def lacking(mine: str, theirs: str):
     return F.aggregate(F.zip_with(mine, theirs, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda a, x: a + x)
 
 
+def asked_in_blocks(queries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """class, size, other: the queries and groups that meet in a signature and pass the matrix bound.
+
+    queries: (signature, class, group, size, bits); rows: (signature, group, small, large, bits).
+    """
+
+    def numbered(df: DataFrame, order: str) -> DataFrame:
+        w = Window.partitionBy("signature")
+        return df.withColumns({"_b": F.floor((F.row_number().over(w.orderBy(order)) - 1) / BLOCK).cast("int"), "_n": F.floor((F.count("*").over(w) - 1) / BLOCK).cast("int")})
+
+    q, r = numbered(queries, "class"), numbered(rows, "group")
+    blocks = lambda df, name: df.groupBy("signature").agg(F.max("_n").alias(name))
+    q = q.join(blocks(r, "_o"), "signature").withColumn("_p", F.explode(F.sequence(F.lit(0), "_o")))
+    r = r.join(blocks(q, "_o"), "signature").withColumn("_p", F.explode(F.sequence(F.lit(0), "_o")))
+    one = q.select("signature", F.col("_b").alias("qb"), F.col("_p").alias("rb"), F.lit(0).alias("kind"), "class", "group", "size", F.lit(0).cast("long").alias("large"), "bits")
+    two = r.select("signature", F.col("_p").alias("qb"), F.col("_b").alias("rb"), F.lit(1).alias("kind"), F.col("group").alias("class"), "group", F.col("small").alias("size"), "large", "bits")
+    dealt = one.union(two).repartition("signature", "qb", "rb").sortWithinPartitions("signature", "qb", "rb", "kind")
+
+    def ask(part):
+        key, kind, cls, group, size, large, bits = part
+        mine, theirs = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        for begin in range(0, len(mine), 64):
+            m = mine[begin : begin + 64]
+            fits = (group[m][:, None] > group[theirs][None, :]) & (100 * large[theirs][None, :] >= percent * size[m][:, None]) & (100 * size[m][:, None] >= percent * size[theirs][None, :])
+            a, b = np.nonzero(fits)
+            lost = np.bitwise_count(bits[m[a]] & ~bits[theirs[b]]).sum(1, dtype=np.int64)
+            good = 100 * (size[m[a]] - lost) >= percent * size[m[a]]
+            yield cls[m[a[good]]], size[m[a[good]]], group[theirs[b[good]]]
+
+    def run(batches):
+        held = None
+
+        def pieces():
+            nonlocal held
+            for batch in batches:
+                now = [np.stack([batch.column(c).to_numpy() for c in ("signature", "qb", "rb")], 1)]
+                now += [batch.column(c).to_numpy() for c in ("kind", "class", "group", "size", "large")]
+                now.append(batch.column("bits").flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64))
+                held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+                border = np.flatnonzero((held[0][1:] != held[0][:-1]).any(1)) + 1
+                if len(border):
+                    # All but the last run are whole; a run has 2 * BLOCK rows at most.
+                    for x, y in zip([0, *border[:-1]], border):
+                        yield [v[x:y] for v in held]
+                    held = [v[border[-1] :] for v in held]
+            if held is not None and len(held[0]):
+                yield held
+
+        seen = set()
+        for part in pieces():
+            for classes, sizes, others in ask(part):
+                fresh = [p for p in zip(classes.tolist(), sizes.tolist(), others.tolist()) if p not in seen]
+                if fresh:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.update(fresh)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*fresh)], ["class", "size", "other"])
+
+    return dealt.mapInArrow(run, "class long, size long, other long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the bound, by counting their common tokens."""
 
@@ -268,23 +332,14 @@ def similar(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame
     of_group = held.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
     of_group = of_group.withColumns({"low": F.min("group").over(meeting), "high": F.max("group").over(meeting)}).where("low < high").drop("low", "high")
     of_group = stash(of_group)
-    begins, plans = size_bands(percent)
-    targets = of_group.groupBy("signature", "group").agg(F.min("size").alias("small"), F.max("size").alias("large")).withColumnRenamed("group", "other")
-    fits = (F.col("group") > F.col("other")) & (100 * F.col("large") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("small"))
-    met = of_group.join(targets, "signature").where(fits).groupBy("class", "size", "other").agg(F.count("*").alias("common"))
-    # What the guarantee promises at least, for the smaller of the two bands that a class can link within.
-    need = F.lit(1)
-    for low, (k, _, common) in zip(begins[1:], plans):
-        if k and low < 1 << 31:
-            need = F.when(F.col("size") >= low, F.lit(common)).otherwise(need)
-    met = stash(met.where(F.col("common") >= need).select("class", "size", "other"))
 
     # Step 3: a bound on the overlap with each group's token union, then with its members.
     all_groups = sets.select("class", "bits").join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
-    asked = all_groups.join(met.select(F.col("other").alias("group")).distinct(), "group", "left_semi")
-    matrix = asked.groupBy(F.col("group").alias("other")).agg(F.array(*[F.bit_or(F.col("bits")[i]) for i in range(BITS // 64)]).alias("union"))
-    queries = met.join(sets.select("class", "bits"), "class")
-    opened = queries.join(matrix, "other").where(100 * (F.col("size") - lacking("bits", "union")) >= percent * F.col("size")).drop("union")
+    asked = all_groups.join(of_group.select("group").distinct(), "group", "left_semi")
+    matrix = asked.groupBy("group").agg(F.array(*[F.bit_or(F.col("bits")[i]) for i in range(BITS // 64)]).alias("bits"))
+    targets = of_group.groupBy("signature", "group").agg(F.min("size").alias("small"), F.max("size").alias("large"))
+    met = stash(asked_in_blocks(of_group.join(sets.select("class", "bits"), "class"), targets.join(matrix, "group"), percent))
+    opened = met.join(sets.select("class", "bits"), "class")
     inside = asked.join(members.where("doc_id = class").select("class", F.col("size").alias("its")).distinct(), "class").select(F.col("class").alias("b"), F.col("group").alias("other"), "its", F.col("bits").alias("own"))
     shared_most = F.least(F.col("size") - lacking("bits", "own"), F.col("its") - lacking("own", "bits"))
     compare = opened.join(inside, "other").where((100 + percent) * shared_most >= percent * (F.col("size") + F.col("its"))).select(F.col("class").alias("a"), "b")
