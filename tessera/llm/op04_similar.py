@@ -90,7 +90,7 @@ def size_bands(percent: int) -> tuple[list[int], list[tuple[int, int, int]]]:
         begins.append(low * 100 // percent + 1)
         high = begins[-1] - 1
         differ = (100 - percent) * (high + high * 100 // percent) // (100 + percent)
-        common, empty = 1 + differ // 8, 0
+        common, empty = 1, 0
         for _ in range(4):
             k = differ + common + empty
             empty = int(np.ceil(k * np.exp(-low / k))) + 1
@@ -219,10 +219,11 @@ def lacking(mine: str, theirs: str):
     return F.aggregate(F.zip_with(mine, theirs, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda a, x: a + x)
 
 
-def asked_in_blocks(queries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def asked_in_blocks(queries: DataFrame, rows: DataFrame, class_bits: DataFrame, group_bits: DataFrame, percent: int) -> DataFrame:
     """class, size, other: the queries and groups that meet in a signature and pass the matrix bound.
 
-    queries: (signature, class, group, size, bits); rows: (signature, group, small, large, bits).
+    queries: (signature, class, group, size); rows: (signature, group, small, large). Their bits, by
+    class (class, bits) and by group (group, bits), come to them only where they are compared.
     """
 
     def numbered(df: DataFrame, order: str) -> DataFrame:
@@ -233,8 +234,9 @@ def asked_in_blocks(queries: DataFrame, rows: DataFrame, percent: int) -> DataFr
     blocks = lambda df, name: df.groupBy("signature").agg(F.max("_n").alias(name))
     q = q.join(blocks(r, "_o"), "signature").withColumn("_p", F.explode(F.sequence(F.lit(0), "_o")))
     r = r.join(blocks(q, "_o"), "signature").withColumn("_p", F.explode(F.sequence(F.lit(0), "_o")))
-    one = q.select("signature", F.col("_b").alias("qb"), F.col("_p").alias("rb"), F.lit(0).alias("kind"), "class", "group", "size", F.lit(0).cast("long").alias("large"), "bits")
-    two = r.select("signature", F.col("_p").alias("qb"), F.col("_b").alias("rb"), F.lit(1).alias("kind"), F.col("group").alias("class"), "group", F.col("small").alias("size"), "large", "bits")
+    columns = ("signature", "qb", "rb", "kind", "class", "group", "size", "large", "bits")
+    one = q.select("signature", F.col("_b").alias("qb"), F.col("_p").alias("rb"), F.lit(0).alias("kind"), "class", "group", "size", F.lit(0).cast("long").alias("large")).join(class_bits, "class").select(*columns)
+    two = r.select("signature", F.col("_p").alias("qb"), F.col("_b").alias("rb"), F.lit(1).alias("kind"), F.col("group").alias("class"), "group", F.col("small").alias("size"), "large").join(group_bits, "group").select(*columns)
     dealt = one.union(two).repartition("signature", "qb", "rb").sortWithinPartitions("signature", "qb", "rb", "kind")
 
     def ask(part):
@@ -338,7 +340,7 @@ def similar(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame
     asked = all_groups.join(of_group.select("group").distinct(), "group", "left_semi")
     matrix = asked.groupBy("group").agg(F.array(*[F.bit_or(F.col("bits")[i]) for i in range(BITS // 64)]).alias("bits"))
     targets = of_group.groupBy("signature", "group").agg(F.min("size").alias("small"), F.max("size").alias("large"))
-    met = stash(asked_in_blocks(of_group.join(sets.select("class", "bits"), "class"), targets.join(matrix, "group"), percent))
+    met = stash(asked_in_blocks(of_group.select("signature", "class", "group", "size"), targets, sets.select("class", "bits"), matrix, percent))
     opened = met.join(sets.select("class", "bits"), "class")
     inside = asked.join(members.where("doc_id = class").select("class", F.col("size").alias("its")).distinct(), "class").select(F.col("class").alias("b"), F.col("group").alias("other"), "its", F.col("bits").alias("own"))
     shared_most = F.least(F.col("size") - lacking("bits", "own"), F.col("its") - lacking("own", "bits"))
