@@ -140,8 +140,8 @@ def occurrences(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "context string, shape string, value string, seed boolean")
 
 
-def learn_patterns(documents: DataFrame, *, rounds: int = 2, min_values: int = 5, min_confidence: float = 0.9, most: int = 2000) -> list[tuple[str, str]]:
-    """The trusted (context, shape) patterns, at most `most` of them, best first.
+def learn_patterns(documents: DataFrame, *, rounds: int = 2, min_values: int = 5, min_confidence: float = 0.9) -> DataFrame:
+    """All trusted patterns: context, shape.
 
     Pattern confidence: share of its distinct values that are trusted, counted as their confidence.
     Instance confidence: 1 for seeds, else 1 - product(1 - confidence of its patterns), where only
@@ -157,20 +157,34 @@ def learn_patterns(documents: DataFrame, *, rounds: int = 2, min_values: int = 5
         told = graph.join(strong, ["context", "shape"]).groupBy("value").agg((1 - F.exp(doubt)).alias("told"))
         trust = graph.groupBy("value").agg(F.max("seed").alias("seed")).join(told, "value", "left")
         trust = stash(trust.select("value", F.greatest("seed", F.coalesce("told", F.lit(0.0))).alias("trust")))
-    best = strong.orderBy(F.desc("confidence"), F.desc("n"), "context", "shape").limit(most).collect()
-    return [(r["context"], r["shape"]) for r in best]
+    return strong.select("context", "shape")
 
 
-def all_spans(text: str, patterns: frozenset) -> list[tuple[int, int, int]]:
-    """Base spans, and candidates that a trusted pattern matches and no base span meets."""
-    spans = base_spans(text)
-    if patterns:
-        fixed = list(spans)
-        for begin, end, contexts, form in candidates(text):
-            if any((c, form) in patterns for c in contexts) and not any(b < end and begin < e for b, _, e in fixed):
-                spans.append((begin, 4, end))
-        spans.sort()
-    return spans
+def text_key(text: str) -> bytes:
+    """The digest that spans found in a text are brought back to its rows by."""
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def matches(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """_digest of a text, _found: begin and end of its candidates that a trusted pattern matches and no base span meets."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text in {t for t in batch.column("text").to_pylist() if t}:
+                open_, spans = candidates(text), None
+                if open_:
+                    key, spans = text_key(text), base_spans(text)
+                    for begin, end, contexts, form in open_:
+                        if not any(b < end and begin < e for b, _, e in spans):
+                            rows += [(key, begin, end, context, form) for context in contexts]
+            for i in range(0, len(rows), 50_000):
+                part = list(zip(*rows[i : i + 50_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["_digest", "begin", "end", "context", "shape"])
+
+    open_ = documents.select("text").mapInArrow(run, "_digest binary, begin long, end long, context string, shape string")
+    hits = open_.join(patterns.select("context", "shape").distinct(), ["context", "shape"])
+    return hits.groupBy("_digest").agg(F.collect_set(F.struct("begin", "end")).alias("_found"))
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -183,30 +197,51 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def find_private(documents: DataFrame, patterns: list[tuple[str, str]], *, with_text: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in carry, counts per base kind, base_sha256, spans; with_text adds the redacted text."""
-    shared = documents.sparkSession.sparkContext.broadcast(frozenset(patterns))  # bounded by learn_patterns(most)
+def find_private(documents: DataFrame, patterns: DataFrame | list[tuple[str, str]], *, with_text: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in carry, counts per base kind, base_sha256, spans; with_text adds the redacted text.
 
-    def run(batches):
-        name = lambda spans: ",".join(f"{KINDS[k]}:{b}:{e}" for b, k, e in spans)
+    Patterns are joined with the candidates, so any number of them is used; what they find depends
+    on the text alone and comes back to its rows by the text's digest.
+    """
+    if not isinstance(patterns, DataFrame):
+        patterns = documents.sparkSession.createDataFrame(patterns, "context string, shape string")
+    name = lambda spans: ",".join(f"{KINDS[k]}:{b}:{e}" for b, k, e in spans)
+
+    def base(batches):
         for batch in batches:
-            counts, digests, lists, texts = [[], [], [], []], [], [], []
+            counts, digests, lists, keys = [[], [], [], []], [], [], []
             for text in batch.column("text").to_pylist():
-                spans = all_spans(text or "", shared.value)
-                base = [s for s in spans if s[1] < 4]
+                spans = base_spans(text or "")
                 for k in range(4):
-                    counts[k].append(sum(s[1] == k for s in base))
-                digests.append(hashlib.sha256(name(base).encode()).hexdigest())
+                    counts[k].append(sum(s[1] == k for s in spans))
+                digests.append(hashlib.sha256(name(spans).encode()).hexdigest())
+                lists.append([{"begin": b, "kind": k, "end": e} for b, k, e in spans])
+                keys.append(text_key(text) if text else None)
+            out = {c: batch.column(c) for c in kept} | {f"n_{KINDS[k]}": pa.array(counts[k], pa.int64()) for k in range(4)}
+            out |= {"base_sha256": pa.array(digests, pa.string()), "_base": pa.array(lists, pa.list_(pa.struct([("begin", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))), "_key": pa.array(keys, pa.binary())}
+            yield pa.RecordBatch.from_pydict(out)
+
+    def cover(batches):
+        for batch in batches:
+            lists, texts = [], []
+            old = batch.column("text").to_pylist() if with_text else [None] * batch.num_rows
+            for text, fixed, found in zip(old, batch.column("_base").to_pylist(), batch.column("_found").to_pylist()):
+                spans = sorted([(s["begin"], s["kind"], s["end"]) for s in fixed] + [(s["begin"], 4, s["end"]) for s in found or ()])
                 lists.append(name(spans))
                 if with_text:
                     texts.append(text if text is None else redact(text, spans))
-            out = {c: batch.column(c) for c in carry} | {f"n_{KINDS[k]}": pa.array(counts[k], pa.int64()) for k in range(4)}
-            out |= {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(lists, pa.string())}
+            out = {c: batch.column(c) for c in first} | {"spans": pa.array(lists, pa.string())}
             yield pa.RecordBatch.from_pydict(out | ({"redacted": pa.array(texts, pa.string())} if with_text else {}))
 
+    # Only rows that are to be redacted take their text through the join.
     source = documents.select(*dict.fromkeys((*carry, "text")))
-    carried = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry)
-    return source.mapInArrow(run, f"{carried}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * with_text)
+    kept = tuple(source.columns) if with_text else carry
+    types = lambda names: ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names)
+    counted = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string"
+    rows = source.mapInArrow(base, f"{types(kept)}, {counted}, _base array<struct<begin: bigint, kind: bigint, end: bigint>>, _key binary")
+    first = (*carry, *(f"n_{k}" for k in KINDS[:4]), "base_sha256")
+    joined = rows.join(matches(documents, patterns), rows["_key"] == F.col("_digest"), "left").drop("_key", "_digest")
+    return joined.mapInArrow(cover, f"{types(carry)}, {counted}, spans string" + ", redacted string" * with_text)
 
 
 def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,6 +390,19 @@ def test_private_contexts_find_unseen_identifiers(spark):
     assert found[101].spans == "" and found[5].spans.startswith("card:") and "<card>" in found[5].redacted
 
 
+def test_private_uses_every_trusted_pattern(spark):
+    contexts = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(2100)]
+    cards = [n for n in map(str, range(4 * 10**15, 4 * 10**15 + 400)) if op09_private.luhn(n)][:10]
+    rows = [(-1, None), (-2, "")] + [(i, f"{c} {card} end") for i, c in enumerate(contexts) for card in cards]
+    rows += [(10_000 + i, f"{c} 4000000000000001 end") for i, c in enumerate(contexts)]
+    assert not op09_private.luhn("4000000000000001")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = op09_private.find_private(docs, op09_private.learn_patterns(docs), with_text=True, carry=("doc_id", "text")).collect()
+    late = [x for x in found if x.doc_id >= 10_000]
+    assert len(found) == len(rows) and len(late) == 2100
+    assert all(x.spans == "found:4:20" and x.redacted == x.text[:4] + "<found> end" for x in late)
+
+
 def test_token_files_follow_the_library(spark, documents, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer("byte_bpe_50k.json")
