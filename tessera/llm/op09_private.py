@@ -3,7 +3,7 @@
 Base kinds (e-mail, IP address, card, phone) come from fixed patterns over every whole text. They
 seed the bootstrap. Every candidate token with a digit or an at-sign is an occurrence with a shape
 (runs of letters, digits and signs) and a context (the words before it, lower-cased). Spark scores
-the graph of patterns (context, shape) and instances (values) round by round: a pattern's
+the graph of patterns (context, shape) and instances (values) until nothing changes: a pattern's
 confidence is the trusted share of its occurrences, an instance's confidence is what the patterns
 that extract it leave of doubt. Patterns of high confidence and enough support then extract
 unseen identifiers wherever they match in any text; those are the extra spans, of kind "found".
@@ -140,22 +140,28 @@ def occurrences(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "context string, shape string, value string, seed boolean")
 
 
-def learn_patterns(documents: DataFrame, *, rounds: int = 2, min_values: int = 5, min_confidence: float = 0.9) -> DataFrame:
+def learn_patterns(documents: DataFrame, *, min_values: int = 5, min_confidence: float = 0.9) -> DataFrame:
     """All trusted patterns: context, shape.
 
     Pattern confidence: share of its distinct values that are trusted, counted as their confidence.
     Instance confidence: 1 for seeds, else 1 - product(1 - confidence of its patterns), where only
-    patterns of at least min_confidence and min_values values speak.
+    patterns of at least min_confidence and min_values values speak. Trust never falls from round to
+    round; it ends when neither the number nor the confidence of these patterns changes any more.
     """
     graph = stash(occurrences(documents).groupBy("context", "shape", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")))
-    trust = graph.groupBy("value").agg(F.max("seed").alias("trust"))
-    strong = None
-    for _ in range(rounds):
+    seeds = stash(graph.groupBy("value").agg(F.max("seed").alias("seed")))
+    trust = seeds.withColumnRenamed("seed", "trust")
+    before = (0, 0.0)
+    while True:
         scored = graph.join(trust, "value").groupBy("context", "shape").agg(F.count("value").alias("n"), F.avg("trust").alias("confidence"))
         strong = stash(scored.where((F.col("n") >= min_values) & (F.col("confidence") >= min_confidence)))
+        now = strong.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if now[0] == before[0] and abs(now[1] - before[1]) < 1e-6:
+            break
+        before = now
         doubt = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
         told = graph.join(strong, ["context", "shape"]).groupBy("value").agg((1 - F.exp(doubt)).alias("told"))
-        trust = graph.groupBy("value").agg(F.max("seed").alias("seed")).join(told, "value", "left")
+        trust = seeds.join(told, "value", "left")
         trust = stash(trust.select("value", F.greatest("seed", F.coalesce("told", F.lit(0.0))).alias("trust")))
     return strong.select("context", "shape")
 

@@ -403,6 +403,21 @@ def test_private_uses_every_trusted_pattern(spark):
     assert all(x.spans == "found:4:20" and x.redacted == x.text[:4] + "<found> end" for x in late)
 
 
+def test_private_follows_chains_of_patterns(spark):
+    numbers = list(map(str, range(4 * 10**15, 4 * 10**15 + 400)))
+    cards, other = [[n for n in numbers if op09_private.luhn(n) == kind] for kind in (True, False)]
+    # Seeds alone make the first context trusted; each other one needs the two values told by the one before it.
+    held = {"one": other[:2]} | {name: other[2 * k : 2 * k + 4] for k, name in enumerate(("two", "three", "four", "five", "six"))}
+    held["never"] = other[100:104]
+    texts = [f"{name} {value}" for name, values in held.items() for value in (*cards[:20], *values)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.doc_id: x.spans for x in op09_private.find_private(docs, op09_private.learn_patterns(docs)).collect()}
+    for i, text in enumerate(texts):
+        name, _, value = text.partition(" ")
+        kind = "card:" if value in cards else "" if name == "never" else "found:"
+        assert found[i] == (kind and f"{kind}{len(name) + 1}:{len(text)}")
+
+
 def test_token_files_follow_the_library(spark, documents, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer("byte_bpe_50k.json")
