@@ -11,6 +11,9 @@ File: b"RPR1", four little-endian unsigned 32-bit numbers (documents, rules, sym
 nonterminal), then the arrays doc_id int64, ids per document uint32, symbols per document uint32,
 rules as pairs of uint32, expansion length per nonterminal uint32, symbols as uint16.
 
+Ids are those of the library's encode(text, add_special_tokens=False): a text that holds an added
+token, such as <|endoftext|>, has that token's id there.
+
 Defined results: null and empty texts have the end id only; repeated doc_ids stand beside each
 other, in order of their texts; an empty table gives an empty result; other columns are ignored.
 """
@@ -52,7 +55,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens are matched in the text before the pre-tokenizer splits it.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("tokenizers with a normalizer are not supported")
         self.model = self.tokenizer.model
         self.split = regex.compile(PATTERN).findall
         # Byte-level vocabularies write each byte as a printable character.
@@ -91,6 +97,8 @@ class Encoder:
             self.chunks, self.old_chunks = {}, self.chunks
         # At a space between other white space the pre-tokenizer looks further than one chunk.
         odd = pc.or_(pc.match_substring_regex(texts, f"(?:^|{_SPACE}) (?:{_SPACE}|$)|^$"), pc.greater(pc.binary_length(texts), 8 * SLICE_BYTES))
+        for content in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         distinct = lists.flatten().dictionary_encode()
         chunks, old, distinct_words = self.chunks, self.old_chunks, distinct.dictionary.to_pylist()

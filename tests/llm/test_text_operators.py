@@ -462,6 +462,19 @@ def test_token_encoder_on_random_texts():
         assert ids[begin[i] : begin[i + 1]].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_token_encoder_matches_added_tokens():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = tokenizer("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = [f"{a}{t}{b}" for t in added for a in ("", "end of one.", "a ", "é\n", "<|") for b in ("", " start", "x", f" {t}{t}", "\t ")]
+    texts += ["end of one.<|endoftext|> start", "<|endoftext", "< |endoftext|>", "<|ENDOFTEXT|>", "plain", "", None]
+    ids, begin = op10_tokens.Encoder(path).run(pa.array(texts, pa.string()))
+    for i, text in enumerate(texts):
+        assert ids[begin[i] : begin[i + 1]].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 0]
+    assert "<|endoftext|>" in added and 50256 in ids.tolist()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_follow_sql(spark, name):
