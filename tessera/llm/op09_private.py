@@ -9,7 +9,8 @@ that extract it leave of doubt. Patterns of high confidence and enough support t
 unseen identifiers wherever they match in any text; those are the extra spans, of kind "found".
 
 Contexts are words that announce an identifier, so a pattern needs support from several distinct
-trusted instances; a context word that also stands in front of ordinary words is not trusted.
+trusted instances. Words with neither a digit nor an at-sign are not in the graph: they are never
+found, and those that stand behind a context do not lower its confidence.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive;
 repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
@@ -35,8 +36,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: What may hold an identifier: a word with a digit in it.
-_HINT = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*+")
+_MARK = re.compile("[0-9@]")
+#: What may hold an identifier: a word with a digit or an at-sign in it.
+_HINT = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+")
 _RUN = re.compile(r"[^\W_]+|[\W_]")
 _TRIM = "\"'`()[]{}<>,;:!?.|*#$%&"
 
@@ -82,7 +84,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def shape(value: str) -> str:
     """What a value looks like: a letters, d up to three digits, longer digit runs by their length, x mixed runs by a length class, other signs as they are."""
     out = []
-    for run in _RUN.findall(value)[:12]:
+    for run in _RUN.findall(value):
         if not run[0].isalnum():
             out.append(run[0])
         elif run.isdigit():
@@ -95,18 +97,19 @@ def shape(value: str) -> str:
 
 
 def candidates(text: str) -> list[tuple[int, int, tuple[str, ...], str]]:
-    """(start, end, contexts, shape) of every word with a digit; contexts are the one and the two words before it.
+    """(start, end, contexts, shape) of every word with a digit or an at-sign; contexts are the one and the two words before it.
 
     key=value words are cut at their sign, and the key is the context.
     """
     out = []
-    if _DIGIT.search(text) is None:
+    if _MARK.search(text) is None:
         return out
     for m in _HINT.finditer(text):
         begin, end = m.span()
         before = text[max(0, begin - 80) : begin].split()[-2:]
         word = m[0]
-        cut = max(word.rfind("=", 0, _DIGIT.search(word).start()), word.rfind(":", 0, _DIGIT.search(word).start()))
+        mark = (_DIGIT.search(word) or _MARK.search(word)).start()
+        cut = max(word.rfind("=", 0, mark), word.rfind(":", 0, mark))
         if cut >= 0:
             before, begin = [word[:cut], word[cut]], begin + cut + 1
         while begin < end and text[begin] in _TRIM:

@@ -418,6 +418,22 @@ def test_private_follows_chains_of_patterns(spark):
         assert found[i] == (kind and f"{kind}{len(name) + 1}:{len(text)}")
 
 
+def test_private_learns_from_words_without_digits(spark):
+    names = [a + b for a in "bcdfg" for b in ("ano", "elu", "ito", "omy")]
+    texts = [f"write to mail: {n}.doe@example.com soon" for n in names] + [f"my mail={n}.roe@example.org" for n in names]
+    texts += ["write to mail: jane.doe@ex\u00e4mple.com soon", "my mail=jane.roe@ex\u00e4mple.org", "no mail jane here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.doc_id: x.spans for x in op09_private.find_private(docs, op09_private.learn_patterns(docs)).collect()}
+    assert all(found[i].startswith("email:") and "," not in found[i] for i in range(40))
+    assert (found[40], found[41], found[42]) == ("found:15:35", "found:8:28", "")
+
+
+def test_private_shape_covers_the_whole_value():
+    address = ":".join(["2001", "db8", "0", "0", "0", "0", "0", "1"])
+    assert op09_private.shape(address) == "4:xs:d:d:d:d:d:d"
+    assert op09_private.shape(address) != op09_private.shape(address[:-1]) != op09_private.shape(address + ":ff")
+
+
 def test_token_files_follow_the_library(spark, documents, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer("byte_bpe_50k.json")
