@@ -11,26 +11,65 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: A key that more than one in so many rows have is hot; so there are fewer hot keys than this.
+HOT_SHARE = 1000
+#: Rows that one task joins without harm, whatever their keys.
+ONE_TASK = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor and the driver can reach.
 
-    The setting is read from the session. Where it is unset (single-machine tests) a folder
-    below the warehouse is used.
+    The setting is read from the session. Where it is unset, a session on one machine (tests) uses a
+    folder below its warehouse; a cluster has to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     Cuts the lineage at a table that outlives the executors that made it.
     """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df in tables:
+        path = vars(df).get("_stash")
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """many joined with one, which has at most one row for a key; how is inner or left.
+
+    Rows of hot keys, and those without a key, stay where they are: the rows of one for hot keys,
+    fewer than HOT_SHARE, are broadcast. All others meet by a shuffle, in which no key is hot.
+    many is read twice, so it should be a stashed table. Up to ONE_TASK rows are joined plainly.
+    """
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    if total <= ONE_TASK:
+        return many.join(one, key, how)
+    hot = counts.where(F.col("_n") > F.lit(total / HOT_SHARE)).select(key)
+    flagged = many.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    still = flagged.where(F.col("_hot") | F.col(key).isNull()).drop("_hot")
+    moved = flagged.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot")
+    few = one.join(F.broadcast(hot), key, "left_semi")
+    return still.join(F.broadcast(few), key, how).unionByName(moved.join(one, key, how))
 
 
 def scan_splits(df: DataFrame) -> int:
@@ -38,12 +77,13 @@ def scan_splits(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python tasks in batches of so many rows.
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Hand texts to Python tasks in batches of so many rows and bytes at most.
 
     Texts are long, and a batch lies in the memory of the JVM and of the worker at the same time.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def n_words(text: Column) -> Column:

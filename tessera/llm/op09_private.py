@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, then bootstrapped extraction from their contexts.
 
 Base kinds (e-mail, IP address, card, phone) come from fixed patterns over every whole text. They
-seed the bootstrap. Every candidate token with a digit or an at-sign is an occurrence with a shape
+seed the bootstrap. Every candidate (a word with a digit or an at-sign, what an equals sign or colon
+assigns, and the word behind a word that ends in one) is an occurrence with a shape
 (runs of letters, digits and signs) and a context (the words before it, lower-cased). Spark scores
 the graph of patterns (context, shape) and instances (values) until nothing changes: a pattern's
 confidence is the trusted share of its occurrences, an instance's confidence is what the patterns
@@ -9,11 +10,15 @@ that extract it leave of doubt. Patterns of high confidence and enough support t
 unseen identifiers wherever they match in any text; those are the extra spans, of kind "found".
 
 Contexts are words that announce an identifier, so a pattern needs support from several distinct
-trusted instances. Words with neither a digit nor an at-sign are not in the graph: they are never
-found, and those that stand behind a context do not lower its confidence.
-
-Defined results: null and empty texts have no spans; offsets are code points, end exclusive;
-repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+trusted instances. Base kinds hold digits or an at-sign, so patterns whose shape has neither become
+trusted only through values that such patterns tell. Other words without a digit, an at-sign or a
+sign that assigns them are not in the graph; no trusted pattern has their shape.
+
+Defined results: null and empty texts have no spans; offsets are code points, end exclusive; of
+base spans that overlap (they are of different kinds) all are reported, and redaction keeps the
+first; a span found twice counts once; repeated rows give repeated rows; an empty table gives an
+empty result; other columns are ignored. A text of any length is searched as a whole in one task,
+in time and memory in proportion to its length; contexts over 64 characters are kept as digests.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import discard, hot_join, small_batches, stash
 
 KINDS = ("email", "ip", "card", "phone", "found")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,10 +41,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_MARK = re.compile("[0-9@]")
-#: What may hold an identifier: a word with a digit or an at-sign in it.
-_HINT = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+")
+_MARK = re.compile("[0-9@=:]")
+#: What may hold an identifier: a word with one of the marks, or one behind a word that ends in a sign.
+_HINT = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@=:]*+[0-9@=:][^\x20\x09-\x0D]*+|(?<=[=:][\x20\x09-\x0D])[^\x20\x09-\x0D]++")
 _RUN = re.compile(r"[^\W_]+|[\W_]")
+#: Patterns that are sent to all tasks at most.
+BROADCAST_PATTERNS = 20_000
 _TRIM = "\"'`()[]{}<>,;:!?.|*#$%&"
 
 
@@ -96,28 +103,44 @@ def shape(value: str) -> str:
     return "".join(out)
 
 
+def words_before(text: str, at: int) -> list[str]:
+    """The two words before a place, whole and lower-cased; long ones as digests."""
+    reach = 80
+    while True:
+        begin = max(0, at - reach)
+        found = text[begin:at].split()
+        if begin == 0 or len(found) > 2:
+            return [w.lower() if len(w) <= 64 else hashlib.sha1(w.lower().encode("utf-8", "surrogatepass")).hexdigest() for w in found[-2:]]
+        reach *= 4
+
+
 def candidates(text: str) -> list[tuple[int, int, tuple[str, ...], str]]:
-    """(start, end, contexts, shape) of every word with a digit or an at-sign; contexts are the one and the two words before it.
+    """(start, end, contexts, shape) of every candidate; contexts are the one and the two words before it.
 
-    key=value words are cut at their sign, and the key is the context.
+    key=value words are cut at their last sign before a digit or at-sign, else at their first sign,
+    and the key is the context.
     """
     out = []
     if _MARK.search(text) is None:
         return out
     for m in _HINT.finditer(text):
         begin, end = m.span()
-        before = text[max(0, begin - 80) : begin].split()[-2:]
         word = m[0]
-        mark = (_DIGIT.search(word) or _MARK.search(word)).start()
-        cut = max(word.rfind("=", 0, mark), word.rfind(":", 0, mark))
+        mark = _DIGIT.search(word)
+        mark = len(word) if mark is None and "@" not in word else mark.start() if mark else word.index("@")
+        cut = max(word.rfind("=", 0, mark), word.rfind(":", 0, mark)) if mark < len(word) else min((i for i in (word.find("="), word.find(":")) if i >= 0), default=-1)
         if cut >= 0:
-            before, begin = [word[:cut], word[cut]], begin + cut + 1
+            key = word[:cut].lower()
+            before, begin = [key if len(key) <= 64 else hashlib.sha1(key.encode("utf-8", "surrogatepass")).hexdigest(), word[cut]], begin + cut + 1
+        else:
+            before = None
         while begin < end and text[begin] in _TRIM:
             begin += 1
         while end > begin and text[end - 1] in _TRIM:
             end -= 1
         if end > begin:
-            before = [w[-30:].lower() for w in before]
+            if before is None:
+                before = words_before(text, m.start())
             out.append((begin, end, tuple({before[-1], " ".join(before)}) if before else ("",), shape(text[begin:end])))
     return out
 
@@ -154,18 +177,24 @@ def learn_patterns(documents: DataFrame, *, min_values: int = 5, min_confidence:
     graph = stash(occurrences(documents).groupBy("context", "shape", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")))
     seeds = stash(graph.groupBy("value").agg(F.max("seed").alias("seed")))
     trust = seeds.withColumnRenamed("seed", "trust")
-    before = (0, 0.0)
+    before, old = (0, 0.0), []
     while True:
-        scored = graph.join(trust, "value").groupBy("context", "shape").agg(F.count("value").alias("n"), F.avg("trust").alias("confidence"))
+        # A number that stands in very many contexts, and a context with very many values, are hot keys.
+        scored = hot_join(graph, trust, "value").groupBy("context", "shape").agg(F.count("value").alias("n"), F.avg("trust").alias("confidence"))
         strong = stash(scored.where((F.col("n") >= min_values) & (F.col("confidence") >= min_confidence)))
         now = strong.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        discard(*old)
         if now[0] == before[0] and abs(now[1] - before[1]) < 1e-6:
             break
         before = now
         doubt = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
-        told = graph.join(strong, ["context", "shape"]).groupBy("value").agg((1 - F.exp(doubt)).alias("told"))
+        key = F.concat_ws("\x00", "shape", "context")
+        spoken = strong.select(key.alias("_pattern"), "confidence")
+        told = hot_join(graph.select(key.alias("_pattern"), "value"), spoken, "_pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("told"))
         trust = seeds.join(told, "value", "left")
         trust = stash(trust.select("value", F.greatest("seed", F.coalesce("told", F.lit(0.0))).alias("trust")))
+        old = [strong, trust]
+    discard(graph, seeds)
     return strong.select("context", "shape")
 
 
@@ -192,7 +221,12 @@ def matches(documents: DataFrame, patterns: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["_digest", "begin", "end", "context", "shape"])
 
     open_ = documents.select("text").mapInArrow(run, "_digest binary, begin long, end long, context string, shape string")
-    hits = open_.join(patterns.select("context", "shape").distinct(), ["context", "shape"])
+    key = F.concat_ws("\x00", "shape", "context").alias("_pattern")
+    trusted = patterns.select(key).distinct()
+    keyed = open_.select("_digest", "begin", "end", key)
+    # A small table of patterns goes to the candidates; a large one meets them by a shuffle without hot keys.
+    few = trusted.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
+    hits = keyed.join(F.broadcast(trusted), "_pattern") if few else hot_join(stash(keyed), trusted, "_pattern")
     return hits.groupBy("_digest").agg(F.collect_set(F.struct("begin", "end")).alias("_found"))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op07_secrets, op08_flac, op09_private, op10_tokens, registry
+from tessera.llm import common, op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op07_secrets, op08_flac, op09_private, op10_tokens, registry
 from tessera.llm.common import shared_dir
 from tessera.llm.components import components
 
@@ -498,3 +498,20 @@ def test_queries_follow_sql(spark, name):
     for t in ("documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     same(registry.QUERIES[name](spark, SF), con.sql(registry.SQL[name]))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_join_like_others(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "ONE_TASK", 10)
+    many = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(300)] + [(None, 1), (50, 2)], "k long, v long")
+    one = spark.createDataFrame([(k, str(k)) for k in range(6)], "k long, w string")
+    got = common.hot_join(many, one, "k", how).collect()
+    assert sorted(map(str, got)) == sorted(map(str, many.join(one, "k", how).collect()))
+
+
+def test_private_contexts_are_whole_words():
+    long = "x" * 500
+    a, b = (op09_private.candidates(f"{w} {' ' * 300} 12345")[0] for w in (long + "a", long + "b"))
+    assert a[2] != b[2] and len(a[2][0]) == 40
+    assert op09_private.candidates("one two  12") == [(9, 11, tuple({"two", "one two"}), "d")]
+    assert [op09_private.candidates(t)[0][:2] for t in ("user: jane", "user=jane")] == [(6, 10), (5, 9)]
