@@ -6,7 +6,7 @@ bytes of memory for each of its bytes, so a text of 10 MB takes 600 MB of its ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,3 +127,33 @@ def repeated(group: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     some[order[1:][same]] = True
     some[order[:-1][same]] = True
     return some, later
+
+
+class Lexicon:
+    """What a function gives for words, so that a word met again is not worked out again.
+
+    make gives a list of arrays, one entry a word, for a list of words. What is remembered stays
+    under `most` bytes; results do not depend on it.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list[pa.Array]], most: int = 24 << 20):
+        self.make, self.most = make, most
+        self.words, self.columns = pa.array([], pa.string()), make([])
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        """The row of each of the distinct words in the columns that are returned with them."""
+        at = pc.index_in(words, self.words)
+        fresh = pc.is_null(at)
+        new = words.filter(fresh)
+        columns = [pa.concat_arrays([c, m]) for c, m in zip(self.columns, self.make(new.to_pylist()))]
+        rows = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        rows[fresh.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        self.words, self.columns = pa.concat_arrays([self.words, new]), columns
+        if self.size() > self.most:
+            self.words, self.columns = words, [c.take(pa.array(rows)) for c in columns]
+            if self.size() > self.most:
+                self.words, self.columns = pa.array([], pa.string()), self.make([])
+        return rows, columns
+
+    def size(self) -> int:
+        return self.words.nbytes + sum(c.nbytes for c in self.columns)

@@ -1,20 +1,23 @@
 """SentencePiece encoding and decoding: exact merge-type (BPE) encoding by backtracking.
 
 A sequence of pieces is the merge result of a text exactly when every piece is the merge result
-of its own characters and no merge crosses the border of any two neighbours. So the encoder walks
-from the left with the longest piece that an Aho-Corasick automaton found at each position, takes
-it if it is compatible with the piece before it, else tries shorter prefixes, else steps back.
-Compatibility of two pieces is decided by merging their joined characters again, and remembered.
-A bitfield marks positions known to fail, so every position fails at most once.
+of its own characters and no merge crosses the border of any two neighbours. So one pass of an
+Aho-Corasick automaton over the text gives the longest pieces, one behind the other, and the encoder
+walks from the left: it takes the longest piece at a position (from that pass, else from the
+automaton again) if it is compatible with the piece before it, else tries shorter prefixes, else
+steps back. Compatibility of two pieces is decided by merging their joined characters again, and
+remembered. A bitfield marks positions known to fail, so every position fails at most once.
 
 No piece has a space mark behind another character. Merges thus never cross the border in front
 of a space mark, and texts are encoded by space-delimited chunks; each distinct chunk of an Arrow
-batch is encoded once, with a bounded memory of chunks over batches.
+batch is encoded once, with a memory of chunks over batches that is bounded in bytes.
 
 Defined results: null and empty texts give no ids and decode to the empty text; characters
 without a piece become byte pieces; runs of spaces and literal space marks are kept as the
-library keeps them (a literal mark decodes to a space); repeated rows give repeated rows; an empty
-table gives an empty result; other columns are ignored.
+library keeps them (a literal mark decodes to a space); no two candidates tie, since a text has one
+merge result (best score first, then leftmost); repeated rows give repeated rows; an empty table
+gives an empty result; other columns are ignored. A text of any length is encoded whole in one task,
+in memory with its ids as text: some 20 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -29,11 +32,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from .arrays import Lexicon, slices, sums
+from .common import small_batches
+
 MARK = "▁"
-#: Chunks remembered by a worker over batches.
-MEMORY = 600_000
+#: Pairs of pieces whose compatibility a worker remembers.
+PAIRS = 300_000
 #: Bytes of text worked on at once within a batch.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 8_000_000
+
+
+def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def number():
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = b[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(b):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, b[at : at + size]
+            at += size
 
 
 def read_model(data: bytes) -> list[tuple[str, float, int]]:
@@ -41,30 +72,6 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
 
     Types: 1 normal, 2 unknown, 3 control, 4 user defined, 5 unused, 6 byte.
     """
-
-    def fields(b: bytes):
-        at = 0
-
-        def number():
-            nonlocal at
-            value = shift = 0
-            while True:
-                byte = b[at]
-                at += 1
-                value |= (byte & 127) << shift
-                shift += 7
-                if byte < 128:
-                    return value
-
-        while at < len(b):
-            key = number()
-            if key & 7 == 0:
-                yield key >> 3, number()
-            else:
-                size = {1: 8, 5: 4}.get(key & 7) or number()
-                yield key >> 3, b[at : at + size]
-                at += size
-
     pieces = []
     for field, value in fields(data):
         if field == 1:
@@ -73,12 +80,25 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
     return pieces
 
 
+def check_settings(data: bytes) -> None:
+    """Refuses models whose settings the codec does not follow: merge type, no normalisation, a mark in front, blanks kept."""
+    top = dict(fields(data))
+    trainer, normalizer = dict(fields(top.get(2, b""))), dict(fields(top.get(3, b"")))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("only merge-type (BPE) models are supported")
+    if trainer.get(24, 0):
+        raise ValueError("models with marks behind words are not supported")
+    if normalizer.get(2, b"") or not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1):
+        raise ValueError("only models without normalisation, with a mark in front and all blanks kept are supported")
+
+
 class PieceCodec:
     """Encoder and decoder for one merge-type model with byte fallback and a leading space mark."""
 
     def __init__(self, model: bytes):
         import ahocorasick
 
+        check_settings(model)
         pieces = read_model(model)
         if any(kind in (4, 5) for _, _, kind in pieces):
             raise ValueError("user-defined and unused pieces are not supported")
@@ -133,7 +153,7 @@ class PieceCodec:
     def compatible(self, left: int, right: int) -> bool:
         a, b = self.text[left], self.text[right]
         fits = self.merge(a + b) == [a, b]
-        if len(self.pairs) > 1_500_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[left * 65536 + right] = fits
         return fits
@@ -141,8 +161,10 @@ class PieceCodec:
     def encode_chunk(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marks already: the merge result, by backtracking."""
         known = self.id.get(text)
-        if known is not None:
+        if known is not None and text in self.usable:
             return [known]
+        # The longest pieces from the left, in one pass: where each begins.
+        ahead_of = {end + 1 - self.length[i]: i for end, i in self.automaton.iter_long(text)}
         walk, on_way, length, size = self.automaton.longest_prefix, self.on_way, self.length, self.size
         pairs, shorter = self.pairs, self.shorter
         total, at, out, strange = len(text), 0, [], False
@@ -150,9 +172,11 @@ class PieceCodec:
         piece = -1
         while at < total:
             if piece == -1:
-                ahead = text[at : at + size]
-                steps = walk(ahead)
-                piece = on_way[ahead[:steps]] if steps else None
+                piece = ahead_of.get(at)
+                if piece is None:
+                    ahead = text[at : at + size]
+                    steps = walk(ahead)
+                    piece = on_way[ahead[:steps]] if steps else None
                 if piece is None:
                     # No piece has this character alone or in front: nothing merges with it.
                     piece, strange = -2 - ord(text[at]), True
@@ -230,14 +254,14 @@ class BatchCodec:
 
     def __init__(self, model: bytes):
         self.codec = PieceCodec(model)
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.lexicon = Lexicon(lambda words: self.columns([MARK + w for w in words]))
 
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
+    def columns(self, chunks: list[str]) -> list[pa.Array]:
         """How many ids, the ids as text, and what they decode to."""
-        codec = self.codec
-        ids = codec.encode_chunk(chunk)
-        return len(ids), ",".join([codec.number[i] for i in ids]), codec.spell(ids)
+        codec, number = self.codec, self.codec.number
+        ids = [codec.encode_chunk(c) for c in chunks]
+        joined = pa.array([",".join([number[i] for i in own]) for own in ids], pa.string())
+        return [pa.array(map(len, ids), pa.int64()), joined, pa.array(map(codec.spell, ids), pa.string())]
 
     def run(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, ids as comma-joined decimals, and decoded text of each text."""
@@ -246,29 +270,15 @@ class BatchCodec:
         odd = pc.or_(pc.match_substring_regex(texts, f"^ |  | $|{MARK}|^$"), pc.greater(pc.binary_length(texts), 5 * SLICE_BYTES))
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         distinct = lists.flatten().dictionary_encode()
-        if len(self.known) >= MEMORY // 2:
-            self.known, self.older = {}, self.known
-        known, older, found = self.known, self.older, []
-        for word in distinct.dictionary.to_pylist():
-            entry = known.get(word)
-            if entry is None:
-                entry = older.get(word) or self.chunk(MARK + word)
-                if len(word) < 64:
-                    known[word] = entry
-            found.append(entry)
-        counts, ids, spelled = zip(*found, strict=True) if found else ((), (), ())
-        offsets, at = lists.offsets, distinct.indices
-        join = lambda values, by: pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(values, pa.string()).take(at)), by).to_pylist()
+        rows, (counts, ids, spelled) = self.lexicon(distinct.dictionary)
+        at, offsets = pa.array(rows[distinct.indices.to_numpy()]), lists.offsets
+        join = lambda values, by: pc.binary_join(pa.ListArray.from_arrays(offsets, values.take(at)), by).to_pylist()
         ids_of, texts_of = join(ids, ","), [t[1:] for t in join(spelled, "")]
-        upto = pc.cumulative_sum(pc.cast(pa.array(counts, pa.int64()).take(at), pa.int64())).to_numpy(zero_copy_only=False)
-        ends = offsets.to_numpy(zero_copy_only=False)
-        total = lambda i: int(upto[i - 1]) if i else 0
-        n_of = [total(b) - total(a) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        n_of = sums(counts.take(at).to_numpy(), offsets.to_numpy()).tolist()
         for i in pc.indices_nonzero(odd).to_pylist():
-            parts = [self.chunk(c) for c in self.codec.chunks(texts[i].as_py())]
-            n_of[i] = sum(p[0] for p in parts)
-            ids_of[i] = ",".join(p[1] for p in parts)
-            whole = "".join(p[2] for p in parts)
+            own = self.columns(self.codec.chunks(texts[i].as_py()))
+            n_of[i], ids_of[i] = sum(own[0].to_pylist()), ",".join(own[1].to_pylist())
+            whole = "".join(own[2].to_pylist())
             texts_of[i] = whole[1:] if whole.startswith(" ") else whole
         return n_of, ids_of, texts_of
 
@@ -279,19 +289,6 @@ def batch_codec(model: bytes) -> BatchCodec:
     return BatchCodec(model)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces with about so many bytes of text each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-    begin = held = 0
-    for i, n in enumerate(sizes):
-        if held and held + n > most:
-            yield batch.slice(begin, i - begin)
-            begin, held = i, 0
-        held += n
-    if begin < len(sizes):
-        yield batch.slice(begin)
-
-
 def encode_documents(documents: DataFrame, model_path: str, *, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document; with_text adds ids and decoded."""
     with open(model_path, "rb") as f:
@@ -301,7 +298,7 @@ def encode_documents(documents: DataFrame, model_path: str, *, with_text: bool =
         codec = batch_codec(model.value)
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 counts, ids, decoded = codec.run(batch.column("text"))
                 out = {c: batch.column(c) for c in ("doc_id", *keep)}
                 out |= {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(map(digest, ids), pa.string()), "decoded_sha256": pa.array(map(digest, decoded), pa.string())}
@@ -318,4 +315,5 @@ def encode_documents(documents: DataFrame, model_path: str, *, with_text: bool =
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark, 4000, SLICE_BYTES)
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))

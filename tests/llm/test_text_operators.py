@@ -469,13 +469,19 @@ def test_token_encoder_on_random_texts():
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     r = random.Random(3)
     signs = "the of a '  \n\t<>()[]=0123 éñß漢字😀\x00\x01　\xa0 it's they'll in ing er tion \r\n  aaaa zzzz\x85 \x1f\x1c"
     texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(1500)]
-    ids, begin = op10_tokens.Encoder(path).run(pa.array(texts))
-    for i, text in enumerate(texts):
-        assert ids[begin[i] : begin[i + 1]].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+    texts += ["x" * 50_000, " " * 5000, " \u3000" * 3000, "a." * 20_000, "1" * 999 + " " + "2" * 3000, ("x" + " " * 390) * 20]
+    coder = op10_tokens.Encoder(path)
+    slow = op10_tokens.Encoder(path)
+    slow.quick = None
+    for part in (texts[:700], texts[300:], [None, "", "one"], []):
+        ids, begin = coder.run(pa.array(part, pa.string()))
+        assert len(begin) == len(part) + 1
+        for i, text in enumerate(part):
+            assert ids[begin[i] : begin[i + 1]].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        assert slow.run(pa.array(part, pa.string()))[0].tolist() == ids.tolist()
 
 
 def test_token_encoder_matches_added_tokens():
