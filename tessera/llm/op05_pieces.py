@@ -36,6 +36,8 @@ from .arrays import Lexicon, slices, sums
 from .common import small_batches
 
 MARK = "▁"
+#: Bytes of chunks that a worker remembers.
+MEMORY = 64 << 20
 #: Pairs of pieces whose compatibility a worker remembers.
 PAIRS = 300_000
 #: Bytes of text worked on at once within a batch.
@@ -254,7 +256,7 @@ class BatchCodec:
 
     def __init__(self, model: bytes):
         self.codec = PieceCodec(model)
-        self.lexicon = Lexicon(lambda words: self.columns([MARK + w for w in words]))
+        self.lexicon = Lexicon(lambda words: self.columns([MARK + w for w in words]), MEMORY)
 
     def columns(self, chunks: list[str]) -> list[pa.Array]:
         """How many ids, the ids as text, and what they decode to."""

@@ -1,14 +1,19 @@
 """Quality rules: fixed counts per text, then a logistic regression on hashed n-grams.
 
-The model sees word unigrams, word bigrams and byte 4-grams, hashed into one table; a text's
-features are the shares of its n-grams that fall into each slot. It is fitted in one task on a bounded
-sample of the labelled rows (the MAX_LABELLED with the smallest MD5 of their id), with one part held
-out to map its scores to probabilities (Platt's sigmoid). Scoring runs in Arrow batches over every
-whole text; a text is kept at a probability of at least KEEP_AT.
+The model sees word unigrams, word bigrams and character 4-grams (of code points), hashed into one
+table; a text's features are the shares of its n-grams that fall into each slot. It is fitted on a
+bounded sample of the labelled documents (of those with a text, the MAX_LABELLED with the smallest
+MD5 of their id): tasks turn the texts into features, of which one row has SLOTS at most, and one
+task fits the weights. One part is held out to map scores to probabilities (Platt's sigmoid).
+Scoring runs in Arrow batches over every whole text; a text is kept at a probability of at least
+KEEP_AT.
 
 Defined results: null and empty texts have no words and fail the base rule; without labelled rows
-of both kinds the model keeps whatever passes the base rule; repeated rows give repeated rows; an
-empty table gives an empty result; other columns are passed on only where asked for.
+of both kinds the model keeps whatever passes the base rule; of several labels of one document the
+lowest counts, and of several texts the first in order; a probability of exactly KEEP_AT keeps;
+repeated rows give repeated rows; an empty table gives an empty result; other columns are passed on
+only where asked for. A text of any length is counted as a whole in one task, at some 60 bytes of
+memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import SPACE, flat, grams, mix, repeated, slices, spans_hash, sums, words
-from .common import small_batches
+from .arrays import SPACE, flat, grams, mix, repeated, slices, span_sums, spans_hash, sums, words
+from .common import small_batches, stash
 
 SLOTS = 1 << 16
 #: Labelled rows used for fitting at most.
 MAX_LABELLED = 2000
 KEEP_AT = 0.5
+#: Code points of a character n-gram.
+CHARS = 4
 _SCALE = 30.0
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -39,6 +46,8 @@ class Model:
     bias: float
     slope: float
     shift: float
+    #: Share of the held-out labelled rows that fall on their label's side of one half.
+    held_right: float | None = None
 
     def probability(self, score: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.shift, -50, 50)))
@@ -50,7 +59,8 @@ class Texts:
     def __init__(self, texts: pa.Array):
         self.data, self.offsets = flat(texts)
         self.starts, self.ends, self.first = words(self.data, self.offsets)
-        self.hashes = spans_hash(self.data, self.starts, self.ends)
+        self.sums = span_sums(self.data)
+        self.hashes = spans_hash(self.data, self.starts, self.ends, self.sums)
         self.n_words = np.diff(self.first)
 
     def families(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -58,11 +68,12 @@ class Texts:
         shift, out = np.uint64(64 - 16), [(mix(self.hashes ^ np.uint64(1)) >> np.uint64(48), self.first)]
         pairs, at = grams(self.hashes, self.first, 2)
         out.append((mix(pairs ^ np.uint64(2)) >> shift, np.searchsorted(at, self.first)))
-        data, last = self.data.astype(np.uint64), max(0, len(self.data) - 3)
-        joined = data[:last] | data[1 : last + 1] << np.uint64(8) | data[2 : last + 2] << np.uint64(16) | data[3 : last + 3] << np.uint64(24)
-        slots = joined * np.uint64(0x9E3779B97F4A7C15) >> shift
-        inside = np.repeat(self.offsets[1:], np.diff(self.offsets))[:last] >= np.arange(last) + 4
-        out.append((slots[inside], np.concatenate([[0], np.cumsum(inside)])[np.minimum(self.offsets, last)]))
+        # Character n-grams: spans from each code point's first byte to that of the fourth one behind it.
+        chars = np.flatnonzero((self.data & 0xC0) != 0x80)
+        first = np.searchsorted(chars, self.offsets)
+        at = np.flatnonzero(np.arange(len(chars)) + CHARS <= np.repeat(first[1:], np.diff(first)))
+        spans = spans_hash(self.data, chars[at], np.append(chars, len(self.data))[at + CHARS], self.sums)
+        out.append((mix(spans ^ np.uint64(3)) >> shift, np.searchsorted(at, first)))
         return [(slots.astype(np.int64), borders) for slots, borders in out]
 
     def score(self, model: Model) -> np.ndarray:
@@ -93,7 +104,7 @@ class Texts:
         filled = np.concatenate([[0], np.cumsum(in_word)])
         full = filled[end] > filled[begin]
         begin, end, of_line = begin[full], end[full], of_line[full]
-        _, later = repeated(of_line, spans_hash(data, begin, end))
+        _, later = repeated(of_line, spans_hash(data, begin, end, self.sums))
         return {
             "n_words": self.n_words,
             "word_chars": chars,
@@ -103,22 +114,32 @@ class Texts:
         }
 
 
-def fit(texts: list[str], good: np.ndarray, *, rounds: int = 80, penalty: float = 1e-4) -> Model:
+def features(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Slots and values of each text, SLOTS at most."""
+    found = []
+    for slots, borders in Texts(texts).families():
+        n = np.diff(borders)
+        key = np.sort(np.repeat(np.arange(len(n)), n) * SLOTS + slots)
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        key, count = key[edge[:-1]], np.diff(edge)
+        found.append((key, _SCALE * count / n[key // SLOTS]))
+    key, value = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    total, key = np.add.reduceat(value, edge) if len(key) else value, key[edge]
+    cuts = np.searchsorted(key // SLOTS, np.arange(1, len(texts)))
+    return np.split((key % SLOTS).astype(np.int32), cuts), np.split(total.astype(np.float32), cuts)
+
+
+def fit(slots: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, *, rounds: int = 80, penalty: float = 1e-4) -> Model:
     """Logistic regression by Adam on the bounded labelled sample, then Platt's sigmoid on every fourth row."""
     plain = Model(np.zeros(SLOTS), 0.0, 0.0, 50.0)
     held = np.arange(len(good)) % 4 == 3
     if len(set(good[held])) < 2 or len(set(good[~held])) < 2:
         return plain
-    rows, cols, vals = [], [], []
-    for begin in range(0, len(texts), 100):
-        for slots, borders in Texts(pa.array(texts[begin : begin + 100], pa.string())).families():
-            n = np.diff(borders)
-            key, count = np.unique(np.repeat(np.arange(len(n)), n) * SLOTS + slots, return_counts=True)
-            rows.append((key // SLOTS + begin).astype(np.int32))
-            cols.append((key % SLOTS).astype(np.int32))
-            vals.append((_SCALE * count / n[key // SLOTS]).astype(np.float32))
-    row, col, val = map(np.concatenate, (rows, cols, vals))
-    del rows, cols, vals
+    row = np.repeat(np.arange(len(good), dtype=np.int32), [len(s) for s in slots])
+    col, val = np.concatenate(slots), np.concatenate(values)
 
     weights, bias = np.zeros(SLOTS), 0.0
     weight = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum())) * ~held
@@ -144,24 +165,44 @@ def fit(texts: list[str], good: np.ndarray, *, rounds: int = 80, penalty: float
         g, h = (d * x).sum(), d.sum()
         det = a * c - b * b
         slope, shift = slope - 0.5 * (c * g - b * h) / det, shift - 0.5 * (a * h - b * g) / det
-    return Model(weights, float(bias), float(slope), float(shift))
+    right = float(((slope * x + shift >= 0) == y).mean())
+    return Model(weights, float(bias), float(slope), float(shift), right)
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """The model from the labelled rows: labels has doc_id and quality (1 good, 0 not)."""
+    usable = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     chosen = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(MAX_LABELLED)
+    chosen = chosen.join(usable.select("doc_id").distinct(), "doc_id")
     # The sample has MAX_LABELLED rows of two numbers at most, whatever the tables hold.
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    chosen = stash(chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(MAX_LABELLED))
+    rows = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
+    def describe(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                slots, values = features(batch.column("text"))
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id"), "quality": batch.column("quality"),
+                    "slots": pa.array(slots, pa.list_(pa.int32())), "values": pa.array(values, pa.list_(pa.float32())),
+                })
+
     def learn(batches):
-        found = sorted(((r["doc_id"], r["text"], r["quality"]) for batch in batches for r in batch.to_pylist()), key=lambda r: r[0])
-        model = fit([r[1] for r in found], np.array([r[2] == 1 for r in found], bool))
+        ids, slots, values, good = [], [], [], []
+        for batch in batches:
+            ids += batch.column("doc_id").to_pylist()
+            good += batch.column("quality").to_pylist()
+            for into, name in ((slots, "slots"), (values, "values")):
+                into += [x.values.to_numpy() for x in batch.column(name)]
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        model = fit([slots[i] for i in order], [values[i] for i in order], np.array([good[i] == 1 for i in order], bool))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    # One task sees the bounded sample, the driver only the weights.
-    learned = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    kinds = {c: labels.schema["quality"].dataType.simpleString() if c == "quality" else documents.schema["doc_id"].dataType.simpleString() for c in ("doc_id", "quality")}
+    described = rows.mapInArrow(describe, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, slots array<int>, values array<float>")
+    # One task sees the features of the bounded sample, the driver only the weights.
+    learned = described.repartition(1).mapInArrow(learn, "model binary").collect()
     return pickle.loads(learned[0]["model"]) if learned else Model(np.zeros(SLOTS), 0.0, 0.0, 50.0)
 
 

@@ -254,6 +254,28 @@ def test_quality_learns(spark, documents):
     assert all(x.probability > 0.5 for x in op06_quality.judge(docs.drop("quality"), none).collect())
 
 
+def test_quality_features_are_shares_of_ngrams():
+    texts = ["ab é汉😀x", "", None, "one two one two", "é" * 9]
+    slots, values = op06_quality.features(pa.array(texts, pa.string()))
+    for text, s, v in zip(texts, slots, values):
+        n = [len(WORD.findall(text or "")), max(0, len(WORD.findall(text or "")) - 1), max(0, len(text or "") - 3)]
+        assert len(set(s.tolist())) == len(s) and abs(v.sum() - 30 * sum(x > 0 for x in n)) < 1e-3
+    # One character repeated is one word and one kind of 4-gram, whatever its bytes.
+    assert len(slots[4]) == 2
+    model = op06_quality.Model(np.random.default_rng(0).normal(size=op06_quality.SLOTS), 0.3, 1.0, 0.0)
+    score = op06_quality.Texts(pa.array(texts, pa.string())).score(model)
+    for x, s, v in zip(score, slots, values):
+        assert abs(x - 0.3 - (model.weights[s] * v).sum()) < 1e-3
+
+
+def test_quality_follows_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    model = op06_quality.train(docs, labels.where("doc_id % 3 > 0"))
+    found = op06_quality.judge(docs, model).join(labels.where("doc_id % 3 = 0 and quality is not null"), "doc_id").select("quality", "probability", "base_failed").collect()
+    right = sum((r.probability >= 0.5 and not r.base_failed) == (r.quality == 1) for r in found)
+    assert model.held_right > 0.9 and len(found) > 20 and right / len(found) > 0.9
+
+
 def test_secrets_are_found_and_numbers_are_not(spark, documents, empty):
     r = random.Random(9)
     rows, planted = [], set()
