@@ -1,19 +1,22 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every document gets a place in its source's shuffled order and with it a virtual finish time:
-the source's words up to and including the document, divided by the source's target. Ordered by
-that time over all sources, the documents are taken until the total budget is used. A source
-whose target exceeds its size goes round again, at most `epochs` times; the copies of a document
-are ordinary entries of the queue.
+the source's words up to and including the document, divided by the source's target. A source whose
+target exceeds its size goes round again, at most `epochs` times; the copies of a document are
+ordinary entries of the queue. All entries are range-partitioned by virtual time and sorted; each
+gets the words in front of it from the sums of the ranges before and the running sum in its own
+range, and the queue is cut off where the total budget is used.
 
 Nothing is ordered in one task. Places within a source are running sums inside hash buckets plus
 the sums of the buckets before, so a source that holds a third of all rows is still spread over
-all buckets. The cut is found from two rounds of histograms over virtual time, and an exact order
-is needed only inside one of the finest bins.
+all buckets, and ranges of virtual time mix all sources.
 
 Defined results: null texts and texts without words have size 0 and take nothing; a null source
-is a source of its own, last in the order; repeated rows are separate entries; an empty table
-gives an empty result; extra columns are ignored.
+is a source of its own, last in the order; equal virtual times go by shuffle key, doc_id, epoch and
+place; repeated rows are separate entries; rows without a doc_id are entries like others, first
+among equal times; an empty table gives an empty result; extra columns are ignored. Of a text of
+any length only the number of its words is kept; one that does not fit into what is left of the
+budget is not taken, nor is what stands behind it.
 """
 
 from __future__ import annotations
@@ -21,12 +24,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stash
+from .common import discard, n_words, scan_splits, stash
 
 #: Hex digits of the shuffle key that name a bucket within a source.
 BUCKET_DIGITS = 3
-#: Bins of virtual time in each of the two rounds that find the cut.
-BINS = 4096
 
 
 def source_targets(sized: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
@@ -68,39 +69,23 @@ def _shuffled_positions(sized: DataFrame) -> DataFrame:
     return joined.withColumn("_before", F.col("_offset") + F.col("_here")).drop("_bucket", "_b", "_s", "_offset", "_here")
 
 
-def _cut(copies: DataFrame, budget: int):
-    """The last copy within the budget as (time, key, doc_id, epoch); None if none is.
-
-    copies: _v, _key, doc_id, _epoch, size. Each round looks at the sums of BINS bins only.
-    """
-    low, width, used, within = 0.0, 4.0, 0, F.lit(True)
-    last = None
-    for _ in range(2):
-        step = width / BINS
-        number = F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.lit(low)) / F.lit(step))).cast("int")
-        sums = copies.where(within).groupBy(number.alias("bin")).agg(F.sum("size").alias("words"))
-        sums = sums.withColumn("upto", F.sum("words").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-        over = sums.where(F.col("upto") > F.lit(budget - used)).orderBy("bin").limit(1).collect()
-        if not over:
-            return (float("inf"), "", 0, 0)
-        hit = over[0]
-        within = within & (number == F.lit(hit["bin"]))
-        used += hit["upto"] - hit["words"]
-        low, width = low + hit["bin"] * step, step
-    order = Window.orderBy("_v", "_key", "doc_id", "_epoch").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = copies.where(within).withColumn("_upto", F.sum("size").over(order))
-    inside = ranked.where(F.col("_upto") <= F.lit(budget - used))
-    last = inside.orderBy(F.desc("_v"), F.desc("_key"), F.desc("doc_id"), F.desc("_epoch")).limit(1).collect()
-    if last:
-        return (last[0]["_v"], last[0]["_key"], last[0]["doc_id"], last[0]["_epoch"])
-    first = ranked.orderBy("_v", "_key", "doc_id", "_epoch").limit(1).collect()[0]
-    return (first["_v"], first["_key"], first["doc_id"], first["_epoch"] - 0.5)
+def truncated(queue: DataFrame, order: list[str], budget: int, parts: int) -> DataFrame:
+    """The rows of queue whose sizes, summed up in the given order over all rows, stay within the budget."""
+    ranges = stash(queue.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranges.groupBy("_range").agg(F.sum("size").alias("_sum"))
+    # One row per range.
+    front = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select("_range", F.coalesce(F.sum("_sum").over(front), F.lit(0)).alias("_ahead")).where(F.col("_ahead") < budget)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranges.join(F.broadcast(ahead), "_range").withColumn("_upto", F.col("_ahead") + F.sum("size").over(inside))
+    return summed.where(F.col("_upto") <= budget).drop("_range", "_ahead", "_upto")
 
 
 def mix(documents: DataFrame, *, weights=(1, 2, 3), epochs: int = 3, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies."""
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    sized = stash(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("_key", key))
+    # Rows without an id are shuffled by their text.
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5("text")))))
+    sized = stash(documents.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key")))
     targets = source_targets(sized, weights, epochs)
     joined = _shuffled_positions(sized).withColumnRenamed("source", "_src")
     joined = joined.join(targets, F.col("_src").eqNullSafe(F.col("source"))).drop("_src")
@@ -112,12 +97,16 @@ def mix(documents: DataFrame, *, weights=(1, 2, 3), epochs: int = 3, seed: int =
 
     budget = placed.agg(F.sum("size")).collect()[0][0] or 0
     entries = F.filter(F.array(*[F.when(queued(e), F.struct(F.lit(e).alias("_epoch"), finish(e).alias("_v"))) for e in range(epochs)]), lambda x: x.isNotNull())
-    copies = placed.select("doc_id", "_key", "size", F.explode(entries).alias("_c")).select("doc_id", "_key", "size", "_c._epoch", "_c._v")
-    v, k, d, last = _cut(copies, budget)
-    here = F.struct(F.lit(float(v)).alias("v"), F.lit(k).alias("k"), F.lit(d).cast(placed.schema["doc_id"].dataType).alias("d"), F.lit(float(last)).alias("e"))
-    mine = lambda e: F.struct(finish(e).alias("v"), F.col("_key").alias("k"), F.col("doc_id").alias("d"), F.lit(float(e)).alias("e"))
-    count = sum((F.when(queued(e) & (mine(e) <= here), 1).otherwise(0) for e in range(epochs)), F.lit(0))
-    return placed.withColumn("copies", count.cast("long")).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    queue = placed.select("source", "doc_id", "_key", "_before", "size", F.explode(entries).alias("_c")).select("source", "doc_id", "_key", "_before", "size", "_c._epoch", "_c._v")
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), scan_splits(documents))
+    taken = truncated(queue, ["_v", "_key", "doc_id", "_epoch", "_before"], budget, parts)
+    # A row of size 1 or more is known by its source and the words in front of it there.
+    counts = taken.groupBy("source", "_before").agg(F.count("*").alias("copies")).withColumnRenamed("source", "_s").withColumnRenamed("_before", "_b")
+    joined = placed.join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_before") == F.col("_b")) & (F.col("size") > 0), "left")
+    count = F.coalesce("copies", F.lit(0)).cast("long")
+    result = joined.select("doc_id", "source", "size", "source_size", "target", (count * F.col("size")).alias("taken"), count.alias("copies"))
+    discard(sized)
+    return result
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,11 @@ have (so HOT_SHARE of them at most) are told to all tasks beforehand; their copi
 their payload and stay spread over all tasks.
 
 Defined results: null html is an empty payload; payloads under MIN_SHARED bytes are never
-revisited; repeated rows of the page that others revisit are responses too; an empty table gives
-an empty result; other columns are ignored. A record with missing or extra segments, a wrong total
-length or broken framing raises an error.
+revisited; rows without a page_id are responses, which none revisits; of equal payloads the smallest
+page_id is the response, and repeated rows of that page are responses too; equal rows are told apart
+by their turn; an empty table gives an empty result; other columns are ignored. A record with missing
+or extra segments, a wrong total length or broken framing raises an error. A payload of any length is
+written in segments; it is whole in the memory of one task when it is written and when it is joined.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import put_file, shared_dir, small_batches, stash
+from .common import HOT_SHARE, put_file, shared_dir, small_batches, stash
 
 MIN_SHARED = 100
-HOT_SHARE = 1000
 SEGMENT_BYTES = 16_384
 FILE_BYTES = 8_000_000
 _CHUNK = 4096
@@ -65,9 +66,11 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records(page_id: int, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, turn: int) -> list[bytes]:
+def records(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, turn: int) -> list[bytes]:
     """The records of one page: one, or as many as it has segments."""
-    name = lambda page, n: f"<urn:page:{page}:{digest[:16]}:{n}>"
+    # Pages without an id are told apart by their address.
+    home = lambda page: f"{page}:{digest[:16]}" if page is not None else f":{digest[:16]}-{zlib.crc32((url or '').encode('utf-8', 'surrogatepass')):08x}"
+    name = lambda page, n: f"<urn:page:{home(page)}:{n}>"
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     common = [("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Target-URI", uri)] if uri else [("WARC-Date", "2000-01-01T00:00:00Z")]
     common += [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
@@ -96,8 +99,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
     hot = shared.where(F.col("n") > F.lit(total / HOT_SHARE)).select(F.col("digest").alias("_d"), F.col("first").alias("_hot"))
     rows = source.join(F.broadcast(hot), F.col("digest") == F.col("_d"), "left").drop("_d")
     settled = (F.col("size") < MIN_SHARED) | F.col("_hot").isNotNull()
-    rows = rows.withColumn("html", F.when(F.col("_hot").isNull() | (F.col("_hot") == F.col("page_id")), F.col("html")))
-    rows = rows.withColumn("_place", F.when(settled, F.concat_ws("#", "digest", F.col("page_id").cast("string"))).otherwise(F.col("digest")))
+    rows = rows.withColumn("html", F.when(F.col("_hot").isNull() | F.col("page_id").isNull() | (F.col("_hot") == F.col("page_id")), F.col("html")))
+    mine = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("url", F.lit("")))))
+    rows = rows.withColumn("_place", F.when(settled | F.col("page_id").isNull(), F.concat_ws("#", "digest", mine)).otherwise(F.col("digest")))
     first = shared.where(F.col("n") <= F.lit(total / HOT_SHARE)).select(F.col("digest").alias("_place"), "first")
     joined = rows.join(first, "_place", "left").withColumn("first", F.coalesce("_hot", "first"))
     return joined.select("page_id", "url", "html", "digest", "size", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"), "_place")
@@ -106,8 +110,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages as .warc.gz files into the folder; file, n_records of each."""
     planned = plan_records(pages)
-    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = planned.repartition(parts, "_place").sortWithinPartitions("page_id", "digest").drop("_place")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = planned.repartition(parts, "_place").sortWithinPartitions("page_id", "digest", "url").drop("_place")
 
     def run(batches):
         from pyspark import TaskContext
@@ -117,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         turn = 0
         for batch in batches:
             for row in batch.to_pylist():
-                key = (row["page_id"], row["digest"])
+                key = (row["page_id"], row["digest"], None if row["page_id"] is not None else row["url"])
                 turn = turn + 1 if key == seen else 0
                 seen = key
                 payload = (row["html"] or "").encode("utf-8")
@@ -138,12 +142,22 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return stash(ordered.mapInArrow(run, "file string, n_records long"))
 
 
+def members(data: bytes, step: int = 16_384):
+    """The unzipped members of a .warc.gz file, in one walk over its bytes."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unzip, parts = zlib.decompressobj(31), []
+        while not unzip.eof:
+            if at >= len(view):
+                raise ValueError("a .warc.gz file ends within a record")
+            parts.append(unzip.decompress(view[at : at + step]))
+            at = min(len(view), at + step) - len(unzip.unused_data)
+        yield b"".join(parts)
+
+
 def parse(data: bytes):
     """(fields, block) of each record of a .warc.gz file, member by member."""
-    while data:
-        unzip = zlib.decompressobj(31)
-        raw = unzip.decompress(data) + unzip.flush()
-        data = unzip.unused_data
+    for raw in members(data):
         at = 0
         while at < len(raw):
             end = raw.index(b"\r\n\r\n", at)
@@ -163,7 +177,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the folder's archives: page_id, kind, origin, number (null: not segmented), total, digest, refers_to, block."""
 
     def run(batches):
-        page = lambda name: int(name.split(":")[2])
+        page = lambda name: int(number) if (number := name.split(":")[2]) else None
         schema = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary())])
         for batch in batches:
             for content in batch.column("content"):

@@ -543,3 +543,18 @@ def test_private_contexts_are_whole_words():
     assert a[2] != b[2] and len(a[2][0]) == 40
     assert op09_private.candidates("one two  12") == [(9, 11, tuple({"two", "one two"}), "d")]
     assert [op09_private.candidates(t)[0][:2] for t in ("user: jane", "user=jane")] == [(6, 10), (5, 9)]
+
+
+def test_pages_without_an_id(spark):
+    rows = [(None, "a", "q" * 70_000), (None, "a", "q" * 70_000), (None, "b", "q" * 70_000), (None, None, None), (7, "c", "q" * 70_000), (9, "c", "q" * 70_000)]
+    folder = shared_dir(spark)
+    op02_warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    found = op02_warc.payloads(op02_warc.reassemble(op02_warc.read_records(spark, folder))).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in found) == [(0, "response", None, 0)] + [(0, "response", None, 70_000)] * 3 + [(7, "response", None, 70_000), (9, "revisit", 7, 70_000)]
+
+
+def test_archives_are_read_in_one_walk():
+    parts = [gzip.compress(bytes([i % 251]) * (i * 37 % 60_000)) for i in range(300)]
+    assert list(op02_warc.members(b"".join(parts))) == [gzip.decompress(p) for p in parts]
+    with pytest.raises(ValueError, match="ends within"):
+        list(op02_warc.members(b"".join(parts)[:-9]))
