@@ -10,12 +10,16 @@ in every window, and a window begins with the HISTORY turns before it; such repe
 context, and only assistant texts that are new in a window are under its loss mask.
 
 Nothing gathers a conversation: places and sums come from buckets of turns plus the sums of the
-buckets before, context comes from equi-joins on places, and reading back streams over the windows
-in order with running digests.
-
-Defined results: null texts and roles are empty; equal turn numbers are ordered by role and text;
-repeated rows are turns of their own; a null conv_id is a conversation; an empty table gives an
-empty result; other columns are ignored.
+buckets before, context comes from equi-joins on places. Windows are read back where they lie; only
+what the digests of a conversation run over is brought together, and streams through one task in
+order, since a digest is sequential.
+
+Defined results: null texts and roles are empty; equal turn numbers are ordered by role and text,
+turns without a number come first, in that order too (they are one bucket of their conversation, put
+in order by a sort that spills); repeated rows are turns of their own; a null conv_id is a
+conversation; an empty table gives an empty result; other columns are ignored. A turn is never cut:
+a text of any length is one turn of one window, which a task holds a few times over, and a system
+turn is repeated in each window of its conversation, however long it is.
 """
 
 from __future__ import annotations
@@ -101,31 +105,46 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def unpacked(formatted: DataFrame) -> DataFrame:
+    """conv_id, window, n_turns, turns, loss_chars, loss, chars: what is new in each window, unescaped."""
+
+    def run(batches):
+        plain = lambda s: _SIGN.sub(r"\1", s)
+        for batch in batches:
+            rows = []
+            for text, context, loss in zip(*(batch.column(c).to_pylist() for c in ("text", "context_turns", "loss"))):
+                new = parse(text)[context:]
+                said = [plain(text[span["start"] : span["end"]]) for span in loss]
+                turns = "".join(f"{role}\n{words}\n" for role, words in new).encode("utf-8", "surrogatepass")
+                rows.append((len(new), turns, sum(map(len, said)), "".join(said).encode("utf-8", "surrogatepass"), len(text)))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+            parts = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("window"), *parts], ["conv_id", "window", "n_turns", "turns", "loss_chars", "loss", "chars"])
+
+    return formatted.mapInArrow(run, "conv_id long, window long, n_turns long, turns binary, loss_chars long, loss binary, chars long")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from formatted windows."""
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    ordered = unpacked(formatted).repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
-        plain = lambda s: _SIGN.sub(r"\1", s)
         rows: list[tuple] = []
         now, state = object(), None
         put = lambda: rows.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
         make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names)
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         for batch in batches:
-            for conv, text, context, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "context_turns", "loss"))):
+            for conv, n, turns, loss_chars, loss, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "n_turns", "turns", "loss_chars", "loss", "chars"))):
                 if state is None or conv != now:
                     if state is not None:
                         put()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in parse(text)[context:]:
-                    state[0] += 1
-                    state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                for span in loss:
-                    said = plain(text[span["start"] : span["end"]])
-                    state[2] += len(said)
-                    state[3].update(said.encode("utf-8", "surrogatepass"))
-                state[4] += len(text)
+                state[0] += n
+                state[1].update(turns)
+                state[2] += loss_chars
+                state[3].update(loss)
+                state[4] += chars
             if len(rows) > 10_000:
                 yield make()
                 rows.clear()

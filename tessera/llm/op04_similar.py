@@ -14,17 +14,25 @@ form one class. The join then goes through groups of similar classes:
 3. Matrix: for the groups left, the union of their members' tokens is stored as a row of BITS bits,
    one per hashed token. Tokens of a query whose bits the row lacks are in no member, so its overlap
    with the union is bounded; it opens a group only if the bound reaches what a link to any member
-   needs. The queries and rows that meet in a segment are asked in blocks of at most BLOCK by BLOCK,
-   dealt over all tasks; a family of texts just below the bound yields no rows there. In opened groups the members' own bits are asked in the same way, both ways round, and
-   what is left is compared token by token.
+   needs. The queries and rows that meet in a segment are asked in blocks of about BLOCK by BLOCK,
+   dealt over all tasks; a family of texts just below the bound yields no rows there. In opened
+   groups the members' own bits are asked in the same way, both ways round, in blocks too, and what
+   is left is compared token by token.
 
 Frequent passages make no long lists: a segment mixes tokens from the whole text, so equal segments
 mean equal texts there, not a shared passage. Components of all verified links are the result.
 
-Defined results: rows without a doc_id cannot be named in the result and are left out; null texts
-and texts without words have an empty set and link with nothing; with
-fewer words than a shingle the whole sequence is the one token; repeated rows and equal texts are
-one class; an empty table gives an empty result; other columns are ignored.
+Copies of a text never meet all at once: a task makes segments for the first of the copies it sees,
+and the table of classes is brought to the copies, not the copies to it.
+
+Defined results: rows without a doc_id cannot be the smallest of a component; they take part as
+others do, but one that links with no row that has a doc_id has a null component_id, and links that
+lead over such a row alone are not followed; null texts and texts without words have an empty set and
+link with nothing; with fewer words than a shingle the whole sequence is the one token; repeated
+rows and equal texts are one class; rows of one doc_id with different texts are one class with the
+tokens of the text whose digest is smallest; an empty table gives an empty result; other columns are
+ignored. A text of any length is one set in one task, at some 60 bytes of memory for each of its
+bytes.
 """
 
 from __future__ import annotations
@@ -34,11 +42,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, flat, grams, mix, slices, spans_hash, words
-from .common import small_batches, stash
+from .common import discard, hot_join, small_batches, stash
 from .components import components
 
 BANDS, ROWS = 8, 3
@@ -49,6 +58,10 @@ SIGNATURE_BITS = 48
 BITS = 2048
 #: Queries, and matrix rows, that one task looks at together.
 BLOCK = 512
+#: Classes of one band that are put in order together.
+BAND_ROWS = 100_000
+#: Ids of rows without a doc_id begin here; doc_ids lie below.
+NAMELESS = 1 << 62
 #: Neighbours within a band that a class is compared with while groups are shaped.
 NEIGHBOURS = 3
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -66,7 +79,8 @@ def token_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     out = []
     for i in range(len(first) - 1):
         if border[i + 1] > border[i]:
-            out.append(np.unique(shingles[border[i] : border[i + 1]]))
+            own = np.sort(shingles[border[i] : border[i + 1]])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif first[i + 1] > first[i]:
             joint = np.uint64(n)
             for h in hashes[first[i] : first[i + 1]]:
@@ -163,32 +177,55 @@ def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
     return out
 
 
+def prints(sets: list[np.ndarray]) -> list[bytes | None]:
+    """A digest of each whole set; none for empty sets."""
+    return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+
+
+def ids_of(batch: pa.RecordBatch, found: list[bytes | None]) -> np.ndarray:
+    """The doc_ids of a batch; rows without one are named by the digest of their set."""
+    column = batch.column("doc_id")
+    ids = pc.fill_null(column, 0).to_numpy().copy()
+    for i in pc.indices_nonzero(pc.is_null(column)).to_pylist():
+        ids[i] = NAMELESS + (int.from_bytes((found[i] or bytes(8))[:8], "big") >> 2)
+    return ids
+
+
 def describe(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, print (of the whole set), bands of every document."""
+    """doc_id, nameless, size, print (of the whole set), bands of every document."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = token_sets(batch.column("text"), n)
+                found = prints(sets)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id"), "size": pa.array([len(s) for s in sets], pa.int64()),
-                    "print": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    "bands": pa.array(band_keys(sets), pa.list_(pa.int64())),
+                    "doc_id": pa.array(ids_of(batch, found)), "nameless": pc.is_null(batch.column("doc_id")), "size": pa.array([len(s) for s in sets], pa.int64()),
+                    "print": pa.array(found, pa.binary()), "bands": pa.array(band_keys(sets), pa.list_(pa.int64())),
                 })
 
-    return documents.mapInArrow(run, "doc_id long, size long, print binary, bands array<long>")
+    return documents.mapInArrow(run, "doc_id long, nameless boolean, size long, print binary, bands array<long>")
 
 
 def segment_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, signature: one row per filled segment."""
+    """doc_id, signature: one row per filled segment; of the copies that a task sees, the first stands for all."""
 
     def run(batches):
+        seen: set[bytes] = set()
         for whole in batches:
-            for batch in slices(whole, "text", 1_500_000):
-                found = signatures(token_sets(batch.column("text"), n), percent)
-                counts = [len(f) for f in found]
-                ids = np.repeat(batch.column("doc_id").to_numpy(), counts)
-                keys = np.concatenate(found) if found else np.zeros(0, np.int64)
+            for batch in slices(whole, "text", 500_000):
+                sets = token_sets(batch.column("text"), n)
+                found = prints(sets)
+                ids, new = ids_of(batch, found), []
+                for i, own in enumerate(found):
+                    if own is not None and own not in seen:
+                        new.append(i)
+                        seen.add(own)
+                if len(seen) > 300_000:
+                    seen.clear()
+                keys = signatures([sets[i] for i in new], percent)
+                ids = np.repeat(ids[new], list(map(len, keys)))
+                keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 for i in range(0, len(keys), 100_000):
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[i : i + 100_000]), "signature": pa.array(keys[i : i + 100_000])})
 
@@ -203,51 +240,55 @@ def token_bits(tokens: np.ndarray) -> list[int]:
 
 
 def stored_sets(documents: DataFrame, n: int) -> DataFrame:
-    """class, tokens (sorted, as bytes), bits of the given documents."""
+    """class, print, tokens (sorted, as bytes), bits of the given documents."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = token_sets(batch.column("text"), n)
-                yield pa.RecordBatch.from_pydict({"class": batch.column("doc_id"), "tokens": pa.array([s.tobytes() for s in sets], pa.binary()), "bits": pa.array(map(token_bits, sets), pa.list_(pa.int64()))})
-
-    return documents.mapInArrow(run, "class long, tokens binary, bits array<long>")
-
+                found = prints(sets)
+                yield pa.RecordBatch.from_pydict({
+                    "class": pa.array(ids_of(batch, found)), "print": pa.array(found, pa.binary()),
+                    "tokens": pa.array([s.tobytes() for s in sets], pa.binary()), "bits": pa.array(map(token_bits, sets), pa.list_(pa.int64())),
+                })
 
-def lacking(mine: str, theirs: str):
-    """How many bits of one row the other lacks: at least so many tokens are not shared."""
-    return F.aggregate(F.zip_with(mine, theirs, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda a, x: a + x)
+    return documents.mapInArrow(run, "class long, print binary, tokens binary, bits array<long>")
 
 
-def asked_in_blocks(queries: DataFrame, rows: DataFrame, class_bits: DataFrame, group_bits: DataFrame, percent: int) -> DataFrame:
-    """class, size, other: the queries and groups that meet in a signature and pass the matrix bound.
+def asked_in_blocks(queries: DataFrame, rows: DataFrame, query_bits: DataFrame, row_bits: DataFrame, percent: int, *, members: bool) -> DataFrame:
+    """class, size, other: the queries and rows that meet in a key and pass the bound of their bits.
 
-    queries: (signature, class, group, size); rows: (signature, group, small, large). Their bits, by
-    class (class, bits) and by group (group, bits), come to them only where they are compared.
+    queries: (key, class, group, size); rows: (key, other, small, large), the least and most tokens of
+    what a row stands for: a group with its union, or a member with its own tokens. Bits come by class
+    (class, bits) and by row (other, bits), only where they are compared.
     """
-
-    def numbered(df: DataFrame, order: str) -> DataFrame:
-        w = Window.partitionBy("signature")
-        return df.withColumns({"_b": F.floor((F.row_number().over(w.orderBy(order)) - 1) / BLOCK).cast("int"), "_n": F.floor((F.count("*").over(w) - 1) / BLOCK).cast("int")})
-
-    q, r = numbered(queries, "class"), numbered(rows, "group")
-    blocks = lambda df, name: df.groupBy("signature").agg(F.max("_n").alias(name))
-    q = q.join(blocks(r, "_o"), "signature").withColumn("_p", F.explode(F.sequence(F.lit(0), "_o")))
-    r = r.join(blocks(q, "_o"), "signature").withColumn("_p", F.explode(F.sequence(F.lit(0), "_o")))
-    columns = ("signature", "qb", "rb", "kind", "class", "group", "size", "large", "bits")
-    one = q.select("signature", F.col("_b").alias("qb"), F.col("_p").alias("rb"), F.lit(0).alias("kind"), "class", "group", "size", F.lit(0).cast("long").alias("large")).join(class_bits, "class").select(*columns)
-    two = r.select("signature", F.col("_p").alias("qb"), F.col("_b").alias("rb"), F.lit(1).alias("kind"), F.col("group").alias("class"), "group", F.col("small").alias("size"), "large").join(group_bits, "group").select(*columns)
-    dealt = one.union(two).repartition("signature", "qb", "rb").sortWithinPartitions("signature", "qb", "rb", "kind")
+    own, theirs = (df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)) for df, n in ((queries, "_nq"), (rows, "_nr")))
+    blocks = stash(own.join(theirs, "key"))
+    number = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = hot_join(queries, blocks, "key").select("key", number("class", "_nq").alias("qb"), every("_nr").alias("rb"), "class", "group", "size")
+    r = hot_join(rows, blocks, "key").select("key", every("_nq").alias("qb"), number("other", "_nr").alias("rb"), "other", "small", "large")
+    columns = ("key", "qb", "rb", "kind", "class", "group", "size", "large", "bits")
+    one = q.join(query_bits, "class").select("key", "qb", "rb", F.lit(0).alias("kind"), "class", "group", "size", F.lit(0).cast("long").alias("large"), "bits")
+    two = r.join(row_bits, "other").select("key", "qb", "rb", F.lit(1).alias("kind"), F.col("other").alias("class"), F.col("other").alias("group"), F.col("small").alias("size"), "large", "bits")
+    dealt = one.union(two).select(*columns).repartition("key", "qb", "rb").sortWithinPartitions("key", "qb", "rb", "kind")
 
     def ask(part):
         key, kind, cls, group, size, large, bits = part
         mine, theirs = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
         for begin in range(0, len(mine), 64):
             m = mine[begin : begin + 64]
-            fits = (group[m][:, None] > group[theirs][None, :]) & (100 * large[theirs][None, :] >= percent * size[m][:, None]) & (100 * size[m][:, None] >= percent * size[theirs][None, :])
+            fits = (100 * large[theirs][None, :] >= percent * size[m][:, None]) & (100 * size[m][:, None] >= percent * size[theirs][None, :])
+            if not members:
+                fits &= group[m][:, None] > group[theirs][None, :]
             a, b = np.nonzero(fits)
-            lost = np.bitwise_count(bits[m[a]] & ~bits[theirs[b]]).sum(1, dtype=np.int64)
-            good = 100 * (size[m[a]] - lost) >= percent * size[m[a]]
+            x, y = bits[m[a]], bits[theirs[b]]
+            shared = size[m[a]] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+            if members:
+                shared = np.minimum(shared, size[theirs[b]] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                good = (100 + percent) * shared >= percent * (size[m[a]] + size[theirs[b]])
+            else:
+                good = 100 * shared >= percent * size[m[a]]
             yield cls[m[a[good]]], size[m[a[good]]], group[theirs[b[good]]]
 
     def run(batches):
@@ -256,13 +297,13 @@ def asked_in_blocks(queries: DataFrame, rows: DataFrame, class_bits: DataFrame,
         def pieces():
             nonlocal held
             for batch in batches:
-                now = [np.stack([batch.column(c).to_numpy() for c in ("signature", "qb", "rb")], 1)]
+                now = [np.stack([batch.column(c).to_numpy() for c in ("key", "qb", "rb")], 1)]
                 now += [batch.column(c).to_numpy() for c in ("kind", "class", "group", "size", "large")]
                 now.append(batch.column("bits").flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64))
                 held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
                 border = np.flatnonzero((held[0][1:] != held[0][:-1]).any(1)) + 1
                 if len(border):
-                    # All but the last run are whole; a run has 2 * BLOCK rows at most.
+                    # All but the last run are whole; a run has about 2 * BLOCK rows at most.
                     for x, y in zip([0, *border[:-1]], border):
                         yield [v[x:y] for v in held]
                     held = [v[border[-1] :] for v in held]
@@ -301,53 +342,65 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def similar(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included)."""
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    ids = F.col("doc_id").cast("long")
+    ids = F.when(ids >= NAMELESS, F.raise_error(F.lit("doc_ids have to lie below 2^62"))).otherwise(ids)
+    source = documents.select(ids.alias("doc_id"), "text")
     described = stash(describe(source, n))
-    first = described.where(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
-    members = stash(described.join(first, "print", "left").select("doc_id", "size", F.coalesce("class", "doc_id").alias("class"), "copies"))
-    classes = members.where("doc_id = class and size > 0").select("class", "size").distinct()
-
-    # Step 1, pairs to compare: each class with the smallest one of each of its bands.
-    banded = described.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", "bands", F.explode("bands").alias("band"))
-    pivots = banded.groupBy("band").agg(F.min(F.struct("doc_id", "size", "bands")).alias("p"), F.count("*").alias("n")).where("n > 1")
-    near = banded.join(pivots, "band").select("doc_id", "size", "bands", "band", F.col("p.doc_id").alias("first"), F.col("p.size").alias("its"), F.col("p.bands").alias("theirs"))
-    in_band = Window.partitionBy("band").orderBy("bands", "doc_id")
-    own = F.struct(F.col("doc_id").alias("first"), F.col("size").alias("its"), F.col("bands").alias("theirs"))
-    others = near.withColumn("o", F.array(F.struct("first", "its", "theirs"), *[F.lead(own, k).over(in_band) for k in range(1, NEIGHBOURS + 1)]))
-    beside = others.select("doc_id", "size", "bands", F.explode("o").alias("o")).where("o is not null").select("doc_id", "size", "bands", "o.*")
+    first = described.where(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = stash(hot_join(described.drop("bands"), first, "print", "left").withColumn("class", F.coalesce("class", "doc_id")))
+    classes = stash(members.where("doc_id = class and size > 0").groupBy("class").agg(F.min(F.struct("print", "size")).alias("p")).select("class", "p.print", "p.size"))
+
+    # Step 1, pairs to compare: each class with the smallest one of each of its bands, and with its next ones there.
+    banded = described.drop("nameless").withColumnRenamed("doc_id", "class").join(classes.select("class", "print"), ["class", "print"], "left_semi").dropDuplicates(["class"])
+    banded = banded.select("class", "size", "bands", F.explode("bands").alias("band"))
+    pivots = banded.groupBy("band").agg(F.min(F.struct("class", "size", "bands")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    near = hot_join(banded, pivots, "band")
+    near = near.withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BAND_ROWS)))
+    in_band = Window.partitionBy("band", "part").orderBy("bands", "class")
+    own = F.struct(F.col("class").alias("first"), F.col("size").alias("its"), F.col("bands").alias("theirs"))
+    pivot = F.struct(F.col("p.class").alias("first"), F.col("p.size").alias("its"), F.col("p.bands").alias("theirs"))
+    others = near.withColumn("o", F.array(pivot, *[F.lead(own, k).over(in_band) for k in range(1, NEIGHBOURS + 1)]))
+    beside = others.select("class", "size", "bands", F.explode("o").alias("o")).where("o is not null").select("class", "size", "bands", "o.*")
     agree = F.aggregate(F.zip_with("bands", "theirs", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-    beside = beside.where((F.col("doc_id") != F.col("first")) & (100 * F.least("size", "its") >= percent * F.greatest("size", "its")) & (agree >= BANDS // 2))
-    shaping = stash(beside.select(F.least("doc_id", "first").alias("a"), F.greatest("doc_id", "first").alias("b")).distinct())
+    beside = beside.where((F.col("class") != F.col("first")) & (100 * F.least("size", "its") >= percent * F.greatest("size", "its")) & (agree >= BANDS // 2))
+    shaping = stash(beside.select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b")).distinct())
 
     # Step 2, common segments. Copies of a class have the same segments; they fall together here.
     rows = segment_rows(source, n, percent)
     shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("signature"))).where("n > 1")
-    held = stash(shared.join(members.select("doc_id", "class", "size"), "doc_id").groupBy("signature", "class").agg(F.min("size").alias("size")))
-    meeting = Window.partitionBy("signature")
-    held = held.withColumn("n", F.count("*").over(meeting)).where("n > 1").drop("n")
-    held = stash(held)
-    involved = held.select("class").union(shaping.select("a")).union(shaping.select("b")).distinct()
-    sets = stash(stored_sets(source.join(involved.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), n))
+    class_of = members.select("doc_id", "class").distinct().join(classes.select("class", "size"), "class")
+    held = stash(shared.join(class_of, "doc_id").groupBy("signature", "class").agg(F.min("size").alias("size")))
+    several = held.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
+    met_once = stash(hot_join(held, several, "signature"))
+    discard(described, held)
+    held = met_once
+    involved = stash(held.select("class").union(shaping.select("a")).union(shaping.select("b")).distinct().join(classes.select("class", "print"), "class"))
+    texts = source.join(involved.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").union(source.where(F.col("doc_id").isNull()))
+    sets = stash(stored_sets(texts, n).join(involved, ["class", "print"], "left_semi").dropDuplicates(["class"]).drop("print"))
 
     links = stash(verified(shaping, sets, percent))
-    groups = components(links).select(F.col("node").alias("class"), F.col("label").alias("group"))
-    of_group = held.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
-    of_group = of_group.withColumns({"low": F.min("group").over(meeting), "high": F.max("group").over(meeting)}).where("low < high").drop("low", "high")
-    of_group = stash(of_group)
+    groups = stash(components(links).select(F.col("node").alias("class"), F.col("label").alias("group")))
+    of_group = stash(held.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class")))
+    apart = of_group.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("signature")
+    met = stash(hot_join(of_group, apart, "signature").select(F.col("signature").alias("key"), "class", "group", "size"))
+    discard(held, of_group)
 
     # Step 3: a bound on the overlap with each group's token union, then with its members.
     all_groups = sets.select("class", "bits").join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
-    asked = all_groups.join(of_group.select("group").distinct(), "group", "left_semi")
-    matrix = asked.groupBy("group").agg(F.array(*[F.bit_or(F.col("bits")[i]) for i in range(BITS // 64)]).alias("bits"))
-    targets = of_group.groupBy("signature", "group").agg(F.min("size").alias("small"), F.max("size").alias("large"))
-    met = stash(asked_in_blocks(of_group.select("signature", "class", "group", "size"), targets, sets.select("class", "bits"), matrix, percent))
-    opened = met.join(sets.select("class", "bits"), "class")
-    inside = asked.join(members.where("doc_id = class").select("class", F.col("size").alias("its")).distinct(), "class").select(F.col("class").alias("b"), F.col("group").alias("other"), "its", F.col("bits").alias("own"))
-    shared_most = F.least(F.col("size") - lacking("bits", "own"), F.col("its") - lacking("own", "bits"))
-    compare = opened.join(inside, "other").where((100 + percent) * shared_most >= percent * (F.col("size") + F.col("its"))).select(F.col("class").alias("a"), "b")
-    found = verified(compare, sets, percent)
+    asked = all_groups.join(met.select("group").distinct(), "group", "left_semi")
+    matrix = stash(asked.groupBy(F.col("group").alias("other")).agg(F.array(*[F.bit_or(F.col("bits")[i]) for i in range(BITS // 64)]).alias("bits")))
+    targets = met.groupBy("key", F.col("group").alias("other")).agg(F.min("size").alias("small"), F.max("size").alias("large"))
+    opened = stash(asked_in_blocks(met, stash(targets), sets.select("class", "bits"), matrix, percent, members=False))
+    inside = asked.join(classes.select("class", "size"), "class").select(F.col("group").alias("key"), F.col("class").alias("other"), F.col("size").alias("small"), F.col("size").alias("large"))
+    inside = stash(inside.join(opened.select(F.col("other").alias("key")).distinct(), "key", "left_semi"))
+    queries = stash(opened.select(F.col("other").alias("key"), "class", F.col("other").alias("group"), "size"))
+    compare = asked_in_blocks(queries, inside, sets.select("class", "bits"), sets.select(F.col("class").alias("other"), "bits"), percent, members=True)
+    found = stash(verified(compare.select(F.col("class").alias("a"), F.col("other").alias("b")), sets, percent))
     labels = components(links.union(found)).withColumnRenamed("node", "class")
-    return members.join(labels, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("label", "class").alias("component_id"))
+    discard(shaping, involved, sets, groups, met, matrix, opened, inside, queries, links, found, classes)
+    result = hot_join(members, labels, "class", "left").withColumn("_c", F.coalesce("label", "class"))
+    named = lambda c, gone: F.when(~gone, F.col(c))
+    return result.select(named("doc_id", F.col("nameless")).alias("doc_id"), F.col("size").alias("n_shingles"), named("_c", F.col("_c") >= NAMELESS).alias("component_id"))
 
 
 def op4_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
