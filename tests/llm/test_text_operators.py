@@ -279,7 +279,7 @@ def test_quality_follows_held_out_labels(spark):
 def test_secrets_are_found_and_numbers_are_not(spark, documents, empty):
     r = random.Random(9)
     rows, planted = [], set()
-    for i in range(120):
+    for i in range(240):
         secret = "".join(r.choice("0123456789abcdef") for _ in range(24))
         kind = i % 4
         number = "".join(r.choice("0123456789") for _ in range(16))
@@ -290,10 +290,52 @@ def test_secrets_are_found_and_numbers_are_not(spark, documents, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
     found = op07_secrets.scan(docs).where("kept").select("doc_id", "begin", "end").collect()
     assert {tuple(x) for x in found} == planted
+    measured = op07_secrets.held_out(docs).first()
+    assert measured.precision == measured.recall == 1.0 and measured.findings > 20
     assert op07_secrets.scan(empty).count() == 0
     assert op07_secrets.scan(documents).select("doc_id").where("doc_id < 15").count() == 0
 
 
+def brute_candidates(text):
+    """Values assigned to a secret's name, and runs of key characters, found word by word."""
+    names = "|".join(op07_secrets.SECRET_NAMES)
+    assigned = re.compile(rf"(?i:{names})[\w.-]{{0,40}}[\"']?[ \t-\r]{{0,4}}(:=|=>|=|:)[ \t-\r]{{0,4}}[\"'`(\[{{<]*", re.A)
+    out, at = [], 0
+    while at < len(text):
+        m = assigned.match(text, at)
+        value = re.compile(r"[^ \t-\r\"'`,;)\]}<>]+").match(text, m.end()) if m else None
+        run = re.compile(r"[A-Za-z0-9+/_=.@-]+").match(text, at)
+        if value:
+            begin, end = value.span()
+        elif run and len(run[0]) >= 12 and re.search("[0-9]", run[0]) and (at == 0 or not re.match(r"[A-Za-z0-9+/_=.@-]", text[at - 1])):
+            own = re.match(r"[\w.-]*?=+(?=.)", run[0], re.A)
+            begin, end = at + (own.end() if own else 0), run.end()
+        else:
+            at += 1
+            continue
+        at = end
+        while end > begin and text[end - 1] in ".,;:!?":
+            end -= 1
+        if end > begin:
+            out.append((begin, text[begin:end]))
+    return out
+
+
+def test_secret_candidates_follow_brute_force(spark, documents):
+    fixed = ["password: hunter2", "pwd = s3cr3t!x", 'token = "abcdefghijklmnopqrstuvwxyz" next', "my_api-key=>(abc) and auth_x: 'y'", "key=abcdefgh12345== ok", "password=" + "z" * 50_000 + "1", "password: ", "secret:token=abc123def456ghi"]
+    r = random.Random(12)
+    parts = ["password", "token", "x", " = ", ": ", '"', "12345", "abcdef", "==", "/", " ", "  ", ".", ",", "auth", "é", "A1b2C3d4E5f6", "@"]
+    fixed += ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(fixed)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for x in op07_secrets.candidates(docs).orderBy("doc_id", "begin").collect():
+        got[x.doc_id].append((x.begin, x.value))
+    for i, text in enumerate(fixed):
+        assert got[i] == brute_candidates(text), text[:200]
+    near = {x.value: (x.previous, x.next) for x in op07_secrets.candidates(docs.where("doc_id = 2").union(spark.createDataFrame([(1, "the big (key) 0123456789abcd, was here")], "doc_id long, text string"))).collect()}
+    assert near == {"abcdefghijklmnopqrstuvwxyz": ("", "next"), "0123456789abcd": ("key", "was")}
+
+
 def lpc_frame(samples, order, weights, shift, k):
     """A frame with one LPC subframe, written bit by bit."""
     bits = []
