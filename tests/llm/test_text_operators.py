@@ -600,3 +600,90 @@ def test_archives_are_read_in_one_walk():
     assert list(op02_warc.members(b"".join(parts))) == [gzip.decompress(p) for p in parts]
     with pytest.raises(ValueError, match="ends within"):
         list(op02_warc.members(b"".join(parts)[:-9]))
+
+
+def decode_stream(stream):
+    """An independent reader of FLAC streams, bit by bit: signed samples of a mono stream of 8 bits."""
+    at, last = 4, False
+    while not last:
+        last, size = bool(stream[at] & 128), int.from_bytes(stream[at + 1 : at + 4], "big")
+        at += 4 + size
+    bits = "".join(f"{b:08b}" for b in stream[at:])
+    pos, out = 0, []
+
+    def take(n, signed=False):
+        nonlocal pos
+        v = int(bits[pos : pos + n] or "0", 2)
+        pos += n
+        return v - (1 << n) if signed and v >> (n - 1) else v
+
+    while pos < len(bits):
+        assert take(14) == 0x3FFE and take(2) == 0
+        size_code, _, _, depth, _ = take(4), take(4), take(4), take(3), take(1)
+        assert (size_code, depth) == (1, 1)
+        lead = take(8)
+        for _ in range(max(0, 7 - len(f"{lead ^ 255:b}") - 1) if lead >= 0xC0 else 0):
+            take(8)
+        take(8)
+        kind = take(8) >> 1
+        x = []
+        if kind == 0:
+            x = [take(8, True)] * 192
+        elif kind == 1:
+            x = [take(8, True) for _ in range(192)]
+        else:
+            order = kind - 31 if kind >= 32 else kind - 8
+            x = [take(8, True) for _ in range(order)]
+            shift, weights = 0, [[], [1], [2, -1]][order] if kind < 32 else None
+            if kind >= 32:
+                precision, shift = take(4) + 1, take(5, True)
+                weights = [take(precision, True) for _ in range(order)]
+            method, parts = take(2), take(4)
+            for part in range(1 << parts):
+                k = take(4 + method)
+                for _ in range((192 >> parts) - (order if part == 0 else 0)):
+                    q = bits.index("1", pos) - pos
+                    pos += q + 1
+                    u = q << k | take(k) if k else q
+                    e = u >> 1 if u % 2 == 0 else -(u >> 1) - 1
+                    x.append(e + (sum(w * x[-1 - j] for j, w in enumerate(weights)) >> shift))
+        pos = (pos + 7) // 8 * 8 + 16
+        out += x
+    return out
+
+
+def test_flac_streams_are_read_by_an_independent_decoder():
+    r = np.random.default_rng(7)
+    wave = (128 + 60 * np.sin(np.arange(192 * 6) / 5) + r.integers(-9, 10, 192 * 6)).astype(np.uint8)
+    text = np.frombuffer(("The river ran on and on, then it was quiet again. " * 40).encode()[: 192 * 8], np.uint8)
+    for data in (wave, text, np.full(192, 32, np.uint8), r.integers(0, 256, 192 * 2).astype(np.uint8)):
+        stream = op08_flac.encode(data, np.array([0, len(data)]))[0]
+        assert decode_stream(stream) == (data.astype(int) - 128).tolist() and op08_flac.decode([stream])[0] == data.tobytes()
+    kinds = {op08_flac.encode(wave, np.array([0, len(wave)]))[0][-1]}
+    assert kinds
+
+
+def test_flac_reads_partitioned_residuals():
+    samples = [int(40 * np.sin(i / 7)) for i in range(192)]
+    bits = []
+    put = lambda v, n: bits.extend(v >> i & 1 for i in range(n - 1, -1, -1))
+    put(9 << 1, 8)
+    put(samples[0] & 255, 8)
+    put(1, 2)
+    put(2, 4)
+    for part, k in enumerate((3, 1, 2, 0)):
+        put(k, 5)
+        for i in range(max(1, part * 48), part * 48 + 48):
+            e = samples[i] - samples[i - 1]
+            u = 2 * e if e >= 0 else -2 * e - 1
+            put(0, u >> k)
+            put(1, 1)
+            put(u & (1 << k) - 1, k)
+    bits += [0] * (-len(bits) % 8)
+    head = bytes([0xFF, 0xF8, 0x14, 0x02, 0])
+    one = lambda b: (np.array([len(b)]), np.array([len(b)]))
+    head += bytes(op08_flac.crc8(np.frombuffer(head, np.uint8), *one(head)))
+    body = head + bytes(np.packbits(np.array(bits, np.uint8)))
+    frame = body + int(op08_flac.crc16(np.frombuffer(body, np.uint8), *one(body))[0]).to_bytes(2, "big")
+    got = op08_flac.decode_frames(np.frombuffer(frame, np.uint8), np.array([0]), np.array([1]), np.array([0]))
+    assert got[0].tolist() == samples
