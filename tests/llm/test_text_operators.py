@@ -687,3 +687,52 @@ def test_flac_reads_partitioned_residuals():
     frame = body + int(op08_flac.crc16(np.frombuffer(body, np.uint8), *one(body))[0]).to_bytes(2, "big")
     got = op08_flac.decode_frames(np.frombuffer(frame, np.uint8), np.array([0]), np.array([1]), np.array([0]))
     assert got[0].tolist() == samples
+
+
+@pytest.fixture(scope="module")
+def nameless(spark):
+    """Rows without an id, most of them equal, beside rows with one; a clashing column and a null source."""
+    long = words_of(random.Random(3), 80)
+    rows = [(None, t, None, "k") for t in (None, "", long, long, long + " end", "alone " * 60)] + [(4, long, "a", "k"), (9, long, "b", "k"), (11, None, "b", "k"), (-(1 << 60), long + " end", "b", "k")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, kept string")
+
+
+def words_of(r, n):
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
+def test_rows_without_an_id(spark, nameless, monkeypatch):
+    count = lambda rows: collections.Counter(r.doc_id for r in rows)
+    want = count(nameless.collect())
+    assert count(op01_mixing.mix(nameless).collect()) == want
+    found = op04_similar.similar(nameless, n=5, percent=80).collect()
+    assert count(found) == want
+    least = -(1 << 60)
+    assert collections.Counter((r.doc_id, r.component_id) for r in found) == {(None, None): 3, (None, least): 3, (4, least): 1, (9, least): 1, (least, least): 1, (11, 11): 1}
+    model = op06_quality.train(nameless, spark.createDataFrame([(4, 1), (None, 0)], "doc_id long, quality int"))
+    assert count(op06_quality.judge(nameless, model).collect()) == want
+    assert op07_secrets.scan(nameless).count() == 0
+    assert count(op08_flac.describe(op08_flac.encode_documents(nameless)).collect()) == want
+    assert count(op09_private.find_private(nameless, op09_private.learn_patterns(nameless)).collect()) == want
+    assert count(op05_pieces.encode_documents(nameless, tokenizer("piece_bpe_32k.model")).collect()) == want
+    folder = shared_dir(spark)
+    tokens = op10_tokens.read_shards(op10_tokens.write_shards(nameless, tokenizer("byte_bpe_50k.json"), folder), folder).orderBy("start").collect()
+    assert count(tokens) == want and [r.doc_id for r in tokens] == [None] * 6 + [least, 4, 9, 11]
+
+
+def test_one_very_long_text(spark):
+    """A text of 3 MB goes through every text operator as a whole."""
+    text = words_of(random.Random(5), 200_000) + " token = abc123def456ghi and me.now@mail.example.com " + words_of(random.Random(6), 300_000)
+    docs = spark.createDataFrame([(1, text, "a"), (2, text + " x", "a"), (3, "short text", "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.component_id for r in op04_similar.similar(docs, n=3, percent=90).collect()} == {1: 1, 2: 1, 3: 3}
+    quality = {r.doc_id: r.n_words for r in op06_quality.judge(docs, op06_quality.Model(np.zeros(op06_quality.SLOTS), 0.0, 0.0, 50.0)).collect()}
+    assert quality == {1: len(text.split()), 2: len(text.split()) + 1, 3: 2}
+    begin = text.index("abc123")
+    assert {(r.doc_id, r.begin, r.end) for r in op07_secrets.scan(docs).collect()} >= {(1, begin, begin + 15), (2, begin, begin + 15)}
+    assert {r.doc_id: r.payload_bytes >= len(text) for r in op08_flac.describe(op08_flac.encode_documents(docs)).collect()} == {1: True, 2: True, 3: False}
+    at = text.index("me.now")
+    spans = {r.doc_id: r.spans.split(",") for r in op09_private.find_private(docs, []).collect()}
+    assert f"email:{at}:{at + 23}" in spans[1]
+    for run in (lambda p: op05_pieces.encode_documents(docs, p).collect(),):
+        n = {r.doc_id: r.n_tokens for r in run(tokenizer("piece_bpe_32k.model"))}
+        assert n[2] == n[1] + 1 > 500_000
