@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,30 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+_kept: dict = {}
+
+
+def kept(name, make=lambda: None):
+    """What this worker keeps from task to task under a name; a task that asks for another name drops it.
+
+    Every Python task of an operator asks at its start, so that one operator's memory is not held
+    while another one runs in the same worker.
+    """
+    if name not in _kept:
+        import ctypes
+        import gc
+
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:
+            pass  # only some C libraries have it, and it only gives memory back sooner
+        _kept[name] = make()
+    return _kept[name]
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

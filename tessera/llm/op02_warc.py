@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, put_file, shared_dir, small_batches, stash
+from .common import HOT_SHARE, kept, put_file, shared_dir, small_batches, stash
 
 MIN_SHARED = 100
 SEGMENT_BYTES = 16_384
@@ -114,6 +114,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     ordered = planned.repartition(parts, "_place").sortWithinPartitions("page_id", "digest", "url").drop("_place")
 
     def run(batches):
+        kept("op2")
         from pyspark import TaskContext
 
         part, held, size, made, n = TaskContext.get().partitionId(), [], 0, 0, 0
@@ -177,6 +178,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the folder's archives: page_id, kind, origin, number (null: not segmented), total, digest, refers_to, block."""
 
     def run(batches):
+        kept("op2")
         page = lambda name: int(number) if (number := name.split(":")[2]) else None
         schema = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary())])
         for batch in batches:
@@ -226,6 +228,7 @@ def payloads(archived: DataFrame) -> DataFrame:
     """page_id, record_type, digest, refers_to, payload_bytes, payload (null for revisits); responses are checked against their digest."""
 
     def run(batches):
+        kept("op2")
         import hashlib
 
         for batch in batches:

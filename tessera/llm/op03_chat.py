@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, small_batches, stash
+from .common import kept, n_words, small_batches, stash
 
 BUDGET = 256
 HISTORY = 2
@@ -109,6 +109,7 @@ def unpacked(formatted: DataFrame) -> DataFrame:
     """conv_id, window, n_turns, turns, loss_chars, loss, chars: what is new in each window, unescaped."""
 
     def run(batches):
+        kept("op3")
         plain = lambda s: _SIGN.sub(r"\1", s)
         for batch in batches:
             rows = []
@@ -130,6 +131,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
+        kept("op3")
         rows: list[tuple] = []
         now, state = object(), None
         put = lambda: rows.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, flat, grams, mix, slices, spans_hash, words
-from .common import discard, hot_join, small_batches, stash
+from .common import discard, hot_join, kept, small_batches, stash
 from .components import components
 
 BANDS, ROWS = 8, 3
@@ -195,6 +195,7 @@ def describe(documents: DataFrame, n: int) -> DataFrame:
     """doc_id, nameless, size, print (of the whole set), bands of every document."""
 
     def run(batches):
+        kept("op4")
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = token_sets(batch.column("text"), n)
@@ -211,6 +212,7 @@ def segment_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, signature: one row per filled segment; of the copies that a task sees, the first stands for all."""
 
     def run(batches):
+        kept("op4")
         seen: set[bytes] = set()
         for whole in batches:
             for batch in slices(whole, "text", 500_000):
@@ -243,6 +245,7 @@ def stored_sets(documents: DataFrame, n: int) -> DataFrame:
     """class, print, tokens (sorted, as bytes), bits of the given documents."""
 
     def run(batches):
+        kept("op4")
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = token_sets(batch.column("text"), n)
@@ -292,6 +295,7 @@ def asked_in_blocks(queries: DataFrame, rows: DataFrame, query_bits: DataFrame,
             yield cls[m[a[good]]], size[m[a[good]]], group[theirs[b[good]]]
 
     def run(batches):
+        kept("op4")
         held = None
 
         def pieces():
@@ -327,6 +331,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the bound, by counting their common tokens."""
 
     def run(batches):
+        kept("op4")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ta"), batch.column("tb")):

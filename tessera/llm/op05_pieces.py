@@ -26,14 +26,13 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrays import Lexicon, slices, sums
-from .common import small_batches
+from .common import kept, small_batches
 
 MARK = "▁"
 #: Bytes of chunks that a worker remembers.
@@ -285,19 +284,13 @@ class BatchCodec:
         return n_of, ids_of, texts_of
 
 
-@lru_cache(maxsize=1)
-def batch_codec(model: bytes) -> BatchCodec:
-    """The worker's codec, kept with what it remembers from task to task."""
-    return BatchCodec(model)
-
-
 def encode_documents(documents: DataFrame, model_path: str, *, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document; with_text adds ids and decoded."""
     with open(model_path, "rb") as f:
         model = documents.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, under 1 MB
 
     def run(batches):
-        codec = batch_codec(model.value)
+        codec = kept(("op5", model_path), lambda: BatchCodec(model.value))
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import SPACE, flat, grams, mix, repeated, slices, span_sums, spans_hash, sums, words
-from .common import small_batches, stash
+from .common import kept, small_batches, stash
 
 SLOTS = 1 << 16
 #: Labelled rows used for fitting at most.
@@ -180,6 +180,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
     def describe(batches):
+        kept("op6")
         for whole in batches:
             for batch in slices(whole, "text"):
                 slots, values = features(batch.column("text"))
@@ -189,6 +190,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
                 })
 
     def learn(batches):
+        kept("op6")
         ids, slots, values, good = [], [], [], []
         for batch in batches:
             ids += batch.column("doc_id").to_pylist()
@@ -211,6 +213,7 @@ def judge(documents: DataFrame, model: Model, *, min_words: int = 50, max_repeat
     shared = documents.sparkSession.sparkContext.broadcast(model)  # SLOTS doubles
 
     def run(batches):
+        kept("op6")
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = Texts(batch.column("text"))

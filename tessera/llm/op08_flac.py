@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrays import flat, slices
-from .common import small_batches, stash
+from .common import kept, small_batches, stash
 
 BLOCK = 192
 SEEK_FRAMES = 8
@@ -381,6 +381,7 @@ def encode_documents(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text as a FLAC stream."""
 
     def run(batches):
+        kept("op8")
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 payloads, offsets, size = pad(batch.column("text"))
@@ -438,6 +439,7 @@ def describe(media: DataFrame) -> DataFrame:
     """Reads the PCM blocks of each stream, checks all sums, and describes the samples."""
 
     def run(batches):
+        kept("op8")
         for whole in batches:
             for batch in slices(whole, "media", SLICE_BYTES):
                 streams = batch.column("media").to_pylist()
@@ -471,6 +473,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, first_sample, pcm: decoded samples in blocks that can be looked up by their first sample."""
 
     def run(batches):
+        kept("op8")
         for whole in batches:
             for batch in slices(whole, "media", SLICE_BYTES):
                 rows = [(d, first, pcm) for d, blocks in zip(batch.column("doc_id").to_pylist(), pcm_runs(batch.column("media").to_pylist())) for first, pcm in blocks]

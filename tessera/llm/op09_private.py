@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, hot_join, small_batches, stash
+from .common import discard, hot_join, kept, small_batches, stash
 
 KINDS = ("email", "ip", "card", "phone", "found")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -149,6 +149,7 @@ def occurrences(documents: DataFrame) -> DataFrame:
     """context, shape, value, seed of every candidate of every text; value is a digest, seed tells that a base span covers it."""
 
     def run(batches):
+        kept("op9")
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -207,6 +208,7 @@ def matches(documents: DataFrame, patterns: DataFrame) -> DataFrame:
     """_digest of a text, _found: begin and end of its candidates that a trusted pattern matches and no base span meets."""
 
     def run(batches):
+        kept("op9")
         for batch in batches:
             rows = []
             for text in {t for t in batch.column("text").to_pylist() if t}:
@@ -251,6 +253,7 @@ def find_private(documents: DataFrame, patterns: DataFrame | list[tuple[str, str
     name = lambda spans: ",".join(f"{KINDS[k]}:{b}:{e}" for b, k, e in spans)
 
     def base(batches):
+        kept("op9")
         for batch in batches:
             counts, digests, lists, keys = [[], [], [], []], [], [], []
             for text in batch.column("text").to_pylist():
@@ -260,11 +263,12 @@ def find_private(documents: DataFrame, patterns: DataFrame | list[tuple[str, str
                 digests.append(hashlib.sha256(name(spans).encode()).hexdigest())
                 lists.append([{"begin": b, "kind": k, "end": e} for b, k, e in spans])
                 keys.append(text_key(text) if text else None)
-            out = {c: batch.column(c) for c in kept} | {f"n_{KINDS[k]}": pa.array(counts[k], pa.int64()) for k in range(4)}
+            out = {c: batch.column(c) for c in passed} | {f"n_{KINDS[k]}": pa.array(counts[k], pa.int64()) for k in range(4)}
             out |= {"base_sha256": pa.array(digests, pa.string()), "_base": pa.array(lists, pa.list_(pa.struct([("begin", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))), "_key": pa.array(keys, pa.binary())}
             yield pa.RecordBatch.from_pydict(out)
 
     def cover(batches):
+        kept("op9")
         for batch in batches:
             lists, texts = [], []
             old = batch.column("text").to_pylist() if with_text else [None] * batch.num_rows
@@ -278,10 +282,10 @@ def find_private(documents: DataFrame, patterns: DataFrame | list[tuple[str, str
 
     # Only rows that are to be redacted take their text through the join.
     source = documents.select(*dict.fromkeys((*carry, "text")))
-    kept = tuple(source.columns) if with_text else carry
+    passed = tuple(source.columns) if with_text else carry
     types = lambda names: ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names)
     counted = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string"
-    rows = source.mapInArrow(base, f"{types(kept)}, {counted}, _base array<struct<begin: bigint, kind: bigint, end: bigint>>, _key binary")
+    rows = source.mapInArrow(base, f"{types(passed)}, {counted}, _base array<struct<begin: bigint, kind: bigint, end: bigint>>, _key binary")
     first = (*carry, *(f"n_{k}" for k in KINDS[:4]), "base_sha256")
     joined = rows.join(matches(documents, patterns), rows["_key"] == F.col("_digest"), "left").drop("_key", "_digest")
     return joined.mapInArrow(cover, f"{types(carry)}, {counted}, spans string" + ", redacted string" * with_text)

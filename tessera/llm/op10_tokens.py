@@ -31,7 +31,6 @@ import json
 import struct
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import Lexicon, flat, slices
-from .common import put_file, scan_splits, shared_dir, small_batches, stash
+from .common import kept, put_file, scan_splits, shared_dir, small_batches, stash
 
 #: The pattern that the byte-level pre-tokenizer splits by (fixed by the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -139,12 +138,6 @@ class Encoder:
         return ids.view(np.uint16), begin[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])] // 2
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """The worker's encoder, kept from task to task with what its lexicons remember."""
-    return Encoder(path)
-
-
 def expand(symbols: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The items of each symbol, one symbol after the other."""
     own = size[symbols]
@@ -264,7 +257,7 @@ def write_shards(documents: DataFrame, tokenizer_path: str, folder: str) -> Data
     def run(batches):
         from pyspark import TaskContext
 
-        coder, part, number = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        coder, part, number = kept(("op10", tokenizer_path), lambda: Encoder(tokenizer_path)), TaskContext.get().partitionId(), 0
         held: list = []
 
         def flush():
@@ -299,6 +292,7 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the folder's files; shards is what write_shards gave."""
 
     def run(batches):
+        kept("op10 reading")
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 shard = Shard(content.as_py())
