@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key that more than one in so many rows have is hot; so there are fewer hot keys than this.
 HOT_SHARE = 1000
 #: Rows that one task joins without harm, whatever their keys.
-ONE_TASK = 100_000
+ONE_TASK = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -291,7 +291,8 @@ def asked_in_blocks(queries: DataFrame, rows: DataFrame, query_bits: DataFrame,
                 shared = np.minimum(shared, size[theirs[b]] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
                 good = (100 + percent) * shared >= percent * (size[m[a]] + size[theirs[b]])
             else:
-                good = 100 * shared >= percent * size[m[a]]
+                # A link to any member takes at least what the smallest one would.
+                good = (100 + percent) * shared >= percent * (size[m[a]] + size[theirs[b]])
             yield cls[m[a[good]]], size[m[a[good]]], group[theirs[b[good]]]
 
     def run(batches):
