@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """a, b, rho for each pair of features: one aggregate, as large as the number of features squared."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    both = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs]))
-    return df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).select(both.alias("p")).select("p.*")
+    """a, b, rho for each pair of features, over rows that have them all; the matrix is as large as the number of features squared."""
+    from pyspark.ml.stat import Correlation
+
+    found = Correlation.corr(_vectors(df, features).select("features"), "features").first()[0].toArray()
+    rows = [(a, b, float(found[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, rho double")
 
 
 def _vectors(df: DataFrame, features: list[str]) -> DataFrame:

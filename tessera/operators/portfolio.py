@@ -23,7 +23,10 @@ def topk_book(scores: DataFrame, closes: DataFrame, *, k: int, every: int, delay
     epochs = epochs.withColumn("until", F.lead("fill").over(Window.orderBy("fill")))
     held = basket.join(F.broadcast(epochs), "fill")
     at_fill = priced.select("key", F.col("pos").alias("fill"), F.col("close").alias("_c0"))
-    path = held.join(at_fill, ["key", "fill"]).join(priced, "key").where((F.col("pos") >= F.col("fill")) & (F.col("until").isNull() | (F.col("pos") <= F.col("until"))))
+    # A holding meets the prices of its own epoch alone.
+    end = axis.agg(F.max("pos").alias("_end"))
+    days_held = held.join(F.broadcast(end)).where(F.col("fill") <= F.col("_end")).withColumn("pos", F.explode(F.sequence("fill", F.coalesce("until", "_end")))).drop("_end")
+    path = days_held.join(at_fill, ["key", "fill"]).join(priced, ["key", "pos"])
     path = path.withColumn("_rel", F.col("close") / F.col("_c0"))
     value = path.groupBy("fill", "pos").agg(F.avg("_rel").alias("v"))
     gross = value.withColumn("gross", F.col("v") / F.lag("v").over(Window.partitionBy("fill").orderBy("pos")) - 1).where("pos > fill")

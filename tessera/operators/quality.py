@@ -53,20 +53,48 @@ def axis_audit(rows: DataFrame, axis: DataFrame, lookahead: int) -> DataFrame:
     return placed.agg(F.count("*").alias("rows"), F.count(F.when(F.col("date") <= F.col("cutoff"), 1)).alias("at_or_before_cutoff"), F.count(F.when(bad, 1)).alias("unverifiable"), F.avg(bad.cast("double")).alias("share"))
 
 
+def row_hash(index: str, text: str) -> Column:
+    """The SHA-256 of a ledger row: its index, its text and the hash of the row before it (null: none)."""
+    return F.sha2(F.concat_ws("|", F.col(index).cast("string"), text, F.coalesce("prev_row_sha", F.lit("-"))), 256)
+
+
 def chain_hashes(rows: DataFrame, index: str, text: str) -> DataFrame:
-    """Adds row_sha, the SHA-256 of each row's own text and index, and prev_row_sha, that of the row before."""
-    own = rows.withColumn("row_sha", F.sha2(F.concat_ws("|", F.col(index).cast("string"), text), 256))
-    return own.withColumn("prev_row_sha", F.lag("row_sha").over(Window.partitionBy("chain").orderBy(index)))
+    """Adds prev_row_sha and row_sha, which covers the row's index and text and prev_row_sha.
+
+    A chain is sequential: its rows stream through one task in order, and only the last hash is held.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        chain = last = None
+        for batch in batches:
+            before, own = [], []
+            for c, i, t in zip(*(batch.column(n).to_pylist() for n in ("chain", index, text))):
+                last = last if c == chain else None
+                chain = c
+                before.append(last)
+                last = hashlib.sha256("|".join(v for v in (str(i), t, last or "-") if v is not None).encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], [*batch.schema.names, "prev_row_sha", "row_sha"])
+
+    ordered = rows.repartition("chain").sortWithinPartitions("chain", index)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return ordered.mapInArrow(run, f"{kinds}, prev_row_sha string, row_sha string")
 
 
 def chain_violations(ledger: DataFrame, index: str, text: str, key: str) -> DataFrame:
-    """chain, index, problem: gaps in the index, broken links, rows that do not match their hash, repeated business keys."""
+    """chain, index, problem: gaps in the index, broken links, rows that do not match their hash, repeated business keys.
+
+    Every row is checked by itself against the link that it stores, so chains of any length are
+    checked in parallel.
+    """
     w = Window.partitionBy("chain").orderBy(index)
-    own = F.sha2(F.concat_ws("|", F.col(index).cast("string"), text), 256)
     tests = {
         "gap": F.col(index) != F.coalesce(F.lag(index).over(w) + 1, F.lit(0)),
         "broken_link": ~F.col("prev_row_sha").eqNullSafe(F.lag("row_sha").over(w)),
-        "altered": F.col("row_sha") != own,
+        "altered": F.col("row_sha") != row_hash(index, text),
         "repeated_key": F.count("*").over(Window.partitionBy("chain", key)) > 1,
     }
     return ledger.withColumn("_p", reasons(tests)).select("chain", index, F.explode("_p").alias("problem"))
@@ -96,9 +124,12 @@ def table_stats(df: DataFrame, date: str, key: str) -> DataFrame:
 def field_parity(documents: DataFrame, column: str, reference: str) -> DataFrame:
     """id, field, problem: fields of JSON objects that are missing, unexpected or of another type than in a reference object."""
     kind = lambda v: F.when(v.rlike("^-?[0-9]+$"), "integer").when(v.rlike(r"^-?[0-9.]+([eE][-+]?\d+)?$"), "number").when(v.rlike("^(true|false)$"), "boolean").otherwise("text")
-    read = lambda c: F.map_entries(F.from_json(c, "map<string,string>"))
-    own = documents.select("id", F.explode(read(F.col(column))).alias("e")).select("id", F.col("e.key").alias("field"), kind(F.col("e.value")).alias("_own"))
-    wanted = documents.select("id", F.explode(read(F.lit(reference))).alias("e")).select("id", F.col("e.key").alias("field"), kind(F.col("e.value")).alias("_ref"))
-    both = own.join(wanted, ["id", "field"], "full")
-    problem = F.when(F.col("_own").isNull(), "missing").when(F.col("_ref").isNull(), "unexpected").when(F.col("_own") != F.col("_ref"), "type")
-    return both.select("id", "field", problem.alias("problem")).where("problem is not null")
+    own, wanted = F.from_json(F.col(column), "map<string,string>"), F.from_json(F.lit(reference), "map<string,string>")
+    have, want = F.coalesce(own, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), wanted
+
+    def problem(field: Column) -> Column:
+        a, b = F.try_element_at(have, field), F.try_element_at(want, field)
+        return F.when(~F.map_contains_key(have, field), "missing").when(~F.map_contains_key(want, field), "unexpected").when(kind(a) != kind(b), "type")
+
+    fields = F.transform(F.array_union(F.map_keys(have), F.map_keys(want)), lambda f: F.struct(f.alias("field"), problem(f).alias("problem")))
+    return documents.select("id", F.explode(F.filter(fields, lambda p: p["problem"].isNotNull())).alias("p")).select("id", "p.field", "p.problem")

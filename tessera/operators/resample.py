@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import col, t_statistic
+from ..functions.scalar import avg_rank, col, correlation, t_statistic
 
 
 def uniform(*columns) -> Column:
@@ -27,13 +27,18 @@ def seeds(n: int) -> Column:
     return F.explode(F.array(*[F.lit(i) for i in range(n)]))
 
 
-def permute_within(df: DataFrame, value: str, n_seeds: int, *, date: str = "date", key: str = "key") -> DataFrame:
-    """seed, date, key, value, permuted: each seed deals a date's values anew to its keys; every date keeps its values."""
-    long = df.select(date, key, value, seeds(n_seeds).alias("seed"))
-    w = Window.partitionBy("seed", date)
-    ranked = long.withColumns({"_own": F.row_number().over(w.orderBy(key)), "_new": F.row_number().over(w.orderBy(F.xxhash64("seed", key, date), key))})
-    dealt = ranked.select("seed", date, F.col("_new").alias("_own"), F.col(value).alias("permuted"))
-    return ranked.join(dealt, ["seed", date, "_own"]).select("seed", date, key, value, "permuted")
+def permute_within(df: DataFrame, value: str, n_seeds: int, *, date: str = "date", key: str = "key", carry: tuple[str, ...] = ()) -> DataFrame:
+    """seed, date, key, value, carry, permuted: each seed deals a date's values anew to its keys; every date keeps its values.
+
+    The i-th key of a date gets the value of the key with the i-th MD5 of seed, key and date. A date's
+    cross-section is one array, put in both orders where it lies: one shuffle for all seeds.
+    """
+    own = df.groupBy(date).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"), F.col(value).alias("_v"), *carry))).alias("_a"))
+    seeded = own.select(date, "_a", seeds(n_seeds).alias("seed"))
+    hashed = F.transform("_a", lambda r: F.struct(F.md5(F.concat_ws("|", F.col("seed").cast("string"), r["_k"].cast("string"), F.col(date).cast("string"))).alias("h"), r["_k"].alias("k"), r["_v"].alias("v")))
+    dealt = F.transform(F.sort_array(hashed), lambda r: r["v"])
+    rows = seeded.select("seed", date, F.explode(F.arrays_zip(F.col("_a").alias("a"), dealt.alias("p"))).alias("_r"))
+    return rows.select("seed", date, F.col("_r.a._k").alias(key), F.col("_r.a._v").alias(value), *[F.col(f"_r.a.{c}").alias(c) for c in carry], F.col("_r.p").alias("permuted"))
 
 
 def permute_pooled(df: DataFrame, value: str, seed: int, key: list[str], parts: int = 64) -> DataFrame:
@@ -155,10 +160,11 @@ def control_verdict(draws: DataFrame, bar: float) -> DataFrame:
 
 def permutation_null(df: DataFrame, score: str, label: str, n_seeds: int, length: int) -> DataFrame:
     """seed, t: the block t of the rank correlation under each within-date permutation of the label."""
-    from .metrics import rank_ic
-
-    dealt = permute_within(df.where(F.col(label).isNotNull()), label, n_seeds).join(df.select("date", "key", F.col(score).alias("_s")), ["date", "key"])
-    ics = rank_ic(dealt, "_s", "permuted", by=("seed", "date"))
+    # Dealing values anew deals their ranks: both sides are ranked once for all seeds.
+    both = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    ranked = both.select("date", "key", avg_rank(score, "date").alias("_s"), avg_rank(label, "date").alias("_l"))
+    dealt = permute_within(ranked, "_l", n_seeds, carry=("_s",))
+    ics = dealt.groupBy("seed", "date").agg(F.when(F.count("*") >= 2, correlation("_s", "permuted")).alias("ic"))
     placed = ics.withColumn("pos", F.row_number().over(Window.partitionBy("seed").orderBy("date")) - 1)
     return block_t(blocks(placed, "ic", length, by=("seed",)), ("seed",)).select("seed", "t")
 

@@ -153,18 +153,23 @@ def turnover(baskets: DataFrame, n: int) -> DataFrame:
     return sets.select("date", (moved / (2 * n)).alias("turnover"))
 
 
-def triple_barrier(bars: DataFrame, h: int, k_up: float, k_down: float, sigma: str) -> DataFrame:
-    """Adds hit (up, down, time), days, outcome, weight: the first of the next h closes beyond close * (1 +- k sigma), else the last of them.
+def triple_barrier(bars: DataFrame, h: int, k_up: float, k_down: float, sigma: str, *, short_exit: bool = False) -> DataFrame:
+    """Adds hit (up, down, time), days, outcome, weight: the first of the next h closes at or beyond close * (1 +- k sigma), else the h-th.
 
-    Null sigma or no later row: null. h bounds the array.
+    Null where fewer than h rows follow, or where close or sigma is null, not finite or sigma is 0.
+    Closes in between that are null or not finite are passed over and counted as days. short_exit
+    (for events) lets rows near the end leave at the last row there is, and takes a sigma of 0. h
+    bounds the array.
     """
-    ahead = F.collect_list("close").over(by_key().rowsBetween(1, h))
+    usable = lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    ahead = F.transform(F.collect_list(F.struct("close")).over(by_key().rowsBetween(1, h)), lambda r: usable(r["close"]))
     held = bars.withColumn("_a", ahead)
-    c, s = F.col("close"), F.col(sigma)
+    c, s = usable(F.col("close").cast("double")), usable(F.col(sigma))
     up, down = c * (1 + k_up * s), c * (1 - k_down * s)
-    touched = F.array_position(F.transform("_a", lambda x: ((x >= up) | (x <= down)).cast("int")), 1)
+    touched = F.array_position(F.transform("_a", lambda x: F.coalesce((x >= up) | (x <= down), F.lit(False)).cast("int")), 1)
+    enough = F.size("_a") > 0 if short_exit else (F.size("_a") == h) & (s != 0)
     days = F.when(touched > 0, touched).otherwise(F.size("_a")).cast("int")
-    held = held.withColumns({"_t": touched, "days": F.when(s.isNotNull() & (F.size("_a") > 0), days)})
+    held = held.withColumns({"_t": touched, "days": F.when(c.isNotNull() & s.isNotNull() & enough, days)})
     end = F.try_element_at("_a", F.col("days"))
     hit = F.when(F.col("_t") == 0, "time").when(end >= up, "up").otherwise("down")
     return held.withColumns({

@@ -35,8 +35,16 @@ def finite(x) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-def table_digest(df: DataFrame, row: Column, by: str) -> DataFrame:
-    """One digest of the table, whatever the order of its rows: digests of sorted row digests by group, then of those."""
-    groups = df.groupBy(by).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.sha2(row, 256)))), 256).alias("_d"), F.count("*").alias("_n"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct(F.col(by).cast("string").alias("k"), F.col("_d").alias("d")))), lambda s: F.concat_ws(":", s["k"], s["d"]))
-    return groups.agg(F.sha2(F.concat_ws("\n", lines), 256).alias("digest"), F.sum("_n").alias("n"))
+def table_digest(df: DataFrame, row: Column, by: str, digits: int = 3) -> DataFrame:
+    """One digest of the table, whatever the order of its rows.
+
+    Row digests are sorted and digested in buckets of the group by their first hex digits, the
+    buckets' digests by group, the groups' digests over the table. digits sets how many buckets a
+    group has (16 to that power), so that a bucket of a large group still fits into a task.
+    """
+    rows = df.select(F.col(by).cast("string").alias("k"), F.sha2(row, 256).alias("d")).withColumn("b", F.substring("d", 1, digits))
+    joined = lambda lines: F.sha2(F.concat_ws("\n", F.sort_array(lines)), 256)
+    line = lambda key, value: F.collect_list(F.concat_ws(":", F.col(key), F.col(value)))
+    buckets = rows.groupBy("k", "b").agg(joined(F.collect_list("d")).alias("d"), F.count("*").alias("n"))
+    groups = buckets.groupBy("k").agg(joined(line("b", "d")).alias("d"), F.sum("n").alias("n"))
+    return groups.agg(joined(line("k", "d")).alias("digest"), F.sum("n").alias("n"))

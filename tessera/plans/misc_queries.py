@@ -108,11 +108,14 @@ def ml_8(spark, d):
     return ML.parameter_problems(params, wanted, ("z", "identity"))
 
 
-@query("ml_9_batch_score", f"{WITH} SELECT date, key FROM sm")
+PLAIN = NORMAL.replace("x1 - 5", "x1").replace("x2 - 25", "x2").format(p=0)
+
+
+@query("ml_9_batch_score", f"{WITH}, {PLAIN} SELECT date, key, {R('w1 * x1 + w2 * x2', 6)} AS score FROM sm, w")
 def ml_9(spark, d):
     panel = supplier_month(spark, d).select("date", "key", "x1", "x2", "y")
     model = ML.fit_linear(panel.where("y is not null"), FEATURES, "y")
-    return ML.score(model, panel, FEATURES).where("score is not null").select("date", "key")
+    return ML.score(model, panel, FEATURES).select("date", "key", tidy("score", 6).alias("score"))
 
 
 @query("ml_10_marginal_effects", "SELECT * FROM (VALUES ('x1', 0.6, 0.0, 1.0), ('x2', -0.4, 0.0, 0.0)) v(feature, mean, sd, positive)".replace("0.6, 0.0, 1.0", "0.6::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE").replace("-0.4, 0.0, 0.0", "-0.4::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE"))
@@ -122,7 +125,9 @@ def ml_10(spark, d):
     return ML.marginal_effects(model, panel, FEATURES).select("feature", *[tidy(c, 6).alias(c) for c in ("mean", "sd", "positive")])
 
 
-@query("ml_11_regime_specialists", f"{WITH}, g AS (SELECT date, key, CASE month(date) WHEN 1 THEN 'NEW' ELSE CASE WHEN month(date) <= 6 THEN 'CALM' ELSE 'VOLATILE' END END AS regime FROM sm) SELECT regime, CASE WHEN regime = 'NEW' THEN 'global' ELSE 'specialist' END AS model, count(*)::BIGINT AS n FROM g GROUP BY 1, 2")
+@query("ml_11_regime_specialists", WITH + """, g AS (SELECT date, key, CASE month(date) WHEN 1 THEN 'NEW' ELSE CASE WHEN month(date) <= 6 THEN 'CALM' ELSE 'VOLATILE' END END AS regime, x1, x2, y FROM sm),
+m AS (SELECT regime, sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x2 * x2) AS c, sum(x1 * y) AS u, sum(x2 * y) AS v FROM (SELECT * FROM g WHERE regime <> 'NEW' UNION ALL SELECT date, key, 'NEW', x1, x2, y FROM g) WHERE y IS NOT NULL GROUP BY 1),
+w AS (SELECT regime, (c * u - b * v) / (a * c - b * b) AS w1, (a * v - b * u) / (a * c - b * b) AS w2 FROM m) SELECT date, key, regime, CASE WHEN regime = 'NEW' THEN 'global' ELSE 'specialist' END AS model, """ + R("w1 * x1 + w2 * x2", 6) + " AS score FROM g JOIN w USING (regime)")
 def ml_11(spark, d):
     regime = F.when(F.month("date") == 1, "NEW").when(F.month("date") <= 6, "CALM").otherwise("VOLATILE")
     panel = supplier_month(spark, d).withColumn("regime", regime)
@@ -130,7 +135,7 @@ def ml_11(spark, d):
     weights = {r: [float(w) for w in ML.fit_linear(train.where(F.col("regime") == r) if r else train, FEATURES, "y").coefficients] for r in ("CALM", "VOLATILE", None)}
     pick = lambda i: F.when(F.col("regime") == "CALM", weights["CALM"][i]).when(F.col("regime") == "VOLATILE", weights["VOLATILE"][i]).otherwise(weights[None][i])
     scored = panel.withColumn("score", pick(0) * F.col("x1") + pick(1) * F.col("x2")).where("score is not null")
-    return scored.groupBy("regime", F.when(F.col("regime") == "NEW", "global").otherwise("specialist").alias("model")).agg(F.count("*").alias("n"))
+    return scored.select("date", "key", "regime", F.when(F.col("regime") == "NEW", "global").otherwise("specialist").alias("model"), tidy("score", 6).alias("score"))
 
 
 @query("agg_38_importance", "SELECT * FROM (VALUES ('value', true), ('x', false)) v(feature, used)")
@@ -186,7 +191,7 @@ def hash_1(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.sha2(F.concat_ws("|", "c_name", "c_mktsegment"), 256).alias("digest"), F.substring(F.sha2("c_name", 256), 1, 12).alias("prefix"))
 
 
-ROLL = f"WITH r AS (SELECT o_orderstatus AS k, sha256({ROWTEXT}) AS h FROM orders), g AS (SELECT k, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM r GROUP BY 1) SELECT sha256(string_agg(k || ':' || d, chr(10) ORDER BY k)) AS digest, sum(n)::BIGINT AS n FROM g"
+ROLL = f"WITH r AS (SELECT o_orderstatus AS k, sha256({ROWTEXT}) AS h FROM orders), b AS (SELECT k, substr(h, 1, 3) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM r GROUP BY 1, 2), g AS (SELECT k, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS d, sum(n) AS n FROM b GROUP BY 1) SELECT sha256(string_agg(k || ':' || d, chr(10) ORDER BY k)) AS digest, sum(n)::BIGINT AS n FROM g"
 
 
 def digest(spark, d):
@@ -277,12 +282,17 @@ def dq_5(spark, d):
 
 
 @query("dq_7_hash_chain", """WITH r AS (SELECT o_custkey % 8 AS chain, row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) - 1 AS i FROM orders)
-SELECT chain::BIGINT AS chain, i::INT AS row_index, 'altered' AS problem FROM r WHERE i = 5 UNION ALL SELECT chain::BIGINT, i::INT, 'gap' FROM r WHERE i = 10 UNION ALL SELECT chain::BIGINT, i::INT, 'broken_link' FROM r WHERE i = 10""")
+SELECT chain::BIGINT AS chain, i::INT AS row_index, 'altered' AS problem FROM r WHERE i = 5 UNION ALL SELECT chain::BIGINT, i::INT, 'gap' FROM r WHERE i = 10 UNION ALL SELECT chain::BIGINT, i::INT, 'broken_link' FROM r WHERE i = 10 UNION ALL SELECT chain::BIGINT, i::INT, 'altered' FROM r WHERE i = 16""")
 def dq_7(spark, d):
     o = table(spark, d, "orders").select((F.col("o_custkey") % 8).alias("chain"), "o_orderkey", F.col("o_totalprice").cast("string").alias("text"))
     rows = o.withColumn("row_index", F.row_number().over(Window.partitionBy("chain").orderBy("o_orderkey")) - 1)
     ledger = Q.chain_hashes(rows, "row_index", "text")
     tampered = ledger.withColumn("text", F.when(F.col("row_index") == 5, F.lit("0")).otherwise(F.col("text"))).where("row_index <> 9")
+    # Row 15 is replaced with a fresh hash and the link behind it patched: row 16 no longer matches its own.
+    forged = F.sha2(F.concat_ws("|", F.lit("15"), F.lit("forged"), F.coalesce("prev_row_sha", F.lit("-"))), 256)
+    tampered = tampered.withColumns({"text": F.when(F.col("row_index") == 15, F.lit("forged")).otherwise(F.col("text")), "row_sha": F.when(F.col("row_index") == 15, forged).otherwise(F.col("row_sha"))})
+    link = F.lag("row_sha").over(Window.partitionBy("chain").orderBy("row_index"))
+    tampered = tampered.withColumn("prev_row_sha", F.when(F.col("row_index") == 16, link).otherwise(F.col("prev_row_sha")))
     return Q.chain_violations(tampered, "row_index", "text", "o_orderkey")
 
 
@@ -471,21 +481,29 @@ def snk_5(spark, d):
 # Streams
 
 
-def streamed(spark, source, build, mode="append"):
-    """Runs a query over a table's files as a stream to its end and gives what it wrote."""
+def streamed(spark, source, build, mode="append", files=2, parts=()):
+    """Runs a query over a table's files as a stream to its end and gives what it wrote.
+
+    parts: predicates that cut the table into pieces which arrive one after the other.
+    """
     path = scratch(spark)
-    source.write.parquet(f"{path}/in")
-    rows = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    for piece in [source.where(p) for p in parts] or [source]:
+        piece.write.mode("append").parquet(f"{path}/in")
+    rows = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
     q = build(rows).writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
-@query("stm_1_rolling_buffer", "WITH e AS (SELECT user_id::VARCHAR AS key, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT key, (count(*) - 4)::BIGINT AS full_buffers FROM e GROUP BY 1 HAVING count(*) > 4")
+@query("stm_1_rolling_buffer", "WITH e AS (SELECT user_id::VARCHAR AS key, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT key, (count(*) - 4)::BIGINT AS full_buffers, (round(sum(coalesce(value, 0)) FILTER (rn > n - 5), 6) + 0.0) AS newest FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM e) GROUP BY 1 HAVING count(*) > 4")
 def stm_1(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date"), F.coalesce("value", F.lit(0.0)).alias("value")).repartition(2, "key")
-    out = streamed(spark, e, lambda rows: ST.rolling_buffer(rows, 5))
-    return out.groupBy("key").agg(F.count("*").alias("full_buffers"))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date"), F.coalesce("value", F.lit(0.0)).alias("value"), "event_id").repartition(2, "key")
+    order = F.concat_ws("#", "date", F.lpad(F.col("event_id").cast("string"), 20, "0"))
+    # Three pieces in order of time, so that buffers are carried from batch to batch.
+    cuts = ["date < '2024-01-11'", "date >= '2024-01-11' and date < '2024-01-21'", "date >= '2024-01-21'"]
+    out = streamed(spark, e, lambda rows: ST.rolling_buffer(rows.select("key", order.alias("date"), "value"), 5), parts=cuts)
+    newest = F.aggregate(F.max_by("values", "date"), F.lit(0.0), lambda a, x: a + x)
+    return out.groupBy("key").agg(F.count("*").alias("full_buffers"), tidy(newest, 6).alias("newest"))
 
 
 @query("stm_2_warm_up", "SELECT user_id::VARCHAR AS key, least(count(*), 4)::INT AS n FROM events GROUP BY 1")
@@ -523,8 +541,8 @@ def stm_5(spark, d):
 
 @query("stm_6_daily_log", "SELECT ts::DATE AS day, count(*)::BIGINT AS n, round(avg((value > 25)::INT), 9) AS agreement FROM events GROUP BY 1 HAVING ts::DATE < (SELECT max(ts)::DATE FROM events)")
 def stm_6(spark, d):
-    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 25).alias("agree")).repartitionByRange(1, "ts")
-    out = streamed(spark, e, lambda rows: ST.daily_log(rows, "ts"))
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 25).alias("agree"))
+    out = streamed(spark, e, lambda rows: ST.daily_log(rows, "ts"), files=1000)
     last = table(spark, d, "events").agg(F.to_date(F.max("ts")).alias("_m"))
     return out.join(F.broadcast(last)).where(F.col("day") < F.col("_m")).select("day", "n", F.round("agreement", 9).alias("agreement"))
 

@@ -137,23 +137,23 @@ def rol_17(spark, d):
 
 VS = f"{RT}, vs AS (SELECT date, key, close, CASE WHEN count(ret) OVER f = 10 THEN stddev_samp(ret) OVER f END AS sigma, row_number() OVER ({K}) AS i FROM rt WINDOW f AS ({K} ROWS 9 PRECEDING))"
 BARRIER = f"""{VS}, h AS (SELECT a.date, a.key, a.close, a.sigma, b.i - a.i AS k, b.close AS c, b.close >= a.close * (1 + 1.0 * a.sigma) AS up, b.close <= a.close * (1 - 1.0 * a.sigma) AS dn FROM vs a JOIN vs b ON a.key = b.key AND b.i BETWEEN a.i + 1 AND a.i + 6 WHERE a.sigma IS NOT NULL),
-e AS (SELECT date, key, any_value(close) AS close, coalesce(min(k) FILTER (up OR dn), max(k)) AS k, count(*) FILTER (up OR dn) AS t FROM h GROUP BY 1, 2)"""
+e AS (SELECT date, key, any_value(close) AS close, coalesce(min(k) FILTER (up OR dn), max(k)) AS k, count(*) FILTER (up OR dn) AS t, max(k) AS later, any_value(sigma) AS sigma FROM h GROUP BY 1, 2)"""
 
 
-def barriers(spark, d):
+def barriers(spark, d, short_exit):
     bars = brand_bars(spark, d).withColumn("ret", L.change("close", 1, L.by_key()))
     bars = bars.withColumn("sigma", L.full(F.stddev_samp("ret"), F.col("ret"), L.by_key(), 10))
-    return L.triple_barrier(bars, 6, 1.0, 1.0, "sigma").where("days is not null")
+    return L.triple_barrier(bars, 6, 1.0, 1.0, "sigma", short_exit=short_exit).where("days is not null")
 
 
-@query("lbl_1_triple_barrier", f"WITH {BARRIER} SELECT e.date, e.key, e.k::INT AS days, CASE WHEN t = 0 THEN 'time' WHEN up THEN 'up' ELSE 'down' END AS hit, {R('c / e.close - 1')} AS outcome, CASE WHEN t = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM e JOIN h ON e.date = h.date AND e.key = h.key AND e.k = h.k")
+@query("lbl_1_triple_barrier", f"WITH {BARRIER} SELECT e.date, e.key, e.k::INT AS days, CASE WHEN t = 0 THEN 'time' WHEN up THEN 'up' ELSE 'down' END AS hit, {R('c / e.close - 1')} AS outcome, CASE WHEN t = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM e JOIN h ON e.date = h.date AND e.key = h.key AND e.k = h.k WHERE later = 6 AND e.sigma <> 0")
 def lbl_1(spark, d):
-    return barriers(spark, d).select("date", "key", "days", "hit", tidy("outcome").alias("outcome"), "weight")
+    return barriers(spark, d, False).select("date", "key", "days", "hit", tidy("outcome").alias("outcome"), "weight")
 
 
 @query("lbl_2_event_barrier", f"WITH {BARRIER} SELECT e.date, e.key, (t > 0 AND dn)::INT AS meta, CASE WHEN t = 0 THEN sign(c / e.close - 1) WHEN up THEN 1 ELSE -1 END::INT AS side FROM e JOIN h ON e.date = h.date AND e.key = h.key AND e.k = h.k WHERE day(e.date) <= 7")
 def lbl_2(spark, d):
-    events = barriers(spark, d).where(F.day("date") <= 7)
+    events = barriers(spark, d, True).where(F.day("date") <= 7)
     side = F.when(F.col("hit") == "time", F.signum("outcome")).when(F.col("hit") == "up", 1).otherwise(-1)
     return events.select("date", "key", (F.col("hit") == "down").cast("int").alias("meta"), side.cast("int").alias("side"))
 
@@ -304,10 +304,13 @@ def wf_4(spark, d):
     return rows.where("part = 'train'").groupBy("fold").agg(F.max("date").alias("effective"))
 
 
-@query("wf_5_cutoff_ladder", "WITH c AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1999-01-01', INTERVAL 90 DAY))::DATE AS cutoff UNION ALL SELECT DATE '1997-05-05'), g AS (SELECT cutoff, (cutoff - lag(cutoff) OVER (ORDER BY cutoff))::INT AS gap FROM c) SELECT cutoff, gap, CASE WHEN gap = 0 THEN 'duplicate' WHEN gap <> 90 THEN 'uneven' END AS problem FROM g")
+@query("wf_5_cutoff_ladder", "WITH b AS (SELECT min(o_orderdate)::DATE AS b FROM orders), s AS (SELECT DISTINCT date_diff('day', b, o_orderdate::DATE) // 90 AS step FROM orders, b), c AS (SELECT (b + (step * 90)::INT)::DATE AS cutoff FROM s, b UNION ALL SELECT (b + 400)::DATE FROM b UNION ALL SELECT (b + 180)::DATE FROM b), g AS (SELECT cutoff, (cutoff - lag(cutoff) OVER (ORDER BY cutoff))::INT AS gap FROM c) SELECT cutoff, gap, CASE WHEN gap = 0 THEN 'duplicate' WHEN gap <> 90 THEN 'uneven' END AS problem FROM g")
 def wf_5(spark, d):
-    ladder = spark.range(1).select(F.explode(F.expr("sequence(date'1996-01-01', date'1999-01-01', interval 90 day)")).alias("cutoff"))
-    return W.ladder_checks(ladder.union(spark.range(1).select(F.lit("1997-05-05").cast("date"))))
+    """A ladder of every 90 days with an order, with one cutoff twice and one out of step."""
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))
+    begin = days.agg(F.min("date").alias("b"))
+    steps = days.join(F.broadcast(begin)).select(F.expr("date_add(b, cast(floor(datediff(date, b) / 90) * 90 as int))").alias("cutoff")).distinct()
+    return W.ladder_checks(steps.union(begin.select(F.date_add("b", 400))).union(begin.select(F.date_add("b", 180))))
 
 
 @query("wf_6_three_way", f"WITH {SM} SELECT CASE WHEN date < DATE '1999-06-01' - 180 THEN 'train' WHEN date < DATE '1999-06-01' THEN 'val' ELSE 'test' END AS split, count(*)::BIGINT AS n, count(DISTINCT key)::BIGINT AS keys FROM sm GROUP BY 1")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import tidy
+from ..functions.scalar import t_quantile, tidy
 from ..operators import metrics as M
 from ..operators import portfolio as P
 from ..operators import resample as S
@@ -40,6 +40,13 @@ def st_2(spark, d):
     return p.agg(F.count("*").alias("n"), tidy(F.sum("permuted"), 6).alias("total"), tidy(F.min("permuted")).alias("low"), tidy(F.median("permuted")).alias("mid"), (F.avg((F.col("y") != F.col("permuted")).cast("int")) > 0.9).alias("moved"))
 
 
+#: The within-date permutation of y under n seeds, its ranks and its rank correlation with x2.
+DEALT = """dl AS (SELECT a.seed, a.date, a.key, a.x2, b.y AS p FROM (SELECT seed, date, key, x2, y, row_number() OVER (PARTITION BY seed, date ORDER BY key) AS i FROM sm, (SELECT unnest(range(0, {n})) AS seed) WHERE y IS NOT NULL) a
+JOIN (SELECT seed, date, y, row_number() OVER (PARTITION BY seed, date ORDER BY md5(seed || '|' || key || '|' || date), key) AS i FROM sm, (SELECT unnest(range(0, {n})) AS seed) WHERE y IS NOT NULL) b ON a.seed = b.seed AND a.date = b.date AND a.i = b.i),
+dk AS (SELECT seed, date, rank() OVER (PARTITION BY seed, date ORDER BY x2) + (count(*) OVER (PARTITION BY seed, date, x2) - 1) / 2.0 AS a, rank() OVER (PARTITION BY seed, date ORDER BY p) + (count(*) OVER (PARTITION BY seed, date, p) - 1) / 2.0 AS b FROM dl),
+dc AS (SELECT seed, date, CASE WHEN count(*) >= 2 THEN covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) END AS ic FROM dk GROUP BY 1, 2)"""
+
+
 BLOCKS = f"{SERIES}, bl AS (SELECT pos // 12 AS block, avg(ic) AS mean, count(*) AS n FROM se GROUP BY 1)"
 
 
@@ -95,11 +102,14 @@ def st_10(spark, d):
     return S.control_verdict(draws, 2.0).select("control", "n", tidy("t", 6).alias("t"), "verdict")
 
 
-@query("st_11_critical_value", "SELECT 20::BIGINT AS seeds, true AS above_student")
+@query("st_11_critical_value", f"""WITH {SM}, {DEALT.format(n=20)}, pb AS (SELECT seed, ic, row_number() OVER (PARTITION BY seed ORDER BY date) - 1 AS pos FROM dc), nb AS (SELECT seed, pos // 12 AS block, avg(ic) AS mean FROM pb WHERE ic IS NOT NULL GROUP BY 1, 2),
+nt AS (SELECT seed, avg(mean) / nullif(stddev_samp(mean) / sqrt(count(*)), 0) AS t FROM nb GROUP BY 1), q AS (SELECT count(*)::BIGINT AS seeds, quantile_cont(abs(t), 0.95) AS nq FROM nt)
+SELECT seeds, {R('nq', 6)} AS null_quantile, {R('greatest(nq, 2.446911851)', 6)} AS bar, (SELECT {R('avg((abs(t) > 2.446911851)::INT)')} FROM nt) AS false_passes FROM q""")
 def st_11(spark, d):
     null = S.permutation_null(labelled(spark, d), "x2", "y", 20, 12)
     bar = S.critical_value(null, 6)
-    return null.agg(F.count("*").alias("seeds")).join(F.broadcast(bar)).select("seeds", (F.col("bar") >= 2.4).alias("above_student"))
+    rate = F.avg((F.abs("t") > F.lit(t_quantile(0.975, 6))).cast("int"))
+    return null.agg(F.count("*").alias("seeds"), tidy(rate).alias("false_passes")).join(F.broadcast(bar)).select("seeds", tidy("null_quantile", 6).alias("null_quantile"), tidy("bar", 6).alias("bar"), "false_passes")
 
 
 @query("st_12_control_rates", "SELECT (SELECT count(*) FROM nation)::BIGINT AS reps, true AS null_low, true AS signal_high")
@@ -138,12 +148,12 @@ def st_15(spark, d):
     return S.fresh_and_stale(supplier_month(spark, d), "x2", "y", 3).select("date", tidy("fresh", 8).alias("fresh"), tidy("stale", 8).alias("stale"), tidy("gain", 8).alias("gain"))
 
 
-@query("st_16_leave_one_key", f"""WITH {SM}, h AS (SELECT DISTINCT key AS held FROM sm WHERE key < 5), v AS (SELECT h.held, date, x2, y FROM sm JOIN h ON key <> h.held WHERE y IS NOT NULL),
+@query("st_16_leave_one_key", f"""WITH {SM}, h AS (SELECT DISTINCT key AS held FROM sm), v AS (SELECT h.held, date, x2, y FROM sm JOIN h ON key <> h.held WHERE y IS NOT NULL),
 k AS (SELECT held, date, rank() OVER (PARTITION BY held, date ORDER BY x2) + (count(*) OVER (PARTITION BY held, date, x2) - 1) / 2.0 AS a, rank() OVER (PARTITION BY held, date ORDER BY y) + (count(*) OVER (PARTITION BY held, date, y) - 1) / 2.0 AS b FROM v),
 c AS (SELECT held, {corr_sql('a', 'b')} AS ic FROM k GROUP BY held, date) SELECT held, {R('avg(ic)', 8)} AS mean FROM c GROUP BY 1""")
 def st_16(spark, d):
     panel = labelled(spark, d)
-    held = supplier_month(spark, d).where("key < 5").select(F.col("key").alias("held")).distinct()
+    held = supplier_month(spark, d).select(F.col("key").alias("held")).distinct()
     return S.hold_out_keys(panel, "x2", "y", held).select("held", tidy("mean", 8).alias("mean"))
 
 
@@ -153,13 +163,12 @@ def st_17(spark, d):
     return S.paired_difference(cells, "even", "odd").select("date", tidy("diff", 8).alias("diff"))
 
 
-@query("st_18_clean_ic", f"WITH {IC} SELECT date, 3::BIGINT AS seeds FROM ics")
+@query("st_18_clean_ic", f"WITH {IC}, {DEALT.format(n=3)}, pl AS (SELECT date, avg(ic) AS placebo, count(*)::BIGINT AS seeds FROM dc GROUP BY 1) SELECT date, seeds, {R('ic - placebo', 8)} AS clean FROM ics JOIN pl USING (date)")
 def st_18(spark, d):
     panel = labelled(spark, d)
-    dealt = S.permute_within(panel, "y", 3).join(panel.select("date", "key", "x2"), ["date", "key"])
-    placebo = M.rank_ic(dealt, "x2", "permuted", by=("seed", "date")).select("seed", "date", F.col("ic").alias("p"))
-    clean = ics(spark, d).join(placebo, "date")
-    return clean.groupBy("date").agg(F.countDistinct("seed").alias("seeds"))
+    dealt = S.permute_within(panel, "y", 3, carry=("x2",))
+    placebo = M.rank_ic(dealt, "x2", "permuted", by=("seed", "date")).groupBy("date").agg(F.avg("ic").alias("placebo"), F.count("*").alias("seeds"))
+    return ics(spark, d).join(placebo, "date").select("date", "seeds", tidy(F.col("ic") - F.col("placebo"), 8).alias("clean"))
 
 
 @query("st_19_maturity_gate", f"""WITH {BLOCKS} SELECT CASE WHEN (SELECT count(*) FROM se) < 24 THEN 'REFUSED_SHORT' WHEN count(*) < 5 THEN 'REFUSED_BLOCKS' WHEN stddev_samp(mean) = 0 THEN 'REFUSED_FLAT' ELSE 'EVALUATED' END AS status, count(*)::BIGINT AS blocks FROM bl""")

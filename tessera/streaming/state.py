@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import business_day_add, pct_rank
@@ -35,8 +35,9 @@ def rolling_buffer(rows: DataFrame, length: int) -> DataFrame:
 
 def warm_up(history: DataFrame, length: int) -> DataFrame:
     """key, values: the last `length` - 1 values of each key, to start buffers from."""
-    last = F.sort_array(F.collect_list(F.struct("date", "value")))
-    return history.groupBy("key").agg(last.alias("_v")).select("key", F.transform(F.slice("_v", F.greatest(F.size("_v") - length + 2, F.lit(1)), F.lit(length - 1)), lambda s: s["value"]).alias("values"))
+    newest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("date"), F.desc("value")))
+    last = history.withColumn("_n", newest).where(F.col("_n") < length)
+    return last.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "value"))), lambda s: s["value"]).alias("values"))
 
 
 def mature(date: Column, asof: str, horizon: int, settle: int) -> Column:
@@ -45,12 +46,14 @@ def mature(date: Column, asof: str, horizon: int, settle: int) -> Column:
 
 
 def split_sinks(rows: DataFrame, good: Column, accepted: str, refused: str):
-    """A foreachBatch function that sends rows to two Parquet tables by a predicate; nothing is cut or dropped."""
+    """A foreachBatch function that sends rows to two Parquet tables by a predicate; nothing is cut or dropped.
+
+    Each batch has a partition of its own, which a repeated batch overwrites.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        marked = batch.withColumn("_batch", F.lit(number))
-        marked.where(good).write.mode("append").parquet(accepted)
-        marked.where(~F.coalesce(good, F.lit(False))).write.mode("append").parquet(refused)
+        for rows, place in ((batch.where(good), accepted), (batch.where(~F.coalesce(good, F.lit(False))), refused)):
+            rows.write.mode("overwrite").parquet(f"{place}/_batch={number}")
 
     return write
 

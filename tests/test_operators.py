@@ -99,7 +99,21 @@ def test_bootstrap_mean_is_near(spark):
 def test_triple_barrier_by_hand(spark):
     bars = spark.createDataFrame([("k", i, c, 0.1) for i, c in enumerate([100.0, 105.0, 111.0, 95.0, 96.0])], "key string, date int, close double, s double")
     got = {r.date: (r.hit, r.days) for r in L.triple_barrier(bars, 2, 1.0, 1.0, "s").collect()}
-    assert got == {0: ("up", 2), 1: ("time", 2), 2: ("down", 1), 3: ("time", 1), 4: (None, None)}
+    assert got == {0: ("up", 2), 1: ("time", 2), 2: ("down", 1), 3: (None, None), 4: (None, None)}
+    short = {r.date: (r.hit, r.days) for r in L.triple_barrier(bars, 2, 1.0, 1.0, "s", short_exit=True).collect()}
+    assert short == got | {3: ("time", 1)}
+
+
+def test_triple_barrier_of_odd_rows(spark):
+    closes = [100.0, None, float("nan"), 120.0, 100.0, None, 100.0, 100.0, 100.0]
+    bars = spark.createDataFrame([("k", i, c, 0.0 if i == 4 else 0.1) for i, c in enumerate(closes)], "key string, date int, close double, s double")
+    got = {r.date: (r.hit, r.days, r.outcome) for r in L.triple_barrier(bars, 3, 1.0, 1.0, "s").collect()}
+    # Gaps count as days; a sigma of 0, a close that is no number, and the last three rows have no label.
+    assert got[0][:2] == ("up", 3) and abs(got[0][2] - 0.2) < 1e-12
+    assert [got[i][0] for i in range(1, 9)] == [None, None, "down", None, None, None, None, None]
+    late = spark.createDataFrame([("k", i, c, 0.1) for i, c in enumerate([100.0, 101.0, None])], "key string, date int, close double, s double")
+    first = L.triple_barrier(late, 2, 1.0, 1.0, "s").where("date = 0").first()
+    assert (first.hit, first.days, first.outcome, first.weight) == ("time", 2, None, 0.5)
 
 
 def test_inverse_normal_and_student(spark):
