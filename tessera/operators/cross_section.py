@@ -29,8 +29,12 @@ def transform_features(df: DataFrame, moments: list[tuple], *, bound: float = 5.
 def fit_robust(df: DataFrame, features: list[str]) -> DataFrame:
     """feature, mean (the median), std (1.4826 times the median absolute deviation)."""
     long = df.unpivot([], features, "feature", "x").where(F.col("x").isNotNull())
-    centre = long.groupBy("feature").agg(F.median("x").alias("mean"))
-    return long.join(F.broadcast(centre), "feature").groupBy("feature", "mean").agg((F.median(F.abs(F.col("x") - F.col("mean"))) * 1.4826).alias("std"))
+    from .metrics import exact_quantiles
+
+    median = lambda t, name: exact_quantiles(t, "x", [0.5], ("feature",)).select("feature", F.col("q").alias(name))
+    centre = median(long, "mean")
+    off = long.join(F.broadcast(centre), "feature").select("feature", F.abs(F.col("x") - F.col("mean")).alias("x"))
+    return centre.join(median(off, "_mad"), "feature").select("feature", "mean", (F.col("_mad") * 1.4826).alias("std"))
 
 
 def fit_moments(df: DataFrame, features: list[str], floor: float = 1e-9) -> DataFrame:

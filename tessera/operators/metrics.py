@@ -44,17 +44,27 @@ def pooled_rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
     Ranks come from counts per value: a range-partitioned running sum with per-partition offsets, so no task holds all rows.
     """
+    # Pairs of values are counted first, so that a value that very many rows have is a few rows in the joins.
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_c"))
+    total = lambda e: F.sum(F.col("_c") * e)
+    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c, r in ((x, "_rx"), (y, "_ry")):
-        df = df.join(global_ranks(df, c, r), c)
-    return df.agg(correlation("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+        pairs = pairs.join(global_ranks(whole, c, r), c)
+    # Ranks lie around their middle, which keeps the sums small.
+    middle = pairs.agg((F.sum("_c") / 2).alias("_m"))
+    a, b = F.col("_rx") - F.col("_m"), F.col("_ry") - F.col("_m")
+    sums = pairs.join(F.broadcast(middle)).agg(F.sum("_c").alias("n"), total(a).alias("a"), total(b).alias("b"), total(a * b).alias("ab"), total(a * a).alias("aa"), total(b * b).alias("bb"))
+    n = F.col("n")
+    spread = F.sqrt((F.col("aa") - F.col("a") * F.col("a") / n) * (F.col("bb") - F.col("b") * F.col("b") / n))
+    return sums.select(((F.col("ab") - F.col("a") * F.col("b") / n) / F.nullif(spread, F.lit(0.0))).alias("rho"), F.coalesce(n, F.lit(0)).alias("n"))
 
 
-def global_ranks(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
+def global_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """value, name: the average rank of each distinct value over the whole table.
 
     Values are dealt into ordered ranges by quantile bounds; each range ranks its own values and adds the rows before it.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    counts, parts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), ranges_of(df)
     bounds = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("_b"))
     ranged = counts.join(F.broadcast(bounds)).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
     sums = ranged.groupBy("_r").agg(F.sum("_n").alias("_t"))
@@ -64,6 +74,48 @@ def global_ranks(df: DataFrame, value: str, name: str, parts: int = 64) -> DataF
     return ranged.join(F.broadcast(offsets), "_r").select(value, (F.col("_o") + inside + (F.col("_n") + 1) / 2).alias(name))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, share, q: quantiles over all rows of each by (of which there are few), linear between neighbours; nulls do not count.
+
+    Equal values are counted together and dealt into ordered ranges by approximate bounds. The counts
+    of the ranges tell which of them hold a wanted place; only those are put in order.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    parts = ranges_of(df)
+    bounds = counts.groupBy(*by).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)]).alias("_b"))
+    key = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    renamed = lambda t: t.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *[c for c in t.columns if c not in by])
+    beside = lambda a, b: (a.join(F.broadcast(renamed(b)), key) if by else a.join(F.broadcast(b))).drop(*[f"_k{i}" for i in range(len(by))])
+    ranged = beside(counts, bounds).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col("_v")))).drop("_b")
+    sums = ranged.groupBy(*by, "_r").agg(F.sum("_n").alias("_t"))
+    # One row per range.
+    group = Window.partitionBy(*by)
+    offsets = sums.withColumns({"_o": F.coalesce(F.sum("_t").over(group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_t").over(group)})
+    wanted = offsets.select(*by, "_r", "_o", "_t", "_all", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    place = F.col("share") * (F.col("_all") - 1)
+    ends = F.explode(F.array(F.floor(place), F.ceil(place)))
+    wanted = wanted.select(*by, "_r", "_o", "_t", "share", place.alias("_place"), ends.alias("_p")).where((F.col("_p") >= F.col("_o")) & (F.col("_p") < F.col("_o") + F.col("_t"))).distinct()
+    wanted = wanted.withColumnRenamed("_r", "_w")
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = F.broadcast(renamed(wanted.select(*by, "_w").distinct()))
+    chosen = ranged.join(few, [*key, F.col("_r") == F.col("_w")], "left_semi").withColumn("_i", inside)
+    joined = chosen.join(F.broadcast(renamed(wanted)), [*key, F.col("_r") == F.col("_w")])
+    hit = joined.where((F.col("_p") >= F.col("_o") + F.col("_i")) & (F.col("_p") < F.col("_o") + F.col("_i") + F.col("_n")))
+    low, high = F.min_by("_v", "_p"), F.max_by("_v", "_p")
+    return hit.groupBy(*by, "share").agg((low + (high - low) * (F.first("_place") - F.floor(F.first("_place")))).alias("q"))
+
+
+def quantile_row(df: DataFrame, value: str, names: dict[str, float]) -> DataFrame:
+    """One row with exact quantiles under the given names (null without values)."""
+    found = exact_quantiles(df, value, list(names.values()))
+    return found.agg(*[F.max(F.when(F.col("share") == s, F.col("q"))).alias(n) for n, s in names.items()])
+
+
+def ranges_of(df: DataFrame) -> int:
+    """Into how many ordered ranges a table is dealt: as many as it has tasks, and as a shuffle has parts."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
 def scale_diagnostics(df: DataFrame, label: str) -> DataFrame:
     """n, mean, std, low, high, share_large (over 0.2), mean and median of the per-date spread, standardised flag."""
     y = F.col(label)

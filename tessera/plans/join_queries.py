@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import business_day_add, correlation, tidy
+from ..operators.metrics import quantile_row
 from ..operators import cross_section as X
 from ..operators import joins as J
 from .panels import BW, SM, R, brand_bars, market_bars, supplier_month, table
@@ -197,7 +198,7 @@ SELECT (SELECT count(*) FROM l WHERE c > 1)::BIGINT AS refused, count(*)::BIGINT
 def jn_19(spark, d):
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.countDistinct("l_shipdate").alias("c"), F.to_date(F.min("l_shipdate")).alias("s"))
     joined = lines.join(table(spark, d, "orders"), "o_orderkey", "left").withColumn("x", F.when(F.col("c") == 1, F.datediff("s", F.to_date("o_orderdate"))))
-    return joined.agg(F.count(F.when(F.col("c") > 1, 1)).alias("refused"), F.count("x").alias("n"), F.min("x").cast("long").alias("low"), F.median("x").alias("mid"), F.max("x").cast("long").alias("high"))
+    return joined.agg(F.count(F.when(F.col("c") > 1, 1)).alias("refused"), F.count("x").alias("n"), F.min("x").cast("long").alias("low"), F.max("x").cast("long").alias("high")).join(F.broadcast(quantile_row(joined, "x", {"mid": 0.5})))
 
 
 @query("jn_20_departed_keys", "WITH u AS (SELECT ts::DATE AS date, user_id FROM events) SELECT DISTINCT user_id FROM u WHERE user_id NOT IN (SELECT user_id FROM u WHERE date = (SELECT max(date) FROM u))")

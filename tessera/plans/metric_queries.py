@@ -136,7 +136,7 @@ def agg_15(spark, d):
 @query("agg_16_winsor_bounds", f"{WITH} SELECT {R('quantile_cont(y, 0.005)')} AS low, {R('quantile_cont(y, 0.995)')} AS high FROM sm WHERE y IS NOT NULL AND date < DATE '1999-01-01'")
 def agg_16(spark, d):
     train = supplier_month(spark, d).where("y is not null and date < date'1999-01-01'")
-    return train.agg(F.percentile("y", F.array(F.lit(0.005), F.lit(0.995))).alias("q")).select(tidy(F.col("q")[0]).alias("low"), tidy(F.col("q")[1]).alias("high"))
+    return M.quantile_row(train, "y", {"low": 0.005, "high": 0.995}).select(tidy("low").alias("low"), tidy("high").alias("high"))
 
 
 @query("agg_17_decision_window", """WITH t AS (SELECT value > 25 AS a, event_id % 3 = 0 AS b FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-15')
@@ -195,15 +195,18 @@ SELECT count(*) FILTER (e IS NULL)::BIGINT AS nulls, count(*) FILTER (e = 0)::BI
 def agg_28(spark, d):
     v = brand_bars(spark, d).withColumn("e", F.when(F.col("volume") % 7 == 0, None).when(F.col("volume") % 5 == 0, 0).otherwise(F.col("volume") - 400))
     e = F.col("e")
-    out = v.agg(F.count(F.when(e.isNull(), 1)).alias("nulls"), F.count(F.when(e == 0, 1)).alias("zeros"), F.count(F.when(e < 0, 1)).alias("negative"), F.count(F.when(e > 0, 1)).alias("positive"), F.percentile(F.when(e > 0, e), F.array(F.lit(0.5), F.lit(0.9))).alias("q"))
-    return out.select("nulls", "zeros", "negative", "positive", F.round(F.col("q")[0], 6).alias("mid"), F.round(F.col("q")[1], 6).alias("high"))
+    out = v.agg(F.count(F.when(e.isNull(), 1)).alias("nulls"), F.count(F.when(e == 0, 1)).alias("zeros"), F.count(F.when(e < 0, 1)).alias("negative"), F.count(F.when(e > 0, 1)).alias("positive"))
+    q = M.quantile_row(v.where("e > 0"), "e", {"mid": 0.5, "high": 0.9})
+    return out.join(F.broadcast(q)).select("nulls", "zeros", "negative", "positive", F.round("mid", 6).alias("mid"), F.round("high", 6).alias("high"))
 
 
 @query("agg_29_truncation_probe", f"{WITH}, c AS (SELECT close, x1, x2 > 30 AS dropped FROM sm) SELECT {R('median(close) FILTER (dropped)', 4)} AS dropped, {R('median(close) FILTER (NOT dropped)', 4)} AS kept, {R('median(close) FILTER (dropped) / median(close) FILTER (NOT dropped)')} AS ratio, {R('avg(dropped::INT)')} AS share FROM c")
 def agg_29(spark, d):
-    drop = F.col("x2") > 30
-    gone, kept = F.median(F.when(drop, F.col("close"))), F.median(F.when(~drop, F.col("close")))
-    return supplier_month(spark, d).agg(tidy(gone, 4).alias("dropped"), tidy(kept, 4).alias("kept"), tidy(gone / kept).alias("ratio"), tidy(F.avg(drop.cast("int"))).alias("share"))
+    panel = supplier_month(spark, d).withColumn("drop", F.col("x2") > 30)
+    middle = M.exact_quantiles(panel, "close", [0.5], ("drop",))
+    gone, kept = (F.max(F.when(c, F.col("q"))) for c in (F.col("drop"), ~F.col("drop")))
+    share = panel.agg(F.avg(F.col("drop").cast("int")).alias("share"))
+    return middle.agg(gone.alias("g"), kept.alias("k")).join(F.broadcast(share)).select(tidy("g", 4).alias("dropped"), tidy("k", 4).alias("kept"), tidy(F.col("g") / F.col("k")).alias("ratio"), tidy("share").alias("share"))
 
 
 @query("agg_30_survivorship", f"WITH {UD} SELECT min(date) AS first, max(date) AS last, count(DISTINCT date)::BIGINT AS dates, count(DISTINCT key)::BIGINT AS keys, (SELECT count(DISTINCT key) FROM ud WHERE date = (SELECT max(date) FROM ud))::BIGINT AS final_keys, (SELECT count(DISTINCT key) FROM ud WHERE key NOT IN (SELECT key FROM ud WHERE date = (SELECT max(date) FROM ud)))::BIGINT AS departed FROM ud")

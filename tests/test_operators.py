@@ -132,3 +132,60 @@ def test_empty_tables(spark):
     assert X.drop_collapsed_mode(empty, "x").count() == 0
     assert RS.permute_within(empty, "y", 2).count() == 0
     assert RS.holm(spark.createDataFrame([], "name string, p double")).count() == 0
+
+
+def test_exact_quantiles_follow_numpy(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 1.0, 1.0, r.random(), -5.0 * r.random()])) for _ in range(700)] + [("one", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = [0.0, 0.005, 0.25, 0.5, 0.9, 1.0]
+    got = {(x.g, x.share): x.q for x in M.exact_quantiles(df, "v", shares, ("g",)).collect()}
+    for g in ("a", "b", None, "one"):
+        values = [v for k, v in rows if k == g and v is not None]
+        assert np.allclose([got[g, s] for s in shares], np.quantile(values, shares))
+    whole = {x.share: x.q for x in M.exact_quantiles(df, "v", shares).collect()}
+    assert np.allclose([whole[s] for s in shares], np.quantile([v for _, v in rows if v is not None], shares))
+    assert M.quantile_row(df.where("false"), "v", {"mid": 0.5}).collect()[0].mid is None
+
+
+def test_pooled_rank_correlation_with_ties(spark):
+    r = random.Random(5)
+    rows = [(r.choice([1.0, 1.0, None, r.random()]), r.choice([2.0, r.random()])) for _ in range(400)]
+    got = M.pooled_rank_correlation(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+    frame = pd.DataFrame(rows, columns=["x", "y"]).dropna()
+    assert got.n == len(frame) and np.isclose(got.rho, frame.x.rank().corr(frame.y.rank()))
+    assert M.pooled_rank_correlation(spark.createDataFrame([], "x double, y double"), "x", "y").first().n == 0
+
+
+def test_repeated_batches_leave_one_copy(spark, tmp_path):
+    from tessera.streaming import state as ST
+
+    batch = spark.createDataFrame([(i, i % 3 == 0) for i in range(20)], "i int, ok boolean")
+    write = ST.split_sinks(batch, F.col("ok"), f"{tmp_path}/good", f"{tmp_path}/late")
+    for number in (0, 0, 1, 0):
+        write(batch, number)
+    assert spark.read.parquet(f"{tmp_path}/good").count() == 14 and spark.read.parquet(f"{tmp_path}/late").count() == 26
+
+
+def test_warm_up_keeps_the_newest(spark):
+    from tessera.streaming import state as ST
+
+    rows = spark.createDataFrame([("a", d, float(d)) for d in range(50)] + [("b", 1, 9.0)], "key string, date int, value double").repartition(4)
+    assert {r.key: r["values"] for r in ST.warm_up(rows, 4).collect()} == {"a": [47.0, 48.0, 49.0], "b": [9.0]}
+
+
+def test_patched_links_are_found(spark):
+    from tessera.operators import quality as Q
+
+    rows = spark.createDataFrame([(c, i, f"t{i}", f"{c}-{i}") for c in (1, 2) for i in range(6)], "chain long, row_index int, text string, k string")
+    ledger = Q.chain_hashes(rows, "row_index", "text")
+    assert Q.chain_violations(ledger, "row_index", "text", "k").count() == 0
+    held = {(r.chain, r.row_index): r.asDict() for r in ledger.collect()}
+    import hashlib
+
+    held[1, 2]["text"] = "forged"
+    held[1, 2]["row_sha"] = hashlib.sha256(f"2|forged|{held[1, 2]['prev_row_sha']}".encode()).hexdigest()
+    held[1, 3]["prev_row_sha"] = held[1, 2]["row_sha"]
+    forged = spark.createDataFrame(list(held.values()), ledger.schema)
+    found = Q.chain_violations(forged, "row_index", "text", "k").collect()
+    assert [(r.chain, r.row_index, r.problem) for r in found] == [(1, 3, "altered")]
