@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import avg_rank, col, correlation, t_statistic
 
 
+#: Numbers of permutations are drawn below this prime; their squares fit into 64 bits.
+PRIME = (1 << 31) - 1
+
+
 def uniform(*columns) -> Column:
     """A number in [0, 1) from a hash of the columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -30,12 +34,18 @@ def seeds(n: int) -> Column:
 def permute_within(df: DataFrame, value: str, n_seeds: int, *, date: str = "date", key: str = "key", carry: tuple[str, ...] = ()) -> DataFrame:
     """seed, date, key, value, carry, permuted: each seed deals a date's values anew to its keys; every date keeps its values.
 
-    The i-th key of a date gets the value of the key with the i-th MD5 of seed, key and date. A date's
-    cross-section is one array, put in both orders where it lies: one shuffle for all seeds.
+    The i-th key of a date gets the value of the key with the i-th number, which is drawn for seed and
+    key from the MD5 of key and date. A date's cross-section is one array, put in both orders where it
+    lies: one shuffle for all seeds.
     """
-    own = df.groupBy(date).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"), F.col(value).alias("_v"), *carry))).alias("_a"))
-    seeded = own.select(date, "_a", seeds(n_seeds).alias("seed"))
-    hashed = F.transform("_a", lambda r: F.struct(F.md5(F.concat_ws("|", F.col("seed").cast("string"), r["_k"].cast("string"), F.col(date).cast("string"))).alias("h"), r["_k"].alias("k"), r["_v"].alias("v")))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(date).cast("string"))), 1, 7), 16, 10).cast("long")
+    # The seeds multiply the rows behind the shuffle, so its parts must not be joined for being small.
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), date)
+    own = spread.groupBy(date).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"), F.col(value).alias("_v"), number.alias("_h"), *carry))).alias("_a"))
+    seeded = own.select(date, "_a", seeds(n_seeds).alias("seed")).withColumn("_m", F.pmod((F.col("seed").cast("long") + 1) * F.lit(1103515245) + 12345, F.lit(PRIME - 1).cast("long")) + 1)
+    once = lambda r: F.pmod(r["_h"] * F.col("_m"), F.lit(PRIME))
+    hashed = F.transform(F.transform("_a", lambda r: F.struct(once(r).alias("h"), r["_v"].alias("v"))), lambda r: F.struct(F.pmod(r["h"] * r["h"] + F.col("_m"), F.lit(PRIME)).alias("h"), r["v"].alias("v")))
+    # Equal numbers, which are rare, go by value.
     dealt = F.transform(F.sort_array(hashed), lambda r: r["v"])
     rows = seeded.select("seed", date, F.explode(F.arrays_zip(F.col("_a").alias("a"), dealt.alias("p"))).alias("_r"))
     return rows.select("seed", date, F.col("_r.a._k").alias(key), F.col("_r.a._v").alias(value), *[F.col(f"_r.a.{c}").alias(c) for c in carry], F.col("_r.p").alias("permuted"))

@@ -42,7 +42,7 @@ def st_2(spark, d):
 
 #: The within-date permutation of y under n seeds, its ranks and its rank correlation with x2.
 DEALT = """dl AS (SELECT a.seed, a.date, a.key, a.x2, b.y AS p FROM (SELECT seed, date, key, x2, y, row_number() OVER (PARTITION BY seed, date ORDER BY key) AS i FROM sm, (SELECT unnest(range(0, {n})) AS seed) WHERE y IS NOT NULL) a
-JOIN (SELECT seed, date, y, row_number() OVER (PARTITION BY seed, date ORDER BY md5(seed || '|' || key || '|' || date), key) AS i FROM sm, (SELECT unnest(range(0, {n})) AS seed) WHERE y IS NOT NULL) b ON a.seed = b.seed AND a.date = b.date AND a.i = b.i),
+JOIN (SELECT seed, date, y, row_number() OVER (PARTITION BY seed, date ORDER BY (x * x + m) % 2147483647, y) AS i FROM (SELECT seed, date, y, m, h * m % 2147483647 AS x FROM (SELECT seed, date, y, 1 + ((seed + 1) * 1103515245 + 12345) % 2147483646 AS m, ('0x' || substr(md5(key || '|' || date), 1, 7))::BIGINT AS h FROM sm, (SELECT unnest(range(0, {n})) AS seed) WHERE y IS NOT NULL))) b ON a.seed = b.seed AND a.date = b.date AND a.i = b.i),
 dk AS (SELECT seed, date, rank() OVER (PARTITION BY seed, date ORDER BY x2) + (count(*) OVER (PARTITION BY seed, date, x2) - 1) / 2.0 AS a, rank() OVER (PARTITION BY seed, date ORDER BY p) + (count(*) OVER (PARTITION BY seed, date, p) - 1) / 2.0 AS b FROM dl),
 dc AS (SELECT seed, date, CASE WHEN count(*) >= 2 THEN covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) END AS ic FROM dk GROUP BY 1, 2)"""
 

@@ -189,3 +189,14 @@ def test_patched_links_are_found(spark):
     forged = spark.createDataFrame(list(held.values()), ledger.schema)
     found = Q.chain_violations(forged, "row_index", "text", "k").collect()
     assert [(r.chain, r.row_index, r.problem) for r in found] == [(1, 3, "altered")]
+
+
+def test_permutations_are_even(spark):
+    """Over many seeds each value reaches each place about equally often, and neighbours do not stay together."""
+    df = spark.createDataFrame([("d", f"k{i}", float(i)) for i in range(8)], "date string, key string, y double")
+    got = RS.permute_within(df, "y", 800).toPandas()
+    hits = got.groupby(["key", "permuted"]).size()
+    assert len(hits) == 64 and hits.min() > 60 and hits.max() < 145
+    wide = got.pivot(index="seed", columns="key", values="permuted")
+    assert abs((wide["k0"] < wide["k1"]).mean() - 0.5) < 0.08 and abs(wide["k2"].corr(wide["k3"])) < 0.25
+    assert wide["k0"].autocorr() < 0.15
