@@ -59,7 +59,7 @@ BITS = 2048
 #: Queries, and matrix rows, that one task looks at together.
 BLOCK = 512
 #: Classes of one band that are put in order together.
-BAND_ROWS = 100_000
+BAND_ROWS = 1000
 #: Ids of rows without a doc_id begin here; doc_ids lie below.
 NAMELESS = 1 << 62
 #: Neighbours within a band that a class is compared with while groups are shaped.
