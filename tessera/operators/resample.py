@@ -1,7 +1,8 @@
 """Permutations, bootstraps, blocks and dependence-aware statistics as distributed jobs.
 
-Random choices come from xxhash64 of the row's own identity and a seed. They do not depend on
+Random choices come from a hash of the row's own identity and a seed. They do not depend on
 partitions or on the order of rows, and repeat on every run; seeds are rows, not a driver loop.
+Draws of blocks use MD5, which SQL engines share.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ PRIME = (1 << 31) - 1
 
 
 def uniform(*columns) -> Column:
-    """A number in [0, 1) from a hash of the columns."""
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number in [0, 1) from the MD5 of the columns, joined by bars."""
+    digest = F.md5(F.concat_ws("|", *[col(c).cast("string") for c in columns]))
+    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40))
 
 
 def normal(*columns) -> Column:
@@ -100,27 +102,55 @@ def leave_one_out(found: DataFrame) -> DataFrame:
     return out.agg(F.min("m").alias("low"), F.max("m").alias("high"))
 
 
-def block_bootstrap(series: DataFrame, value: str, length: int, n_boot: int, seed: int, *, circular: bool = False) -> DataFrame:
-    """rep, mean of replicates that string together hashed blocks of `length` positions.
-
-    Prefix sums over the series make each drawn block two lookups; the series has one row per date.
-    """
+def _drawn_blocks(series: DataFrame, value: str, length: int, n_boot: int, seed: int, circular: bool) -> tuple[DataFrame, DataFrame]:
+    """The numbered series (i from 1, v; twice if circular), and rep, draw, a, b: blocks of the numbers above a up to b."""
     series = series.where(F.col(value).isNotNull()).select(F.row_number().over(Window.orderBy("pos")).alias("i"), F.col(value).alias("v"))
     n = series.agg(F.count("*").alias("n"))
     if circular:
         series = series.union(series.join(F.broadcast(n)).select((F.col("i") + F.col("n")).alias("i"), "v"))
-    sums = series.select("i", F.sum("v").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     count = F.ceil(F.col("n") / length)
     draws = series.sparkSession.range(n_boot).withColumnRenamed("id", "rep").join(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(1), count)))
     starts = F.col("n") if circular else F.greatest(F.lit(1), F.col("n") - length + 1)
     draws = draws.withColumn("a", F.floor(uniform("rep", "draw", F.lit(seed)) * starts))
     size = F.least(F.lit(length), F.col("n") - (F.col("draw") - 1) * length, F.when(F.lit(circular), F.lit(length)).otherwise(F.col("n") - F.col("a")))
-    draws = draws.withColumn("b", F.col("a") + size)
+    return series, draws.select("rep", "draw", "a", (F.col("a") + size).alias("b"))
+
+
+def block_bootstrap(series: DataFrame, value: str, length: int, n_boot: int, seed: int, *, circular: bool = False) -> DataFrame:
+    """rep, mean of replicates that string together hashed blocks of `length` positions.
+
+    Prefix sums over the series make each drawn block two lookups; the series has one row per date.
+    """
+    series, draws = _drawn_blocks(series, value, length, n_boot, seed, circular)
+    sums = series.select("i", F.sum("v").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     upper, lower = (sums.select(F.col("i").alias(k), F.col("s").alias(f"s{k}")) for k in ("b", "a"))
     picked = draws.join(F.broadcast(upper), "b").join(F.broadcast(lower), "a", "left")
     return picked.groupBy("rep").agg((F.sum(F.col("sb") - F.coalesce("sa", F.lit(0.0))) / F.sum(F.col("b") - F.col("a"))).alias("mean"))
 
 
+def bootstrap_difference(one: DataFrame, other: DataFrame, value: str, length: int, n_boot: int, seed: int) -> DataFrame:
+    """rep, mean: the mean of one series less that of another, each drawn anew on its own."""
+    a, b = (block_bootstrap(s, value, length, n_boot, seed + k) for k, s in enumerate((one, other)))
+    return a.withColumnRenamed("mean", "_a").join(b.withColumnRenamed("mean", "_b"), "rep").select("rep", (F.col("_a") - F.col("_b")).alias("mean"))
+
+
+def exceedance(series: DataFrame, value: str, donor: int, length: int, bar: float, n_boot: int, seed: int, least: int) -> DataFrame:
+    """replicates, donors, share: how often the block t of a centred series, strung together from circular blocks, exceeds the bar.
+
+    Blocks of `donor` positions are drawn, and t is taken over blocks of `length`; the share is null
+    with fewer than `least` whole blocks to draw from. A replicate's series has one row per date.
+    """
+    own = series.where(F.col(value).isNotNull())
+    centred = own.withColumn("_x", F.col(value) - F.avg(value).over(Window.partitionBy()))
+    numbered, draws = _drawn_blocks(centred, "_x", donor, n_boot, seed, True)
+    long = draws.select("rep", "draw", F.posexplode(F.sequence(F.col("a") + 1, F.col("b"))).alias("k", "i"))
+    strung = long.join(F.broadcast(numbered), "i").select("rep", ((F.col("draw") - 1) * donor + F.col("k")).alias("pos"), "v")
+    t = block_t(blocks(strung, "v", length, by=("rep",)), ("rep",))
+    donors = own.agg(F.floor(F.count("*") / donor).alias("donors"))
+    share = F.avg((F.abs("t") > bar).cast("double"))
+    return t.agg(F.count("*").alias("replicates"), share.alias("_share")).join(F.broadcast(donors)).select("replicates", "donors", F.when(F.col("donors") >= least, F.col("_share")).alias("share"))
+
+
 def bootstrap_interval(replicates: DataFrame, alpha: float = 0.05) -> DataFrame:
     """low, high, p (two-sided, of zero) from replicate means."""
     q = F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
@@ -168,6 +198,21 @@ def control_verdict(draws: DataFrame, bar: float) -> DataFrame:
     return stats.withColumn("verdict", verdict)
 
 
+def control_rates(df: DataFrame, score: str, label: str, n_seeds: int, length: int, bar: float) -> DataFrame:
+    """seeds, false_positives, power: how often |t| exceeds the bar for a score against dealt labels, and for labels mixed evenly with dealt ones.
+
+    Both controls come from the same within-date permutations of the label's ranks; t is that of block means.
+    """
+    both = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    ranked = both.select("date", "key", avg_rank(score, "date").alias("_s"), avg_rank(label, "date").alias("_l"))
+    dealt = permute_within(ranked, "_l", n_seeds, carry=("_s",))
+    ics = dealt.groupBy("seed", "date").agg(correlation("_s", "permuted").alias("none"), correlation("_l", F.col("_l") + F.col("permuted")).alias("mixed"))
+    placed = ics.withColumn("pos", F.row_number().over(Window.partitionBy("seed").orderBy("date")) - 1)
+    t = lambda c: block_t(blocks(placed, c, length, by=("seed",)), ("seed",)).select("seed", F.col("t").alias(c))
+    rate = lambda c: F.avg((F.abs(c) > bar).cast("double"))
+    return t("none").join(t("mixed"), "seed").agg(F.count("*").alias("seeds"), rate("none").alias("false_positives"), rate("mixed").alias("power"))
+
+
 def permutation_null(df: DataFrame, score: str, label: str, n_seeds: int, length: int) -> DataFrame:
     """seed, t: the block t of the rank correlation under each within-date permutation of the label."""
     # Dealing values anew deals their ranks: both sides are ranked once for all seeds.

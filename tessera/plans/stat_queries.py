@@ -41,9 +41,9 @@ def st_2(spark, d):
 
 
 #: The within-date permutation of y under n seeds, its ranks and its rank correlation with x2.
-DEALT = """dl AS (SELECT a.seed, a.date, a.key, a.x2, b.y AS p FROM (SELECT seed, date, key, x2, y, row_number() OVER (PARTITION BY seed, date ORDER BY key) AS i FROM sm, (SELECT unnest(range(0, {n})) AS seed) WHERE y IS NOT NULL) a
+DEALT = """dl AS (SELECT a.seed, a.date, a.key, a.x2, a.y, b.y AS p FROM (SELECT seed, date, key, x2, y, row_number() OVER (PARTITION BY seed, date ORDER BY key) AS i FROM sm, (SELECT unnest(range(0, {n})) AS seed) WHERE y IS NOT NULL) a
 JOIN (SELECT seed, date, y, row_number() OVER (PARTITION BY seed, date ORDER BY (x * x + m) % 2147483647, y) AS i FROM (SELECT seed, date, y, m, h * m % 2147483647 AS x FROM (SELECT seed, date, y, 1 + ((seed + 1) * 1103515245 + 12345) % 2147483646 AS m, ('0x' || substr(md5(key || '|' || date), 1, 7))::BIGINT AS h FROM sm, (SELECT unnest(range(0, {n})) AS seed) WHERE y IS NOT NULL))) b ON a.seed = b.seed AND a.date = b.date AND a.i = b.i),
-dk AS (SELECT seed, date, rank() OVER (PARTITION BY seed, date ORDER BY x2) + (count(*) OVER (PARTITION BY seed, date, x2) - 1) / 2.0 AS a, rank() OVER (PARTITION BY seed, date ORDER BY p) + (count(*) OVER (PARTITION BY seed, date, p) - 1) / 2.0 AS b FROM dl),
+dk AS (SELECT seed, date, rank() OVER (PARTITION BY seed, date ORDER BY x2) + (count(*) OVER (PARTITION BY seed, date, x2) - 1) / 2.0 AS a, rank() OVER (PARTITION BY seed, date ORDER BY p) + (count(*) OVER (PARTITION BY seed, date, p) - 1) / 2.0 AS b, rank() OVER (PARTITION BY seed, date ORDER BY y) + (count(*) OVER (PARTITION BY seed, date, y) - 1) / 2.0 AS c FROM dl),
 dc AS (SELECT seed, date, CASE WHEN count(*) >= 2 THEN covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) END AS ic FROM dk GROUP BY 1, 2)"""
 
 
@@ -65,21 +65,45 @@ def st_5(spark, d):
     return S.leave_one_out(S.blocks(series(spark, d), "ic", 12)).select(tidy("low", 8).alias("low"), tidy("high", 8).alias("high"))
 
 
-@query("st_6_block_bootstrap", "SELECT 1000::BIGINT AS replicates, true AS ordered, true AS holds_mean")
+def boot_sql(out: str, source: str, length: int, reps: int, seed: int, circular: bool = False) -> str:
+    """CTEs {out}i (numbered series), {out}d (drawn blocks) and {out} (rep, mean) over a CTE (pos, ic)."""
+    starts, size = ("n", length) if circular else (f"greatest(1, n - {length} + 1)", "n - a")
+    twice = f"UNION ALL SELECT i + (SELECT count(*) FROM {out}o), v FROM {out}o" if circular else ""
+    return f"""{out}o AS (SELECT row_number() OVER (ORDER BY pos) AS i, ic AS v FROM {source}), {out}i AS (SELECT i, v FROM {out}o {twice}), {out}s AS (SELECT i, sum(v) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM {out}i),
+{out}d AS (SELECT rep, draw, a, a + least({length}, n - (draw - 1) * {length}, {size}) AS b FROM (SELECT rep, draw, n, floor(('0x' || substr(md5(rep || '|' || draw || '|{seed}'), 1, 10))::BIGINT / 1099511627776::DOUBLE * {starts})::BIGINT AS a
+  FROM (SELECT unnest(range(0, {reps})) AS rep), (SELECT count(*) AS n FROM {out}o), LATERAL (SELECT unnest(range(1, (ceil(n / {length}::DOUBLE) + 1)::BIGINT)) AS draw))),
+{out} AS (SELECT rep, sum(u.s - coalesce(l.s, 0)) / sum(b - a) AS mean FROM {out}d JOIN {out}s u ON u.i = b LEFT JOIN {out}s l ON l.i = a GROUP BY 1)"""
+
+
+INTERVAL = f"SELECT count(*)::BIGINT AS replicates, {R('quantile_cont(mean, 0.025)', 8)} AS low, {R('quantile_cont(mean, 0.975)', 8)} AS high, {R('2 * least(avg((mean <= 0)::INT), 1 - avg((mean <= 0)::INT))')} AS p FROM bs"
+
+
+def interval(reps):
+    n = reps.agg(F.count("*").alias("replicates"))
+    return S.bootstrap_interval(reps).join(F.broadcast(n)).select("replicates", tidy("low", 8).alias("low"), tidy("high", 8).alias("high"), tidy("p").alias("p"))
+
+
+@query("st_6_block_bootstrap", f"WITH {SERIES}, {boot_sql('bs', 'se', 6, 1000, 3)} {INTERVAL}")
 def st_6(spark, d):
+    return interval(S.block_bootstrap(series(spark, d), "ic", 6, 1000, 3))
+
+
+@query("st_6_circular", f"WITH {SERIES}, {boot_sql('bs', 'se', 6, 1000, 4, True)} {INTERVAL}")
+def st_6_circular(spark, d):
+    return interval(S.block_bootstrap(series(spark, d), "ic", 6, 1000, 4, circular=True))
+
+
+@query("st_6_two_samples", f"WITH {SERIES}, sa AS (SELECT * FROM se WHERE pos % 2 = 0), sb AS (SELECT * FROM se WHERE pos % 2 = 1), {boot_sql('ba', 'sa', 6, 500, 5)}, {boot_sql('bb', 'sb', 6, 500, 6)}, bs AS (SELECT ba.mean - bb.mean AS mean FROM ba JOIN bb USING (rep)) {INTERVAL}")
+def st_6_two(spark, d):
     s = series(spark, d)
-    reps = S.block_bootstrap(s, "ic", 6, 1000, 3)
-    ci = S.bootstrap_interval(reps)
-    mean = s.agg(F.avg("ic").alias("m"))
-    n = reps.agg(F.count("*").alias("replicates"))
-    return ci.join(F.broadcast(mean)).join(F.broadcast(n)).select("replicates", (F.col("low") < F.col("high")).alias("ordered"), F.col("m").between(F.col("low"), F.col("high")).alias("holds_mean"))
+    return interval(S.bootstrap_difference(s.where("pos % 2 = 0"), s.where("pos % 2 = 1"), "ic", 6, 500, 5))
 
 
-@query("st_7_exceedance", "SELECT 400::BIGINT AS replicates, true AS within")
+@query("st_7_exceedance", f"""WITH {SERIES}, ce AS (SELECT pos, ic - avg(ic) OVER () AS ic FROM se), {boot_sql('bs', 'ce', 6, 400, 9, True)}, ln AS (SELECT rep, draw, a, unnest(range(a + 1, b + 1)) AS i FROM bsd), st AS (SELECT rep, ((draw - 1) * 6 + i - a - 1) // 12 AS block, v FROM ln JOIN bsi USING (i)),
+sb AS (SELECT rep, block, avg(v) AS mean FROM st GROUP BY 1, 2), tt AS (SELECT rep, avg(mean) / nullif(stddev_samp(mean) / sqrt(count(*)), 0) AS t FROM sb GROUP BY 1)
+SELECT count(*)::BIGINT AS replicates, (SELECT count(*) // 6 FROM se)::BIGINT AS donors, {R('avg((abs(t) > 1.96)::INT)')} AS share FROM tt""")
 def st_7(spark, d):
-    reps = S.block_bootstrap(series(spark, d), "ic", 6, 400, 9, circular=True)
-    z = reps.withColumn("z", (F.col("mean") - F.avg("mean").over(Window.partitionBy())) / F.stddev_samp("mean").over(Window.partitionBy()))
-    return z.agg(F.count("*").alias("replicates"), F.avg((F.abs("z") > 1.96).cast("double")).between(0.0, 0.12).alias("within"))
+    return S.exceedance(series(spark, d), "ic", 6, 12, 1.96, 400, 9, 5).select("replicates", "donors", tidy("share").alias("share"))
 
 
 NW = "g AS (SELECT (SELECT avg(ic) FROM se) AS m, (SELECT count(*) FROM se) AS n), l AS (SELECT k.lag, sum((a.ic - m) * (b.ic - m)) / any_value(n) AS s FROM se a JOIN (SELECT unnest(range(0, 7)) AS lag) k ON true JOIN se b ON b.pos = a.pos - k.lag, g GROUP BY 1)"
@@ -112,12 +136,12 @@ def st_11(spark, d):
     return null.agg(F.count("*").alias("seeds"), tidy(rate).alias("false_passes")).join(F.broadcast(bar)).select("seeds", tidy("null_quantile", 6).alias("null_quantile"), tidy("bar", 6).alias("bar"), "false_passes")
 
 
-@query("st_12_control_rates", "SELECT (SELECT count(*) FROM nation)::BIGINT AS reps, true AS null_low, true AS signal_high")
+@query("st_12_control_rates", f"""WITH {SM}, {DEALT.format(n=20)}, mi AS (SELECT seed, date, {corr_sql('c', 'c + b')} AS mixed FROM dk GROUP BY 1, 2), pb AS (SELECT seed, ic, mixed, row_number() OVER (PARTITION BY seed ORDER BY date) - 1 AS pos FROM dc JOIN mi USING (seed, date)),
+bm AS (SELECT seed, pos // 12 AS block, avg(ic) AS x, avg(mixed) AS z FROM pb GROUP BY 1, 2), bt AS (SELECT seed, avg(x) / nullif(stddev_samp(x) / sqrt(count(x)), 0) AS t0, avg(z) / nullif(stddev_samp(z) / sqrt(count(z)), 0) AS t1 FROM bm GROUP BY 1)
+SELECT count(*)::BIGINT AS seeds, {R('avg((abs(t0) > 2)::INT)')} AS false_positives, {R('avg((abs(t1) > 2)::INT)')} AS power FROM bt""")
 def st_12(spark, d):
-    reps = table(spark, d, "nation").select(F.col("n_nationkey").alias("rep"), F.explode(F.sequence(F.lit(1), F.lit(200))).alias("i"))
-    draws = reps.withColumn("x", S.normal("rep", "i"))
-    t = draws.groupBy("rep").agg(S.t_statistic("x").alias("t0"), S.t_statistic(F.col("x") + 0.5).alias("t1"))
-    return t.agg(F.count("*").alias("reps"), (F.avg((F.abs("t0") > 1.96).cast("double")) <= 0.24).alias("null_low"), (F.avg((F.abs("t1") > 1.96).cast("double")) >= 0.9).alias("signal_high"))
+    rates = S.control_rates(labelled(spark, d), "x2", "y", 20, 12, 2.0)
+    return rates.select("seeds", tidy("false_positives").alias("false_positives"), tidy("power").alias("power"))
 
 
 @query("st_13_holm", """WITH t AS (SELECT n_name AS name, (n_nationkey * 37 % 25)::DOUBLE / 4000 AS p FROM nation), o AS (SELECT *, p <= 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) AS ok FROM t)
