@@ -64,13 +64,13 @@ def linear_score(weights: dict[str, float], bound: float = 5.0):
     return out
 
 
-def fit_trees(df: DataFrame, features: list[str], label: str, *, classify: bool = False, rounds: int = 10, depth: int = 3, seed: int = 1):
+def fit_trees(df: DataFrame, features: list[str], label: str, *, classify: bool = False, rounds: int = 10, depth: int = 3, seed: int = 1, least: int = 20, share: float = 0.7):
     """Gradient-boosted trees on a label (for ranking: its percentile rank within the date)."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.regression import GBTRegressor
 
     kind = GBTClassifier if classify else GBTRegressor
-    return kind(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, minInstancesPerNode=20, subsamplingRate=0.7, seed=seed).fit(_vectors(df, features))
+    return kind(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, minInstancesPerNode=least, subsamplingRate=share, seed=seed).fit(_vectors(df, features))
 
 
 def score(model, df: DataFrame, features: list[str], name: str = "score") -> DataFrame:
@@ -93,6 +93,37 @@ def importance(model, features: list[str], spark) -> DataFrame:
     return table.withColumn("cumulative", F.sum("gain").over(w))
 
 
+def fit_by_fold(rows: DataFrame, features: list[str], fit, *, normalise: bool = True) -> DataFrame:
+    """All columns of rows (fold, part, ...) and score: each fold's model, fitted on its part 'train', scores both of its parts.
+
+    rows is the long form of all folds. With normalise, features become z-scores by the moments of the
+    fold's own train rows. fit takes the fold's train rows and gives a model. Folds are as many as there
+    are models to fit; their number and each fold's moments are all that the driver sees. rows is written
+    once, since every fold reads it several times.
+    """
+    from ..sources.scratch import written
+    from .cross_section import fit_moments
+
+    rows, out = written(rows), None
+    for (fold,) in rows.select("fold").distinct().orderBy("fold").collect():
+        own = rows.where(F.col("fold") == fold)
+        scaled = own
+        if normalise:
+            moments = {r["feature"]: (r["mean"], r["std"]) for r in fit_moments(own.where("part = 'train'").select(*[F.col(f).cast("double") for f in features]), features).collect()}
+            scaled = own.withColumns({f: (F.col(f) - moments[f][0]) / moments[f][1] for f in features})
+        scored = score(fit(scaled.where("part = 'train'")), scaled, features)
+        out = scored if out is None else out.unionByName(scored)
+    return out if out is not None else rows.withColumn("score", F.lit(None).cast("double"))
+
+
+def hit_label(df: DataFrame, value: str, threshold: float | None, name: str = "hit") -> DataFrame:
+    """Adds 1.0 where the value reaches the threshold, or its date's median where that is None, else 0.0; null stays null."""
+    if threshold is not None:
+        return df.withColumn(name, (F.col(value) >= threshold).cast("double"))
+    medians = df.groupBy("date").agg(F.median(value).alias("_m"))
+    return df.join(medians, "date").withColumn(name, (F.col(value) >= F.col("_m")).cast("double")).drop("_m")
+
+
 def fit_calibration(df: DataFrame, x: str, y: str, spark) -> DataFrame:
     """x, y: breakpoints of an isotonic fit of y on x."""
     from pyspark.ml.regression import IsotonicRegression
@@ -102,6 +133,50 @@ def fit_calibration(df: DataFrame, x: str, y: str, spark) -> DataFrame:
     return spark.range(1).select(points.alias("p")).select("p.*")
 
 
+def _curve(df: DataFrame, x: str, estimator, link, n_points: int) -> DataFrame:
+    """x, y: a fitted curve over the standardised x at evenly spaced points between its least and largest value."""
+    found = df.where(F.col(x).isNotNull()).agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n")).first()
+    if not found["n"]:
+        return df.sparkSession.createDataFrame([], "x double, y double")
+    sd = found["s"] if found["s"] > 1e-12 else 1.0
+    lo, hi = (found["lo"], found["hi"]) if found["hi"] - found["lo"] > 1e-12 else (found["lo"] - 1.0, found["hi"] + 1.0)
+    model = estimator(found["n"]).fit(_vectors(df.withColumn("_z", (F.col(x) - found["m"]) / sd), ["_z"]))
+    points = df.sparkSession.range(n_points).select((F.lit(float(lo)) + F.col("id") * ((hi - lo) / (n_points - 1))).alias("x"))
+    return points.withColumn("y", link(F.lit(float(model.intercept)) + F.lit(float(model.coefficients[0])) * (F.col("x") - found["m"]) / sd))
+
+
+def logistic_curve(df: DataFrame, x: str, y: str, n_points: int = 100, penalty: float = 1.0) -> DataFrame:
+    """x, y: probability breakpoints of a logistic fit of a 0/1 label, with half the penalty times the squared weight added to the loss."""
+    from pyspark.ml.classification import LogisticRegression
+
+    fit = lambda n: LogisticRegression(featuresCol="features", labelCol=y, regParam=penalty / n, standardization=False, maxIter=1000, tol=1e-12)
+    return _curve(df, x, fit, lambda t: 1 / (1 + F.exp(-t)), n_points)
+
+
+def huber_curve(df: DataFrame, x: str, y: str, bound: float, n_points: int = 100) -> DataFrame:
+    """x, y: breakpoints of a Huber fit of y, drawn into the bound by a hyperbolic tangent."""
+    from pyspark.ml.regression import LinearRegression
+
+    fit = lambda n: LinearRegression(featuresCol="features", labelCol=y, loss="huber", epsilon=1.35, standardization=False, maxIter=1000, tol=1e-10)
+    return _curve(df, x, fit, lambda t: bound * F.tanh(t / bound), n_points)
+
+
+def curve_gates(points: DataFrame, least: int = 5) -> DataFrame:
+    """distinct, flat, verdict of breakpoints (x, y): values apart at 8 digits, and the share of the x range over which y stands still."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy("x")
+    steps = points.select("x", "y", F.lead("x").over(w).alias("_x"), F.lead("y").over(w).alias("_y"))
+    still = F.sum(F.when(F.abs(F.col("_y") - F.col("y")) < 1e-9, F.col("_x") - F.col("x")).otherwise(0.0))
+    found = steps.agg(F.countDistinct(F.round("y", 8)).alias("distinct"), (still / F.nullif(F.max("x") - F.min("x"), F.lit(0.0))).alias("flat"))
+    return found.withColumn("verdict", F.when(F.col("distinct") < least, "collapsed").otherwise("ok"))
+
+
+def to_horizon(value, horizon: int, native: int):
+    """An expected return over `native` days brought to a horizon in proportion."""
+    return F.col(value) * (horizon / native)
+
+
 def calibrated(df: DataFrame, value: str, points: DataFrame, name: str = "calibrated") -> DataFrame:
     """Adds the piecewise linear value of a breakpoint table (x, y), flat beyond its ends. The table is a parameter: few rows."""
     from pyspark.sql import Window

@@ -18,7 +18,7 @@ from ..sources import sinks as K_
 from ..sources.scratch import scratch
 from ..streaming import state as ST
 from .join_queries import orders
-from .panels import SM, UD, R, supplier_month, table, user_day
+from .panels import SM, UD, R, corr_sql, supplier_month, table, user_day
 from .registry import query
 
 WITH = "WITH " + SM
@@ -58,46 +58,120 @@ def ml_2(spark, d):
     return z.select("date", "key", tidy(ML.linear_score({"x1": 0.3, "x2": 0.7})).alias("score"))
 
 
-@query("ml_3_tree_ranker", f"{WITH} SELECT count(*)::BIGINT AS n, true AS better_than_chance FROM sm WHERE y IS NOT NULL")
+#: Five folds over the months, three of them embargoed, as (fold, part, date, key, ...) in wl.
+FOLDS = f"""{SM}, ax AS (SELECT date, row_number() OVER (ORDER BY date) AS pos, (ntile(6) OVER (ORDER BY date)) - 1 AS fold FROM (SELECT DISTINCT date FROM sm WHERE y IS NOT NULL)),
+fo AS (SELECT fold, min(pos) AS first, max(pos) AS last, min(pos) - 4 AS train_last FROM ax WHERE fold > 0 GROUP BY 1),
+wl AS (SELECT fo.fold, CASE WHEN pos <= train_last THEN 'train' ELSE 'val' END AS part, sm.*, CASE WHEN x1 < 4.5 THEN 0 WHEN x1 < 5.5 THEN 1 ELSE 2 END AS level FROM sm JOIN ax USING (date) JOIN fo ON pos <= train_last OR pos BETWEEN first AND last WHERE train_last >= 20 AND y IS NOT NULL)"""
+LEVEL = "case when x1 < 4.5 then 0.0D when x1 < 5.5 then 1.0D else 2.0D end"
+
+
+def walk_forward_rows(panel):
+    from ..operators import splits as W
+
+    return panel.join(W.fold_rows(panel.select("date", "key"), W.expanding_folds(panel, 5, 3)), ["date", "key"])
+
+
+@query("ml_3_walk_forward", f"""WITH {FOLDS}, mo AS (SELECT fold, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM wl WHERE part = 'train' GROUP BY 1),
+z AS (SELECT wl.fold, part, date, key, y, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM wl JOIN mo USING (fold)),
+g AS (SELECT fold, sum(z1 * z1) AS a, sum(z1 * z2) AS b, sum(z2 * z2) AS c, sum(z1 * y) AS u, sum(z2 * y) AS v FROM z WHERE part = 'train' GROUP BY 1),
+w AS (SELECT fold, (c * u - b * v) / (a * c - b * b) AS w1, (a * v - b * u) / (a * c - b * b) AS w2 FROM g)
+SELECT fold::INT AS fold, part, date, key, {R('w1 * z1 + w2 * z2', 7)} AS score FROM z JOIN w USING (fold)""")
+def ml_3_linear(spark, d):
+    rows = walk_forward_rows(labelled(spark, d).select("date", "key", "x1", "x2", "y"))
+    scored = ML.fit_by_fold(rows, FEATURES, lambda train: ML.fit_linear(train, FEATURES, "y"))
+    return scored.select(F.col("fold").cast("int").alias("fold"), "part", "date", "key", tidy("score", 7).alias("score"))
+
+
+@query("ml_3_tree_ranker", f"""WITH {FOLDS}, rk AS (SELECT date, key, (rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2.0) / count(*) OVER (PARTITION BY date) AS target FROM sm WHERE y IS NOT NULL),
+t AS (SELECT wl.fold, part, wl.date, key, level, target FROM wl JOIN rk USING (date, key)), l AS (SELECT fold, level, avg(target) AS score FROM t WHERE part = 'train' GROUP BY 1, 2),
+s AS (SELECT t.fold, part, date, target, score, rank() OVER (PARTITION BY t.fold, date ORDER BY score) + (count(*) OVER (PARTITION BY t.fold, date, score) - 1) / 2.0 AS r FROM t JOIN l USING (fold, level)),
+i AS (SELECT fold, part, date, count(*) AS n, sum(score) AS total, {corr_sql('r', 'target')} AS ic FROM s GROUP BY 1, 2, 3)
+SELECT fold::INT AS fold, part, sum(n)::BIGINT AS n, {R('sum(total) / sum(n)', 7)} AS score, {R('avg(ic)', 6)} AS ic FROM i GROUP BY 1, 2""")
 def ml_3(spark, d):
-    panel = labelled(spark, d).withColumn("target", pct_rank("y", "date")).select("date", "key", "x1", "x2", "close", "target")
-    model = ML.fit_trees(panel, ["x1", "x2", "close"], "target")
-    scored = ML.score(model, panel, ["x1", "x2", "close"])
-    return scored.agg(F.count("*").alias("n"), (correlation("score", "target") > 0.3).alias("better_than_chance"))
+    """One tree of three levels on the percentile rank within the date: in-sample and out-of-sample rank correlation by fold."""
+    from ..operators.metrics import rank_ic
+
+    panel = labelled(spark, d).select("date", "key", F.expr(LEVEL).alias("level"), pct_rank("y", "date").alias("target"))
+    scored = ML.fit_by_fold(walk_forward_rows(panel), ["level"], lambda train: ML.fit_trees(train, ["level"], "target", rounds=1, least=1, share=1.0))
+    scored = scored.withColumn("score", F.round("score", 12))
+    ics = rank_ic(scored, "score", "target", by=("fold", "part", "date")).groupBy("fold", "part").agg(F.avg("ic").alias("ic"))
+    means = scored.groupBy("fold", "part").agg(F.count("*").alias("n"), F.avg("score").alias("score"))
+    return means.join(ics, ["fold", "part"], "left").select(F.col("fold").cast("int").alias("fold"), "part", "n", tidy("score", 7).alias("score"), tidy("ic", 6).alias("ic"))
 
 
-@query("ml_4_top_decile_classifier", f"{WITH} SELECT count(*)::BIGINT AS n, true AS separates FROM sm WHERE y IS NOT NULL")
+@query("ml_4_top_decile_classifier", f"""WITH {FOLDS}, tp AS (SELECT date, key, (row_number() OVER (PARTITION BY date ORDER BY y DESC, key) <= greatest(1, round_even(0.1 * count(*) OVER (PARTITION BY date), 0)))::INT AS top FROM sm WHERE y IS NOT NULL),
+t AS (SELECT wl.fold, part, wl.date, key, level, top FROM wl JOIN tp USING (date, key)), l AS (SELECT fold, level, 1 / (1 + exp(-2 * (2 * avg(top) - 1))) AS score FROM t WHERE part = 'train' GROUP BY 1, 2)
+SELECT t.fold::INT AS fold, date, key, top, {R('score', 7)} AS score FROM t JOIN l USING (fold, level) WHERE part = 'val'""")
 def ml_4(spark, d):
-    panel = X.top_decile_label(labelled(spark, d), "y").select("date", "key", "x1", "x2", "close", "top")
-    model = ML.fit_trees(panel, ["x1", "x2", "close"], "top", classify=True, rounds=5)
-    scored = ML.score(model, panel, ["x1", "x2", "close"])
-    mean = lambda v: F.avg(F.when(F.col("top") == v, F.col("score")))
-    return scored.agg(F.count("*").alias("n"), (mean(1) > mean(0)).alias("separates"))
+    """The out-of-sample probabilities of one tree of three levels by fold."""
+    panel = X.top_decile_label(labelled(spark, d), "y").select("date", "key", F.expr(LEVEL).alias("level"), F.col("top").cast("int").alias("top"))
+    scored = ML.fit_by_fold(walk_forward_rows(panel), ["level"], lambda train: ML.fit_trees(train, ["level"], "top", classify=True, rounds=1, least=1, share=1.0))
+    return scored.where("part = 'val'").select(F.col("fold").cast("int").alias("fold"), "date", "key", "top", tidy("score", 7).alias("score"))
 
 
-@query("ml_5_meta_label", "SELECT count(*)::BIGINT AS n, true AS best_found FROM events WHERE value IS NOT NULL")
+@query("ml_5_meta_label", """WITH e AS (SELECT event_id, ts::DATE AS date, least(2, floor(value / 20))::INT AS level, ((event_id * 31) % 50 < value)::INT AS label FROM events WHERE value IS NOT NULL), f AS (SELECT date, (ntile(5) OVER (ORDER BY date) - 1)::INT AS fold FROM (SELECT DISTINCT date FROM e)), s AS (SELECT fold, min(date) AS a, max(date) AS b FROM f GROUP BY 1),
+p AS (SELECT s.fold, CASE WHEN f.fold = s.fold THEN 'val' ELSE 'train' END AS part, level, label FROM e JOIN f USING (date) JOIN s ON f.fold = s.fold OR date + 2 < s.a OR date > s.b + 3), l AS (SELECT fold, level, 1 / (1 + exp(-2 * (2 * avg(label) - 1))) AS score FROM p WHERE part = 'train' GROUP BY 1, 2),
+o AS (SELECT label, round(score, 9) AS score FROM p JOIN l USING (fold, level) WHERE part = 'val'), g AS (SELECT threshold, count(*) FILTER (score >= threshold AND label = 1)::BIGINT AS tp, count(*) FILTER (score >= threshold AND label = 0)::BIGINT AS fp, count(*) FILTER (score < threshold AND label = 1)::BIGINT AS fn FROM o, (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7])::DOUBLE AS threshold) GROUP BY 1)
+SELECT threshold, tp, fp, fn, round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 9) AS f1 FROM g""")
 def ml_5(spark, d):
+    """The sweep over scores that purged folds give out of fold."""
     from ..operators.metrics import threshold_sweep
+    from ..operators.splits import purged_folds
+
+    level = F.least(F.lit(2.0), F.floor(F.col("value") / 20).cast("double"))
+    label = (F.pmod(F.col("event_id") * 31, F.lit(50)) < F.col("value")).cast("int")
+    e = table(spark, d, "events").where("value is not null").select("event_id", F.to_date("ts").alias("date"), level.alias("level"), label.alias("label"))
+    scored = ML.fit_by_fold(purged_folds(e, 5, 2, 1), ["level"], lambda train: ML.fit_trees(train, ["level"], "label", classify=True, rounds=1, least=1, share=1.0))
+    sweep = threshold_sweep(scored.where("part = 'val'").withColumn("score", F.round("score", 9)), "score", "label", [0.3, 0.4, 0.5, 0.6, 0.7])
+    return sweep.select("threshold", "tp", "fp", "fn", F.round("f1", 9).alias("f1"))
+
 
-    e = table(spark, d, "events").where("value is not null").select("event_id", "value", (F.col("event_id") % 7).cast("double").alias("x"), (F.col("value") > 30).cast("int").alias("label"))
-    scored = ML.score(ML.fit_trees(e, ["value", "x"], "label", classify=True, rounds=3), e, ["value", "x"])
-    sweep = threshold_sweep(scored, "score", "label", [0.3, 0.5, 0.7])
-    best = sweep.agg(F.max("f1").alias("f1"))
-    return scored.agg(F.count("*").alias("n")).join(F.broadcast(best)).select("n", (F.col("f1") > 0.9).alias("best_found"))
+HITS = "h AS (SELECT floor(value / 3)::DOUBLE AS x, ((event_id * 31) % 50 < value)::DOUBLE AS y FROM events WHERE value IS NOT NULL)"
 
 
-@query("ml_6_calibration", "SELECT true AS monotone, true AS in_range")
+def hits(spark, d):
+    return table(spark, d, "events").where("value is not null").select(F.floor(F.col("value") / 3).cast("double").alias("x"), (F.pmod(F.col("event_id") * 31, F.lit(50)) < F.col("value")).cast("double").alias("y"))
+
+
+@query("ml_6_calibration", f"""WITH {HITS}, b AS (SELECT x, sum(y) AS s, count(*) AS n FROM h GROUP BY 1), r AS (SELECT i.x AS i, k.x AS k, sum(m.s) / sum(m.n) AS mean FROM b i JOIN b k ON k.x >= i.x JOIN b m ON m.x BETWEEN i.x AND k.x GROUP BY 1, 2),
+q AS (SELECT b.x, r.i, min(r.mean) AS low FROM b JOIN r ON r.i <= b.x AND r.k >= b.x GROUP BY 1, 2) SELECT x, {R('max(low)', 8)} AS p FROM q GROUP BY 1""")
 def ml_6(spark, d):
-    e = table(spark, d, "events").where("value is not null").select("value", (F.pmod(F.col("event_id") * 31, F.lit(50)) < F.col("value")).cast("double").alias("hit"))
-    points = ML.fit_calibration(e, "value", "hit", spark)
-    w = Window.orderBy("x")
-    return points.withColumn("_p", F.lag("y").over(w)).agg(F.bool_and(F.col("_p").isNull() | (F.col("y") >= F.col("_p"))).alias("monotone"), F.bool_and(F.col("y").between(0, 1)).alias("in_range"))
+    """The isotonic head at every score; the SQL has it as the largest of the least means."""
+    h = hits(spark, d)
+    points = ML.fit_calibration(h, "x", "y", spark)
+    return ML.calibrated(h.select("x").distinct(), "x", points).select("x", tidy("calibrated", 8).alias("p"))
+
+
+@query("ml_6_logistic_head", f"""WITH RECURSIVE {HITS}, g AS (SELECT avg(x) AS m, stddev_pop(x) AS s, min(x) AS lo, max(x) AS hi FROM h), b AS (SELECT (x - m) / s AS z, sum(y) AS k, count(*) AS n FROM h, g GROUP BY x, m, s),
+it AS (SELECT 0 AS step, 0::DOUBLE AS w, 0::DOUBLE AS c UNION ALL SELECT step + 1, w - (hcc * gw - hwc * gc) / (hww * hcc - hwc * hwc), c - (hww * gc - hwc * gw) / (hww * hcc - hwc * hwc)
+  FROM (SELECT step, w, c, sum(z * (n * p - k)) + w AS gw, sum(n * p - k) AS gc, sum(n * p * (1 - p) * z * z) + 1 AS hww, sum(n * p * (1 - p) * z) AS hwc, sum(n * p * (1 - p)) AS hcc FROM (SELECT step, w, c, z, n, k, 1 / (1 + exp(-(w * z + c))) AS p FROM it, b WHERE step < 15) GROUP BY step, w, c)),
+p AS (SELECT lo + i * (hi - lo) / 99 AS x FROM g, (SELECT unnest(range(0, 100)) AS i)) SELECT {R('x', 8)} AS x, {R('1 / (1 + exp(-(w * (x - m) / s + c)))', 5)} AS p FROM p, g, it WHERE step = 15""")
+def ml_6_logistic(spark, d):
+    return ML.logistic_curve(hits(spark, d), "x", "y").select(tidy("x", 8).alias("x"), tidy("y", 5).alias("p"))
+
+
+@query("ml_6_median_label", f"WITH {SM}, m AS (SELECT date, median(y) AS m FROM sm WHERE y IS NOT NULL GROUP BY 1) SELECT date, key, (y >= m)::INT::DOUBLE AS hit FROM sm JOIN m USING (date) WHERE y IS NOT NULL")
+def ml_6_label(spark, d):
+    return ML.hit_label(labelled(spark, d).select("date", "key", "y"), "y", None).select("date", "key", "hit")
+
+
+@query("ml_6_huber_head")
+def ml_6_huber(spark, d):
+    """Expected return from x2 by a bounded Huber curve; tested against its first-order conditions."""
+    return ML.huber_curve(labelled(spark, d), "x2", "y", 0.5).select(tidy("x", 8).alias("x"), tidy("y", 5).alias("y"))
+
+
+@query("ml_6_gates", f"""WITH {HITS}, b AS (SELECT x, round(avg(y), 1) AS y FROM h GROUP BY 1), s AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM b)
+SELECT count(DISTINCT y)::BIGINT AS "distinct", {R('sum(CASE WHEN abs(y1 - y) < 1e-9 THEN x1 - x ELSE 0 END) / nullif(max(x) - min(x), 0)')} AS flat, CASE WHEN count(DISTINCT y) < 5 THEN 'collapsed' ELSE 'ok' END AS verdict FROM s""")
+def ml_6_gates(spark, d):
+    points = hits(spark, d).groupBy("x").agg(F.round(F.avg("y"), 1).alias("y"))
+    return ML.curve_gates(points).select("distinct", tidy("flat").alias("flat"), "verdict")
 
 
-@query("ml_7_calibrated_lookup", "WITH p AS (SELECT * FROM (VALUES (5.0, 0.1), (20.0, 0.3), (40.0, 0.9)) v(x, y)) SELECT event_id, round(CASE WHEN value <= 5 THEN 0.1 WHEN value >= 40 THEN 0.9 WHEN value < 20 THEN 0.1 + (value - 5) / 15 * 0.2 ELSE 0.3 + (value - 20) / 20 * 0.6 END, 9)::DOUBLE AS p FROM events")
+@query("ml_7_calibrated_lookup", "WITH p AS (SELECT * FROM (VALUES (5.0, 0.1), (20.0, 0.3), (40.0, 0.9)) v(x, y)) SELECT event_id, round(CASE WHEN value <= 5 THEN 0.1 WHEN value >= 40 THEN 0.9 WHEN value < 20 THEN 0.1 + (value - 5) / 15 * 0.2 ELSE 0.3 + (value - 20) / 20 * 0.6 END, 9)::DOUBLE AS p, round(CASE WHEN value <= 5 THEN 0.1 WHEN value >= 40 THEN 0.9 WHEN value < 20 THEN 0.1 + (value - 5) / 15 * 0.2 ELSE 0.3 + (value - 20) / 20 * 0.6 END * 2, 8)::DOUBLE AS twenty FROM events")
 def ml_7(spark, d):
     points = spark.sql("select cast(x as double) x, cast(y as double) y from values (5, 0.1), (20, 0.3), (40, 0.9) as v(x, y)")
-    return ML.calibrated(table(spark, d, "events").select("event_id", "value"), "value", points).select("event_id", F.round("calibrated", 9).alias("p"))
+    return ML.calibrated(table(spark, d, "events").select("event_id", "value"), "value", points).select("event_id", F.round("calibrated", 9).alias("p"), F.round(ML.to_horizon("calibrated", 20, 10), 8).alias("twenty"))
 
 
 @query("ml_8_parameter_contract", "SELECT * FROM (VALUES ('p_size', 'no spread'), ('p_type', 'missing'), ('p_name', 'unexpected')) v(feature, problem)")

@@ -200,3 +200,62 @@ def test_permutations_are_even(spark):
     wide = got.pivot(index="seed", columns="key", values="permuted")
     assert abs((wide["k0"] < wide["k1"]).mean() - 0.5) < 0.08 and abs(wide["k2"].corr(wide["k3"])) < 0.25
     assert wide["k0"].autocorr() < 0.15
+
+
+def test_huber_curve_meets_its_conditions(spark):
+    """Residuals, cut at 1.35 scales, are orthogonal to the score; the curve stays inside its bound."""
+    from tessera.operators import models as ML
+
+    r = np.random.default_rng(4)
+    x = r.normal(2, 3, 800)
+    y = 0.02 * x + r.normal(0, 0.05, 800) + np.where(r.random(800) < 0.1, 3.0, 0.0)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    got = ML.huber_curve(df, "x", "y", 0.5).toPandas()
+    assert len(got) == 100 and got.y.abs().max() < 0.5
+    back = 0.5 * np.arctanh(got.y / 0.5)
+    slope, base = np.polyfit(got.x, back, 1)
+    rest = y - base - slope * x
+    # The scale belongs to the fit: the conditions hold for one scale, found here from the condition on the intercept.
+    scales = np.linspace(0.01, 0.3, 3000)
+    sums = np.array([np.clip(rest / s, -1.35, 1.35).sum() for s in scales])
+    s = scales[np.abs(sums).argmin()]
+    z = (x - x.mean()) / x.std()
+    assert abs((np.clip(rest / s, -1.35, 1.35) * z).mean()) < 0.01
+    assert abs(slope - 0.02) < 0.004
+
+
+def test_curves_of_empty_and_constant_scores(spark):
+    from tessera.operators import models as ML
+
+    none = spark.createDataFrame([], "x double, y double")
+    assert ML.logistic_curve(none, "x", "y").count() == 0
+    flat = spark.createDataFrame([(1.0, 1.0), (1.0, 0.0), (1.0, 1.0), (1.0, 0.0)], "x double, y double")
+    got = ML.logistic_curve(flat, "x", "y").toPandas()
+    assert np.allclose(got.y, 0.5, atol=1e-6) and got.x.min() == 0.0 and abs(got.x.max() - 2.0) < 1e-12
+    assert ML.curve_gates(ML.logistic_curve(flat, "x", "y").select("x", F.round("y", 6).alias("y"))).first()["verdict"] == "collapsed"
+
+
+def test_fit_by_fold_uses_only_its_own_train_rows(spark):
+    from tessera.operators import models as ML
+
+    rows = [(f, p, float(i), (f + 1.0) * i if p == "train" else None) for f in (0, 1) for p in ("train", "val") for i in range(-5, 6)]
+    long = spark.createDataFrame(rows, "fold int, part string, x double, y double")
+    got = ML.fit_by_fold(long, ["x"], lambda train: ML.fit_linear(train, ["x"], "y"), normalise=False).toPandas()
+    assert np.allclose(got.score, (got.fold + 1) * got.x, atol=1e-6) and len(got) == len(rows)
+    assert ML.fit_by_fold(long.limit(0), ["x"], None).count() == 0
+
+
+def test_hit_label_by_median_and_threshold(spark):
+    from tessera.operators import models as ML
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", None), ("b", 5.0)], "date string, y double")
+    by = lambda t: sorted((r["date"], r["y"] is None, r["y"] or 0, r["hit"]) for r in ML.hit_label(df, "y", t).collect())
+    assert by(None) == [("a", False, 1.0, 0.0), ("a", False, 2.0, 1.0), ("a", False, 2.0, 1.0), ("a", True, 0, None), ("b", False, 5.0, 1.0)]
+    assert [h for *_, h in by(3.0)] == [0.0, 0.0, 0.0, None, 1.0]
+
+
+def test_exceedance_needs_donors(spark):
+    series = spark.createDataFrame([(i, float(i % 3)) for i in range(20)], "pos int, v double")
+    few, enough = (RS.exceedance(series, "v", 4, 4, 2.0, 50, 1, least).first() for least in (6, 5))
+    assert few["donors"] == 5 and few["share"] is None and 0 <= enough["share"] <= 1 and enough["replicates"] == 50
+    assert RS.exceedance(series, "v", 4, 4, 2.0, 50, 1, 5).first() == enough
