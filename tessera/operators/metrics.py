@@ -148,15 +148,20 @@ def score_sanity(df: DataFrame, score: str) -> DataFrame:
 
 def breadth_ladder(df: DataFrame, score: str, label: str, names: list[int], reps: int) -> DataFrame:
     """names, variance of the per-date rank correlation over hashed subsamples of so many keys, over reps."""
-    from pyspark.sql.functions import xxhash64
-
     grid = F.explode(F.array(*[F.struct(F.lit(n).alias("names"), F.lit(r).alias("rep")) for n in names for r in range(reps)]))
     long = df.select("date", "key", score, label, grid.alias("g")).select("date", "key", score, label, "g.names", "g.rep")
-    place = F.row_number().over(Window.partitionBy("date", "names", "rep").orderBy(xxhash64("date", "key", "names", "rep"), "key"))
+    number = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("date", "key", "names", "rep")]))
+    place = F.row_number().over(Window.partitionBy("date", "names", "rep").orderBy(number, "key"))
     picked = long.withColumn("_p", place).where("_p <= names")
     return rank_ic(picked, score, label, by=("date", "names", "rep")).groupBy("names", "rep").agg(F.var_samp("ic").alias("v")).groupBy("names").agg(F.avg("v").alias("variance"))
 
 
+def breadth_fit(ladder: DataFrame) -> DataFrame:
+    """a, b of variance = a + b / names, by least squares over a ladder (names, variance)."""
+    inverse = 1 / F.col("names")
+    return ladder.agg(F.regr_intercept("variance", inverse).alias("a"), F.regr_slope("variance", inverse).alias("b"))
+
+
 def votes(scores: DataFrame, share: float = 0.1) -> DataFrame:
     """date, key, votes: how many models have the key in their top share; scores are (date, key, model, score)."""
     w = Window.partitionBy("model", "date")

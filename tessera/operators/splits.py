@@ -46,6 +46,13 @@ def ladder_checks(cutoffs: DataFrame) -> DataFrame:
     return steps.join(F.broadcast(usual)).select("cutoff", "gap", problem.alias("problem"))
 
 
+def extend_ladder(cutoffs: DataFrame, target: DataFrame, interval: int) -> DataFrame:
+    """cutoff: the cutoffs that go on backwards from the earliest in steps of `interval` days, none before the target (one row, target)."""
+    begin = cutoffs.agg(F.min("cutoff").alias("_first")).join(F.broadcast(target))
+    steps = F.floor(F.datediff("_first", "target") / interval).cast("int")
+    return begin.where(steps >= 1).select(F.explode(F.sequence(F.lit(1), steps)).alias("_k"), "_first").select(F.date_sub("_first", (F.col("_k") * interval).cast("int")).alias("cutoff"))
+
+
 def purged_folds(events: DataFrame, k: int, horizon: int, embargo: int) -> DataFrame:
     """fold, part, and all columns of events (date, ...): train events whose label span meets the validation span go."""
     folds = array_split_folds(events, k)

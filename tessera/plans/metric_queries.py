@@ -147,10 +147,23 @@ def agg_17(spark, d):
     return t.agg(F.count("*").alias("n"), F.round(F.avg((a == b).cast("int")), 9).alias("agreement"), F.count(F.when(a & ~b, 1)).alias("only_a"), F.count(F.when(b & ~a, 1)).alias("only_b"))
 
 
-@query("agg_18_breadth_ladder")
+LADDER = f"""{SM}, lp AS (SELECT names, rep, date, x2, y FROM (SELECT *, row_number() OVER (PARTITION BY date, names, rep ORDER BY md5(date || '|' || key || '|' || names || '|' || rep), key) AS k FROM sm, (SELECT unnest([5, 10, 20]) AS names), (SELECT unnest(range(0, 4)) AS rep) WHERE y IS NOT NULL) WHERE k <= names),
+lk AS (SELECT names, rep, date, rank() OVER (PARTITION BY names, rep, date ORDER BY x2) + (count(*) OVER (PARTITION BY names, rep, date, x2) - 1) / 2.0 AS a, rank() OVER (PARTITION BY names, rep, date ORDER BY y) + (count(*) OVER (PARTITION BY names, rep, date, y) - 1) / 2.0 AS b FROM lp),
+lc AS (SELECT names, rep, date, CASE WHEN count(*) >= 2 THEN {corr_sql('a', 'b')} END AS ic FROM lk GROUP BY 1, 2, 3), la AS (SELECT names, avg(v) AS variance FROM (SELECT names, rep, var_samp(ic) AS v FROM lc GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def ladder(spark, d):
+    return M.breadth_ladder(supplier_month(spark, d).where("y is not null"), "x2", "y", [5, 10, 20], 4)
+
+
+@query("agg_18_breadth_ladder", f"WITH {LADDER} SELECT names::INT AS names, {R('variance', 8)} AS variance FROM la")
 def agg_18(spark, d):
-    ladder = M.breadth_ladder(supplier_month(spark, d).where("y is not null"), "x2", "y", [5, 10, 20], 4)
-    return ladder.select("names", tidy("variance").alias("variance"))
+    return ladder(spark, d).select("names", tidy("variance", 8).alias("variance"))
+
+
+@query("agg_18_breadth_fit", f"WITH {LADDER} SELECT {R('regr_intercept(variance, 1.0 / names)', 6)} AS a, {R('regr_slope(variance, 1.0 / names)', 6)} AS b FROM la")
+def agg_18_fit(spark, d):
+    return M.breadth_fit(ladder(spark, d)).select(tidy("a", 6).alias("a"), tidy("b", 6).alias("b"))
 
 
 VOTES = f"""{SM}, {MODELS}, k AS (SELECT *, row_number() OVER (PARTITION BY model, date ORDER BY score DESC, key) AS rn, greatest(1, round_even(0.1 * count(*) OVER (PARTITION BY model, date), 0)) AS k FROM ms),

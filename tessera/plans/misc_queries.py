@@ -99,7 +99,7 @@ def ml_3(spark, d):
     return means.join(ics, ["fold", "part"], "left").select(F.col("fold").cast("int").alias("fold"), "part", "n", tidy("score", 7).alias("score"), tidy("ic", 6).alias("ic"))
 
 
-@query("ml_4_top_decile_classifier", f"""WITH {FOLDS}, tp AS (SELECT date, key, (row_number() OVER (PARTITION BY date ORDER BY y DESC, key) <= greatest(1, round_even(0.1 * count(*) OVER (PARTITION BY date), 0)))::INT AS top FROM sm WHERE y IS NOT NULL),
+@query("ml_4_top_decile_classifier", f"""WITH {FOLDS}, tp AS (SELECT date, key, ((rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2.0) / count(*) OVER (PARTITION BY date) >= 0.9)::INT AS top FROM sm WHERE y IS NOT NULL),
 t AS (SELECT wl.fold, part, wl.date, key, level, top FROM wl JOIN tp USING (date, key)), l AS (SELECT fold, level, 1 / (1 + exp(-2 * (2 * avg(top) - 1))) AS score FROM t WHERE part = 'train' GROUP BY 1, 2)
 SELECT t.fold::INT AS fold, date, key, top, {R('score', 7)} AS score FROM t JOIN l USING (fold, level) WHERE part = 'val'""")
 def ml_4(spark, d):

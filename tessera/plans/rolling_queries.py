@@ -313,6 +313,13 @@ def wf_5(spark, d):
     return W.ladder_checks(steps.union(begin.select(F.date_add("b", 400))).union(begin.select(F.date_add("b", 180))))
 
 
+@query("wf_5_backward", "WITH f AS (SELECT min(o_orderdate)::DATE AS t, min(o_orderdate) FILTER (year(o_orderdate) >= 1997)::DATE AS first FROM orders) SELECT (first - (k * 90)::INT)::DATE AS cutoff FROM f, LATERAL (SELECT unnest(range(1, (first - t)::BIGINT // 90 + 1)) AS k)")
+def wf_5_back(spark, d):
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))
+    late = days.where(F.year("date") >= 1997).select(F.col("date").alias("cutoff"))
+    return W.extend_ladder(late, days.agg(F.min("date").alias("target")), 90)
+
+
 @query("wf_6_three_way", f"WITH {SM} SELECT CASE WHEN date < DATE '1999-06-01' - 180 THEN 'train' WHEN date < DATE '1999-06-01' THEN 'val' ELSE 'test' END AS split, count(*)::BIGINT AS n, count(DISTINCT key)::BIGINT AS keys FROM sm GROUP BY 1")
 def wf_6(spark, d):
     end = F.lit("1999-06-01").cast("date")

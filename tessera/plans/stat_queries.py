@@ -210,7 +210,9 @@ def st_20(spark, d):
     return s.select("arm", F.when((F.col("t") > 2) & (F.col("m") > 0), "PROMOTE").when(F.col("t") < -2, "REJECT").when(F.abs("t") < 0.5, "NULL").otherwise("HOLD").alias("verdict"))
 
 
-@query("st_21_overfitting")
+@query("st_21_overfitting", f"""WITH {SM}, c AS (SELECT date, key % 7 AS config, avg(y) AS value FROM sm WHERE y IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, dense_rank() OVER (PARTITION BY config ORDER BY date) - 1 AS pos FROM c), n AS (SELECT max(pos) + 1 AS n FROM p),
+r AS (SELECT config, least(5, floor(pos * 6 / n::DOUBLE))::INT AS run, sum(value) AS s, count(value) AS k FROM p, n GROUP BY 1, 2), m AS (SELECT half, config, sum(s) FILTER ((half >> run) & 1 = 1) / sum(k) FILTER ((half >> run) & 1 = 1) AS a, sum(s) FILTER ((half >> run) & 1 = 0) / sum(k) FILTER ((half >> run) & 1 = 0) AS b FROM r, (SELECT unnest(range(0, 64))::INT AS half) WHERE bit_count(half) = 3 GROUP BY 1, 2),
+k AS (SELECT rank() OVER (PARTITION BY half ORDER BY b) AS r, count(*) OVER (PARTITION BY half) AS n, row_number() OVER (PARTITION BY half ORDER BY a DESC, config) AS best FROM m) SELECT {R('avg((r / (n + 1)::DOUBLE <= 0.5)::INT)')} AS pbo, count(*)::BIGINT AS splits FROM k WHERE best = 1""")
 def st_21(spark, d):
     cells = labelled(spark, d).groupBy("date", (F.col("key") % 7).alias("config")).agg(F.avg("y").alias("value"))
     placed = cells.withColumn("pos", F.dense_rank().over(Window.partitionBy("config").orderBy("date")) - 1)
