@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = [
     "agg_1_rank_ic", "agg_6_ic_summary", "agg_3_top_spread", "win_4_quantile_bucket", "rol_3_volatility", "rol_7_beta", "lbl_1_triple_barrier", "lbl_8_composite",
-    "jn_7_as_of", "jn_15_model_pairs", "wf_1_expanding_folds", "wf_3_leakage", "st_6_block_bootstrap", "st_8_newey_west", "pf_1_topk_book", "dq_7_hash_chain",
+    "jn_7_as_of", "jn_15_model_pairs", "wf_1_expanding_folds", "wf_3_leakage", "st_6_block_bootstrap", "st_8_newey_west", "pf_1_topk_book", "dq_7_hash_chain", "ml_3_walk_forward",
 ]
 
 
