@@ -84,9 +84,9 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the first word of each text (one more than texts)."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the first word of each text (one more than texts); gaps: the bytes between words."""
+    inside = ~gaps[data]
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]

@@ -58,17 +58,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def long_runs(texts: pa.Array) -> np.ndarray:
-    """Which texts have LONG_RUN bytes of white space, or of anything else, in a row."""
-    data, offsets = flat(texts)
-    blank = SPACE[data]
-    borders = np.unique(np.concatenate([offsets, np.flatnonzero(blank[1:] != blank[:-1]) + 1]))
-    begin = borders[:-1][np.diff(borders) >= LONG_RUN]
-    out = np.zeros(len(offsets) - 1, bool)
-    out[np.searchsorted(offsets, begin, "right") - 1] = True
-    return out
-
-
 class Encoder:
     """Ids of arrays of texts, each followed by END; each distinct word of an array is encoded once."""
 

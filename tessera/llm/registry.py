@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op07_secrets, op08_flac, op09_private, op10_tokens
+from . import op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op07_secrets, op08_flac, op09_private, op10_tokens, op11_decontaminate
 
 QUERIES = {
     "op1_mixing": op01_mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_flac": op08_flac.op8_flac,
     "op9_private": op09_private.op9_private,
     "op10_tokens": op10_tokens.op10_tokens,
+    "op11_decontaminate": op11_decontaminate.op11_decontaminate,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op2_warc": op02_warc.OP2_SQL,
     "op3_chat": op03_chat.OP3_SQL,
     "op4_similar": op04_similar.OP4_SQL,
+    "op11_decontaminate": op11_decontaminate.OP11_SQL,
 }
