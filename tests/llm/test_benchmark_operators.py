@@ -46,7 +46,7 @@ def leak_case(seed):
     for i, (_, t) in enumerate(items):
         docs.append((100 + i, text(15) + (t or "") + " " + text(9)))
         docs.append((200 + i, text(5) + " ".join((t or "").upper().split()[: r.randint(5, 14)]) + " zz"))
-    docs += [(7, None), (8, ""), (9, " ?! "), (None, items[0][1]), docs[3], docs[30], docs[30], (10, "the " * 200), (11, "x" * 5000 + " " + items[9][1])]
+    docs += [(307, None), (308, ""), (309, " ?! "), (None, items[0][1]), docs[3], docs[30], docs[30], (310, "the " * 200), (311, "x" * 5000 + " " + items[9][1])]
     return docs, items
 
 
@@ -59,7 +59,7 @@ def test_hits_as_by_brute_force(spark, most, seed):
     assert sorted(((x["doc_id"], x["n_words"], x["n_hit"], ",".join(x["items"])) for x in found), key=str) == brute_hits(docs, items)
     text = dict(docs)
     for x in found:
-        if x["doc_id"] is not None and x["doc_id"] not in (7, 10):
+        if x["doc_id"] is not None and text[x["doc_id"]]:
             assert sum(len(plain_words(text[x["doc_id"]][s["start"] : s["end"]])) for s in x["spans"]) == x["n_hit"]
 
 
