@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op07_secrets, op08_flac, op09_private, op10_tokens, op11_decontaminate
+from . import op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op07_secrets, op08_flac, op09_private, op10_tokens, op11_decontaminate, op12_align
 
 QUERIES = {
     "op1_mixing": op01_mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_private": op09_private.op9_private,
     "op10_tokens": op10_tokens.op10_tokens,
     "op11_decontaminate": op11_decontaminate.op11_decontaminate,
+    "op12_align": op12_align.op12_align,
 }
 
 SQL = {

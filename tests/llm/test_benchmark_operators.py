@@ -76,3 +76,83 @@ def test_one_very_long_text_is_searched_whole(spark):
     docs = spark.createDataFrame([(1, "filler text " * 200_000 + passage + " end" * 100_000, "o", 1)], DOCS)
     found = decontaminate(docs, spark.createDataFrame([(5, passage, 1)], ITEMS)).first()
     assert (found["n_words"], found["n_hit"], found["items"]) == (500_040, 40, ["5"])
+
+
+def brute_alignment(docs):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in plain)}
+    rows, holders = [], {}
+    for number, (doc, text) in enumerate(docs):
+        x, y = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        own = [bytes(letters[c] for c in a.id_to_token(i)) for i in x]
+        its = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode() for p in map(b.id_to_piece, y)]
+        if not text or b"".join(own) != (" " + text).encode() or b"".join(its) != (" " + text).encode():
+            rows.append((doc, 0, 0, 0, [], None))
+            continue
+        ends = [{sum(map(len, z[: i + 1])) for i in range(len(z))} for z in (own, its)]
+        groups, p, q, at, bt = [], [], [], 0, 0
+        i = j = 0
+        for end in sorted(ends[0] & ends[1]):
+            p, q = [], []
+            while at < end:
+                p.append(x[i])
+                at += len(own[i])
+                i += 1
+            while bt < end:
+                q.append(y[j])
+                bt += len(its[j])
+                j += 1
+            groups.append((p, q))
+        links = [(s, t) for p, q in groups for s in p for t in q]
+        for link in set(links):
+            holders.setdefault(link, set()).add(number)
+        rows.append((doc, len(x), len(y), len(groups), links, ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in groups)))
+    best = {}
+    for (s, _), who in holders.items():
+        best[s] = max(best.get(s, 0), len(who))
+    out = []
+    for doc, n_a, n_b, n_groups, links, spelled in rows:
+        n = [len(holders[link]) for link in links]
+        out.append((doc, n_a, n_b, n_groups, len(links), sum(best[s] == k for (s, _), k in zip(links, n)), sum(n), "" if spelled is None else hashlib.sha256(spelled.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def alignment_texts(texts):
+    r = random.Random(4)
+    odd = ["a  b", " lead", "trail ", "x \n y", "\n z", "<|endoftext|> <s> </s> <0x41>", "a▁b", "汉字 😀 é", "\x00 nul", "tab\t next", "naïve façade déjà", "don't we'll I'm", "3.14159 2,718", "　wide 　x", "\x85 y", "q \x1c w", "x" * 3000]
+    signs = " \n\tab.c1é😀▁<>|　'"
+    return [t for t in texts if t is None or len(t) < 20_000] + odd + ["".join(r.choice(signs) for _ in range(r.randint(1, 40))) for _ in range(60)]
+
+
+@pytest.mark.parametrize("most", [10_000_000, 0])
+def test_alignment_as_by_the_libraries(spark, texts, most):
+    import public_tokenizers
+
+    from tessera.llm.op12_align import align_documents
+
+    docs = [(None if i == 3 else i, t) for i, t in enumerate(alignment_texts(texts))]
+    docs.append(docs[7])
+    table = spark.createDataFrame([(d, t, "o", 1) for d, t in docs], "doc_id long, text string, pair string, n int").repartition(5)
+    found = align_documents(table, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), most=most, with_groups=True).collect()
+    names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    assert sorted((tuple(x[c] for c in names) for x in found), key=str) == brute_alignment(docs)
+    assert all(x["groups"] == "" or hashlib.sha256(x["groups"].encode()).hexdigest() == x["groups_sha256"] for x in found)
+    none = align_documents(table.where("false"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), most=most)
+    assert none.count() == 0
+
+
+def test_common_ends_of_ordered_lists():
+    from tessera.llm.op12_align import common_ends
+
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = (sorted(r.sample(range(1, 120), r.randint(0, 60 if k else 8))) for k in (0, r.randint(0, 1)))
+        assert common_ends(a, b) == [(a.index(x), b.index(x)) for x in a if x in b]
+        assert common_ends(b, a) == [(b.index(x), a.index(x)) for x in b if x in a]
