@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Lexicon, flat, slices, sums
 from .common import discard, hot_join, kept, small_batches, stash
-from .op05_pieces import MARK, PieceCodec
+from .op05_pieces import MARK, PieceCodec, read_model
 from .op10_tokens import _SPACE, Encoder, byte_letters
 
 #: Bytes of text worked on at once within a batch.
@@ -198,7 +198,8 @@ def pair_counts(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in total(held)], ["pair", "n"])
 
     counts = documents.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    times = len(PieceCodec(open(b_path, "rb").read()).text)
+    with open(b_path, "rb") as f:
+        times = len(read_model(f.read()))
     counts = stash(counts.withColumn("_a", F.floor(F.col("pair") / times)))
     most = counts.groupBy("_a").agg(F.max("n").alias("_most"))
     out = stash(counts.join(most, "_a").select("pair", "n", (F.col("n") == F.col("_most")).alias("best")))
