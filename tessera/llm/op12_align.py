@@ -1,37 +1,36 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes of a text.
 
 Both encodings of a text are lists of byte offsets where tokens end. The shorter list drives a
-galloping search into the longer one: from the last place found, steps of doubled size until the
-offset is reached, then a binary search. Offsets in both lists cut the tokens into groups; the
-difference of neighbouring common ranks in each list is the range of tokens of a group. In a group,
-every token of one side overlaps the bytes of the group that every token of the other side lies in:
-these pairs are linked.
+galloping search into the longer one: from where the text begins there, steps of doubled size until
+the offset is reached, then a binary search; all offsets of an array of texts take their steps
+together. Offsets in both lists cut the tokens into groups; the difference of neighbouring common
+ranks in each list is the range of tokens of a group. In a group, every token of one side shares the
+group's bytes with every token of the other: these pairs are linked.
 
 Both vocabularies cut in front of a single space, so a text's alignment is that of its space-delimited
-chunks, one behind the other, and each distinct chunk is encoded and aligned once per worker, within
-a bound in bytes. Texts with blanks beside white space, or literal space marks, are aligned whole.
+chunks, one behind the other, and each distinct chunk of a slice is encoded and aligned once, with a
+memory of chunks that is bounded in bytes. Texts with blanks beside white space, or literal space
+marks, are aligned whole.
 
-Corpus-wide counts: tasks count in how many of their documents an id pair is linked, and the sums are
-one table with at most one row for each pair of ids. A second reading of the documents sums the
-counts of each document's links. Up to MOST_PAIRS pairs (counted) the table goes to all tasks;
-beyond that the pairs of each distinct text are joined with it, hot pairs staying where they are.
+Documents are encoded once: each one's figures and its distinct linked pairs (with how often it has
+each) are written as a table. From it come the corpus-wide counts, one row for each pair of ids, and,
+by a join with them, the sums of each document. Up to MOST_PAIRS pairs (counted) the counts are
+broadcast; beyond that pairs are shuffled, while those that very many documents have stay where they are.
 
 Defined results: null and empty texts, and texts whose tokens do not spell a space and the text (a
 literal space mark does that), have no tokens: zeros and an empty groups_sha256. Strings of special
 tokens inside texts are plain text. All pairs with an A id's highest count are its best ones, ties
 included. Repeated rows are documents of their own; rows without a doc_id are kept; an empty table
-gives an empty result; other columns are ignored. A text of any length is aligned in one task;
-between two common ends its memory grows with the distinct ids of one side times those of the other.
+gives an empty result; other columns are ignored. A text of any length is aligned in one task, at some
+200 bytes of memory for each of its bytes; between two common ends memory also grows with the distinct
+ids of one side times those of the other.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from array import array
-from bisect import bisect_left
 from collections import Counter
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,93 +40,153 @@ from pyspark.sql import functions as F
 
 from .arrays import Lexicon, flat, slices, sums
 from .common import discard, hot_join, kept, small_batches, stash
-from .op05_pieces import MARK, PieceCodec, read_model
+from .op05_pieces import MARK, check_settings, read_model
 from .op10_tokens import _SPACE, Encoder, byte_letters
 
 #: Bytes of text worked on at once within a batch.
 SLICE_BYTES = 4_000_000
 #: Bytes of chunks that a worker remembers.
-MEMORY = 48 << 20
-#: Pairs whose counts are sent to all tasks; 17 bytes each.
-MOST_PAIRS = 3_000_000
-#: Pairs that a task counts before it hands them on.
-HELD_PAIRS = 1_000_000
+MEMORY = 64 << 20
+#: Pairs whose counts are broadcast; some 20 bytes each.
+MOST_PAIRS = 2_000_000
 #: Products of tokens in a group from which on distinct ids are counted first.
 WIDE = 256
-
-
-def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places in a and in b of the values that both ordered lists have."""
-    swapped = len(a) > len(b)
-    few, many = (b, a) if swapped else (a, b)
-    at, n, out = 0, len(many), []
-    for i, x in enumerate(few):
-        step = 1
-        while at + step < n and many[at + step] < x:
-            step *= 2
-        at = bisect_left(many, x, at + step // 2, min(at + step + 1, n))
-        if at == n:
-            break
-        if many[at] == x:
-            out.append((at, i) if swapped else (i, at))
-    return out
+#: Pairs are stored as 32-bit numbers from here on.
+LEAST = -(1 << 31)
+
+
+def gallop(x: np.ndarray, low: np.ndarray, high: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each x the first place in many[low:high], which is ordered, that is not below it (high if there is none)."""
+    step = np.ones(len(x), np.int64)
+    live = np.arange(len(x))
+    while len(live):
+        probe = low[live] + step[live]
+        live = live[probe < high[live]]
+        live = live[many[low[live] + step[live]] < x[live]]
+        step[live] *= 2
+    low, high = low + step // 2, np.minimum(low + step + 1, high)
+    live = np.flatnonzero(low < high)
+    while len(live):
+        middle = (low[live] + high[live]) // 2
+        below = many[middle] < x[live]
+        low[live[below]] = middle[below] + 1
+        high[live[~below]] = middle[~below]
+        live = live[low[live] < high[live]]
+    return low
+
+
+def common_ends(a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of the ends that both have in a text; each text's shorter list is looked up in its longer one.
+
+    Ends of all texts lie behind each other in a and in b; first_a and first_b tell where each text's begin.
+    """
+    shorter = np.diff(first_a) <= np.diff(first_b)
+    found = []
+    for few, many, first, other, texts in ((a, b, first_a, first_b, shorter), (b, a, first_b, first_a, ~shorter)):
+        text = np.repeat(np.arange(len(texts)), np.diff(first))
+        at = np.flatnonzero(texts[text])
+        text = text[at]
+        place = gallop(few[at], other[text], other[text + 1], many)
+        hit = place < other[text + 1]
+        hit[hit] = many[place[hit]] == few[at][hit]
+        found.append((at[hit], place[hit]))
+    i, j = np.concatenate([found[0][0], found[1][1]]), np.concatenate([found[0][1], found[1][0]])
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order]
+
+
+def inner(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of the given sizes."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def packed(values: np.ndarray, borders: np.ndarray) -> pa.Array:
+    """The bytes of the 32-bit values between each two borders."""
+    return pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer((borders * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 class Aligner:
-    """Alignments of texts by two vocabularies, each distinct chunk once; with counts also their sums."""
+    """Alignments of texts by two vocabularies, each distinct chunk once."""
+
+    def __init__(self, a_path: str, b_model: bytes):
+        import sentencepiece
 
-    def __init__(self, a_path: str, b_model: bytes, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        """counts: ordered pairs, the documents of each, and whether that is its A id's highest."""
-        self.a, self.b, self.counts = Encoder(a_path), PieceCodec(b_model), counts
+        check_settings(b_model)
+        pieces = read_model(b_model)
+        if any(MARK in p.lstrip(MARK) for p, _, kind in pieces if kind == 1):
+            raise ValueError("a piece has a space mark behind another character")
+        self.a, self.b = Encoder(a_path), sentencepiece.SentencePieceProcessor(model_proto=b_model)
         self.a.tokenizer.encode_special_tokens = True
         letters = byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in w) if all(c in letters for c in w) else w.encode() for w, i in self.a.tokenizer.get_vocab().items()}
-        self.b_bytes = [bytes([self.b.byte_of[i]]) if i in self.b.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.b.text)]
-        self.times = len(self.b_bytes)
-        if self.a.vocabulary * self.times >= 1 << 32:
+        spelled = {i: bytes(letters[c] for c in w) if all(c in letters for c in w) else w.encode() for w, i in self.a.tokenizer.get_vocab().items()}
+        self.a_bytes = pa.array([spelled.get(i, b"") for i in range(max(spelled) + 1)], pa.binary())
+        self.b_bytes = pa.array([bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(MARK, " ").encode() for p, _, kind in pieces], pa.binary())
+        self.times = len(pieces)
+        if len(self.a_bytes) * self.times >= 1 << 32:
             raise ValueError("pairs of ids have to fit 32 bits")
-        self.lexicon = Lexicon(lambda words: self.columns([(" " + w, array("H", self.a.packed(" " + w)), self.b.encode_chunk(MARK + w)) for w in words]), MEMORY)
-
-    def align(self, text: str, a_ids, b_ids) -> tuple[list[tuple[list[int], list[int]]], bool]:
-        """The groups of a text (its space in front included) as ids of both sides, and whether both sides spell it."""
-        a_ids, raw = list(a_ids), text.encode("utf-8", "surrogatepass")
-        a_own, b_own = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_own) != raw or b"".join(b_own) != raw:
-            return [], False
-        groups, p, q = [], 0, 0
-        for i, j in common_ends(list(accumulate(map(len, a_own))), list(accumulate(map(len, b_own)))):
-            groups.append((a_ids[p : i + 1], b_ids[q : j + 1]))
-            p, q = i + 1, j + 1
-        return groups, True
-
-    def columns(self, encoded: list[tuple[str, list[int], list[int]]]) -> list[pa.Array]:
-        """Per text: tokens of A and of B, groups, links, groups as text, whether both spell it, distinct pairs and how often each; sums with counts."""
-        times, out = self.times, [[] for _ in range(8)]
-        for text, a_ids, b_ids in encoded:
-            groups, same = self.align(text, a_ids, b_ids) if text else ([], False)
-            pairs: Counter = Counter()
-            for x, y in groups:
-                if len(x) * len(y) <= WIDE:
-                    for i in x:
-                        for j in y:
-                            pairs[i * times + j] += 1
-                else:
-                    ys = Counter(y)
-                    for i, m in Counter(x).items():
-                        for j, k in ys.items():
-                            pairs[i * times + j] += m * k
-            spelled = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-            row = (len(a_ids), len(b_ids), len(groups), sum(len(x) * len(y) for x, y in groups), spelled, same, array("q", pairs.keys()).tobytes(), array("q", pairs.values()).tobytes())
-            for column, value in zip(out, row):
-                column.append(value)
-        made = [pa.array(v, k) for v, k in zip(out, [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.binary(), pa.binary()])]
-        if self.counts is None:
-            return made
-        keys, borders = flat(made[6])
-        keys, often, borders = keys.view(np.int64), flat(made[7])[0].view(np.int64), borders // 8
-        known, n, best = self.counts
-        at = np.searchsorted(known, keys)
-        return [*made, pa.array(sums(often * best[at], borders)), pa.array(sums(often * n[at], borders))]
+        most = max(len(self.a_bytes), self.times)
+        self.numbers, self.most = pa.array([f"{i}{sign}" for sign in ",|;" for i in range(most)], pa.string()), most
+        self.lexicon = Lexicon(self.chunk_columns, MEMORY)
+
+    def chunk_columns(self, words: list[str]) -> list[pa.Array]:
+        """columns() of chunks, given without the space in front."""
+        own = [self.a.packed(" " + w) for w in words]
+        return self.columns([" " + w for w in words], np.frombuffer(b"".join(own), np.uint16), [len(x) // 2 for x in own], words)
+
+    def whole_columns(self, texts: list[str]) -> list[pa.Array]:
+        """columns() of whole texts."""
+        own = [self.a.tokenizer.encode(" " + t, add_special_tokens=False).ids if t else [] for t in texts]
+        return self.columns([" " + t if t else "" for t in texts], np.fromiter(chain.from_iterable(own), np.int64), [len(x) for x in own], texts)
+
+    def columns(self, raw: list[str], a_ids: np.ndarray, n_a: list[int], texts: list[str]) -> list[pa.Array]:
+        """Per text: tokens of A and of B, groups, links, groups as text (each with a sign behind it), whether both spell it, distinct pairs and how often each."""
+        n, own = len(texts), self.b.encode(texts, num_threads=1) if texts else []
+        n_a, n_b = np.array(n_a, np.int64), np.fromiter(map(len, own), np.int64, n)
+        a_ids, b_ids = a_ids.astype(np.int64), np.fromiter(chain.from_iterable(own), np.int64, int(n_b.sum()))
+        # Texts that one side does not spell have no tokens.
+        first = lambda count: np.concatenate([[0], np.cumsum(count)])
+        data, offsets = flat(pa.array(raw, pa.string()))
+        same = np.diff(offsets) > 0
+        sides = []
+        for ids, count, table in ((a_ids, n_a, self.a_bytes), (b_ids, n_b, self.b_bytes)):
+            spelled, at = flat(table.take(pa.array(ids)))
+            borders = at[first(count)]
+            same &= np.diff(borders) == np.diff(offsets)
+            sides.append((spelled, borders, np.diff(at)))
+        for spelled, borders, _ in sides:
+            size = np.where(same, np.diff(offsets), 0)
+            off = spelled[np.repeat(borders[:-1], size) + inner(size)] != data[np.repeat(offsets[:-1], size) + inner(size)]
+            same &= sums(off, first(size)) == 0
+        a_ids, b_ids = a_ids[keep_a := np.repeat(same, n_a)], b_ids[keep_b := np.repeat(same, n_b)]
+        n_a, n_b = np.where(same, n_a, 0), np.where(same, n_b, 0)
+        first_a, first_b = first(n_a), first(n_b)
+        a_end, b_end = common_ends(np.cumsum(sides[0][2][keep_a]), np.cumsum(sides[1][2][keep_b]), first_a, first_b)
+        # The last ends of a text are common, so no group reaches into the next text.
+        size_a, size_b = np.diff(a_end, prepend=-1), np.diff(b_end, prepend=-1)
+        a_first, b_first = a_end + 1 - size_a, b_end + 1 - size_b
+        of = np.searchsorted(first_a, a_end, "right") - 1
+        borders, links = np.searchsorted(of, np.arange(n + 1)), size_a * size_b
+        narrow = np.where(links <= WIDE, links, 0)
+        at, width = inner(narrow), np.repeat(size_b, narrow)
+        joint = [np.repeat(of, narrow) << 32 | a_ids[np.repeat(a_first, narrow) + at // np.maximum(width, 1)] * self.times + b_ids[np.repeat(b_first, narrow) + at % np.maximum(width, 1)]]
+        often = [np.ones(len(joint[0]), np.int64)]
+        for g in np.flatnonzero(links > WIDE).tolist():
+            x, y = Counter(a_ids[a_first[g] : a_end[g] + 1].tolist()), Counter(b_ids[b_first[g] : b_end[g] + 1].tolist())
+            keys = np.add.outer(np.array(list(x)) * self.times, np.array(list(y))).ravel()
+            joint.append(of[g] << 32 | keys)
+            often.append(np.multiply.outer(np.array(list(x.values())), np.array(list(y.values()))).ravel())
+        keys, place = np.unique(np.concatenate(joint), return_inverse=True)
+        often = np.bincount(place, np.concatenate(often), len(keys)).astype(np.int32)
+        ends = np.searchsorted(keys >> 32, np.arange(n + 1))
+        # Groups as text: numbers with the sign that follows each, A and B of a group behind each other.
+        codes = np.zeros(len(a_ids) + len(b_ids), np.int64)
+        group_a, group_b = np.repeat(np.arange(len(of)), size_a), np.repeat(np.arange(len(of)), size_b)
+        i, j = np.arange(len(a_ids)), np.arange(len(b_ids))
+        codes[i + b_first[group_a]] = a_ids + self.most * (i == a_end[group_a])
+        codes[j + a_end[group_b] + 1] = b_ids + 2 * self.most * (j == b_end[group_b])
+        spelled = pc.binary_join(pa.ListArray.from_arrays(pa.array((first_a + first_b).astype(np.int32)), self.numbers.take(pa.array(codes))), "")
+        numbers = [pa.array(x) for x in (n_a, n_b, np.diff(borders), sums(links, borders))]
+        return [*numbers, spelled, pa.array(same), packed((keys & 0xFFFFFFFF).astype(np.uint32), ends), packed(often, ends)]
 
     def run(self, texts: pa.Array) -> tuple[list[pa.Array], np.ndarray, pa.Array]:
         """Columns of chunks, each text's chunks as rows of them, and where each text's rows begin (one more than texts)."""
@@ -137,139 +196,78 @@ class Aligner:
         distinct = lists.flatten().dictionary_encode()
         rows, columns = self.lexicon(distinct.dictionary)
         which = rows[distinct.indices.to_numpy()]
-        whole = self.columns([(" " + t, self.a.tokenizer.encode(" " + t, add_special_tokens=False).ids, self.b.encode(t)) if t else ("", [], []) for t in texts.filter(odd).to_pylist()])
+        whole = self.whole_columns(texts.filter(odd).to_pylist())
         first = lists.offsets.to_numpy()[:-1].astype(np.int64)
         which[first[odd.to_numpy(zero_copy_only=False)]] = len(columns[0]) + np.arange(len(whole[0]))
         return [pa.concat_arrays([c, w]) for c, w in zip(columns, whole)], which, lists.offsets
 
 
-def spelled_by_both(columns: list[pa.Array], which: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """Which texts have only chunks that both sides spell."""
-    return sums(~columns[5].to_numpy(zero_copy_only=False)[which], borders) == 0
-
-
-def distinct_pairs(columns: list[pa.Array], which: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text and pair of each pair that a text has linked, once, in order."""
-    texts = len(borders) - 1
-    good = spelled_by_both(columns, which, borders)
-    of = np.repeat(np.arange(texts), np.diff(borders))
-    own = np.unique((of * len(columns[0]) + which)[good[of]])
+def distinct_pairs(columns: list[pa.Array], which: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's distinct linked pairs begin (one more than texts), the pairs, and how often each is linked."""
+    of = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+    own, times = np.unique(of * len(columns[0]) + which, return_counts=True)
     text, row = own // len(columns[0]), own % len(columns[0])
-    data, begin = flat(columns[6])
-    data, begin = data.view(np.int64), begin // 8
+    (data, begin), (often, _) = flat(columns[6]), flat(columns[7])
+    begin = begin // 4
     size = np.diff(begin)[row]
-    at = np.repeat(begin[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    both = np.unique(np.repeat(text, size) << 32 | data[at])
-    return both >> 32, both & 0xFFFFFFFF
+    at = np.repeat(begin[row], size) + inner(size)
+    joint = np.repeat(text, size) << 32 | data.view(np.uint32)[at].astype(np.int64)
+    order = np.argsort(joint)
+    joint, weight = joint[order], (often.view(np.int32)[at] * np.repeat(times, size))[order]
+    head = np.flatnonzero(np.concatenate([[True], joint[1:] != joint[:-1]])) if len(joint) else np.zeros(0, np.int64)
+    keys = joint[head]
+    return np.searchsorted(keys >> 32, np.arange(len(borders))), keys & 0xFFFFFFFF, sums(weight, np.append(head, len(joint)))
 
 
-def _setup(documents: DataFrame, a_path: str, b_path: str):
-    """A function that makes what tasks align with, from counts or without."""
+def aligned(documents: DataFrame, a_path: str, b_path: str, with_groups: bool = False) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs and times (how often the document has each linked); with_groups adds the groups."""
     with open(b_path, "rb") as f:
         model = documents.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, under 1 MB
-    return lambda name, counts=lambda: None: kept(("op12", name), lambda: Aligner(a_path, model.value, counts()))
-
-
-def pair_counts(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """pair, n, best: in how many documents each id pair is linked, and whether that is the highest of its A id. pair is A's id times B's vocabulary plus B's id."""
-    setup = _setup(documents, a_path, b_path)
 
     def run(batches):
-        own, held, size = setup((a_path, b_path)), [], 0
-
-        def total(some):
-            keys, n = (np.concatenate(x) for x in zip(*some))
-            found, at = np.unique(keys, return_inverse=True)
-            return found, np.bincount(at, n).astype(np.int64)
-
+        own = kept(("op12", a_path, b_path), lambda: Aligner(a_path, model.value))
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest() if s else ""
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                columns, which, borders = own.run(batch.column("text"))
-                pairs = np.unique(distinct_pairs(columns, which, borders.to_numpy().astype(np.int64))[1], return_counts=True)
-                held.append(pairs)
-                size += len(pairs[0])
-                if size > HELD_PAIRS:
-                    held = [total(held)]
-                    size = len(held[0][0])
-                    if size > HELD_PAIRS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["pair", "n"])
-                        held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in total(held)], ["pair", "n"])
-
-    counts = documents.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    with open(b_path, "rb") as f:
-        times = len(read_model(f.read()))
-    counts = stash(counts.withColumn("_a", F.floor(F.col("pair") / times)))
-    most = counts.groupBy("_a").agg(F.max("n").alias("_most"))
-    out = stash(counts.join(most, "_a").select("pair", "n", (F.col("n") == F.col("_most")).alias("best")))
-    discard(counts)
+                columns, which, offsets = own.run(batch.column("text"))
+                borders = offsets.to_numpy().astype(np.int64)
+                good = sums(~columns[5].to_numpy(zero_copy_only=False)[which], borders) == 0
+                # A text that has a chunk which one side does not spell has no tokens.
+                which = which[np.repeat(good, np.diff(borders))]
+                borders = np.concatenate([[0], np.cumsum(np.where(good, np.diff(borders), 0))])
+                spelled = [s[:-1] for s in pc.binary_join(pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), columns[4].take(pa.array(which))), "").to_pylist()]
+                begin, pairs, times = distinct_pairs(columns, which, borders)
+                lists = lambda v: pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(v))
+                out = [batch.column("doc_id"), *[pa.array(sums(columns[i].to_numpy()[which], borders)) for i in range(4)], pa.array(map(digest, spelled), pa.string())]
+                out += [lists((pairs + LEAST).astype(np.int32)), lists(times), *([pa.array(spelled, pa.string())] if with_groups else [])]
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<long>" + ", groups string" * with_groups
+    names = [part.split(" ")[0] for part in schema.split(", ")]
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def pair_counts(table: DataFrame, b_size: int) -> DataFrame:
+    """pair, n, best: how many rows have each pair of ids linked, and whether that is the highest of its A id; pairs as in aligned()."""
+    counts = table.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    first = stash(counts.withColumn("_a", F.expr(f"(cast(pair AS bigint) - {LEAST}) div {b_size}")))
+    most = first.groupBy("_a").agg(F.max("n").alias("_most"))
+    out = stash(first.join(most, "_a").select("pair", "n", (F.col("n") == F.col("_most")).alias("best")))
+    discard(first)
     return out
 
 
-_OWN = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-
-
 def align_documents(documents: DataFrame, a_path: str, b_path: str, *, with_groups: bool = False, most: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best and count_sum of each document; with_groups adds the groups themselves."""
-    counts = pair_counts(documents, a_path, b_path)
-    setup, small = _setup(documents, a_path, b_path), counts.count() <= most
-    table, name = None, uuid.uuid4().hex
-    if small:
-        got = counts.toArrow().combine_chunks()
-        order = np.argsort(got.column("pair").to_numpy())
-        table = documents.sparkSession.sparkContext.broadcast(tuple(got.column(c).to_numpy()[order] for c in ("pair", "n", "best")))
-        discard(counts)
-    fields = ["n_a", "n_b", "n_groups", "n_links"]
-
-    def run(batches):
-        own = setup(name, lambda: table.value) if small else setup((a_path, b_path))
-        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                columns, which, offsets = own.run(batch.column("text"))
-                borders = offsets.to_numpy().astype(np.int64)
-                good = spelled_by_both(columns, which, borders)
-                numbers = {c: columns[i].to_numpy() for i, c in enumerate(fields)} | ({c: columns[8 + i].to_numpy() for i, c in enumerate(("n_best", "count_sum"))} if small else {})
-                spelled = pc.binary_join(pa.ListArray.from_arrays(offsets, columns[4].take(pa.array(which))), ";").to_pylist()
-                spelled = [s if g else "" for s, g in zip(spelled, good.tolist())]
-                out = {c: batch.column(c) for c in ("doc_id", *(["print"] if not small else []))}
-                out |= {c: pa.array(np.where(good, sums(v[which], borders), 0)) for c, v in numbers.items()}
-                out["groups_sha256"] = pa.array([digest(s) if g else "" for s, g in zip(spelled, good.tolist())], pa.string())
-                if with_groups:
-                    out["groups"] = pa.array(spelled, pa.string())
-                yield pa.RecordBatch.from_pydict({c: out[c] for c in order_of})
-
-    kind = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}"
-    schema = ", ".join([kind, *([] if small else ["print string"]), _OWN, *(["n_best long, count_sum long"] if small else []), *(["groups string"] if with_groups else [])])
-    order_of = [part.split(" ")[0] for part in schema.split(", ")]
-    if small:
-        return documents.select("doc_id", "text").mapInArrow(run, schema)
-
-    def pairs(batches):
-        own = setup((a_path, b_path))
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                columns, which, offsets = own.run(batch.column("text"))
-                borders = offsets.to_numpy().astype(np.int64)
-                text, pair = distinct_pairs(columns, which, borders)
-                # How often each text has each of its pairs linked.
-                data, begin = flat(columns[6])
-                data, often, begin = data.view(np.int64), flat(columns[7])[0].view(np.int64), begin // 8
-                size = np.diff(begin)[which]
-                at = np.repeat(begin[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                joint = np.repeat(np.repeat(np.arange(len(batch)), np.diff(borders)), size) << 32 | data[at]
-                place = np.searchsorted(wanted := text << 32 | pair, joint)
-                place = np.minimum(place, max(0, len(wanted) - 1))
-                hit = wanted[place] == joint if len(wanted) else np.zeros(len(joint), bool)
-                times = np.bincount(place[hit], often[at][hit], len(wanted)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"print": batch.column("print").take(pa.array(text)), "pair": pa.array(pair), "times": pa.array(times)})
-
-    source = documents.select("doc_id", "text", F.md5("text").alias("print"))
-    linked = stash(source.where("text is not null").select("text", "print").mapInArrow(pairs, "print string, pair long, times long").distinct())
-    totals = hot_join(linked, counts, "pair").groupBy("print").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    every = hot_join(stash(source.mapInArrow(run, schema)), stash(totals), "print", "left")
-    return every.drop("print").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")})
+    with open(b_path, "rb") as f:
+        b_size = len(read_model(f.read()))
+    table = stash(aligned(documents, a_path, b_path, with_groups).withColumn("_row", F.monotonically_increasing_id()))
+    counts = pair_counts(table, b_size)
+    linked = table.select("_row", F.inline(F.arrays_zip("pairs", "times"))).withColumnRenamed("pairs", "pair")
+    met = linked.join(F.broadcast(counts), "pair") if counts.count() <= most else hot_join(linked, counts, "pair")
+    totals = met.groupBy("_row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    every = table.drop("pairs", "times").join(totals, "_row", "left").drop("_row")
+    return every.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")})
 
 
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,10 +149,16 @@ def test_alignment_as_by_the_libraries(spark, texts, most):
 
 
 def test_common_ends_of_ordered_lists():
+    import numpy as np
+
     from tessera.llm.op12_align import common_ends
 
     r = random.Random(2)
-    for _ in range(300):
-        a, b = (sorted(r.sample(range(1, 120), r.randint(0, 60 if k else 8))) for k in (0, r.randint(0, 1)))
-        assert common_ends(a, b) == [(a.index(x), b.index(x)) for x in a if x in b]
-        assert common_ends(b, a) == [(b.index(x), a.index(x)) for x in b if x in a]
+    texts = [[sorted(r.sample(range(1, 120), r.randint(0, n))) for n in (r.choice((3, 60)), 60)] for _ in range(300)]
+    wanted, n_a, n_b = [], 0, 0
+    for a, b in texts:
+        wanted += [(n_a + a.index(x), n_b + b.index(x)) for x in a if x in b]
+        n_a, n_b = n_a + len(a), n_b + len(b)
+    first = lambda k: np.concatenate([[0], np.cumsum([len(t[k]) for t in texts])])
+    a, b = (np.array([x + 1000 * i for i, t in enumerate(texts) for x in t[k]]) for k in (0, 1))
+    assert list(zip(*(x.tolist() for x in common_ends(a, b, first(0), first(1))))) == wanted
