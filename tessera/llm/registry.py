@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op07_secrets, op08_flac, op09_private, op10_tokens, op11_decontaminate, op12_align
+from . import op01_mixing, op02_warc, op03_chat, op04_similar, op05_pieces, op06_quality, op07_secrets, op08_flac, op09_private, op10_tokens, op11_decontaminate, op12_align, op13_ranked
 
 QUERIES = {
     "op1_mixing": op01_mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_tokens": op10_tokens.op10_tokens,
     "op11_decontaminate": op11_decontaminate.op11_decontaminate,
     "op12_align": op12_align.op12_align,
+    "op13_ranked": op13_ranked.op13_ranked,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op3_chat": op03_chat.OP3_SQL,
     "op4_similar": op04_similar.OP4_SQL,
     "op11_decontaminate": op11_decontaminate.OP11_SQL,
+    "op13_ranked": op13_ranked.OP13_SQL,
 }

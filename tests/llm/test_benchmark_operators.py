@@ -162,3 +162,64 @@ def test_common_ends_of_ordered_lists():
     first = lambda k: np.concatenate([[0], np.cumsum([len(t[k]) for t in texts])])
     a, b = (np.array([x + 1000 * i for i, t in enumerate(texts) for x in t[k]]) for k in (0, 1))
     assert list(zip(*(x.tolist() for x in common_ends(a, b, first(0), first(1))))) == wanted
+
+
+def brute_ranks(docs, items, k):
+    import math
+    from collections import Counter
+
+    terms = [re.findall(r"[0-9a-z\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in docs]
+    n, total, df = sum(1 for t in terms if t), sum(map(len, terms)), Counter(w for t in terms for w in set(t))
+    out = []
+    for item, text in items:
+        found = []
+        for (doc, _), own in zip(docs, terms):
+            tf, score = Counter(own), 0
+            for w in re.findall(r"[0-9a-z\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+                if tf[w]:
+                    m = 100 - 75 + (75 * len(own) * n) // total
+                    score += math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * ((1000000000 * tf[w]) // (1000 * tf[w] + 8 * m))
+            if score > 0:
+                found.append((-score, doc is None, doc))
+        out += [(item, r + 1, doc, -s) for r, (s, _, doc) in enumerate(sorted(found, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ranks_as_by_brute_force(spark, small, monkeypatch):
+    from tessera.llm import op13_ranked
+
+    if small:
+        for name, value in (("PART_TERMS", 40), ("MOST_ASKED", 0), ("ROWS", 5), ("SPARSE", 1)):
+            monkeypatch.setattr(op13_ranked, name, value)
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(60)] + ["Über", "ñ", "the", "The", "汉"]
+    text = lambda n: " ".join(r.choice(vocabulary[: r.choice((8, 65))]) for _ in range(n))
+    docs = [(i, text(r.choice((1, 3, 20, 60, 300)))) for i in range(120)]
+    docs += [(200 + i, docs[4][1]) for i in range(25)] + [(None, docs[4][1]), (None, text(20)), docs[5], docs[5], docs[7], (300, None), (301, ""), (302, " ?! "), (303, "the " * 4000)]
+    items = [(i, text(r.choice((1, 5, 30)))) for i in range(12)] + [(3, text(4)), (None, text(6)), (50, None), (51, ""), (52, "?!"), (53, "unseen"), (54, docs[4][1]), (54, docs[4][1]), (55, "the the the")]
+    table = spark.createDataFrame([(d, t, 1, "o") for d, t in docs], "doc_id long, text string, bound int, item string").repartition(4)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    found = op13_ranked.search(table, asked, 10).collect()
+    assert sorted(((x["item_id"], x["rank"], x["doc_id"], x["score"]) for x in found), key=str) == brute_ranks(docs, items, 10)
+    assert op13_ranked.search(table.where("false"), asked).count() == 0
+    assert op13_ranked.search(table, asked.where("false")).count() == 0
+
+
+def test_bounds_are_never_below_scores():
+    import numpy as np
+
+    from tessera.llm.op13_ranked import Query, counted, level_keys, matrix
+
+    r = np.random.default_rng(3)
+    terms = np.unique(r.integers(1, 1 << 62, 300, dtype=np.uint64))
+    texts = [r.choice(terms, int(n)) for n in r.integers(1, 500, 40)]
+    hashes, first = np.concatenate(texts), np.concatenate([[0], np.cumsum(list(map(len, texts)))])
+    df = {int(t): sum(t in x for x in texts) for t in terms}
+    asked = [np.unique(r.choice(terms, 20)) for _ in range(15)]
+    query = Query(np.repeat(np.arange(15), [len(x) for x in asked]), np.concatenate(asked), np.ones(sum(map(len, asked)), np.int64), df, 40, len(hashes))
+    text, term, tf = counted(hashes, first)
+    keys = [np.concatenate([level_keys(term[(text == i) & (tf >= 1 << n)], n) for n in range(8)]) for i in range(40)]
+    size, bits = matrix(np.concatenate(keys), np.array([len(x) for x in keys]))
+    bounds, scores = query.bounds(size, bits, np.diff(first)), query.scores(hashes, first).T
+    assert (bounds >= scores).all() and bounds.sum() < 2 * scores.sum()
