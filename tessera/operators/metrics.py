@@ -112,8 +112,8 @@ def quantile_row(df: DataFrame, value: str, names: dict[str, float]) -> DataFram
 
 
 def ranges_of(df: DataFrame) -> int:
-    """Into how many ordered ranges a table is dealt: as many as it has tasks, and as a shuffle has parts."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    """Into how many ordered ranges a table is dealt: as many as a shuffle has parts, which the session sets by the size of its data."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def scale_diagnostics(df: DataFrame, label: str) -> DataFrame:
@@ -213,10 +213,10 @@ def welch_gap(df: DataFrame, value: str, event: Column) -> DataFrame:
     return df.agg(F.count(on).alias("n_event"), (F.avg(on) - F.avg(off)).alias("gap"), se.alias("se"), ((F.avg(on) - F.avg(off)) / F.nullif(se, F.lit(0.0))).alias("t"))
 
 
-def two_way_demean(df: DataFrame, value: str) -> Column:
-    """A value without its date's and its key's mean (plus the overall mean)."""
-    v = F.col(value)
-    return v - F.avg(v).over(Window.partitionBy("date")) - F.avg(v).over(Window.partitionBy("key"))
+def two_way_demean(df: DataFrame, value: str, name: str = "v") -> DataFrame:
+    """Adds a value less its date's mean, and of what is left less its key's mean: in this order, which matters where dates differ in keys."""
+    left = df.withColumn(name, F.col(value) - F.avg(value).over(Window.partitionBy("date")))
+    return left.withColumn(name, F.col(name) - F.avg(name).over(Window.partitionBy("key")))
 
 
 def completeness(planned: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,8 +54,8 @@ def axis_audit(rows: DataFrame, axis: DataFrame, lookahead: int) -> DataFrame:
 
 
 def row_hash(index: str, text: str) -> Column:
-    """The SHA-256 of a ledger row: its index, its text and the hash of the row before it (null: none)."""
-    return F.sha2(F.concat_ws("|", F.col(index).cast("string"), text, F.coalesce("prev_row_sha", F.lit("-"))), 256)
+    """The SHA-256 of a ledger row: its index, its text and the hash of the row before it (null: none); a null text has a hash of its own."""
+    return F.sha2(F.concat_ws("|", F.col(index).cast("string"), F.coalesce(text, F.lit("\x00")), F.coalesce("prev_row_sha", F.lit("-"))), 256)
 
 
 def chain_hashes(rows: DataFrame, index: str, text: str) -> DataFrame:
@@ -75,7 +75,7 @@ def chain_hashes(rows: DataFrame, index: str, text: str) -> DataFrame:
                 last = last if c == chain else None
                 chain = c
                 before.append(last)
-                last = hashlib.sha256("|".join(v for v in (str(i), t, last or "-") if v is not None).encode()).hexdigest()
+                last = hashlib.sha256("|".join((str(i), "\x00" if t is None else t, last or "-")).encode()).hexdigest()
                 own.append(last)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], [*batch.schema.names, "prev_row_sha", "row_sha"])
 
@@ -94,7 +94,7 @@ def chain_violations(ledger: DataFrame, index: str, text: str, key: str) -> Data
     tests = {
         "gap": F.col(index) != F.coalesce(F.lag(index).over(w) + 1, F.lit(0)),
         "broken_link": ~F.col("prev_row_sha").eqNullSafe(F.lag("row_sha").over(w)),
-        "altered": F.col("row_sha") != row_hash(index, text),
+        "altered": ~F.col("row_sha").eqNullSafe(row_hash(index, text)),
         "repeated_key": F.count("*").over(Window.partitionBy("chain", key)) > 1,
     }
     return ledger.withColumn("_p", reasons(tests)).select("chain", index, F.explode("_p").alias("problem"))

@@ -290,11 +290,11 @@ def agg_39(spark, d):
 GAP = "sqrt(var_samp(v) FILTER (e) / count(v) FILTER (e) + var_samp(v) FILTER (NOT e) / count(v) FILTER (NOT e))"
 
 
-@query("agg_40_event_gap", f"""{WITH}, g AS (SELECT y - avg(y) OVER (PARTITION BY date) - avg(y) OVER (PARTITION BY key) AS v, n % 4 = 0 AS e FROM sm WHERE y IS NOT NULL)
+@query("agg_40_event_gap", f"""{WITH}, q AS (SELECT key, n, y - avg(y) OVER (PARTITION BY date) AS q FROM sm WHERE y IS NOT NULL), g AS (SELECT q - avg(q) OVER (PARTITION BY key) AS v, n % 4 = 0 AS e FROM q)
 SELECT count(v) FILTER (e)::BIGINT AS n_event, {R('avg(v) FILTER (e) - avg(v) FILTER (NOT e)', 8)} AS gap, {R(GAP, 8)} AS se, {R('(avg(v) FILTER (e) - avg(v) FILTER (NOT e)) / ' + GAP, 6)} AS t FROM g""")
 def agg_40(spark, d):
     panel = supplier_month(spark, d).where("y is not null")
-    out = M.welch_gap(panel.withColumn("v", M.two_way_demean(panel, "y")), "v", F.col("n") % 4 == 0)
+    out = M.welch_gap(M.two_way_demean(panel, "y"), "v", F.col("n") % 4 == 0)
     return out.select("n_event", tidy("gap", 8).alias("gap"), tidy("se", 8).alias("se"), tidy("t", 6).alias("t"))
 
 

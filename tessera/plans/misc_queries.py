@@ -356,7 +356,7 @@ def dq_5(spark, d):
 
 
 @query("dq_7_hash_chain", """WITH r AS (SELECT o_custkey % 8 AS chain, row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) - 1 AS i FROM orders)
-SELECT chain::BIGINT AS chain, i::INT AS row_index, 'altered' AS problem FROM r WHERE i = 5 UNION ALL SELECT chain::BIGINT, i::INT, 'gap' FROM r WHERE i = 10 UNION ALL SELECT chain::BIGINT, i::INT, 'broken_link' FROM r WHERE i = 10 UNION ALL SELECT chain::BIGINT, i::INT, 'altered' FROM r WHERE i = 16""")
+SELECT chain::BIGINT AS chain, i::INT AS row_index, 'altered' AS problem FROM r WHERE i = 5 UNION ALL SELECT chain::BIGINT, i::INT, 'gap' FROM r WHERE i = 10 UNION ALL SELECT chain::BIGINT, i::INT, 'broken_link' FROM r WHERE i = 10 UNION ALL SELECT chain::BIGINT, i::INT, 'altered' FROM r WHERE i = 16 UNION ALL SELECT chain::BIGINT, max(i)::INT, 'altered' FROM r GROUP BY 1""")
 def dq_7(spark, d):
     o = table(spark, d, "orders").select((F.col("o_custkey") % 8).alias("chain"), "o_orderkey", F.col("o_totalprice").cast("string").alias("text"))
     rows = o.withColumn("row_index", F.row_number().over(Window.partitionBy("chain").orderBy("o_orderkey")) - 1)
@@ -367,6 +367,9 @@ def dq_7(spark, d):
     tampered = tampered.withColumns({"text": F.when(F.col("row_index") == 15, F.lit("forged")).otherwise(F.col("text")), "row_sha": F.when(F.col("row_index") == 15, forged).otherwise(F.col("row_sha"))})
     link = F.lag("row_sha").over(Window.partitionBy("chain").orderBy("row_index"))
     tampered = tampered.withColumn("prev_row_sha", F.when(F.col("row_index") == 16, link).otherwise(F.col("prev_row_sha")))
+    # The last row of each chain is changed and its hash taken away: no link follows that could tell.
+    last = F.col("row_index") == F.max("row_index").over(Window.partitionBy("chain"))
+    tampered = tampered.withColumn("_last", last).withColumns({"text": F.when(F.col("_last"), F.lit("forged")).otherwise(F.col("text")), "row_sha": F.when(~F.col("_last"), F.col("row_sha"))}).drop("_last")
     return Q.chain_violations(tampered, "row_index", "text", "o_orderkey")
 
 

@@ -12,6 +12,8 @@ from ..functions.scalar import t_quantile, tidy
 from ..operators import metrics as M
 from ..operators import portfolio as P
 from ..operators import resample as S
+from ..operators.cross_section import array_split_folds
+from ..sources.scratch import written
 from .metric_queries import IC, ics
 from .panels import BD, BW, SM, R, brand_bars, corr_sql, market_bars, supplier_month, table
 from .registry import query
@@ -238,18 +240,90 @@ def st_22(spark, d):
     return gain.select("date", tidy(F.col("a") - F.col("b"), 8).alias("gain"))
 
 
-@query("pf_1_topk_book", f"""WITH {SM}, a AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM sm)), p AS (SELECT key, pos, close FROM sm JOIN a USING (date)),
-b AS (SELECT key, pos + 1 AS fill FROM (SELECT key, pos, row_number() OVER (PARTITION BY date ORDER BY x2 DESC, key) AS rn FROM sm JOIN a USING (date) WHERE (pos - 1) % 6 = 0) WHERE rn <= 8),
-e AS (SELECT fill, lead(fill) OVER (ORDER BY fill) AS til FROM (SELECT DISTINCT fill FROM b)), h AS (SELECT b.key, fill, til FROM b JOIN e USING (fill)),
-pa AS (SELECT h.key, h.fill, h.til, p.pos, p.close / p0.close AS rel FROM h JOIN p p0 ON p0.key = h.key AND p0.pos = h.fill JOIN p ON p.key = h.key AND p.pos >= h.fill AND (h.til IS NULL OR p.pos <= h.til)),
-v AS (SELECT fill, pos, avg(rel) AS v FROM pa GROUP BY 1, 2), g AS (SELECT fill, pos, v / lag(v) OVER (PARTITION BY fill ORDER BY pos) - 1 AS gross FROM v),
-dr AS (SELECT key, til AS fill, rel / sum(rel) OVER (PARTITION BY fill) AS old FROM pa WHERE pos = til), ta AS (SELECT key, fill, 1.0 / count(*) OVER (PARTITION BY fill) AS new FROM h),
-mo AS (SELECT fill, sum(abs(coalesce(new, 0) - coalesce(old, 0))) AS traded FROM ta FULL JOIN dr USING (key, fill) GROUP BY 1)
-SELECT a.date, {R('gross', 8)} AS gross, {R('coalesce(traded, 0)', 8)} AS traded, {R('gross - 0.001 * coalesce(traded, 0)', 8)} AS net FROM g JOIN a USING (pos) LEFT JOIN mo ON mo.fill + 1 = g.pos WHERE g.pos > g.fill""")
+def book_sql(source: str, by: str, every: int, k: int, delay: int) -> str:
+    """SQL of the book's rows bk (by, date, gross, traded, problem) from source (by, date, key, score) and closes p (date, key, close)."""
+    of = f"{by}, " if by else ""
+    on, part = (f"USING ({by}, ", f"PARTITION BY {by}, ") if by else ("USING (", "PARTITION BY ")
+    whole = f"PARTITION BY {by} " if by else ""
+    return f"""ax AS (SELECT *, row_number() OVER ({whole}ORDER BY date) - 1 AS pos, count(*) OVER ({whole}) - 1 AS last FROM (SELECT DISTINCT {of}date FROM {source})),
+ch AS (SELECT * FROM (SELECT {of}key, pos, last, row_number() OVER ({part}pos ORDER BY score DESC, key) AS rn FROM {source} JOIN ax {on}date) WHERE pos % {every} = 0 AND score IS NOT NULL) WHERE rn <= {k}),
+de AS (SELECT {of}pos, last, count(*) AS names FROM ch GROUP BY ALL),
+ba AS (SELECT {of}key, pos + {delay} AS fill, last FROM ch WHERE pos + {delay} <= last),
+ep AS (SELECT *, lead(fill) OVER ({whole}ORDER BY fill) AS til, min(fill) OVER ({whole}) AS first FROM (SELECT DISTINCT {of}fill FROM ba)),
+dy AS (SELECT {of}key, fill, til, unnest(range(fill, coalesce(til, last) + 1)) AS pos FROM ba JOIN ep {on}fill)),
+pr AS (SELECT {of}p.key, pos, close FROM p JOIN ax USING (date)),
+pa AS (SELECT dy.*, close / max(close) FILTER (dy.pos = fill) OVER ({part.replace(by, 'dy.' + by) if by else part}fill, dy.key) AS rel FROM dy LEFT JOIN pr {on}key, pos)),
+va AS (SELECT {of}fill, til, pos, CASE WHEN bool_or(b) OVER ({part}fill ORDER BY pos) THEN NULL ELSE v END AS v FROM (SELECT {of}fill, til, pos, avg(rel) AS v, bool_or(rel IS NULL) AS b FROM pa GROUP BY ALL)),
+ea AS (SELECT {of}fill, til, pos, v, v / lag(v) OVER ({part}fill ORDER BY pos) - 1 AS g FROM va),
+dr AS (SELECT {of}key, til AS fill, rel / sum(rel) OVER ({part}fill) AS old FROM pa WHERE pos = til),
+tg AS (SELECT {of}key, fill, 1.0 / count(*) OVER ({part}fill) AS new FROM ba),
+mo AS (SELECT {of}fill AS pos, sum(abs(coalesce(new, 0) - coalesce(old, 0))) AS moved FROM tg FULL JOIN dr {on}key, fill) GROUP BY ALL),
+mv AS (SELECT {('mo.' + by + ', ') if by else ''}mo.pos, CASE WHEN e.til IS NULL OR e.v IS NOT NULL THEN moved END AS moved FROM mo LEFT JOIN (SELECT * FROM ea WHERE pos = til) e {on}pos)),
+bk AS (SELECT {('ax.' + by + ', ') if by else ''}ax.date, CASE WHEN first IS NULL OR ax.pos <= first THEN 0 ELSE g END AS gross, CASE WHEN mv.pos IS NOT NULL THEN moved ELSE 0 END AS traded
+  FROM ax LEFT JOIN (SELECT DISTINCT {of}first FROM ep) f {'USING (' + by + ')' if by else 'ON true'} LEFT JOIN (SELECT {of}pos, g FROM ea WHERE pos > fill) e {on}pos) LEFT JOIN mv {on}pos))"""
+
+
+@query("pf_1_topk_book", f"""WITH {SM}, s AS (SELECT date, key, x2 AS score FROM sm), p AS (SELECT date, key, close FROM sm), {book_sql('s', '', 6, 8, 1)}
+SELECT date, {R('gross', 8)} AS gross, {R('traded', 8)} AS traded, {R('gross - 0.001 * traded', 8)} AS net, CASE WHEN gross IS NULL OR traded IS NULL THEN 'missing close' END AS problem FROM bk""")
 def pf_1(spark, d):
+    panel = written(supplier_month(spark, d).select("date", "key", "x2", "close"))
+    book = P.topk_book(panel.select("date", "key", F.col("x2").alias("score")), panel.select("date", "key", "close"), k=8, every=6, delay=1, cost=0.001, strict=False)
+    return book.select("date", *[tidy(c, 8).alias(c) for c in ("gross", "traded", "net")], "problem")
+
+
+LEDGER_SQL = f"""WITH {SM}, fo AS (SELECT date, (ntile(4) OVER (ORDER BY date) - 1)::INT AS fold FROM (SELECT DISTINCT date FROM sm)), s AS (SELECT fold, date, key, x2 AS score FROM sm JOIN fo USING (date)), p AS (SELECT date, key, close FROM sm), {book_sql('s', 'fold', 4, 8, 2)}"""
+FOLD_SQL = LEDGER_SQL + f""", mk AS (SELECT date, sum(close * volume) / sum(volume) AS close FROM (SELECT date, round(close * 100)::BIGINT AS close, volume FROM sm) GROUP BY 1), w AS (SELECT fold, date, close FROM mk JOIN fo USING (date)),
+ho AS (SELECT fold, date, r AS gross, r - CASE WHEN row_number() OVER (PARTITION BY fold ORDER BY date) = 1 THEN 0.002 ELSE 0 END AS net FROM (SELECT *, close / lag(close) OVER (PARTITION BY fold ORDER BY date) - 1 AS r FROM w) WHERE r IS NOT NULL),
+ts AS (SELECT a.fold, a.date, a.close, CASE WHEN b.close IS NULL THEN 0 ELSE (a.close > b.close)::INT END AS s FROM w a LEFT JOIN w b ON b.fold = a.fold AND b.date = a.date - 31),
+th AS (SELECT fold, date, coalesce(lag(s, 2) OVER (PARTITION BY fold ORDER BY date), 0) AS position, coalesce(close / lag(close) OVER (PARTITION BY fold ORDER BY date) - 1, 0) AS r FROM ts),
+ti AS (SELECT fold, date, position * r AS gross, position * r - 0.002 * abs(position - coalesce(lag(position) OVER (PARTITION BY fold ORDER BY date), 0)) AS net FROM th),
+tot AS (SELECT fold, max(g) FILTER (n = 'book') AS book_gross, max(t) FILTER (n = 'book') AS book_net, max(g) FILTER (n = 'hold') AS hold_gross, max(t) FILTER (n = 'hold') AS hold_net, max(g) FILTER (n = 'timing') AS timing_gross, max(t) FILTER (n = 'timing') AS timing_net FROM (
+  SELECT n, fold, CASE WHEN count(gross) = count(*) THEN exp(sum(ln(1 + gross))) - 1 END AS g, CASE WHEN count(net) = count(*) THEN exp(sum(ln(1 + net))) - 1 END AS t
+  FROM (SELECT 'book' AS n, fold, gross, gross - 0.002 * traded AS net FROM bk UNION ALL SELECT 'hold', fold, gross, net FROM ho UNION ALL SELECT 'timing', fold, gross, net FROM ti) GROUP BY 1, 2) GROUP BY 1),
+cs AS (SELECT fold, count(*)::BIGINT AS dates, CASE WHEN count(traded) = count(*) THEN 0.002 * sum(traded) END AS cost FROM bk GROUP BY 1),
+ld AS (SELECT fold, count(*)::BIGINT AS decisions, count(*) FILTER (pos + 2 <= last)::BIGINT AS filled, count(*) FILTER (pos + 2 > last)::BIGINT AS expired FROM de GROUP BY 1),
+po AS (SELECT count(*)::BIGINT AS folds, {', '.join(f"CASE WHEN count({c}) = count(*) THEN exp(sum(ln(1 + {c}))) - 1 END AS {c}" for c in ('book_gross', 'book_net', 'hold_gross', 'hold_net', 'timing_gross', 'timing_net'))} FROM tot),
+pd AS (SELECT *, book_net > hold_net AND book_net > timing_net AS bar_met FROM po)"""
+TOTALS = ("book_gross", "book_net", "hold_gross", "hold_net", "timing_gross", "timing_net")
+
+
+def fold_scores(spark, d):
+    """fold, date, key, score over four windows of the months; close and volume go along."""
     panel = supplier_month(spark, d)
-    book = P.topk_book(panel.select("date", "key", F.col("x2").alias("score")), panel.select("date", "key", "close"), k=8, every=6, delay=1, cost=0.001)
-    return book.select("date", *[tidy(c, 8).alias(c) for c in ("gross", "traded", "net")])
+    return panel.join(F.broadcast(array_split_folds(panel.select("date"), 4)), "date").select("fold", "date", "key", F.col("x2").alias("score"), "close", "volume")
+
+
+def folds_of(spark, d):
+    panel = written(fold_scores(spark, d))
+    market = panel.groupBy("date").agg((F.sum(F.round(F.col("close") * 100).cast("long") * F.col("volume")) / F.sum("volume")).alias("close"))
+    return P.net_by_fold(panel.select("fold", "date", "key", "score"), panel.select("date", "key", "close"), market, k=8, every=4, delay=2, cost=0.002, days=31)
+
+
+@query("pf_1_decision_ledger", LEDGER_SQL + " SELECT de.fold, a.date, b.date AS fill_date, names::BIGINT AS names, CASE WHEN b.date IS NULL THEN 'expired' ELSE 'filled' END AS status FROM de JOIN ax a USING (fold, pos) LEFT JOIN ax b ON b.fold = de.fold AND b.pos = de.pos + 2")
+def pf_1_ledger(spark, d):
+    return P.decision_ledger(fold_scores(spark, d).select("fold", "date", "key", "score"), k=8, every=4, delay=2, by=("fold",))
+
+
+@query("pf_4_net_of_cost", FOLD_SQL + f" SELECT fold, dates, decisions, filled, expired, {R('cost', 8)} AS cost, {', '.join(R(c, 7) + ' AS ' + c for c in ('book_gross', 'book_net', 'hold_gross', 'hold_net', 'timing_gross', 'timing_net'))} FROM cs JOIN ld USING (fold) JOIN tot USING (fold)")
+def pf_4_net_of_cost(spark, d):
+    return folds_of(spark, d).select("fold", "dates", "decisions", "filled", "expired", tidy("cost", 8).alias("cost"), *[tidy(c, 7).alias(c) for c in TOTALS])
+
+
+@query("pf_4_pooled", FOLD_SQL + f" SELECT folds, {', '.join(R(c, 7) + ' AS ' + c for c in ('book_gross', 'book_net', 'hold_gross', 'hold_net', 'timing_gross', 'timing_net'))}, bar_met FROM pd")
+def pf_4_pooled(spark, d):
+    return P.pooled(folds_of(spark, d)).select("folds", *[tidy(c, 7).alias(c) for c in TOTALS], "bar_met")
+
+
+ATTESTED = """att AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'guess' ELSE 'battery' END AS source, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 2 THEN 'soon' ELSE '1998-08-02' END AS measured_at, CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 3 THEN '  ' ELSE s_name END AS evidence_ref FROM supplier)"""
+
+
+@query("pf_5_verdict", FOLD_SQL + f""", {ATTESTED}, st AS (SELECT *, CASE s_suppkey % 5 WHEN 0 THEN 'withheld' WHEN 1 THEN 'bad source' WHEN 2 THEN 'bad date' WHEN 3 THEN 'no evidence' ELSE 'emitted' END AS status FROM att)
+SELECT s_suppkey, status, CASE status WHEN 'emitted' THEN 'net_of_cost' WHEN 'withheld' THEN 'gross_only_diagnostic' END AS grade, {R("CASE status WHEN 'emitted' THEN book_net WHEN 'withheld' THEN book_gross END", 7)} AS total, CASE WHEN status = 'emitted' THEN bar_met END AS bar_met FROM st, pd""")
+def pf_5_verdict(spark, d):
+    five = F.col("s_suppkey") % 5
+    source = F.when(five == 1, "guess").when(five != 0, "battery")
+    at = table(spark, d, "supplier").select("s_suppkey", source.alias("source"), F.when(five == 2, "soon").when(five != 0, "1998-08-02").alias("measured_at"), F.when(five == 3, "  ").when(five != 0, F.col("s_name")).alias("evidence_ref"))
+    return P.attested_verdict(at, P.pooled(folds_of(spark, d)), ("battery", "canary")).select("s_suppkey", "status", "grade", tidy("total", 7).alias("total"), "bar_met")
 
 
 @query("pf_2_buy_and_hold", f"WITH {BW}, r AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS r FROM mk) SELECT date, {R('r - CASE WHEN row_number() OVER (ORDER BY date) = 1 THEN 0.002 ELSE 0 END')} AS net FROM r WHERE r IS NOT NULL")
