@@ -205,6 +205,32 @@ def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: list[floa
     return counted.withColumns({"precision": p, "recall": r, "f1": 2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0))})
 
 
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """One row, the threshold with the highest f1 of a sweep; the lowest one of equals."""
+    return sweep.agg(F.max_by("threshold", F.struct(F.coalesce("f1", F.lit(0.0)), -F.col("threshold"))).alias("threshold"), F.max("f1").alias("f1"))
+
+
+def auc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ("fold",), slices: int = 1024) -> DataFrame:
+    """by, n, positives, auc of 0/1 labels: the rank sum of positives with tie-averaged ranks; null without both classes.
+
+    Rows are counted per value first. The values of all by are put in order within slices of an even
+    cut of each by's range of scores, and slices add what lies below them; no task orders a whole by.
+    """
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = rows.groupBy(*by, F.col(score).cast("double").alias("_v")).agg(F.count("*").alias("_n"), F.count(F.when(F.col(label) == 1, 1)).alias("_p"))
+    ends = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    cut = counts.join(F.broadcast(ends), list(by)).withColumn("_s", F.coalesce(F.floor(share * slices), F.lit(0)))
+    below = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*by, "_s").agg(F.sum("_n").alias("_t")).select(*by, "_s", F.coalesce(F.sum("_t").over(below), F.lit(0)).alias("_below"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = cut.withColumn("_in", inside).join(F.broadcast(sums), [*by, "_s"])
+    rank = F.col("_below") + F.col("_in") + (F.col("_n") + 1) / 2
+    total = ranked.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_p").alias("positives"), F.sum(F.col("_p") * rank).alias("_r"))
+    p = F.col("positives")
+    return total.select(*by, "n", "positives", ((F.col("_r") - p * (p + 1) / 2) / F.nullif(p * (F.col("n") - p), F.lit(0))).alias("auc"))
+
+
 def welch_gap(df: DataFrame, value: str, event: Column) -> DataFrame:
     """One row: mean on event rows less mean on others, its Welch standard error, and t."""
     v = col(value)

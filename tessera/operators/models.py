@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,29 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a string, b string, rho double")
 
 
+def deduplicated(pairs: DataFrame, threshold: float) -> DataFrame:
+    """feature, place, kept: the greedy choice of features that no label enters; pairs is a matrix (a, b, rho) with each pair once.
+
+    Features are looked at by the sum of their absolute correlations, largest first (then by name),
+    and kept if none kept before correlates with them beyond the threshold. A feature whose earlier
+    neighbours are all decided is decided itself, so the driver's rounds are as many as the longest
+    chain of neighbours; the table is as small as the matrix.
+    """
+    both = pairs.select("a", "b", F.coalesce(F.abs("rho"), F.lit(0.0)).alias("r"))
+    both = both.union(both.select("b", "a", "r"))
+    order = Window.orderBy(F.desc("_w"), "a")
+    places = {row["a"]: row["place"] for row in both.groupBy("a").agg(F.round(F.sum("r"), 12).alias("_w")).select("a", F.row_number().over(order).alias("place")).collect()}
+    earlier: dict[str, list[str]] = {f: [] for f in places}
+    for row in both.where(F.col("r") > threshold).collect():
+        if places[row["b"]] < places[row["a"]]:
+            earlier[row["a"]].append(row["b"])
+    kept: dict[str, bool] = {}
+    while len(kept) < len(places):
+        ready = [f for f in places if f not in kept and all(e in kept for e in earlier[f])]
+        kept |= {f: not any(kept[e] for e in earlier[f]) for f in ready}
+    return pairs.sparkSession.createDataFrame([(f, places[f], kept[f]) for f in places], "feature string, place int, kept boolean")
+
+
 def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 

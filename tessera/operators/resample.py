@@ -232,12 +232,103 @@ def critical_value(null: DataFrame, df: int, level: float = 0.95) -> DataFrame:
     return null.agg(q.alias("null_quantile"), F.greatest(q, F.lit(t_quantile(1 - (1 - level) / 2, df))).alias("bar"))
 
 
-def hold_out_keys(df: DataFrame, score: str, label: str, keys: DataFrame) -> DataFrame:
-    """held, mean: the mean rank correlation without each held-out key; keys is a small dimension (held)."""
-    from .metrics import rank_ic
+def leave_one_out(df: DataFrame, score: str, label: str) -> DataFrame:
+    """date, key, ic, without: each date's rank correlation, and what it is without each of its keys.
+
+    Without a row, ranks above its value fall by one and those of equal values by a half. So all
+    correlations of a date follow from its sums, from running sums of the ranks above each row, and from
+    one count per row, of the rows above it on both sides, which comes from merging ordered runs of
+    doubled length. The work is linear in the panel, with the square of the logarithm of a date's keys;
+    a date's rows lie in one task. A key is on a date once; rows without score or label do not count.
+    """
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull() & ~F.isnan(F.col(score).cast("double")) & ~F.isnan(F.col(label).cast("double")))
+    rows = rows.select("date", "key", F.col(score).cast("double").alias("_x"), F.col(label).cast("double").alias("_y"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y = (table.column(c).to_numpy() for c in ("_x", "_y"))
+        n = len(x)
+        level_x, level_y = (np.unique(v, return_inverse=True)[1] for v in (x, y))
+        ic, without = _without_each(level_x, level_y)
+        return pa.table({"date": table.column("date"), "key": table.column("key"), "ic": pa.array([ic] * n, pa.float64()), "without": pa.array(without, mask=np.isnan(without))})
+
+    return rows.groupBy("date").applyInArrow(run, f"date {kinds['date']}, key {kinds['key']}, ic double, without double")
+
+
+def _above_both(x, y, from_x, from_y):
+    """For each pair of bounds, how many points have at least both of them; all are levels from 0."""
+    import numpy as np
+
+    n = len(x)
+    order = np.argsort(-x, kind="stable")
+    ys, length = y[order], np.searchsorted(-x[order], -from_x, "right")
+    wide, out, start = int(max(y.max(), from_y.max())) + 2, np.zeros(len(from_x), np.int64), np.zeros(len(from_x), np.int64)
+    # The points from a bound of x on are a prefix: a run of each power of two that its length has.
+    for k in reversed(range(n.bit_length())):
+        use = np.flatnonzero(length >> k & 1)
+        if not len(use):
+            continue
+        runs = np.sort((np.arange(n) >> k) * wide + ys)
+        at = start[use] >> k
+        out[use] += np.searchsorted(runs, (at + 1) * wide) - np.searchsorted(runs, at * wide + from_y[use])
+        start[use] += 1 << k
+    return out
+
+
+def _without_each(x, y):
+    """The rank correlation of two columns of levels, and that without each row; None or NaN where a side does not vary."""
+    import numpy as np
+
+    n = len(x)
+    sides = []
+    for v in (x, y):
+        count = np.bincount(v)
+        rank = (np.cumsum(count) - count + (count + 1) / 2)[v]
+        ties = (count.astype(np.float64) ** 3 - count).sum()
+        # Squares of ranks follow from the ties, also without a row of a tie.
+        t = count[v].astype(np.float64)
+        sides.append((rank, ties, ties - (t**3 - t) + ((t - 1) ** 3 - (t - 1))))
+    (a, ties_a, less_a), (b, ties_b, less_b) = sides
+
+    def correlation(m, products, ta, tb):
+        square = lambda t: m * (m * m - 1) / 12 - t / 12
+        spread = square(ta) * square(tb)
+        return np.where(spread > 1e-9, (products - m * (m + 1) ** 2 / 4) / np.sqrt(np.maximum(spread, 1e-300)), np.nan)
+
+    whole = float(correlation(n, (a * b).sum(), ties_a, ties_b))
+    if n < 3:
+        return (None if np.isnan(whole) else whole), np.full(n, np.nan)
+
+    def ranks_above(v, ranks):
+        """Sum of the ranks of rows above each row by v, and half of those beside it."""
+        per = np.bincount(v, ranks)
+        return ((per.sum() - np.cumsum(per)) + per / 2)[v] - ranks / 2
+
+    both = sum(_above_both(x, y, x + i, y + j) for i in (0, 1) for j in (0, 1)) / 4 - 0.25
+    products = (a * b).sum() - a * b - ranks_above(y, a) - ranks_above(x, b) + both
+    return (None if np.isnan(whole) else whole), correlation(n - 1, products, less_a, less_b)
 
-    long = df.join(F.broadcast(keys), F.col("key") != F.col("held"))
-    return rank_ic(long, score, label, by=("held", "date")).groupBy("held").agg(F.avg("ic").alias("mean"))
+
+def hold_out_keys(df: DataFrame, score: str, label: str, keys: DataFrame) -> DataFrame:
+    """held, mean: the mean rank correlation over dates without each held-out key; keys has one row per key (held)."""
+    rows = leave_one_out(df, score, label)
+    dates = rows.groupBy("date").agg(F.first("ic").alias("ic")).agg(F.coalesce(F.sum("ic"), F.lit(0.0)).alias("_s"), F.count("ic").alias("_c"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    own = rows.groupBy(F.col("key").alias("held")).agg(F.sum(zero("without") - zero("ic")).alias("_ds"), (F.count("without") - F.count("ic")).alias("_dc"))
+    both = keys.join(own, "held", "left").join(F.broadcast(dates))
+    return both.select("held", ((F.col("_s") + zero("_ds")) / F.nullif(F.col("_c") + F.coalesce("_dc", F.lit(0)), F.lit(0))).alias("mean"))
+
+
+def halves_agree(series: DataFrame, value: str) -> DataFrame:
+    """One row: n, first, second (means of the two halves of the dates, the odd one in the second), whole, agree (all three have one sign)."""
+    w = Window.orderBy("date")
+    v = F.col(value)
+    placed = series.where(v.isNotNull()).select(v.alias("v"), (2 * F.row_number().over(w) <= F.count("*").over(Window.partitionBy())).alias("early"))
+    found = placed.agg(F.count("*").alias("n"), F.avg(F.when(F.col("early"), F.col("v"))).alias("first"), F.avg(F.when(~F.col("early"), F.col("v"))).alias("second"), F.avg("v").alias("whole"))
+    return found.withColumn("agree", (F.signum("first") == F.signum("whole")) & (F.signum("second") == F.signum("whole")))
 
 
 def fresh_and_stale(df: DataFrame, score: str, label: str, lag: int) -> DataFrame:

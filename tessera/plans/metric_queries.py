@@ -287,6 +287,23 @@ def agg_39(spark, d):
     return out.select("threshold", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+AUC = """e AS (SELECT value / 50 AS s, (event_type = 'error')::INT AS l, (user_id % 4)::INT AS fold FROM events WHERE value IS NOT NULL), k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY s) + (count(*) OVER (PARTITION BY fold, s) - 1) / 2.0 AS r FROM e)"""
+
+
+@query("agg_39_auc_by_fold", f"WITH {AUC} SELECT fold, count(*)::BIGINT AS n, sum(l)::BIGINT AS positives, {R('(sum(r) FILTER (l = 1) - sum(l) * (sum(l) + 1) / 2.0) / nullif(sum(l) * (count(*) - sum(l)), 0)::DOUBLE', 8)} AS auc FROM k GROUP BY 1")
+def agg_39_auc(spark, d):
+    scored = table(spark, d, "events").where("value is not null").select((F.col("value") / 50).alias("s"), (F.col("event_type") == "error").cast("int").alias("l"), (F.col("user_id") % 4).cast("int").alias("fold"))
+    return M.auc(scored, "s", "l").select("fold", "n", "positives", tidy("auc", 8).alias("auc"))
+
+
+@query("agg_39_best_threshold", """WITH s AS (SELECT value / 50 AS s, (event_type = 'error')::INT AS l FROM events), t AS (SELECT unnest(range(6, 15)) / 20.0 AS threshold),
+c AS (SELECT threshold, 2 * count(*) FILTER (s >= threshold AND l = 1) / nullif(2 * count(*) FILTER (s >= threshold AND l = 1) + count(*) FILTER (s >= threshold AND l = 0) + count(*) FILTER (s < threshold AND l = 1), 0)::DOUBLE AS f1 FROM s, t GROUP BY 1)
+SELECT threshold::DOUBLE AS threshold, round(f1, 9) AS f1 FROM c ORDER BY coalesce(f1, 0) DESC, threshold LIMIT 1""")
+def agg_39_best(spark, d):
+    scored = table(spark, d, "events").select((F.col("value") / 50).alias("s"), (F.col("event_type") == "error").cast("int").alias("l"))
+    return M.best_threshold(M.threshold_sweep(scored, "s", "l", [k / 20 for k in range(6, 15)])).select("threshold", F.round("f1", 9).alias("f1"))
+
+
 GAP = "sqrt(var_samp(v) FILTER (e) / count(v) FILTER (e) + var_samp(v) FILTER (NOT e) / count(v) FILTER (NOT e))"
 
 
@@ -370,3 +387,18 @@ def agg_37(spark, d):
     from ..operators.models import correlation_matrix
 
     return correlation_matrix(supplier_month(spark, d), ["x1", "x2", "close"]).select("a", "b", tidy("rho", 8).alias("rho"))
+
+
+DEDUP = "x1 x2 close volume n spent".split()
+
+
+@query("agg_37_deduplicated", f"""WITH RECURSIVE {SM}, v AS (SELECT x1, x2, close, volume::DOUBLE AS volume, n::DOUBLE AS n, close * volume AS spent FROM sm), c AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for i, a in enumerate("x1 x2 close volume n spent".split()) for b in "x1 x2 close volume n spent".split()[i + 1:])}) t(a, b)),
+m AS (SELECT unnest([{', '.join(f"abs(corr({a}, {b}))" for i, a in enumerate("x1 x2 close volume n spent".split()) for b in "x1 x2 close volume n spent".split()[i + 1:])}]) AS r, unnest([{', '.join(f"'{a}'" for i, a in enumerate("x1 x2 close volume n spent".split()) for b in "x1 x2 close volume n spent".split()[i + 1:])}]) AS a, unnest([{', '.join(f"'{b}'" for i, a in enumerate("x1 x2 close volume n spent".split()) for b in "x1 x2 close volume n spent".split()[i + 1:])}]) AS b FROM v),
+e AS (SELECT a, b, r FROM m UNION ALL SELECT b, a, r FROM m), o AS (SELECT a, row_number() OVER (ORDER BY sum(r) DESC, a) AS place FROM e GROUP BY 1),
+k AS (SELECT 1::BIGINT AS place, [a] AS kept FROM o WHERE place = 1 UNION ALL SELECT o.place, CASE WHEN (SELECT count(*) FROM e WHERE e.a = o.a AND e.r > 0.7 AND list_contains(k.kept, e.b)) = 0 THEN list_append(k.kept, o.a) ELSE k.kept END FROM k JOIN o ON o.place = k.place + 1)
+SELECT a AS feature, place::INT AS place, list_contains((SELECT kept FROM k ORDER BY place DESC LIMIT 1), a) AS kept FROM o""")
+def agg_37_dedup(spark, d):
+    from ..operators.models import correlation_matrix, deduplicated
+
+    panel = supplier_month(spark, d).withColumn("spent", F.col("close") * F.col("volume"))
+    return deduplicated(correlation_matrix(panel, DEDUP), 0.7)

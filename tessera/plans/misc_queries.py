@@ -11,11 +11,13 @@ from ..functions.scalar import correlation, pct_rank, tidy
 from ..operators import cross_section as X
 from ..operators import models as ML
 from ..operators import quality as Q
+from ..operators import splits as SP
 from ..operators import textjson as J
 from ..operators import udfs as U
+from ..operators import walkforward as WF
 from ..sources import files as R_
 from ..sources import sinks as K_
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from ..streaming import state as ST
 from .join_queries import orders
 from .panels import SM, UD, R, corr_sql, supplier_month, table, user_day
@@ -77,9 +79,51 @@ g AS (SELECT fold, sum(z1 * z1) AS a, sum(z1 * z2) AS b, sum(z2 * z2) AS c, sum(
 w AS (SELECT fold, (c * u - b * v) / (a * c - b * b) AS w1, (a * v - b * u) / (a * c - b * b) AS w2 FROM g)
 SELECT fold::INT AS fold, part, date, key, {R('w1 * z1 + w2 * z2', 7)} AS score FROM z JOIN w USING (fold)""")
 def ml_3_linear(spark, d):
-    rows = walk_forward_rows(labelled(spark, d).select("date", "key", "x1", "x2", "y"))
-    scored = ML.fit_by_fold(rows, FEATURES, lambda train: ML.fit_linear(train, FEATURES, "y"))
-    return scored.select(F.col("fold").cast("int").alias("fold"), "part", "date", "key", tidy("score", 7).alias("score"))
+    scored = expanding(spark, d, 5, with_train=True)
+    return scored.select("fold", "part", "date", "key", tidy("score", 7).alias("score"))
+
+
+def expanding(spark, d, k, with_train=False):
+    """Scores of k expanding folds, three months embargoed, fitted from running sums of one scan."""
+    panel = written(labelled(spark, d).select("date", "key", "x1", "x2", "y"))
+    fits = WF.fit_from_sums(WF.train_sums(panel, SP.expanding_folds(panel, k, 3), FEATURES, "y"), FEATURES)
+    return WF.linear_scores(panel, fits, FEATURES, with_train=with_train)
+
+
+LINEAR_SQL = f"""mo AS (SELECT fold, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM wl WHERE part = 'train' GROUP BY 1),
+z AS (SELECT wl.fold, part, date, key, y, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM wl JOIN mo USING (fold)),
+g AS (SELECT fold, sum(z1 * z1) AS a, sum(z1 * z2) AS b, sum(z2 * z2) AS c, sum(z1 * y) AS u, sum(z2 * y) AS v FROM z WHERE part = 'train' GROUP BY 1),
+w AS (SELECT fold, (c * u - b * v) / (a * c - b * b) AS w1, (a * v - b * u) / (a * c - b * b) AS w2 FROM g)"""
+
+
+@query("ml_3_expanding_43", f"""WITH {FOLDS.replace('ntile(6)', 'ntile(44)')}, {LINEAR_SQL}
+SELECT fold::INT AS fold, date, key, {R('w1 * z1 + w2 * z2', 7)} AS score FROM z JOIN w USING (fold) WHERE part = 'val'""")
+def ml_3_expanding(spark, d):
+    """Out-of-sample scores of 43 expanding folds."""
+    return expanding(spark, d, 43).select("fold", "date", "key", tidy("score", 7).alias("score"))
+
+
+TREE_FEATURES = ["x1", "x2", "close", "volume", "n"]
+
+
+def tree_panel(spark, d):
+    return written(labelled(spark, d).withColumn("target", pct_rank("y", "date")))
+
+
+@query("ml_3_boosted_ranker")
+def ml_3_boosted(spark, d):
+    """Out-of-sample scores of ten rounds of trees of depth three on all features, on the percentile rank within the date, by fold."""
+    panel = tree_panel(spark, d)
+    fit = lambda train: ML.fit_trees(train, TREE_FEATURES, "target")
+    return WF.boosted_scores(panel, SP.expanding_folds(panel, 5, 3), TREE_FEATURES, "target", fit).select("fold", "date", "key", "target", "score")
+
+
+@query("ml_4_boosted_classifier")
+def ml_4_boosted(spark, d):
+    """Out-of-sample probabilities of the top decile, ten rounds of trees of depth three on all features, by fold."""
+    panel = tree_panel(spark, d).withColumn("top", (F.col("target") >= 0.9).cast("int"))
+    fit = lambda train: ML.fit_trees(train, TREE_FEATURES, "top", classify=True)
+    return WF.boosted_scores(panel, SP.expanding_folds(panel, 5, 3), TREE_FEATURES, "top", fit, classify=True).select("fold", "date", "key", "top", "score")
 
 
 @query("ml_3_tree_ranker", f"""WITH {FOLDS}, rk AS (SELECT date, key, (rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2.0) / count(*) OVER (PARTITION BY date) AS target FROM sm WHERE y IS NOT NULL),
@@ -212,11 +256,26 @@ def ml_11(spark, d):
     return scored.select("date", "key", "regime", F.when(F.col("regime") == "NEW", "global").otherwise("specialist").alias("model"), tidy("score", 6).alias("score"))
 
 
-@query("agg_38_importance", "SELECT * FROM (VALUES ('value', true), ('x', false)) v(feature, used)")
+@query("agg_38_importance", """WITH v AS (SELECT l_quantity AS y, unnest([l_linenumber::DOUBLE, l_discount * 100, l_tax * 100]) AS x, unnest(['line', 'discount', 'tax']) AS feature FROM lineitem),
+c AS (SELECT feature, round(x) AS x, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM v GROUP BY 1, 2), t AS (SELECT feature, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM c GROUP BY 1),
+l AS (SELECT feature, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM c WINDOW w AS (PARTITION BY feature ORDER BY x)),
+g AS (SELECT feature, (t.q - t.s * t.s / t.n - (l.q - l.s * l.s / l.n) - (t.q - l.q - (t.s - l.s) * (t.s - l.s) / (t.n - l.n))) / t.n AS gain FROM l JOIN t USING (feature) WHERE l.n < t.n),
+b AS (SELECT feature, gain FROM g ORDER BY gain DESC LIMIT 1), f AS (SELECT unnest(['line', 'discount', 'tax', 'flat']) AS feature)
+SELECT f.feature, (b.feature IS NOT NULL)::BIGINT AS splits, round(coalesce(gain, 0), 7) + 0.0 AS gain, (b.feature IS NOT NULL)::INT::DOUBLE AS share, 1.0::DOUBLE AS cumulative, 3::BIGINT AS never_used FROM f LEFT JOIN b ON f.feature = b.feature""")
 def agg_38(spark, d):
-    e = table(spark, d, "events").where("value is not null").select("value", F.lit(1.0).alias("x"), (F.col("value") > 30).cast("double").alias("label"))
-    model = ML.fit_trees(e, ["value", "x"], "label", rounds=2)
-    return ML.importance(model, ["value", "x"], spark).select("feature", (F.col("gain") > 0).alias("used"))
+    """The gain of the best split of quantity by a line's number, discount or tax; a feature without spread is never used."""
+    lines = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("y"), F.col("l_linenumber").cast("double").alias("line"), F.round(F.col("l_discount") * 100).cast("double").alias("discount"), F.round(F.col("l_tax") * 100).cast("double").alias("tax"), F.lit(1.0).alias("flat"))
+    features = ["line", "discount", "tax", "flat"]
+    found = WF.gain_table(WF.node_table(ML.fit_trees(lines, features, "y", rounds=1, depth=1, least=1, share=1.0)), features)
+    return found.select("feature", "splits", tidy("gain", 7).alias("gain"), "share", tidy("cumulative").alias("cumulative"), "never_used")
+
+
+@query("agg_38_gain_table")
+def agg_38_gain(spark, d):
+    """Gains of ten rounds of trees on the whole panel, by feature."""
+    panel = tree_panel(spark, d).withColumn("flat", F.lit(1.0))
+    features = [*TREE_FEATURES, "flat"]
+    return WF.gain_table(WF.node_table(ML.fit_trees(panel, features, "target")), features)
 
 
 # Text, JSON, digests, scalars

@@ -178,11 +178,18 @@ def st_15(spark, d):
 k AS (SELECT held, date, rank() OVER (PARTITION BY held, date ORDER BY x2) + (count(*) OVER (PARTITION BY held, date, x2) - 1) / 2.0 AS a, rank() OVER (PARTITION BY held, date ORDER BY y) + (count(*) OVER (PARTITION BY held, date, y) - 1) / 2.0 AS b FROM v),
 c AS (SELECT held, {corr_sql('a', 'b')} AS ic FROM k GROUP BY held, date) SELECT held, {R('avg(ic)', 8)} AS mean FROM c GROUP BY 1""")
 def st_16(spark, d):
-    panel = labelled(spark, d)
-    held = supplier_month(spark, d).select(F.col("key").alias("held")).distinct()
+    panel = written(supplier_month(spark, d).select("date", "key", "x2", "y"))
+    held = panel.select(F.col("key").alias("held")).distinct()
     return S.hold_out_keys(panel, "x2", "y", held).select("held", tidy("mean", 8).alias("mean"))
 
 
+@query("st_16_halves", f"""WITH {SERIES}, h AS (SELECT ic, 2 * row_number() OVER (ORDER BY date) <= count(*) OVER () AS early FROM se)
+SELECT count(*)::BIGINT AS n, {R('avg(ic) FILTER (early)', 8)} AS first, {R('avg(ic) FILTER (NOT early)', 8)} AS second, {R('avg(ic)', 8)} AS whole, sign(avg(ic) FILTER (early)) = sign(avg(ic)) AND sign(avg(ic) FILTER (NOT early)) = sign(avg(ic)) AS agree FROM h""")
+def st_16_halves(spark, d):
+    found = S.halves_agree(series(spark, d), "ic")
+    return found.select("n", *[tidy(c, 8).alias(c) for c in ("first", "second", "whole")], "agree")
+
+
 @query("st_17_paired_difference", f"WITH {SM}, c AS (SELECT date, avg(y) FILTER (key % 2 = 0) - avg(y) FILTER (key % 2 = 1) AS diff FROM sm WHERE y IS NOT NULL GROUP BY 1) SELECT date, {R('diff', 8)} AS diff FROM c WHERE diff IS NOT NULL")
 def st_17(spark, d):
     cells = labelled(spark, d).groupBy("date", F.when(F.col("key") % 2 == 0, "even").otherwise("odd").alias("cell")).agg(F.avg("y").alias("value"))
