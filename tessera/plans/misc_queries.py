@@ -648,6 +648,61 @@ def stm_2(spark, d):
     return ST.warm_up(e, 5).select("key", F.size("values").alias("n"))
 
 
+def ordered_events(spark, d):
+    """key, date (time and id, in order as text), value of all events."""
+    order = F.concat_ws("#", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), order.alias("date"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+CONTINUED = """e AS (SELECT user_id::VARCHAR AS key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '#' || lpad(event_id::VARCHAR, 20, '0') AS date, coalesce(value, 0) AS value FROM events),
+w AS (SELECT key, date, sum(value) OVER b AS total, first_value(value) OVER b AS oldest, count(*) OVER b AS n FROM e WINDOW b AS (PARTITION BY key ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
+CUT = "2024-01-11"
+
+
+def continued(spark, d):
+    """The folder of a stream over events from CUT on, in two batches, that goes on from the buffers of those before."""
+    ST.stateful(spark)
+    path, e = scratch(spark), ordered_events(spark, d)
+    first = ST.warm_up(e.where(F.col("date") < CUT), 5)
+    # Files arrive in order of their time; each has whole keys for its days.
+    for piece in (e.where(F.col("date").between(CUT, "2024-01-21")), e.where(F.col("date") > "2024-01-21")):
+        piece.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    rows = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    out = ST.continued_buffer(rows, 5, first)
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+@query("stm_2_continued_buffer", f"WITH {CONTINUED} SELECT key, date, (round(total, 6) + 0.0) AS total, oldest FROM w WHERE n = 5 AND date >= '{CUT}'")
+def stm_2_continued(spark, d):
+    """All full windows of a stream that was started from its history's state."""
+    out = spark.read.parquet(f"{continued(spark, d)}/out")
+    return out.select("key", "date", tidy(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.col("values")[0].alias("oldest"))
+
+
+@query("stm_2_stored_state", f"WITH {CONTINUED}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY date DESC) AS k FROM e) SELECT key, count(*)::INT AS n, (round(sum(value), 6) + 0.0) AS total, max(value) AS highest FROM r WHERE k < 5 GROUP BY 1")
+def stm_2_state(spark, d):
+    """The buffers that the stream has left in its state store, read back as a table."""
+    values = ST.stored_buffers(spark, f"{continued(spark, d)}/ck")
+    return values.select("key", F.size("values").alias("n"), tidy(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.array_max("values").alias("highest"))
+
+
+@query("stm_1_ranked_windows", f"""WITH {UD}, k AS (SELECT key::VARCHAR AS key, date::VARCHAR AS date, (rank() OVER (PARTITION BY date ORDER BY value) + (count(*) OVER (PARTITION BY date, value) - 1) / 2.0) / count(*) OVER (PARTITION BY date) - 0.5 AS value FROM ud WHERE value IS NOT NULL),
+w AS (SELECT key, date, sum(value) OVER b AS total, count(*) OVER b AS n FROM k WINDOW b AS (PARTITION BY key ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT key, date, {R('total', 8)} AS total FROM w WHERE n = 3""")
+def stm_1_ranked(spark, d):
+    """Days arrive in batches, are ranked across keys, and a second stream makes windows of each key's ranks."""
+    ST.stateful(spark)
+    path, days = scratch(spark), written(user_day(spark, d).where("value is not null").select(F.col("key").cast("string").alias("key"), F.col("date").cast("string").alias("date"), "value"))
+    for piece in (days.where(F.col("date") < CUT), days.where(F.col("date") >= CUT)):
+        piece.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    rows = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    rows.writeStream.foreachBatch(ST.ranked_sink("value", f"{path}/ranked")).option("checkpointLocation", f"{path}/ck1").trigger(availableNow=True).start().awaitTermination()
+    ranked = spark.readStream.schema("key string, date string, value double, ranked double").option("maxFilesPerTrigger", 1).parquet(f"{path}/ranked/*")
+    out = ST.continued_buffer(ranked.select("key", "date", F.col("ranked").alias("value")), 3)
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck2").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("key", "date", tidy(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 8).alias("total"))
+
+
 @query("stm_3_immature_rows", "SELECT CASE WHEN ts::DATE <= DATE '2024-01-15' THEN 'accepted' ELSE 'refused' END AS sink, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def stm_3(spark, d):
     path = scratch(spark)

@@ -20,15 +20,12 @@ def rolling_buffer(rows: DataFrame, length: int) -> DataFrame:
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        out = []
-        rows = pd.concat(list(batches)).sort_values("date")
-        for date, value in zip(rows["date"], rows["value"]):
-            held = [*held, float(value)][-length:]
-            if len(held) == length:
-                out.append((key[0], date, length, held))
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["key", "date", "n", "values"])
+        before = list(state.get[0])[-(length - 1) :] if state.exists and length > 1 else []
+        new = pd.concat(list(batches)).sort_values("date", kind="stable")
+        joint = [*before, *new["value"].astype(float).tolist()]
+        state.update((joint[-length:],))
+        ends = range(max(length, len(before) + 1), len(joint) + 1)
+        yield pd.DataFrame({"key": key[0], "date": new["date"].tolist()[len(new) - len(ends) :], "n": length, "values": [joint[e - length : e] for e in ends]})
 
     return rows.groupBy("key").applyInPandasWithState(update, "key string, date string, n int, values array<double>", "values array<double>", "append", GroupStateTimeout.NoTimeout)
 
@@ -40,6 +37,52 @@ def warm_up(history: DataFrame, length: int) -> DataFrame:
     return last.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "value"))), lambda s: s["value"]).alias("values"))
 
 
+def stateful(spark) -> None:
+    """Keeps stream state in the store that stateful processors need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def continued_buffer(rows: DataFrame, length: int, initial: DataFrame | None = None) -> DataFrame:
+    """key, date, n, values: the last `length` values of each key, whenever a row arrives and the buffer is full.
+
+    rows: key string, date string, value double, a stream. Each key's state is a list of its last
+    length - 1 values, kept by a stateful processor; it begins with those of initial (key, values, as
+    warm_up gives them), so that a stream goes on where its history ends. A key's rows of one batch are
+    put in order of date; rows of later batches follow them. Keys without history begin empty.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Buffer(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.held = handle.getListState("buffer", "value double")
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+            values = [float(v) for own in initialState["values"] for v in own][-(length - 1) :] if length > 1 else []
+            if values:
+                self.held.put([(v,) for v in values])
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            new = pd.concat(list(rows)).sort_values("date", kind="stable")
+            before = [v for (v,) in self.held.get()] if self.held.exists() else []
+            joint = [*before, *new["value"].tolist()]
+            if length > 1:
+                self.held.put([(v,) for v in joint[-(length - 1) :]])
+            ends = range(max(length, len(before) + 1), len(joint) + 1)
+            yield pd.DataFrame({"key": key[0], "date": new["date"].tolist()[len(new) - len(ends) :], "n": length, "values": [joint[e - length : e] for e in ends]})
+
+        def close(self) -> None:
+            pass
+
+    own = initial.select("key", "values").groupBy("key") if initial is not None else None
+    return rows.select("key", "date", "value").groupBy("key").transformWithStateInPandas(Buffer(), "key string, date string, n int, values array<double>", "Append", "None", initialState=own)
+
+
+def stored_buffers(spark, checkpoint: str) -> DataFrame:
+    """key, values of the state that a stream of continued_buffer has left in its checkpoint, as a table; values are not in order."""
+    read = spark.read.format("statestore").option("stateVarName", "buffer").option("flattenCollectionTypes", "true").load(checkpoint)
+    return read.groupBy(F.col("key.key").alias("key")).agg(F.collect_list("list_element.value").alias("values"))
+
+
 def mature(date: Column, asof: str, horizon: int, settle: int) -> Column:
     """Whether a date lies at least horizon + settle business days before asof."""
     return date <= business_day_add(F.lit(asof).cast("date"), -(horizon + settle))
@@ -78,5 +121,18 @@ def daily_log(rows: DataFrame, time: str, late: str = "10 minutes") -> DataFrame
 
 
 def ranked_batch(batch: DataFrame, value: str) -> DataFrame:
-    """Rank-normalises a complete batch across its keys; used inside foreachBatch, since it crosses keys."""
+    """Adds ranked: the percentile rank within the date less a half, 0 for null; the batch holds whole dates."""
     return batch.withColumn("ranked", F.coalesce(pct_rank(value, "date") - 0.5, F.lit(0.0)))
+
+
+def ranked_sink(value: str, place: str):
+    """A foreachBatch function that ranks each arriving batch across its keys and writes it; a repeated batch overwrites its own rows.
+
+    Ranks cross keys, which state by key cannot; a second stream reads what this one writes. A key's
+    rows of a batch are one file, so that they never reach the second stream after later ones.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        ranked_batch(batch, value).repartition("key").sortWithinPartitions("key", "date").write.mode("overwrite").parquet(f"{place}/_batch={number}")
+
+    return write
