@@ -25,7 +25,8 @@ def rolling_buffer(rows: DataFrame, length: int) -> DataFrame:
         joint = [*before, *new["value"].astype(float).tolist()]
         state.update((joint[-length:],))
         ends = range(max(length, len(before) + 1), len(joint) + 1)
-        yield pd.DataFrame({"key": key[0], "date": new["date"].tolist()[len(new) - len(ends) :], "n": length, "values": [joint[e - length : e] for e in ends]})
+        if ends:
+            yield pd.DataFrame({"key": key[0], "date": new["date"].tolist()[len(new) - len(ends) :], "n": length, "values": [joint[e - length : e] for e in ends]})
 
     return rows.groupBy("key").applyInPandasWithState(update, "key string, date string, n int, values array<double>", "values array<double>", "append", GroupStateTimeout.NoTimeout)
 
@@ -68,7 +69,8 @@ def continued_buffer(rows: DataFrame, length: int, initial: DataFrame | None = N
             if length > 1:
                 self.held.put([(v,) for v in joint[-(length - 1) :]])
             ends = range(max(length, len(before) + 1), len(joint) + 1)
-            yield pd.DataFrame({"key": key[0], "date": new["date"].tolist()[len(new) - len(ends) :], "n": length, "values": [joint[e - length : e] for e in ends]})
+            if ends:
+                yield pd.DataFrame({"key": key[0], "date": new["date"].tolist()[len(new) - len(ends) :], "n": length, "values": [joint[e - length : e] for e in ends]})
 
         def close(self) -> None:
             pass
