@@ -121,7 +121,8 @@ def rank_normal(df: DataFrame, value: str, key: str = "key") -> DataFrame:
     from ..functions.scalar import inverse_normal
 
     w = Window.partitionBy("date")
-    return df.withColumn("normal", inverse_normal((F.row_number().over(w.orderBy(value, key)) - 0.5) / F.count("*").over(w)))
+    share = df.withColumn("_p", (F.row_number().over(w.orderBy(value, key)) - 0.5) / F.count("*").over(w))
+    return share.withColumn("normal", inverse_normal("_p", refined=True)).drop("_p")
 
 
 def ensemble(scores: DataFrame, how: str = "z") -> DataFrame:

@@ -200,17 +200,64 @@ def to_horizon(value, horizon: int, native: int):
     return F.col(value) * (horizon / native)
 
 
-def calibrated(df: DataFrame, value: str, points: DataFrame, name: str = "calibrated") -> DataFrame:
-    """Adds the piecewise linear value of a breakpoint table (x, y), flat beyond its ends. The table is a parameter: few rows."""
-    from pyspark.sql import Window
+#: Breakpoints that are sent to all tasks; 16 bytes each.
+MOST_POINTS = 1_000_000
 
-    w = Window.orderBy("x")
-    first, last = points.agg(F.min("x").alias("_lo"), F.min_by("y", "x").alias("_ylo")), points.agg(F.max("x").alias("_hi"), F.max_by("y", "x").alias("_yhi"))
-    spans = points.select(F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.lead("x").over(w).alias("_x1"), F.lead("y").over(w).alias("_y1")).where("_x1 > _x0")
-    v = F.col(value)
-    inside = df.join(F.broadcast(spans), (v >= F.col("_x0")) & (v < F.col("_x1")), "left").join(F.broadcast(first)).join(F.broadcast(last))
+
+def calibrated(df: DataFrame, value: str, points: DataFrame, name: str = "calibrated", *, most: int = MOST_POINTS) -> DataFrame:
+    """Adds the piecewise linear value of a breakpoint table (x, y), flat beyond its ends; null for null and without breakpoints.
+
+    Of breakpoints with one x the first by y counts from the left, the last from the right. Up to
+    `most` breakpoints (counted) are put in order once and searched by halving in each batch of rows;
+    beyond that rows and segments meet by an equal slice of the x range.
+    """
+    points = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    if points.count() > most:
+        return _by_slices(df, value, points, name)
+    import numpy as np
+    import pandas as pd
+
+    got = points.orderBy("x", "y").toPandas()
+    shared = df.sparkSession.sparkContext.broadcast((got["x"].to_numpy(), got["y"].to_numpy()))
+
+    def look(batches):
+        x, y = shared.value
+        for v in batches:
+            own = v.to_numpy(dtype="float64")
+            if not len(x):
+                yield pd.Series(np.full(len(own), np.nan))
+                continue
+            at = np.clip(np.searchsorted(x, own, "right") - 1, 0, max(0, len(x) - 2))
+            after = np.minimum(at + 1, len(x) - 1)
+            wide = x[after] - x[at]
+            inside = y[at] + (own - x[at]) / np.where(wide > 0, wide, 1.0) * (y[after] - y[at])
+            out = np.where(own <= x[0], y[0], np.where(own >= x[-1], y[-1], inside))
+            yield pd.Series(np.where(np.isnan(own), np.nan, out))
+
+    from collections.abc import Iterator
+
+    look.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    found = F.pandas_udf(look, "double")(F.col(value).cast("double"))
+    return df.withColumn(name, F.when(~F.isnan(found), found))
+
+
+def _by_slices(df: DataFrame, value: str, points: DataFrame, name: str, slices: int = 1 << 16) -> DataFrame:
+    """calibrated for breakpoints in any number: a segment stands in each slice of the x range that it reaches."""
+    ends = points.agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.min_by("y", F.struct("x", "y")).alias("_ylo"), F.max_by("y", F.struct("x", "y")).alias("_yhi"))
+    slice_of = lambda v: F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices)
+    placed = points.join(F.broadcast(ends)).withColumn("_p", F.least(slice_of(F.col("x")), F.lit(slices - 1)))
+    # Within a slice breakpoints are ordered by a window; the last one before a slice is carried into it.
+    last = placed.groupBy("_p").agg(F.max(F.struct("x", "y")).alias("_l"), F.min(F.struct("x", "y")).alias("_f"))
+    between = Window.orderBy("_p")
+    firsts = last.select("_p", F.lead("_f").over(between).alias("_next"))
+    own = Window.partitionBy("_p").orderBy("x", "y")
+    spans = placed.join(firsts, "_p").withColumn("_n", F.coalesce(F.lead(F.struct("x", "y")).over(own), F.col("_next"))).where("_n.x > x")
+    spans = spans.select(F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.col("_n.x").alias("_x1"), F.col("_n.y").alias("_y1"), F.explode(F.sequence("_p", F.least(slice_of(F.col("_n.x")), F.lit(slices - 1)))).alias("_s"))
+    v = F.col(value).cast("double")
+    rows = df.join(F.broadcast(ends)).withColumn("_s", F.when((v > F.col("_lo")) & (v < F.col("_hi")), slice_of(v)))
+    inside = rows.join(spans, (rows["_s"] == spans["_s"]) & (v >= F.col("_x0")) & (v < F.col("_x1")), "left")
     line = F.col("_y0") + (v - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))
-    return inside.withColumn(name, F.when(v <= F.col("_lo"), F.col("_ylo")).when(v >= F.col("_hi"), F.col("_yhi")).otherwise(line)).select(*df.columns, name)
+    return inside.withColumn(name, F.when(v <= F.col("_lo"), F.col("_ylo")).when(v >= F.col("_hi"), F.col("_yhi")).otherwise(line)).select(*[rows[c] for c in df.columns], name)
 
 
 def parameter_problems(parameters: DataFrame, features: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

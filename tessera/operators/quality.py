@@ -34,6 +34,47 @@ def envelope_problems(envelopes: DataFrame, column: str, required: tuple[str, ..
     return envelopes.withColumn("problems", F.when(keys.isNull(), F.array(F.lit("unreadable"))).otherwise(F.sort_array(F.concat(missing, unknown))))
 
 
+ENVELOPE = "asset_class string, calibrator_content_digest string, data_watermark string, decision_timestamp string, model_content_digest string, producer_run_id string, schema_version int, session_calendar string, session_date string, signal_snapshot_digest string, signals map<string,double>, universe_hash string"
+
+
+def envelope_digest(doc: Column) -> Column:
+    """SHA-256 of an envelope's canonical JSON without its own digest: keys in order, no blanks, times in UTC."""
+    instant = lambda c: F.date_format(F.to_utc_timestamp(F.try_to_timestamp(doc[c]), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias(c)
+    names = [part.split(" ")[0] for part in ENVELOPE.split(", ")]
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(doc["signals"])))
+    own = {"data_watermark": instant("data_watermark"), "decision_timestamp": instant("decision_timestamp"), "signals": ordered.alias("signals")}
+    kept = [own.get(c, doc[c].alias(c)) for c in names if c != "signal_snapshot_digest"]
+    return F.sha2(F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}), 256)
+
+
+def signal_envelope_problems(envelopes: DataFrame, column: str, *, classes: tuple[str, ...] = ("crypto",), versions: tuple[int, ...] = (1,)) -> DataFrame:
+    """Adds problems of signal envelopes (JSON text), in a fixed order; none for good ones.
+
+    unreadable; missing:<key> and unknown:<key>; version, asset_class, empty:<field>, hex:<field>,
+    time:<field> (no time with a zone), calendar (only UTC), after_decision (data newer than the
+    decision), session (not the decision's UTC date), signals (none, a blank key, or a value that is no
+    finite number), pair:<key> (no BASE/QUOTE in capitals), digest (not that of the content).
+    """
+    names = tuple(part.split(" ")[0] for part in ENVELOPE.split(", "))
+    keyed = envelope_problems(envelopes, column, names).withColumn("_d", F.from_json(column, ENVELOPE))
+    d = F.col("_d")
+    zoned = lambda c: d[c].rlike("T.*(Z|[+-][0-9]{2}:[0-9]{2})$") & F.try_to_timestamp(d[c]).isNotNull()
+    no = lambda test: ~F.coalesce(test, F.lit(False))
+    day = F.to_date(F.to_utc_timestamp(F.try_to_timestamp(d["decision_timestamp"]), F.current_timezone()))
+    finite = F.forall(F.map_values(d["signals"]), lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False)))
+    tests = {"version": no(d["schema_version"].isin(*versions)), "asset_class": no(d["asset_class"].isin(*classes))}
+    tests |= {f"empty:{c}": no(F.length(d[c]) > 0) for c in ("producer_run_id", "universe_hash")}
+    tests |= {f"hex:{c}": no(d[c].rlike("^[0-9a-f]{64}$")) for c in ("model_content_digest", "calibrator_content_digest", "signal_snapshot_digest")}
+    tests |= {f"time:{c}": no(zoned(c)) for c in ("data_watermark", "decision_timestamp")}
+    tests |= {"calendar": no(d["session_calendar"] == "UTC"), "after_decision": F.try_to_timestamp(d["data_watermark"]) > F.try_to_timestamp(d["decision_timestamp"]), "session": no(d["session_date"] == day.cast("string"))}
+    tests |= {"signals": no((F.size(d["signals"]) > 0) & F.forall(F.map_keys(d["signals"]), lambda k: F.length(F.trim(k)) > 0) & finite)}
+    pairs = F.transform(F.filter(F.coalesce(F.map_keys(d["signals"]), F.array().cast("array<string>")), lambda k: ~k.rlike("^[A-Z]+/[A-Z]+$")), lambda k: F.concat(F.lit("pair:"), k))
+    first = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items()]))
+    digest = F.when(no(d["signal_snapshot_digest"] == envelope_digest(d)), F.array(F.lit("digest"))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.size("problems") > 0, F.col("problems")).otherwise(F.concat(first, pairs, digest))
+    return keyed.withColumn("problems", whole).drop("_d")
+
+
 def content_conflicts(records: DataFrame, keys: list[str], digest: str) -> DataFrame:
     """Keys whose records do not all have one content."""
     return records.groupBy(*keys).agg(F.countDistinct(digest).alias("contents"), F.count("*").alias("n")).where("contents > 1")

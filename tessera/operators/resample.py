@@ -385,3 +385,40 @@ def paired_difference(cells: DataFrame, a: str, b: str) -> DataFrame:
     return wide.select("date", (F.col(a) - F.col(b)).alias("diff")).where("diff is not null")
 
 
+def double_difference(cells: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """date, diff: (a1 - a0) - (b1 - b0) of cells (cell, date, value), on dates that have all four; a and b name (with, without)."""
+    names = [*a, *b]
+    wide = cells.where(F.col("cell").isin(*names)).groupBy("date").pivot("cell", names).agg(F.first("value"))
+    return wide.select("date", ((F.col(a[0]) - F.col(a[1])) - (F.col(b[0]) - F.col(b[1]))).alias("diff")).where("diff is not null")
+
+
+def stratum_difference(strata: DataFrame, a: str, b: str) -> DataFrame:
+    """One row, diff, se, t: the difference of the means of two strata that share no date (stratum, date, value), with Welch's error."""
+    of = lambda name: F.when(F.col("stratum") == name, F.col("value"))
+    part = lambda name: F.var_samp(of(name)) / F.count(of(name))
+    found = strata.agg((F.avg(of(a)) - F.avg(of(b))).alias("diff"), F.sqrt(part(a) + part(b)).alias("se"))
+    return found.withColumn("t", F.col("diff") / F.nullif("se", F.lit(0.0)))
+
+
+def sign_stability(series: DataFrame, value: str, blocks: int) -> DataFrame:
+    """One row, blocks, same: the share of equal runs of dates whose mean has the sign of the whole mean."""
+    w = Window.orderBy("date")
+    means = series.where(F.col(value).isNotNull()).withColumn("_b", F.ntile(blocks).over(w)).groupBy("_b").agg(F.avg(value).alias("_m"), F.sum(value).alias("_s"))
+    whole = F.signum(F.sum("_s").over(Window.partitionBy()))
+    return means.withColumn("_w", whole).agg(F.count("*").alias("blocks"), F.avg((F.signum("_m") == F.col("_w")).cast("double")).alias("same"))
+
+
+def lag_profile(df: DataFrame, score: str, label: str, lags: list[int]) -> DataFrame:
+    """lag, dates, stale (mean rank correlation of the score so many rows before), persistence (that of the score with itself): per date, then averaged.
+
+    One window by key gives all lags; rows that lack a lag do not count for it.
+    """
+    from .metrics import rank_ic
+
+    w = Window.partitionBy("key").orderBy("date")
+    wide = df.select("date", "key", score, label, *[F.lag(score, k).over(w).alias(f"_old{k}") for k in lags])
+    olds = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_old{k}").alias("old")) for k in lags]))
+    long = wide.select("date", "key", score, label, olds.alias("o")).select("date", "key", score, label, "o.*").where("old is not null")
+    stale = rank_ic(long, "old", label, by=("lag", "date")).groupBy("lag").agg(F.count("ic").alias("dates"), F.avg("ic").alias("stale"))
+    kept = rank_ic(long, "old", score, by=("lag", "date")).groupBy("lag").agg(F.avg("ic").alias("persistence"))
+    return stale.join(kept, "lag")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import avg_rank, clip, pct_rank, quantile_bucket, tidy, z_score
+from ..functions.scalar import avg_rank, clip, normal_cdf, pct_rank, quantile_bucket, tidy, z_score
 from ..operators import cross_section as X
 from .panels import SM, R, avg_rank_sql, supplier_month, table
 from .registry import query
@@ -169,9 +169,12 @@ def win_8(spark, d):
     return supplier_month(spark, d).select("date", "key", F.row_number().over(Window.partitionBy("key").orderBy("date")).alias("bars"))
 
 
-@query("win_9_rank_normal")
+@query("win_9_rank_normal", f"""{WITH}, p AS (SELECT date, key, (row_number() OVER (PARTITION BY date ORDER BY x1, key) - 0.5) / count(*) OVER (PARTITION BY date) AS p FROM sm)
+SELECT date, key, (round(p, 9) + 0.0)::DOUBLE AS share, p > 0.5 AS above FROM p""")
 def win_9(spark, d):
-    return X.rank_normal(supplier_month(spark, d), "x1").select("date", "key", tidy("normal", 6).alias("normal"))
+    """The share below each rank's normal score, which has to be the rank's own share."""
+    ranked = X.rank_normal(supplier_month(spark, d), "x1")
+    return ranked.select("date", "key", tidy(normal_cdf("normal"), 9).alias("share"), (F.col("normal") > 0).alias("above"))
 
 
 @query("lbl_12_ensemble", f"""{WITH}, l AS (SELECT date, key, 'a' AS model, x1 AS s FROM sm UNION ALL SELECT date, key, 'b', x2 FROM sm UNION ALL SELECT date, key, 'c', close FROM sm),

@@ -367,6 +367,16 @@ def agg_23(spark, d):
     return series.agg(F.count(r).alias("n"), (F.count("*") - F.count(r)).alias("excluded"), tidy(F.avg(r), 8).alias("gross"), tidy(F.avg(r) - 0.001, 8).alias("net"), tidy(F.avg(r) / F.stddev_samp(r) * F.sqrt(F.lit(12)), 8).alias("sharpe"), tidy(F.avg((r > 0).cast("int"))).alias("hit_rate"))
 
 
+@query("agg_23_mean_turnover", f"""{WITH}, t AS (SELECT date, key, y, row_number() OVER (PARTITION BY date ORDER BY x2 DESC, key) AS rn FROM sm), s AS (SELECT date, list(key) AS k FROM t WHERE rn <= 5 GROUP BY 1), g AS (SELECT date, k, lag(k) OVER (ORDER BY date) AS p FROM s),
+u AS (SELECT (len(list_filter(k, lambda x: NOT list_contains(p, x))) + len(list_filter(p, lambda x: NOT list_contains(k, x)))) / 10.0::DOUBLE AS turnover FROM g WHERE p IS NOT NULL) SELECT count(*)::BIGINT AS pairs, {R('avg(turnover)', 8)} AS turnover, {R('max(turnover)', 8)} AS most FROM u""")
+def agg_23_turnover(spark, d):
+    """Mean and largest turnover between the top five of consecutive months."""
+    from ..operators.rolling import turnover
+
+    moved = turnover(X.top_n(supplier_month(spark, d), "x2", 5), 5).where("turnover is not null")
+    return moved.agg(F.count("*").alias("pairs"), tidy(F.avg("turnover"), 8).alias("turnover"), tidy(F.max("turnover"), 8).alias("most"))
+
+
 @query("agg_25_compound", f"{WITH} SELECT key, {R('product(1 + y) - 1', 8)} AS total FROM sm WHERE y IS NOT NULL GROUP BY 1")
 def agg_25(spark, d):
     from ..functions.scalar import compound

@@ -218,6 +218,14 @@ def ml_7(spark, d):
     return ML.calibrated(table(spark, d, "events").select("event_id", "value"), "value", points).select("event_id", F.round("calibrated", 9).alias("p"), F.round(ML.to_horizon("calibrated", 20, 10), 8).alias("twenty"))
 
 
+@query("ml_7_calibrated_curve", f"""{WITH}, p AS (SELECT x2 AS x, avg(x1) AS y FROM sm GROUP BY 1), g AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM p), e AS (SELECT min(x) AS lo, max(x) AS hi, arg_min(y, x) AS ylo, arg_max(y, x) AS yhi FROM p)
+SELECT event_id, {R('CASE WHEN value <= lo THEN ylo WHEN value >= hi THEN yhi ELSE y0 + (value - x0) / (x1 - x0) * (y1 - y0) END', 7)} AS y FROM e CROSS JOIN events ASOF LEFT JOIN g ON value >= x0""")
+def ml_7_curve(spark, d):
+    """All events looked up on a curve with a breakpoint for each average quantity of the panel."""
+    curve = supplier_month(spark, d).groupBy(F.col("x2").alias("x")).agg(F.avg("x1").alias("y"))
+    return ML.calibrated(table(spark, d, "events").select("event_id", "value"), "value", curve).select("event_id", tidy("calibrated", 7).alias("y"))
+
+
 @query("ml_8_parameter_contract", "SELECT * FROM (VALUES ('p_size', 'no spread'), ('p_type', 'missing'), ('p_name', 'unexpected')) v(feature, problem)")
 def ml_8(spark, d):
     sizes = table(spark, d, "part").agg(F.avg("p_size").alias("m"), F.stddev_samp("p_retailprice").alias("s"))
@@ -351,10 +359,21 @@ def fn_3(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(S.one_hot("o_orderstatus", ["F", "O"]), lambda x: x.cast("string")), ",").alias("hot"))
 
 
-@query("fn_4_inverse_normal", "SELECT n_nationkey, CASE n_nationkey WHEN 0 THEN -1.959964 WHEN 12 THEN 0.0 WHEN 24 THEN 1.959964 END::DOUBLE AS z FROM nation WHERE n_nationkey IN (0, 12, 24)")
+@query("fn_4_inverse_normal", """SELECT event_id, (round((event_id * 7919 % 100003 + 0.5) / 100003, 9) + 0.0)::DOUBLE AS share, ((event_id * 7919 % 100003 + 0.5) / 100003 > 0.9750021048517795) AS beyond FROM events""")
 def fn_4(spark, d):
-    p = F.when(F.col("n_nationkey") == 0, 0.025).when(F.col("n_nationkey") == 12, 0.5).otherwise(0.975)
-    return table(spark, d, "nation").where("n_nationkey in (0, 12, 24)").select("n_nationkey", tidy(S.inverse_normal(p), 6).alias("z"))
+    """Each event's share of the normal distribution below the quantile of that share, and whether the quantile is beyond 1.96."""
+    p = ((F.col("event_id") * 7919 % 100003 + 0.5) / 100003).alias("p")
+    z = table(spark, d, "events").select("event_id", p).select("event_id", S.inverse_normal("p", refined=True).alias("z"))
+    return z.select("event_id", tidy(S.normal_cdf("z"), 9).alias("share"), (F.col("z") > 1.96).alias("beyond"))
+
+
+@query("fn_5_student_tail", f"""{WITH}, t AS (SELECT key, count(y) - 1 AS df, avg(y) / (stddev_samp(y) / sqrt(count(y))) AS t FROM sm WHERE y IS NOT NULL GROUP BY 1 HAVING count(y) > 1),
+g AS (SELECT key, df, t, k, CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * k / 1000, 2) / df, -(df + 1) / 2.0) AS f FROM t, (SELECT unnest(range(1001)) AS k))
+SELECT key, df::BIGINT AS df, {R('0.5 - exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * sum(f) * t / 3000', 8)} AS p FROM g GROUP BY key, df, t""")
+def fn_5_tail(spark, d):
+    """One-sided probability of each supplier's mean change under no change."""
+    y = labelled(spark, d).groupBy("key").agg((F.count("y") - 1).alias("df"), (F.avg("y") / (F.stddev_samp("y") / F.sqrt(F.count("y")))).alias("t")).where("df > 0")
+    return y.select("key", "df", tidy(S.student_tail("t", "df"), 8).alias("p"))
 
 
 @query("fn_5_student_bar", "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 12.7062 WHEN 1 THEN 4.3027 WHEN 2 THEN 3.1824 WHEN 3 THEN 2.7764 WHEN 4 THEN 2.5706 END::DOUBLE AS bar FROM region")
@@ -395,6 +414,31 @@ def dq_2(spark, d):
     return Q.envelope_problems(table(spark, d, "events").select("event_id", doc.alias("doc")), "doc", ("event_type", "value")).select("event_id", F.array_join("problems", ",").alias("problems"))
 
 
+@query("dq_2_signal_envelopes", """SELECT event_id, CASE event_id % 13 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'missing:universe_hash' WHEN 2 THEN 'unknown:extra' WHEN 3 THEN 'version,digest' WHEN 4 THEN 'hex:model_content_digest,digest' WHEN 5 THEN 'time:data_watermark,digest' WHEN 6 THEN 'after_decision' WHEN 7 THEN 'session' WHEN 8 THEN 'signals,digest' WHEN 9 THEN 'pair:btc/USD' WHEN 10 THEN 'digest' WHEN 11 THEN 'calendar,digest' ELSE '' END AS problems FROM events""")
+def dq_2_signals(spark, d):
+    """Envelopes made of all events, one planted fault for each remainder; digests cover what stood there before or, for some, with the fault."""
+    k, ts = F.col("event_id") % 13, F.col("ts")
+    when = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    hexed = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    fields = {
+        "asset_class": F.lit("crypto"), "calibrator_content_digest": hexed("event_type"), "data_watermark": stamp(when(6, F.expr("ts + interval 1 hour"), ts)), "decision_timestamp": stamp(ts),
+        "model_content_digest": hexed("user_id"), "producer_run_id": F.concat(F.lit("run-"), F.col("event_id").cast("string")), "schema_version": F.lit(1), "session_calendar": F.lit("UTC"),
+        "session_date": when(7, F.date_add(F.to_date("ts"), 1), F.to_date("ts")).cast("string"), "universe_hash": F.lit("u"),
+        "signals": F.create_map(when(9, F.lit("btc/USD"), F.lit("BTC/USD")), F.coalesce("value", F.lit(0.0)), F.lit("ETH/USD"), F.lit(1.5)),
+    }
+    names = [part.split(" ")[0] for part in Q.ENVELOPE.split(", ")]
+    made = table(spark, d, "events").select("event_id", "ts", F.struct(*[fields.get(c, F.lit(None).cast("string")).alias(c) for c in names]).alias("doc"))
+    made = made.withColumn("doc", F.col("doc").withField("signal_snapshot_digest", Q.envelope_digest(F.col("doc"))))
+    doc = F.col("doc")
+    faults = {"schema_version": (3, F.lit(2)), "model_content_digest": (4, F.lit("XYZ")), "data_watermark": (5, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), "signals": (8, F.create_map(F.lit("BTC/USD"), F.lit(None).cast("double"))), "producer_run_id": (10, F.lit("another")), "session_calendar": (11, F.lit("NYSE"))}
+    for c, (n, bad) in faults.items():
+        doc = doc.withField(c, when(n, bad, doc[c]))
+    text = F.to_json(doc, {"ignoreNullFields": "false"})
+    text = F.when(k == 0, F.lit("{oops")).when(k == 1, F.to_json(doc.dropFields("universe_hash"))).when(k == 2, F.to_json(doc.withField("extra", F.lit(1)))).otherwise(text)
+    return Q.signal_envelope_problems(made.select("event_id", text.alias("doc")), "doc").select("event_id", F.array_join("problems", ",").alias("problems"))
+
+
 @query("dq_3_conflicts", "SELECT l_orderkey, l_linenumber, count(DISTINCT l_partkey)::BIGINT AS contents, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_partkey) > 1")
 def dq_3(spark, d):
     return Q.content_conflicts(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey")
@@ -614,6 +658,23 @@ def snk_5(spark, d):
     return spark.read.parquet(path).select("feature", tidy("mean").alias("mean"))
 
 
+@query("snk_5_saved_scorer", f"{WITH}, {PLAIN} SELECT date, key, {R('w1 * x1 + w2 * x2', 6)} AS score FROM sm, w")
+def snk_5_scorer(spark, d):
+    """A fitted line's coefficients are stored as a table, read back, and score the panel."""
+    path, model = scratch(spark), ML.fit_linear(labelled(spark, d), FEATURES, "y")
+    K_.write_parameters(ML.coefficients(model, FEATURES, spark), path)
+    weights = {r["feature"]: r["weight"] for r in spark.read.parquet(path).collect()}
+    return supplier_month(spark, d).select("date", "key", tidy(sum(F.col(f) * w for f, w in sorted(weights.items())), 6).alias("score"))
+
+
+@query("snk_5_saved_ensemble")
+def snk_5_ensemble(spark, d):
+    """A boosted ensemble is saved, its nodes are read back as a table, and score the panel."""
+    panel, path = tree_panel(spark, d), scratch(spark)
+    ML.fit_trees(panel, TREE_FEATURES, "target", rounds=5).write().save(path)
+    return panel.select("date", "key", WF.ensemble_score(WF.stored_nodes(spark, path), TREE_FEATURES).alias("score"))
+
+
 # Streams
 
 

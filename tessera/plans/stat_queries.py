@@ -196,6 +196,41 @@ def st_17(spark, d):
     return S.paired_difference(cells, "even", "odd").select("date", tidy("diff", 8).alias("diff"))
 
 
+CELLS = f"WITH {SM}, c AS (SELECT date, avg(y) FILTER (key % 4 = 0) AS a, avg(y) FILTER (key % 4 = 1) AS b, avg(y) FILTER (key % 4 = 2) AS c, avg(y) FILTER (key % 4 = 3) AS d FROM sm WHERE y IS NOT NULL GROUP BY 1), q AS (SELECT date, (a - b) - (c - d) AS diff FROM c WHERE (a - b) - (c - d) IS NOT NULL)"
+
+
+def quarters(spark, d):
+    cell = F.element_at(F.array(*[F.lit(c) for c in "abcd"]), (F.col("key") % 4 + 1).cast("int"))
+    cells = labelled(spark, d).groupBy("date", cell.alias("cell")).agg(F.avg("y").alias("value"))
+    return S.double_difference(cells, ("a", "b"), ("c", "d"))
+
+
+@query("st_17_double_difference", f"{CELLS} SELECT date, {R('diff', 8)} AS diff FROM q")
+def st_17_double(spark, d):
+    return quarters(spark, d).select("date", tidy("diff", 8).alias("diff"))
+
+
+@query("st_17_strata", f"{CELLS}, s AS (SELECT diff AS v, month(date) <= 6 AS e FROM q), g AS (SELECT avg(v) FILTER (e) - avg(v) FILTER (NOT e) AS diff, sqrt(var_samp(v) FILTER (e) / count(v) FILTER (e) + var_samp(v) FILTER (NOT e) / count(v) FILTER (NOT e)) AS se FROM s) SELECT {R('diff', 8)} AS diff, {R('se', 8)} AS se, {R('diff / se', 6)} AS t FROM g")
+def st_17_strata(spark, d):
+    strata = quarters(spark, d).select("date", F.col("diff").alias("value"), F.when(F.month("date") <= 6, "early").otherwise("late").alias("stratum"))
+    return S.stratum_difference(strata, "early", "late").select(tidy("diff", 8).alias("diff"), tidy("se", 8).alias("se"), tidy("t", 6).alias("t"))
+
+
+@query("st_17_sign_stability", f"{CELLS}, b AS (SELECT avg(diff) AS m FROM (SELECT *, ntile(8) OVER (ORDER BY date) AS b FROM q) GROUP BY b) SELECT count(*)::BIGINT AS blocks, avg((sign(m) = sign((SELECT avg(diff) FROM q)))::INT)::DOUBLE AS same FROM b")
+def st_17_signs(spark, d):
+    return S.sign_stability(quarters(spark, d), "diff", 8)
+
+
+LAGS = f"""WITH {SM}, o AS (SELECT date, key, x2, y, k, lag(x2, k) OVER (PARTITION BY k, key ORDER BY date) AS old FROM sm, (SELECT unnest([1, 2, 4]) AS k)), v AS (SELECT * FROM o WHERE old IS NOT NULL),
+p AS (SELECT k, date, {corr_sql('a', 'b')} AS ic FROM (SELECT k, date, rank() OVER (PARTITION BY k, date ORDER BY x2) + (count(*) OVER (PARTITION BY k, date, x2) - 1) / 2.0 AS b, rank() OVER (PARTITION BY k, date ORDER BY old) + (count(*) OVER (PARTITION BY k, date, old) - 1) / 2.0 AS a FROM v) GROUP BY 1, 2),
+s AS (SELECT k, date, {corr_sql('a', 'b')} AS ic FROM (SELECT k, date, rank() OVER (PARTITION BY k, date ORDER BY y) + (count(*) OVER (PARTITION BY k, date, y) - 1) / 2.0 AS b, rank() OVER (PARTITION BY k, date ORDER BY old) + (count(*) OVER (PARTITION BY k, date, old) - 1) / 2.0 AS a FROM v WHERE y IS NOT NULL) GROUP BY 1, 2)"""
+
+
+@query("st_15_lag_profile", f"{LAGS} SELECT k::INT AS lag, dates, {R('stale', 8)} AS stale, {R('persistence', 8)} AS persistence FROM (SELECT k, count(ic)::BIGINT AS dates, avg(ic) AS stale FROM s GROUP BY 1) JOIN (SELECT k, avg(ic) AS persistence FROM p GROUP BY 1) USING (k)")
+def st_15_profile(spark, d):
+    return S.lag_profile(supplier_month(spark, d), "x2", "y", [1, 2, 4]).select("lag", "dates", tidy("stale", 8).alias("stale"), tidy("persistence", 8).alias("persistence"))
+
+
 @query("st_18_clean_ic", f"WITH {IC}, {DEALT.format(n=3)}, pl AS (SELECT date, avg(ic) AS placebo, count(*)::BIGINT AS seeds FROM dc GROUP BY 1) SELECT date, seeds, {R('ic - placebo', 8)} AS clean FROM ics JOIN pl USING (date)")
 def st_18(spark, d):
     panel = labelled(spark, d)
