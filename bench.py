@@ -12,16 +12,16 @@ from pyspark.sql import SparkSession
 HEADLINE = [
     "agg_1_rank_ic", "agg_6_ic_summary", "agg_3_top_spread", "win_4_quantile_bucket", "rol_3_volatility", "rol_7_beta", "lbl_1_triple_barrier", "lbl_8_composite",
     "jn_7_as_of", "jn_15_model_pairs", "wf_1_expanding_folds", "wf_3_leakage", "st_6_block_bootstrap", "st_8_newey_west", "pf_1_topk_book", "dq_7_hash_chain", "ml_3_walk_forward",
+    "ml_3_expanding_43", "ml_3_boosted_ranker", "st_16_leave_one_key",
 ]
 
 
 def permutations(spark: SparkSession, d: str):
     """200 seeds of within-date permutation of the label, and the spread of the top decile under each."""
-    from pyspark.sql import functions as F
-
     from pyspark.sql import Window
+    from pyspark.sql import functions as F
 
-    from tessera.operators.resample import permute_within
+    from tessera.operators.resample import permuted_spread
     from tessera.plans.panels import supplier_month
 
     panel = supplier_month(spark, d).where("y is not null").select("date", "key", "x2", "y")
@@ -29,9 +29,7 @@ def permutations(spark: SparkSession, d: str):
     w = Window.partitionBy("date")
     k = F.greatest(F.lit(1), F.bround(0.1 * F.count("*").over(w)))
     marked = panel.select("date", "key", "y", (F.row_number().over(w.orderBy(F.desc("x2"), "key")) <= k).alias("top"))
-    dealt = permute_within(marked, "y", 200, carry=("top",))
-    spread = F.avg(F.when(F.col("top"), F.col("permuted"))) - F.avg(F.when(~F.col("top"), F.col("permuted")))
-    return dealt.groupBy("seed", "date").agg(spread.alias("spread")).groupBy("seed").agg(F.avg("spread").alias("spread"))
+    return permuted_spread(marked, "y", "top", 200).groupBy("seed").agg(F.avg("spread").alias("spread"))
 
 
 def main() -> None:

@@ -59,35 +59,39 @@ def pooled_rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     return sums.select(((F.col("ab") - F.col("a") * F.col("b") / n) / F.nullif(spread, F.lit(0.0))).alias("rho"), F.coalesce(n, F.lit(0)).alias("n"))
 
 
+def ranged(counts: DataFrame, *order: str) -> DataFrame:
+    """counts with _r, the number of a row's range in order of the given columns; written, so that all uses see the same ranges.
+
+    One exchange by ranges, whose partition number is the range; the session's settings size it.
+    """
+    from ..sources.scratch import written
+
+    return written(counts.repartitionByRange(*order).withColumn("_r", F.spark_partition_id()))
+
+
 def global_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """value, name: the average rank of each distinct value over the whole table.
 
-    Values are dealt into ordered ranges by quantile bounds; each range ranks its own values and adds the rows before it.
+    Equal values are counted together and dealt into ordered ranges; each range ranks its own values and adds the rows before it.
     """
-    counts, parts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), ranges_of(df)
-    bounds = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("_b"))
-    ranged = counts.join(F.broadcast(bounds)).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
-    sums = ranged.groupBy("_r").agg(F.sum("_n").alias("_t"))
+    counts = ranged(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), value)
+    sums = counts.groupBy("_r").agg(F.sum("_n").alias("_t"))
     # One row per range.
     offsets = sums.select("_r", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(F.broadcast(offsets), "_r").select(value, (F.col("_o") + inside + (F.col("_n") + 1) / 2).alias(name))
+    return counts.join(F.broadcast(offsets), "_r").select(value, (F.col("_o") + inside + (F.col("_n") + 1) / 2).alias(name))
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """by, share, q: quantiles over all rows of each by (of which there are few), linear between neighbours; nulls do not count.
 
-    Equal values are counted together and dealt into ordered ranges by approximate bounds. The counts
-    of the ranges tell which of them hold a wanted place; only those are put in order.
+    Equal values are counted together and dealt into ordered ranges. The counts of the ranges tell
+    which of them hold a wanted place; only those are put in order.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    parts = ranges_of(df)
-    bounds = counts.groupBy(*by).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)]).alias("_b"))
+    counts = ranged(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")), *by, "_v")
     key = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
     renamed = lambda t: t.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *[c for c in t.columns if c not in by])
-    beside = lambda a, b: (a.join(F.broadcast(renamed(b)), key) if by else a.join(F.broadcast(b))).drop(*[f"_k{i}" for i in range(len(by))])
-    ranged = beside(counts, bounds).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col("_v")))).drop("_b")
-    sums = ranged.groupBy(*by, "_r").agg(F.sum("_n").alias("_t"))
+    sums = counts.groupBy(*by, "_r").agg(F.sum("_n").alias("_t"))
     # One row per range.
     group = Window.partitionBy(*by)
     offsets = sums.withColumns({"_o": F.coalesce(F.sum("_t").over(group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_t").over(group)})
@@ -98,7 +102,7 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: tuple[st
     wanted = wanted.withColumnRenamed("_r", "_w")
     inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     few = F.broadcast(renamed(wanted.select(*by, "_w").distinct()))
-    chosen = ranged.join(few, [*key, F.col("_r") == F.col("_w")], "left_semi").withColumn("_i", inside)
+    chosen = counts.join(few, [*key, F.col("_r") == F.col("_w")], "left_semi").withColumn("_i", inside)
     joined = chosen.join(F.broadcast(renamed(wanted)), [*key, F.col("_r") == F.col("_w")])
     hit = joined.where((F.col("_p") >= F.col("_o") + F.col("_i")) & (F.col("_p") < F.col("_o") + F.col("_i") + F.col("_n")))
     low, high = F.min_by("_v", "_p"), F.max_by("_v", "_p")
@@ -112,7 +116,7 @@ def quantile_row(df: DataFrame, value: str, names: dict[str, float]) -> DataFram
 
 
 def ranges_of(df: DataFrame) -> int:
-    """Into how many ordered ranges a table is dealt: as many as a shuffle has parts, which the session sets by the size of its data."""
+    """Into how many ranges a table is dealt by hashes: as many as a shuffle has parts, which the session sets by the size of its data."""
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 

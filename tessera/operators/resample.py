@@ -53,12 +53,33 @@ def permute_within(df: DataFrame, value: str, n_seeds: int, *, date: str = "date
     return rows.select("seed", date, F.col("_r.a._k").alias(key), F.col("_r.a._v").alias(value), *[F.col(f"_r.a.{c}").alias(c) for c in carry], F.col("_r.p").alias("permuted"))
 
 
-def permute_pooled(df: DataFrame, value: str, seed: int, key: list[str], parts: int = 64) -> DataFrame:
+def permuted_spread(df: DataFrame, value: str, top: str, n_seeds: int, *, date: str = "date", key: str = "key") -> DataFrame:
+    """seed, date, spread: mean value of the rows marked by `top` less that of the others, under permute_within's values of each seed.
+
+    Values are summed where they are dealt, in a date's array, so that no row is made for each seed and key.
+    """
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(date).cast("string"))), 1, 7), 16, 10).cast("long")
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), date)
+    own = spread.groupBy(date).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"), F.col(value).alias("_v"), number.alias("_h"), F.col(top).alias("_t")))).alias("_a"))
+    own = own.select(date, F.transform("_a", lambda r: F.struct(r["_h"].alias("h"), r["_v"].alias("v"))).alias("_d"), F.transform("_a", lambda r: r["_t"]).alias("_t"))
+    own = own.withColumns({"_all": F.aggregate("_d", F.lit(0.0), lambda s, r: s + r["v"]), "_n": F.size("_d"), "_m": F.size(F.filter("_t", lambda t: t))})
+    seeded = own.select("*", seeds(n_seeds).alias("seed")).withColumn("_s", F.pmod((F.col("seed").cast("long") + 1) * F.lit(1103515245) + 12345, F.lit(PRIME - 1).cast("long")) + 1)
+    once = F.transform("_d", lambda r: F.struct(F.pmod(r["h"] * F.col("_s"), F.lit(PRIME)).alias("h"), r["v"].alias("v")))
+    dealt = F.sort_array(F.transform(once, lambda r: F.struct(F.pmod(r["h"] * r["h"] + F.col("_s"), F.lit(PRIME)).alias("h"), r["v"].alias("v"))))
+    high = F.aggregate(F.zip_with(dealt, "_t", lambda r, t: F.when(t, r["v"]).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    sums = seeded.select("seed", date, high.alias("_high"), "_all", "_n", "_m")
+    return sums.select("seed", date, (F.col("_high") / F.nullif("_m", F.lit(0)) - (F.col("_all") - F.col("_high")) / F.nullif(F.col("_n") - F.col("_m"), F.lit(0))).alias("spread"))
+
+
+def permute_pooled(df: DataFrame, value: str, seed: int, key: list[str], parts: int | None = None) -> DataFrame:
     """key columns, value, permuted: all values dealt anew over the whole table.
 
     Rows are dealt into hashed ranges twice, ordered inside them, and numbered with the counts of the
-    ranges before, so no task orders all rows.
+    ranges before, so no task orders all rows. parts: how many ranges; as many as a shuffle has, by default.
     """
+    from .metrics import ranges_of
+
+    parts = parts or ranges_of(df)
 
     def numbered(source: DataFrame, name: str, salt: int) -> DataFrame:
         h = F.xxhash64(*key, F.lit(seed), F.lit(salt))

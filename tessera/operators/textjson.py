@@ -35,14 +35,16 @@ def finite(x) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-def table_digest(df: DataFrame, row: Column, by: str, digits: int = 3) -> DataFrame:
+def table_digest(df: DataFrame, row: Column, by: str, digits: int = 3, most: int = 1000) -> DataFrame:
     """One digest of the table, whatever the order of its rows.
 
     Row digests are sorted and digested in buckets of the group by their first hex digits, the
-    buckets' digests by group, the groups' digests over the table. digits sets how many buckets a
-    group has (16 to that power), so that a bucket of a large group still fits into a task.
+    buckets' digests by group, the groups' digests over the table. A group has 16 buckets to the power
+    of digits, or of so many more that a bucket has some `most` rows: the number follows from its rows alone.
     """
-    rows = df.select(F.col(by).cast("string").alias("k"), F.sha2(row, 256).alias("d")).withColumn("b", F.substring("d", 1, digits))
+    rows = df.select(F.col(by).cast("string").alias("k"), F.sha2(row, 256).alias("d"))
+    sizes = rows.groupBy("k").agg(F.count("*").alias("_n")).select(F.col("k").alias("_k"), F.greatest(F.lit(digits), F.ceil(F.log(16.0, F.col("_n") / most)).cast("int")).alias("_digits"))
+    rows = rows.join(F.broadcast(sizes), F.col("k").eqNullSafe(F.col("_k"))).select("k", "d", F.expr("substring(d, 1, _digits)").alias("b"))
     joined = lambda lines: F.sha2(F.concat_ws("\n", F.sort_array(lines)), 256)
     line = lambda key, value: F.collect_list(F.concat_ws(":", F.col(key), F.col(value)))
     buckets = rows.groupBy("k", "b").agg(joined(F.collect_list("d")).alias("d"), F.count("*").alias("n"))

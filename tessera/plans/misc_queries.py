@@ -609,6 +609,16 @@ def src_13(spark, d):
     return rates.agg(F.count("*").alias("files"), F.max("n").alias("n"), F.avg("r_name").alias("null_rate"))
 
 
+@query("src_13_footer_columns", """WITH e AS (SELECT *, event_id % 3 AS part FROM events) SELECT CASE part WHEN 0 THEN 'event_id,value' WHEN 1 THEN 'event_id,user_id,value' ELSE 'event_id,event_type' END AS columns, count(*)::BIGINT AS n, CASE WHEN part < 2 THEN count(*) FILTER (value IS NULL OR value > 40)::BIGINT END AS nulls FROM e GROUP BY part""")
+def src_13_footers(spark, d):
+    """Column tuples over a tree of files that differ in columns, with rows and nulls, none of which is read but the footers."""
+    path, e = scratch(spark), table(spark, d, "events").withColumn("value", F.when(F.col("value") <= 40, F.col("value")))
+    for part, names in enumerate((["event_id", "value"], ["event_id", "user_id", "value"], ["event_id", "event_type"])):
+        e.where(F.col("event_id") % 3 == part).select(*names).write.parquet(f"{path}/{part}")
+    found = R_.footers(spark, path)
+    return found.groupBy(F.array_join("columns", ",").alias("columns")).agg(F.sum("n").alias("n"), F.sum(F.try_element_at("nulls", F.lit("value"))).alias("nulls"))
+
+
 @query("src_14_label_fallback", f"{WITH} SELECT date, key, {R('y')} AS y FROM sm")
 def src_14(spark, d):
     panel = supplier_month(spark, d)

@@ -89,6 +89,36 @@ def file_null_rates(spark: SparkSession, path: str, columns: list[str]) -> DataF
     return found.groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(F.count("*").alias("n"), *[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in have])
 
 
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """file, n, columns (in order), nulls (by column; null where the file has no statistics) of Parquet files, from their footers alone.
+
+    Files are listed without their content; each task opens its share of them and reads no data page.
+    """
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        for batch in batches:
+            out = []
+            for uri in batch["path"]:
+                system, place = fs.FileSystem.from_uri(uri.replace("file:/", "file:///") if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+                meta = pq.read_metadata(place, filesystem=system)
+                names = [meta.schema.column(i).path for i in range(meta.num_columns)]
+                nulls: dict[str, int | None] = dict.fromkeys(names, 0)
+                for g in range(meta.num_row_groups):
+                    for i, name in enumerate(names):
+                        stats = meta.row_group(g).column(i).statistics
+                        known = stats is not None and stats.has_null_count and nulls[name] is not None
+                        nulls[name] = nulls[name] + stats.null_count if known else None
+                out.append((uri, meta.num_rows, names, nulls))
+            yield pd.DataFrame(out, columns=["file", "n", "columns", "nulls"])
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path")
+    return listed.mapInPandas(run, "file string, n long, columns array<string>, nulls map<string,long>")
+
+
 def label_source(first: DataFrame, second: DataFrame, keys: list[str], label: str) -> DataFrame:
     """keys and label from the first table that has the column."""
     return (first if label in first.columns else second).select(*keys, label)

@@ -129,3 +129,12 @@ def test_greedy_choice_of_features(spark, threshold):
             kept.append(int(i))
     found = ML.deduplicated(pairs, threshold).orderBy("place").collect()
     assert [x["feature"] for x in found if x["kept"]] == [names[i] for i in kept] and len(found) == 12
+
+
+def test_spread_under_permutations_as_by_rows(spark, panel):
+    marked = panel.select("date", "key", "y", (F.col("a") > 11).alias("top"))
+    dealt = S.permute_within(marked, "y", 4, carry=("top",))
+    wanted = dealt.groupBy("seed", "date").agg((F.avg(F.when(F.col("top"), F.col("permuted"))) - F.avg(F.when(~F.col("top"), F.col("permuted")))).alias("spread")).toPandas()
+    found = S.permuted_spread(marked, "y", "top", 4).toPandas()
+    both = wanted.merge(found, on=["seed", "date"], suffixes=("", "_w"))
+    assert len(both) == len(wanted) == len(found) == 240 and np.allclose(both["spread"], both["spread_w"], equal_nan=True)
