@@ -263,7 +263,7 @@ def _by_slices(df: DataFrame, value: str, points: DataFrame, name: str, slices:
 def parameter_problems(parameters: DataFrame, features: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """feature, problem of a parameter table (feature, mean, std, kind) that must cover exactly the feature list."""
     both = parameters.join(features.withColumn("_f", F.lit(1)), "feature", "full")
-    problem = F.when(F.col("kind").isNull(), "missing").when(F.col("_f").isNull(), "unexpected").when(~F.col("kind").isin(*kinds), "unknown kind").when(~(F.col("std") > 0), "no spread")
+    problem = F.when(F.col("kind").isNull(), "missing").when(F.col("_f").isNull(), "unexpected").when(~F.col("kind").isin(*kinds), "unknown kind").when(~F.coalesce(F.col("std") > 0, F.lit(False)), "no spread")
     return both.select("feature", problem.alias("problem")).where("problem is not null")
 
 

@@ -56,19 +56,35 @@ def permute_within(df: DataFrame, value: str, n_seeds: int, *, date: str = "date
 def permuted_spread(df: DataFrame, value: str, top: str, n_seeds: int, *, date: str = "date", key: str = "key") -> DataFrame:
     """seed, date, spread: mean value of the rows marked by `top` less that of the others, under permute_within's values of each seed.
 
-    Values are summed where they are dealt, in a date's array, so that no row is made for each seed and key.
+    A date's rows lie in one task as arrays; all seeds are drawn there, some at a time, and give one
+    row each, so that no row is made for each seed and key. Values are not null.
     """
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(date).cast("string"))), 1, 7), 16, 10).cast("long")
-    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), date)
-    own = spread.groupBy(date).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"), F.col(value).alias("_v"), number.alias("_h"), F.col(top).alias("_t")))).alias("_a"))
-    own = own.select(date, F.transform("_a", lambda r: F.struct(r["_h"].alias("h"), r["_v"].alias("v"))).alias("_d"), F.transform("_a", lambda r: r["_t"]).alias("_t"))
-    own = own.withColumns({"_all": F.aggregate("_d", F.lit(0.0), lambda s, r: s + r["v"]), "_n": F.size("_d"), "_m": F.size(F.filter("_t", lambda t: t))})
-    seeded = own.select("*", seeds(n_seeds).alias("seed")).withColumn("_s", F.pmod((F.col("seed").cast("long") + 1) * F.lit(1103515245) + 12345, F.lit(PRIME - 1).cast("long")) + 1)
-    once = F.transform("_d", lambda r: F.struct(F.pmod(r["h"] * F.col("_s"), F.lit(PRIME)).alias("h"), r["v"].alias("v")))
-    dealt = F.sort_array(F.transform(once, lambda r: F.struct(F.pmod(r["h"] * r["h"] + F.col("_s"), F.lit(PRIME)).alias("h"), r["v"].alias("v"))))
-    high = F.aggregate(F.zip_with(dealt, "_t", lambda r, t: F.when(t, r["v"]).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    sums = seeded.select("seed", date, high.alias("_high"), "_all", "_n", "_m")
-    return sums.select("seed", date, (F.col("_high") / F.nullif("_m", F.lit(0)) - (F.col("_all") - F.col("_high")) / F.nullif(F.col("_n") - F.col("_m"), F.lit(0))).alias("spread"))
+    rows = df.select(F.col(date).alias("_date"), F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), number.alias("_h"), F.col(top).cast("boolean").alias("_t"))
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table, sort_keys=[("_k", "ascending")]))
+        marked = table.column("_t").to_numpy(zero_copy_only=False).astype(bool)
+        v, h = table.column("_v").to_numpy(), table.column("_h").to_numpy()
+        by_value = np.argsort(v, kind="stable")
+        v, h, high = v[by_value], h[by_value], np.empty(n_seeds)
+        step = max(1, 2_000_000 // len(v))
+        for first in range(0, n_seeds, step):
+            m = (np.arange(first, min(n_seeds, first + step), dtype=np.int64)[:, None] + 1) * 1103515245 + 12345
+            m = m % (PRIME - 1) + 1
+            x = h * m % PRIME
+            # Equal numbers go by value.
+            place = np.argsort((x * x + m) % PRIME, axis=1, kind="stable")
+            high[first : first + len(m)] = v[place][:, marked].sum(1)
+        many, rest = marked.sum(), (~marked).sum()
+        spread = high / many - (v.sum() - high) / rest if many and rest else np.full(n_seeds, np.nan)
+        return pa.table({"seed": pa.array(np.arange(n_seeds, dtype=np.int32)), date: pa.concat_arrays([table.column("_date").combine_chunks().take(pa.array(np.zeros(n_seeds, np.int64)))]), "spread": pa.array(spread, mask=np.isnan(spread))})
+
+    return rows.groupBy("_date").applyInArrow(run, f"seed int, `{date}` {df.schema[date].dataType.simpleString()}, spread double")
 
 
 def permute_pooled(df: DataFrame, value: str, seed: int, key: list[str], parts: int | None = None) -> DataFrame:

@@ -177,6 +177,19 @@ def hits(spark, d):
     return table(spark, d, "events").where("value is not null").select(F.floor(F.col("value") / 3).cast("double").alias("x"), (F.pmod(F.col("event_id") * 31, F.lit(50)) < F.col("value")).cast("double").alias("y"))
 
 
+@query("ml_5_boosted_exit")
+def ml_5_boosted(spark, d):
+    """Areas under the curve, by purged fold, of ten rounds of trees of depth three that tell a user's errors from the value and time of events and what came before."""
+    from ..operators.metrics import auc
+    from ..operators.splits import purged_folds
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("event_id", F.to_date("ts").alias("date"), F.coalesce("value", F.lit(0.0)).alias("value"), F.hour("ts").cast("double").alias("hour"), F.weekday("ts").cast("double").alias("weekday"), F.coalesce(F.lag("value").over(w), F.lit(0.0)).alias("before"), (F.row_number().over(w) - 1).cast("double").alias("so_far"), (F.col("event_type") == "error").cast("int").alias("label"))
+    features = ["value", "hour", "weekday", "before", "so_far"]
+    scored = ML.fit_by_fold(purged_folds(written(e), 5, 2, 1), features, lambda train: ML.fit_trees(train, features, "label", classify=True), normalise=False)
+    return auc(scored.where("part = 'val'"), "score", "label")
+
+
 @query("ml_6_calibration", f"""WITH {HITS}, b AS (SELECT x, sum(y) AS s, count(*) AS n FROM h GROUP BY 1), r AS (SELECT i.x AS i, k.x AS k, sum(m.s) / sum(m.n) AS mean FROM b i JOIN b k ON k.x >= i.x JOIN b m ON m.x BETWEEN i.x AND k.x GROUP BY 1, 2),
 q AS (SELECT b.x, r.i, min(r.mean) AS low FROM b JOIN r ON r.i <= b.x AND r.k >= b.x GROUP BY 1, 2) SELECT x, {R('max(low)', 8)} AS p FROM q GROUP BY 1""")
 def ml_6(spark, d):
@@ -234,6 +247,17 @@ def ml_8(spark, d):
     return ML.parameter_problems(params, wanted, ("z", "identity"))
 
 
+@query("ml_8_type_parameters", """WITH p AS (SELECT p_type AS feature, stddev_samp(p_retailprice) AS std, CASE WHEN min(p_partkey) % 4 = 0 THEN 'log' ELSE 'z' END AS kind FROM part WHERE p_size > 10 GROUP BY 1), w AS (SELECT DISTINCT p_type AS feature FROM part WHERE p_size <= 40)
+SELECT * FROM (SELECT feature, CASE WHEN kind IS NULL THEN 'missing' WHEN w.feature IS NULL THEN 'unexpected' WHEN kind = 'log' THEN 'unknown kind' WHEN coalesce(std, 0) <= 0 THEN 'no spread' END AS problem FROM p FULL JOIN w USING (feature)) WHERE problem IS NOT NULL""")
+def ml_8_types(spark, d):
+    """Moments of prices by part type, from parts over one size, against the types of parts under another."""
+    part = table(spark, d, "part")
+    kind = F.when(F.min("p_partkey") % 4 == 0, "log").otherwise("z")
+    params = part.where("p_size > 10").groupBy(F.col("p_type").alias("feature")).agg(F.avg("p_retailprice").alias("mean"), F.stddev_samp("p_retailprice").alias("std"), kind.alias("kind"))
+    wanted = part.where("p_size <= 40").select(F.col("p_type").alias("feature")).distinct()
+    return ML.parameter_problems(params, wanted, ("z", "identity"))
+
+
 PLAIN = NORMAL.replace("x1 - 5", "x1").replace("x2 - 25", "x2").format(p=0)
 
 
