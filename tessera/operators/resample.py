@@ -269,7 +269,7 @@ def critical_value(null: DataFrame, df: int, level: float = 0.95) -> DataFrame:
     return null.agg(q.alias("null_quantile"), F.greatest(q, F.lit(t_quantile(1 - (1 - level) / 2, df))).alias("bar"))
 
 
-def leave_one_out(df: DataFrame, score: str, label: str) -> DataFrame:
+def without_each_key(df: DataFrame, score: str, label: str) -> DataFrame:
     """date, key, ic, without: each date's rank correlation, and what it is without each of its keys.
 
     Without a row, ranks above its value fall by one and those of equal values by a half. So all
@@ -351,7 +351,7 @@ def _without_each(x, y):
 
 def hold_out_keys(df: DataFrame, score: str, label: str, keys: DataFrame) -> DataFrame:
     """held, mean: the mean rank correlation over dates without each held-out key; keys has one row per key (held)."""
-    rows = leave_one_out(df, score, label)
+    rows = without_each_key(df, score, label)
     dates = rows.groupBy("date").agg(F.first("ic").alias("ic")).agg(F.coalesce(F.sum("ic"), F.lit(0.0)).alias("_s"), F.count("ic").alias("_c"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     own = rows.groupBy(F.col("key").alias("held")).agg(F.sum(zero("without") - zero("ic")).alias("_ds"), (F.count("without") - F.count("ic")).alias("_dc"))

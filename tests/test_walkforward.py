@@ -95,7 +95,7 @@ def test_correlations_without_each_key(spark):
     rows += [(20, k, 1.0, float(k)) for k in range(5)] + [(21, 0, None, 1.0), (21, 1, 2.0, None), (21, 2, float("nan"), 1.0)]
     df = spark.createDataFrame(rows, "date int, key int, x double, y double")
     good = [v for v in rows if v[2] is not None and v[3] is not None and v[2] == v[2]]
-    found = S.leave_one_out(df, "x", "y").collect()
+    found = S.without_each_key(df, "x", "y").collect()
     assert len(found) == len(good)
     for v in found:
         day = [g for g in good if g[0] == v["date"]]
