@@ -83,8 +83,10 @@ def truncated(queue: DataFrame, order: list[str], budget: int, parts: int) -> Da
 
 def mix(documents: DataFrame, *, weights=(1, 2, 3), epochs: int = 3, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies."""
-    # Rows without an id are shuffled by their text.
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5("text")))))
+    # Rows without an id are shuffled by their text; those without words too, which take nothing, are only spread.
+    text = F.nullif(F.btrim("text", F.lit(" \t\n\x0b\f\r")), F.lit(""))
+    spread = F.concat(F.lit("#"), F.monotonically_increasing_id())
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.when(text.isNotNull(), F.concat(F.lit("-"), F.md5("text"))), spread)))
     sized = stash(documents.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key")))
     targets = source_targets(sized, weights, epochs)
     joined = _shuffled_positions(sized).withColumnRenamed("source", "_src")

@@ -201,27 +201,37 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reassemble(parsed: DataFrame) -> DataFrame:
-    """Whole records: page_id, kind, digest, refers_to, block. Segments are joined in order and checked."""
+    """Whole records: page_id, kind, digest, refers_to, block. Segments are joined in order and checked.
+
+    The segments of a record come to one task in order of their numbers; each is copied once, and a
+    task holds one record at a time.
+    """
     columns = ("page_id", "kind", "digest", "refers_to", "block")
     whole = parsed.where(F.col("number").isNull()).select(*columns)
-    first = F.col("number") == 1
-    grouped = (
-        parsed.where(F.col("number").isNotNull())
-        .groupBy("origin")
-        .agg(
-            F.first("page_id").alias("page_id"),
-            F.max(F.when(first, F.col("kind"))).alias("kind"),
-            F.max(F.when(first, F.col("digest"))).alias("digest"),
-            F.max(F.when(first, F.col("refers_to"))).alias("refers_to"),
-            F.max("total").alias("total"),
-            F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"),
-        )
-    )
-    block = F.aggregate("parts", F.lit(b""), lambda out, part: F.concat(out, part["block"]))
-    numbers = F.transform("parts", lambda p: p["number"]) == F.sequence(F.lit(1), F.size("parts"))
-    sound = F.coalesce(numbers & (F.octet_length(block) == F.col("total")), F.lit(False))
-    joined = grouped.withColumn("block", F.when(sound, block).otherwise(F.raise_error(F.concat(F.lit("segments missing or of a wrong total length: "), F.col("origin")))))
-    return whole.unionByName(joined.select(*columns))
+    ordered = parsed.where(F.col("number").isNotNull()).repartition("origin").sortWithinPartitions("origin", "number")
+
+    def joined(origin: str, head: tuple, parts: list[bytes], total: int | None) -> pa.RecordBatch:
+        if sum(map(len, parts)) != total:
+            raise ValueError(f"segments missing or of a wrong total length: {origin}")
+        return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(head, (pa.int64(), pa.string(), pa.string(), pa.int64()))), pa.array([b"".join(parts)], pa.binary())], names=list(columns))
+
+    def run(batches):
+        kept("op2")
+        origin, head, parts, total = None, (), [], None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("origin", "number", *columns, "total"))):
+                if row[0] != origin:
+                    if origin is not None:
+                        yield joined(origin, head, parts, total)
+                    origin, head, parts, total = row[0], row[2:6], [], None
+                parts.append(row[6])
+                if row[1] != len(parts):
+                    raise ValueError(f"segments missing or of a wrong total length: {origin}")
+                total = row[7] if row[7] is not None else total
+        if origin is not None:
+            yield joined(origin, head, parts, total)
+
+    return whole.unionByName(ordered.mapInArrow(run, "page_id long, kind string, digest string, refers_to long, block binary"))
 
 
 def payloads(archived: DataFrame) -> DataFrame:

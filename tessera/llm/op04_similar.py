@@ -26,8 +26,8 @@ Copies of a text never meet all at once: a task makes segments for the first of
 and the table of classes is brought to the copies, not the copies to it.
 
 Defined results: rows without a doc_id cannot be the smallest of a component; they take part as
-others do, but one that links with no row that has a doc_id has a null component_id, and links that
-lead over such a row alone are not followed; null texts and texts without words have an empty set and
+others do, and links that lead over such a row are followed, but one that reaches no row with a
+doc_id has a null component_id; a doc_id of 2^62 or more raises an error; null texts and texts without words have an empty set and
 link with nothing; with fewer words than a shingle the whole sequence is the one token; repeated
 rows and equal texts are one class; rows of one doc_id with different texts are one class with the
 tokens of the text whose digest is smallest; an empty table gives an empty result; other columns are

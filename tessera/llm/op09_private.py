@@ -10,7 +10,9 @@ that extract it leave of doubt. Patterns of high confidence and enough support t
 unseen identifiers wherever they match in any text; those are the extra spans, of kind "found".
 
 Contexts are words that announce an identifier, so a pattern needs support from several distinct
-trusted instances. Base kinds hold digits or an at-sign, so patterns whose shape has neither become
+trusted instances, and at least half of the words that stand behind its context, counted over all
+texts, have to be candidates: an article is followed by an identifier now and then, but announces
+none. Base kinds hold digits or an at-sign, so patterns whose shape has neither become
 trusted only through values that such patterns tell. Other words without a digit, an at-sign or a
 sign that assigns them are not in the graph; no trusted pattern has their shape.
 
@@ -25,12 +27,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, hot_join, kept, small_batches, stash
+from .common import HOT_SHARE, discard, hot_join, kept, small_batches, stash
 
 KINDS = ("email", "ip", "card", "phone", "found")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -45,7 +48,7 @@ _MARK = re.compile("[0-9@=:]")
 #: What may hold an identifier: a word with one of the marks, or one behind a word that ends in a sign.
 _HINT = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@=:]*+[0-9@=:][^\x20\x09-\x0D]*+|(?<=[=:][\x20\x09-\x0D])[^\x20\x09-\x0D]++")
 _RUN = re.compile(r"[^\W_]+|[\W_]")
-#: Patterns that are sent to all tasks at most.
+#: Patterns, or contexts, that are sent to all tasks at most.
 BROADCAST_PATTERNS = 20_000
 _TRIM = "\"'`()[]{}<>,;:!?.|*#$%&"
 
@@ -103,6 +106,11 @@ def shape(value: str) -> str:
     return "".join(out)
 
 
+def _context(word: str) -> str:
+    """A word of a context: lower-cased, a long one as its digest."""
+    return word.lower() if len(word) <= 64 else hashlib.sha1(word.lower().encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def words_before(text: str, at: int) -> list[str]:
     """The two words before a place, whole and lower-cased; long ones as digests."""
     reach = 80
@@ -110,7 +118,7 @@ def words_before(text: str, at: int) -> list[str]:
         begin = max(0, at - reach)
         found = text[begin:at].split()
         if begin == 0 or len(found) > 2:
-            return [w.lower() if len(w) <= 64 else hashlib.sha1(w.lower().encode("utf-8", "surrogatepass")).hexdigest() for w in found[-2:]]
+            return [_context(w) for w in found[-2:]]
         reach *= 4
 
 
@@ -130,8 +138,7 @@ def candidates(text: str) -> list[tuple[int, int, tuple[str, ...], str]]:
         mark = len(word) if mark is None and "@" not in word else mark.start() if mark else word.index("@")
         cut = max(word.rfind("=", 0, mark), word.rfind(":", 0, mark)) if mark < len(word) else min((i for i in (word.find("="), word.find(":")) if i >= 0), default=-1)
         if cut >= 0:
-            key = word[:cut].lower()
-            before, begin = [key if len(key) <= 64 else hashlib.sha1(key.encode("utf-8", "surrogatepass")).hexdigest(), word[cut]], begin + cut + 1
+            before, begin = [_context(word[:cut]), word[cut]], begin + cut + 1
         else:
             before = None
         while begin < end and text[begin] in _TRIM:
@@ -145,6 +152,52 @@ def candidates(text: str) -> list[tuple[int, int, tuple[str, ...], str]]:
     return out
 
 
+def followed(text: str, wanted: frozenset[str] | None) -> Counter:
+    """How often a word stands behind each context of a text; wanted limits the contexts."""
+    words = [_context(w) for w in text.split()]
+    found = Counter(words[:-1] if wanted is None else filter(wanted.__contains__, words[:-1]))
+    lasts = None if wanted is None else {w.rpartition(" ")[2] for w in wanted if " " in w}
+    pairs = (f"{a} {b}" for a, b in zip(words, words[1:-1]) if lasts is None or b in lasts)
+    found.update(pairs if wanted is None else filter(wanted.__contains__, pairs))
+    if words:
+        found[""] += 1
+    return found
+
+
+def words_behind(documents: DataFrame, contexts: DataFrame) -> DataFrame:
+    """context, behind: how many words of all texts stand behind each of the given contexts."""
+    few = contexts.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
+    # Few contexts go to the tasks; otherwise all are counted there, and meet the given ones by a shuffle.
+    wanted = frozenset(r.context for r in contexts.collect()) if few else None
+
+    def run(batches):
+        kept("op9")
+        for batch in batches:
+            found = Counter()
+            for text in batch.column("text").to_pylist():
+                if text:
+                    found.update(followed(text, wanted))
+            items = list(found.items())
+            for i in range(0, len(items), 50_000):
+                part = list(zip(*items[i : i + 50_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int64())], ["context", "n"])
+
+    counted = documents.select("text").mapInArrow(run, "context string, n long").groupBy("context").agg(F.sum("n").alias("behind"))
+    return counted.join(contexts, "context", "left_semi")
+
+
+def announcing(documents: DataFrame, graph: DataFrame, min_values: int, min_share: float) -> DataFrame:
+    """The contexts with at least min_values distinct values, behind which at least min_share of all words are candidates.
+
+    Values that a sign within a word assigns (key=value) are no words of their own: they count as candidates only.
+    """
+    held = stash(graph.groupBy("context", "value").agg(F.sum("times").alias("times")).groupBy("context").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= min_values))
+    joined = held.join(words_behind(documents, held.select("context")), "context", "left")
+    out = stash(joined.where(F.col("times") >= min_share * F.coalesce("behind", F.lit(0))).select("context"))
+    discard(held)
+    return out
+
+
 def occurrences(documents: DataFrame) -> DataFrame:
     """context, shape, value, seed of every candidate of every text; value is a digest, seed tells that a base span covers it."""
 
@@ -167,15 +220,21 @@ def occurrences(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "context string, shape string, value string, seed boolean")
 
 
-def learn_patterns(documents: DataFrame, *, min_values: int = 5, min_confidence: float = 0.9) -> DataFrame:
+def learn_patterns(documents: DataFrame, *, min_values: int = 5, min_confidence: float = 0.9, min_share: float = 0.5, held_back: int = 0) -> DataFrame:
     """All trusted patterns: context, shape.
 
+    Only contexts that announce speak: at least min_share of the words behind them are candidates.
     Pattern confidence: share of its distinct values that are trusted, counted as their confidence.
     Instance confidence: 1 for seeds, else 1 - product(1 - confidence of its patterns), where only
     patterns of at least min_confidence and min_values values speak. Trust never falls from round to
     round; it ends when neither the number nor the confidence of these patterns changes any more.
+    held_back takes the trust from one in so many seed values, to measure what patterns find of them.
     """
-    graph = stash(occurrences(documents).groupBy("context", "shape", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")))
+    seed = F.col("seed") & ~held_back_value(held_back)
+    graph = stash(occurrences(documents).groupBy("context", "shape", "value").agg(F.max(seed.cast("double")).alias("seed"), F.count("*").alias("times")))
+    # A context that announces nothing can hold very many values: it stays where it is.
+    graph, whole = stash(hot_join(graph, announcing(documents, graph, min_values, min_share), "context").drop("times")), graph
+    discard(whole)
     seeds = stash(graph.groupBy("value").agg(F.max("seed").alias("seed")))
     trust = seeds.withColumnRenamed("seed", "trust")
     before, old = (0, 0.0), []
@@ -199,6 +258,30 @@ def learn_patterns(documents: DataFrame, *, min_values: int = 5, min_confidence:
     return strong.select("context", "shape")
 
 
+def held_back_value(every: int) -> Column:
+    """Whether the digest in value is one of those held back: one in every, none for 0."""
+    return F.pmod(F.xxhash64("value"), F.lit(every)) == 0 if every else F.lit(False)
+
+
+def recovered(documents: DataFrame, *, every: int = 5, **options) -> DataFrame:
+    """One row that tells how patterns learnt from other seeds do: held (values of seeds held back), announced (those that stand in an announcing context), recalled (those that a trusted pattern extracts), told (values that trusted patterns extract), sound (seeds among them).
+
+    sound / told is a lower bound of the precision, since unseen identifiers count against it.
+    """
+    patterns = stash(learn_patterns(documents, held_back=every, **options))
+    graph = stash(occurrences(documents).groupBy("context", "shape", "value").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.count("*").alias("times")))
+    contexts = announcing(documents, graph, options.get("min_values", 5), options.get("min_share", 0.5))
+    key = F.concat_ws("\x00", "shape", "context").alias("_pattern")
+    rows = hot_join(stash(graph.select("context", "value", "seed", key)), contexts.withColumn("_speaks", F.lit(True)), "context", "left")
+    rows = hot_join(stash(rows), patterns.select(key).withColumn("_trusted", F.lit(True)), "_pattern", "left")
+    values = rows.groupBy("value").agg(F.max("seed").alias("seed"), F.max(F.coalesce("_speaks", F.lit(False))).alias("speaks"), F.max(F.coalesce("_trusted", F.lit(False))).alias("found"))
+    held = (F.col("seed") == 1) & held_back_value(every)
+    return values.agg(
+        F.count(F.when(held, 1)).alias("held"), F.count(F.when(held & F.col("speaks"), 1)).alias("announced"), F.count(F.when(held & F.col("found"), 1)).alias("recalled"),
+        F.count(F.when(F.col("found"), 1)).alias("told"), F.count(F.when(F.col("found") & (F.col("seed") == 1), 1)).alias("sound"),
+    )
+
+
 def text_key(text: str) -> bytes:
     """The digest that spans found in a text are brought back to its rows by."""
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
@@ -287,7 +370,17 @@ def find_private(documents: DataFrame, patterns: DataFrame | list[tuple[str, str
     counted = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string"
     rows = source.mapInArrow(base, f"{types(passed)}, {counted}, _base array<struct<begin: bigint, kind: bigint, end: bigint>>, _key binary")
     first = (*carry, *(f"n_{k}" for k in KINDS[:4]), "base_sha256")
-    joined = rows.join(matches(documents, patterns), rows["_key"] == F.col("_digest"), "left").drop("_key", "_digest")
+    # Copies of a text that more than one in HOT_SHARE rows hold (fewer than HOT_SHARE texts) stay where they are, and so do empty texts.
+    found = stash(matches(documents, patterns))
+    copies = stash(documents.where("text <> ''").groupBy(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_hot")).agg(F.count("*").alias("n")).where("n > 1"))
+    total = documents.count()
+    hot = copies.where(F.col("n") > F.lit(total / HOT_SHARE)).select("_hot")
+    hot = hot.join(found.withColumnRenamed("_found", "_same"), F.col("_hot") == F.col("_digest"), "left").drop("_digest")
+    flagged = rows.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
+    alone = F.encode(F.concat(F.lit("#"), F.monotonically_increasing_id()), "utf-8")
+    flagged = flagged.withColumn("_place", F.when(F.col("_key").isNull() | F.col("_hot").isNotNull(), alone).otherwise(F.col("_key")))
+    joined = flagged.join(found, F.col("_place") == F.col("_digest"), "left").withColumn("_found", F.coalesce("_same", "_found"))
+    joined = joined.drop("_key", "_digest", "_place", "_hot", "_same")
     return joined.mapInArrow(cover, f"{types(carry)}, {counted}, spans string" + ", redacted string" * with_text)
 
 

@@ -736,3 +736,80 @@ def test_one_very_long_text(spark):
     for run in (lambda p: op05_pieces.encode_documents(docs, p).collect(),):
         n = {r.doc_id: r.n_tokens for r in run(tokenizer("piece_bpe_32k.model"))}
         assert n[2] == n[1] + 1 > 500_000
+
+
+def luhn_numbers(n):
+    return [x for x in map(str, range(4 * 10**15, 4 * 10**15 + 40 * n)) if op09_private.luhn(x)][:n]
+
+
+def test_private_ordinary_words_announce_nothing(spark):
+    cards = luhn_numbers(40)
+    texts = [f"the {c} end" for c in cards[:20]] + [f"card {c} end" for c in cards[20:]]
+    texts += ["the 4000000000000001 end", "card 4000000000000001 end"] + ["the cat and the dog"] * 12
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    patterns = op09_private.learn_patterns(docs)
+    assert {r.context for r in patterns.collect()} == {"card"}
+    spans = {r.doc_id: r.spans for r in op09_private.find_private(docs, patterns).collect()}
+    assert (spans[40], spans[41]) == ("", "found:5:21")
+    # 21 candidates behind 45 articles: just what a lower share takes.
+    assert {r.context for r in op09_private.learn_patterns(docs, min_share=21 / 45).collect()} == {"card", "the"}
+
+
+@pytest.mark.parametrize("few", [20_000, 1])
+def test_private_words_behind_contexts_follow_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(op09_private, "BROADCAST_PATTERNS", few)
+    r = random.Random(11)
+    texts = [None, "", " ", "one", "X" * 70 + " two"] + [" ".join(r.choice(("a", "B", "c", "12", "d:")) for _ in range(r.randint(1, 30))) for _ in range(60)]
+    want = {}
+    for words in ((t or "").split() for t in texts):
+        for i in range(len(words)):
+            before = op09_private.words_before(" ".join(words), len(" ".join(words[:i])) + (i > 0))
+            for context in {before[-1], " ".join(before)} if before else {""}:
+                want[context] = want.get(context, 0) + 1
+    asked = [c for i, c in enumerate(sorted(want)) if i % 2] + ["never seen"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {x.context: x.behind for x in op09_private.words_behind(docs, spark.createDataFrame([(c,) for c in asked], "context string")).collect()}
+    assert got == {c: want[c] for c in asked if c in want}
+
+
+def test_private_recovers_seeds_held_back(spark):
+    cards = luhn_numbers(200)
+    texts = [f"card {c} end" for c in cards[:100]] + [f"the {c} cat the dog the end" for c in cards[100:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = op09_private.recovered(docs, every=10, min_confidence=0.8).first()
+    assert 0 < got.recalled == got.announced < got.held and got.told == got.sound == 100
+    assert tuple(op09_private.recovered(docs.limit(0)).first()) == (0, 0, 0, 0, 0)
+
+
+def test_private_hot_and_empty_texts_stay_where_they_are(spark, monkeypatch):
+    hot, cold = "account 4000000000000001 end", "account 4000000000000003 end"
+    rows = [(i, hot) for i in range(60)] + [(i, None) for i in range(60, 120)] + [(i, "") for i in range(120, 150)] + [(200, cold), (None, hot), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for share in (5, 1000):
+        monkeypatch.setattr(op09_private, "HOT_SHARE", share)
+        got = op09_private.find_private(docs, [("account", "16")], with_text=True).collect()
+        assert len(got) == len(rows) and sum(x.spans == "found:8:24" for x in got) == 62
+        assert sorted((-1 if x.doc_id is None else x.doc_id, x.redacted) for x in got if x.redacted) == sorted([(i, "account <found> end") for i in (*range(60), 200, -1)])
+
+
+def test_long_records_are_joined_in_linear_time(spark):
+    payload = random.Random(3).randbytes(8_000_000)
+    parts = op02_warc.records(5, None, payload, hashlib.sha256(payload).hexdigest(), len(payload), None, 0)
+    rows = []
+    for f, b in (x for p in parts for x in op02_warc.parse(gzip.compress(p, 1))):
+        rows.append((5, f["warc-type"], f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]), int(f.get("warc-segment-total-length", 0)) or None, f.get("warc-payload-digest", "").removeprefix("sha256:"), None, b))
+    random.Random(4).shuffle(rows)
+    got = op02_warc.payloads(op02_warc.reassemble(spark.createDataFrame(rows, op02_warc.PARSED).repartition(4))).collect()
+    assert len(got) == 1 and bytes(got[0].payload) == payload
+    for bad in (rows + rows[:1], [x for x in rows if x[3] != 1], [(*x[:4], 7 if x[4] else None, *x[5:]) for x in rows]):
+        with pytest.raises(Exception, match="segments missing"):
+            op02_warc.reassemble(spark.createDataFrame(bad, op02_warc.PARSED)).collect()
+
+
+def test_mixing_spreads_rows_without_id_and_words(spark):
+    rows = [(None, t, "s") for t in (None, "", " \t ") for _ in range(200)] + [(None, "a b", "s"), (None, "a b", "s"), (1, "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    keys = op01_mixing.mix(docs)
+    assert keys.count() == len(rows)
+    assert {(x.size, x.taken) for x in keys.where("source = 's'").collect()} <= {(0, 0), (2, 0), (2, 2), (2, 4), (2, 6)}
+    assert keys.where("size = 0").agg({"taken": "sum"}).first()[0] == 0
