@@ -152,13 +152,19 @@ def candidates(text: str) -> list[tuple[int, int, tuple[str, ...], str]]:
     return out
 
 
-def followed(text: str, wanted: frozenset[str] | None) -> Counter:
-    """How often a word stands behind each context of a text; wanted limits the contexts."""
-    words = [_context(w) for w in text.split()]
-    found = Counter(words[:-1] if wanted is None else filter(wanted.__contains__, words[:-1]))
-    lasts = None if wanted is None else {w.rpartition(" ")[2] for w in wanted if " " in w}
-    pairs = (f"{a} {b}" for a, b in zip(words, words[1:-1]) if lasts is None or b in lasts)
-    found.update(pairs if wanted is None else filter(wanted.__contains__, pairs))
+def followed(text: str, wanted: frozenset[str] | None, lasts: frozenset[str]) -> Counter:
+    """How often a word stands behind each context of a text; wanted limits the contexts, lasts are the last words of those with two."""
+    words = text.lower().split()
+    if len(max(words, key=len, default="")) > 60:
+        words = [_context(w) for w in text.split()]
+    found = Counter(words[:-1])
+    pairs = zip(words, words[1:-1])
+    if wanted is not None:
+        ends = found.keys() & lasts
+        found = Counter({w: found[w] for w in found.keys() & wanted})
+        pairs = filter(lambda p: p[1] in ends, pairs) if ends else ()
+    both = map(" ".join, pairs)
+    found.update(both if wanted is None else filter(wanted.__contains__, both))
     if words:
         found[""] += 1
     return found
@@ -169,6 +175,7 @@ def words_behind(documents: DataFrame, contexts: DataFrame) -> DataFrame:
     few = contexts.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
     # Few contexts go to the tasks; otherwise all are counted there, and meet the given ones by a shuffle.
     wanted = frozenset(r.context for r in contexts.collect()) if few else None
+    lasts = frozenset(w.rpartition(" ")[2] for w in wanted or () if " " in w)
 
     def run(batches):
         kept("op9")
@@ -176,7 +183,7 @@ def words_behind(documents: DataFrame, contexts: DataFrame) -> DataFrame:
             found = Counter()
             for text in batch.column("text").to_pylist():
                 if text:
-                    found.update(followed(text, wanted))
+                    found.update(followed(text, wanted, lasts))
             items = list(found.items())
             for i in range(0, len(items), 50_000):
                 part = list(zip(*items[i : i + 50_000]))
