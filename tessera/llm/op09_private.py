@@ -235,10 +235,12 @@ def learn_patterns(documents: DataFrame, *, min_values: int = 5, min_confidence:
     Instance confidence: 1 for seeds, else 1 - product(1 - confidence of its patterns), where only
     patterns of at least min_confidence and min_values values speak. Trust never falls from round to
     round; it ends when neither the number nor the confidence of these patterns changes any more.
-    held_back takes the trust from one in so many seed values, to measure what patterns find of them.
+    held_back leaves out one in so many seed values, to measure what patterns find of them.
     """
-    seed = F.col("seed") & ~held_back_value(held_back)
-    graph = stash(occurrences(documents).groupBy("context", "shape", "value").agg(F.max(seed.cast("double")).alias("seed"), F.count("*").alias("times")))
+    seen = occurrences(documents)
+    if held_back:
+        seen = seen.where(~(F.col("seed") & held_back_value(held_back)))
+    graph = stash(seen.groupBy("context", "shape", "value").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.count("*").alias("times")))
     # A context that announces nothing can hold very many values: it stays where it is.
     graph, whole = stash(hot_join(graph, announcing(documents, graph, min_values, min_share), "context").drop("times")), graph
     discard(whole)
@@ -266,8 +268,8 @@ def learn_patterns(documents: DataFrame, *, min_values: int = 5, min_confidence:
 
 
 def held_back_value(every: int) -> Column:
-    """Whether the digest in value is one of those held back: one in every, none for 0."""
-    return F.pmod(F.xxhash64("value"), F.lit(every)) == 0 if every else F.lit(False)
+    """Whether the digest in value is one of those held back: one in every."""
+    return F.pmod(F.xxhash64("value"), F.lit(every)) == 0
 
 
 def recovered(documents: DataFrame, *, every: int = 5, **options) -> DataFrame:

@@ -776,7 +776,7 @@ def test_private_recovers_seeds_held_back(spark):
     cards = luhn_numbers(200)
     texts = [f"card {c} end" for c in cards[:100]] + [f"the {c} cat the dog the end" for c in cards[100:]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = op09_private.recovered(docs, every=10, min_confidence=0.8).first()
+    got = op09_private.recovered(docs, every=10).first()
     assert 0 < got.recalled == got.announced < got.held and got.told == got.sound == 100
     assert tuple(op09_private.recovered(docs.limit(0)).first()) == (0, 0, 0, 0, 0)
 
