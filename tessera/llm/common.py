@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: A key that more than one in so many rows have is hot; so there are fewer hot keys than this.
+#: A key that more than one in so many rows have is hot, while that is at most ONE_TASK rows.
 HOT_SHARE = 1000
 #: Rows that one task joins without harm, whatever their keys.
 ONE_TASK = 10_000
+#: There are fewer hot keys than this, however many rows there are.
+MOST_HOT = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,18 +56,27 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def hot_from(total: int) -> float:
+    """Rows of one key, of so many in all, beyond which it is hot.
+
+    A thousandth of small tables, the rows that one task joins without harm of larger ones, and of
+    very large ones what leaves fewer than MOST_HOT hot keys.
+    """
+    return max(min(ONE_TASK, total / HOT_SHARE), total / MOST_HOT)
+
+
 def hot_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """many joined with one, which has at most one row for a key; how is inner or left.
 
     Rows of hot keys, and those without a key, stay where they are: the rows of one for hot keys,
-    fewer than HOT_SHARE, are broadcast. All others meet by a shuffle, in which no key is hot.
+    fewer than MOST_HOT, are broadcast, so they have to be narrow. All others meet by a shuffle, in which no key is hot.
     many is read twice, so it should be a stashed table. Up to ONE_TASK rows are joined plainly.
     """
     counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     if total <= ONE_TASK:
         return many.join(one, key, how)
-    hot = counts.where(F.col("_n") > F.lit(total / HOT_SHARE)).select(key)
+    hot = counts.where(F.col("_n") > F.lit(hot_from(total))).select(key)
     flagged = many.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     still = flagged.where(F.col("_hot") | F.col(key).isNull()).drop("_hot")
     moved = flagged.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot")
@@ -73,6 +84,25 @@ def hot_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> D
     return still.join(F.broadcast(few), key, how).unionByName(moved.join(one, key, how))
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """many joined with one, which has at most one row for a key, of any width.
+
+    The rows of a key that has more than ONE_TASK of them (of very many rows: than a MOST_HOT-th of
+    all) are dealt into parts by the column by, and the row of one is repeated for each part. Only
+    those keys and their numbers of parts are broadcast, fewer than MOST_HOT. many is read twice, so
+    it should be a stashed table; rows without a key are dropped.
+    """
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    if (most or 0) <= ONE_TASK:
+        return many.join(one, key)
+    size = max(ONE_TASK, total / MOST_HOT)
+    parts = F.broadcast(counts.where(F.col("_n") > size).select(key, F.ceil(F.col("_n") / size).alias("_parts")))
+    dealt = many.join(parts, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), "_parts"), F.lit(0))).drop("_parts")
+    copies = one.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
 def scan_splits(df: DataFrame) -> int:
     """How many tasks a scan of df takes: a measure of its size that costs no job."""
     return max(1, df.rdd.getNumPartitions())

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, flat, grams, mix, slices, spans_hash, words
-from .common import discard, hot_join, kept, small_batches, stash
+from .common import discard, hot_join, kept, small_batches, spread_join, stash
 from .components import components
 
 BANDS, ROWS = 8, 3
@@ -329,7 +329,11 @@ def asked_in_blocks(queries: DataFrame, rows: DataFrame, query_bits: DataFrame,
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the bound, by counting their common tokens."""
+    """The pairs (a, b) whose similarity reaches the bound, by counting their common tokens.
+
+    pairs is read more than once, so it should be a stashed table. A class that very many pairs name
+    is dealt over several tasks, its tokens repeated for each.
+    """
 
     def run(batches):
         kept("op4")
@@ -343,7 +347,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     own = lambda c, t: sets.select(F.col("class").alias(c), F.col("tokens").alias(t))
-    return pairs.join(own("a", "ta"), "a").join(own("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    met = spread_join(pairs, own("a", "ta"), "a", "b")
+    return met.join(own("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def similar(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
@@ -401,9 +406,10 @@ def similar(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame
     inside = stash(inside.join(opened.select(F.col("other").alias("key")).distinct(), "key", "left_semi"))
     queries = stash(opened.select(F.col("other").alias("key"), "class", F.col("other").alias("group"), "size"))
     compare = asked_in_blocks(queries, inside, sets.select("class", "bits"), sets.select(F.col("class").alias("other"), "bits"), percent, members=True)
-    found = stash(verified(compare.select(F.col("class").alias("a"), F.col("other").alias("b")), sets, percent))
+    compare = stash(compare.select(F.col("class").alias("a"), F.col("other").alias("b")))
+    found = stash(verified(compare, sets, percent))
     labels = components(links.union(found)).withColumnRenamed("node", "class")
-    discard(shaping, involved, sets, groups, met, matrix, opened, inside, queries, links, found, classes)
+    discard(shaping, involved, sets, groups, met, matrix, opened, inside, queries, compare, links, found, classes)
     result = hot_join(members, labels, "class", "left").withColumn("_c", F.coalesce("label", "class"))
     named = lambda c, gone: F.when(~gone, F.col(c))
     return result.select(named("doc_id", F.col("nameless")).alias("doc_id"), F.col("size").alias("n_shingles"), named("_c", F.col("_c") >= NAMELESS).alias("component_id"))

@@ -579,6 +579,31 @@ def test_hot_keys_join_like_others(spark, monkeypatch, how):
     assert sorted(map(str, got)) == sorted(map(str, many.join(one, "k", how).collect()))
 
 
+@pytest.mark.parametrize("least", [10, 1000])
+def test_spread_keys_join_like_others(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "ONE_TASK", least)
+    many = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(300)] + [(None, 1), (50, 2), (1, None), (1, None)], "k long, v long")
+    one = spark.createDataFrame([(k, "w" * 1000 * k) for k in range(6)], "k long, w string")
+    spread = common.spread_join(many, one, "k", "v")
+    assert spread.columns == ["k", "v", "w"]
+    assert sorted(map(str, spread.collect())) == sorted(map(str, many.join(one, "k").collect()))
+    assert common.spread_join(many.where("v < 0"), one, "k", "v").count() == 0
+
+
+def test_few_keys_are_hot_at_any_size():
+    assert common.hot_from(1000) == 1 and common.hot_from(10**7) == common.hot_from(10**9) == common.ONE_TASK
+    assert all(n / common.hot_from(n) <= common.MOST_HOT for n in (10**5, 10**8, 10**9, 10**13))
+
+
+def test_similar_with_busy_classes(spark, monkeypatch):
+    """Pairs of one class dealt over several tasks: the same links as in one task."""
+    monkeypatch.setattr(common, "ONE_TASK", 3)
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([*words, *[f"x{i}y{j}" for j in range(3)]])) for i in range(40)] + [(99, "other words here")], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in op04_similar.similar(docs, n=3, percent=90).collect()}
+    assert found == {**{i: 0 for i in range(40)}, 99: 99}
+
+
 def test_private_contexts_are_whole_words():
     long = "x" * 500
     a, b = (op09_private.candidates(f"{w} {' ' * 300} 12345")[0] for w in (long + "a", long + "b"))
