@@ -22,3 +22,12 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parts_for(*tables: DataFrame, most: int = 250_000) -> int:
+    """How many parts hold at most some `most` rows of all tables together, and at least as many as the cluster has cores.
+
+    Rows are counted, so that a task's share does not grow with the tables whatever the session's number of shuffle parts.
+    """
+    rows = sum(t.count() for t in tables)
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-rows // most))
