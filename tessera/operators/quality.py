@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import parts_for
+
 
 def reasons(tests: dict[str, Column]) -> Column:
     """The names of the tests that hold, as an array in the given order; null counts as not holding."""
@@ -76,8 +78,14 @@ def signal_envelope_problems(envelopes: DataFrame, column: str, *, classes: tupl
 
 
 def content_conflicts(records: DataFrame, keys: list[str], digest: str) -> DataFrame:
-    """Keys whose records do not all have one content."""
-    return records.groupBy(*keys).agg(F.countDistinct(digest).alias("contents"), F.count("*").alias("n")).where("contents > 1")
+    """Keys whose records do not all have one content.
+
+    Records are dealt before they are counted, by key and content and then by key, into parts of
+    some 250,000: nearly all keys differ, so counting where they are read would hold them all.
+    """
+    parts = parts_for(records)
+    own = records.select(*keys, F.col(digest).alias("_c")).repartition(parts, *keys, "_c").groupBy(*keys, "_c").agg(F.count("*").alias("_n"))
+    return own.repartition(parts, *keys).groupBy(*keys).agg(F.count("_c").alias("contents"), F.sum("_n").alias("n")).where("contents > 1")
 
 
 def source_consistency(rows: DataFrame, digest: str, end: str, decision: str, horizon: int) -> DataFrame:

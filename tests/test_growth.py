@@ -31,3 +31,11 @@ def test_appends_meet_in_parts_that_follow_their_rows(spark, monkeypatch):
     found = ST.append_once(batch, target, ["id"], "c")
     assert sorted((r["id"] or -1, r["state"]) for r in found.collect()) == [(-1, "appended"), (3, "conflict"), (3, "conflict"), (1000, "appended")]
     assert plan(found).count("hashpartitioning(id#") == 2 and ", 10), REPARTITION_BY_NUM" in plan(found)
+
+
+def test_conflicts_are_counted_in_parts_that_follow_their_rows(spark, monkeypatch):
+    small_parts(monkeypatch, Q)
+    rows = spark.range(1000).select((F.col("id") % 400).alias("a"), F.when(F.col("id") % 400 == 7, F.col("id")).when(F.col("id") % 400 != 8, 1).alias("c"))
+    found = Q.content_conflicts(rows, ["a"], "c")
+    assert [tuple(r) for r in found.collect()] == [(7, 3, 3)]
+    assert plan(found).count(", 10), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan(found)
