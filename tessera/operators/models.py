@@ -58,18 +58,38 @@ def fit_linear(df: DataFrame, features: list[str], label: str):
     return LinearRegression(featuresCol="features", labelCol=label, fitIntercept=False, standardization=False, solver="normal").fit(_vectors(df, features))
 
 
+def _product_sums(features: list[str], label: str) -> dict:
+    return {f"{a}|{b}": F.sum(F.col(a).cast("double") * F.col(b).cast("double")) for i, a in enumerate(features) for b in [*features[i:], label]}
+
+
+def _solved(got, features: list[str], label: str, penalty: float) -> dict[str, float]:
+    import numpy as np
+
+    pair = lambda a, b: got[f"{a}|{b}"] if f"{a}|{b}" in got else got[f"{b}|{a}"]
+    gram = np.array([[pair(a, b) for b in features] for a in features])
+    weights = np.linalg.lstsq(gram + penalty * np.eye(len(features)), np.array([got[f"{a}|{label}"] for a in features]), rcond=None)[0]
+    return dict(zip(features, weights.tolist()))
+
+
 def ridge_weights(df: DataFrame, features: list[str], label: str, penalty: float) -> dict[str, float]:
     """Weights of least squares through the origin with a penalty on the sum of their squares.
 
     One aggregate of all products, as large as the number of features squared; the small system is solved on the driver.
     """
-    import numpy as np
+    return _solved(df.agg(*[v.alias(k) for k, v in _product_sums(features, label).items()]).collect()[0].asDict(), features, label, penalty)
 
-    sums = {f"{a}|{b}": F.sum(F.col(a) * F.col(b)) for i, a in enumerate(features) for b in [*features[i:], label]}
-    got = df.agg(*[v.alias(k) for k, v in sums.items()]).collect()[0]
-    gram = np.array([[got[f"{a}|{b}"] if f"{a}|{b}" in sums else got[f"{b}|{a}"] for b in features] for a in features])
-    weights = np.linalg.solve(gram + penalty * np.eye(len(features)), np.array([got[f"{a}|{label}"] for a in features]))
-    return dict(zip(features, weights.tolist()))
+
+def weights_by(df: DataFrame, by: str, features: list[str], label: str) -> dict:
+    """Weights of least squares through the origin for each value of by (of which there are few), and for all rows under None.
+
+    Rows without a label or a feature do not count. One aggregate of all products by group, which add
+    up to those of all rows; the small systems are solved on the driver.
+    """
+    whole = df.where(F.col(by).isNotNull()).na.drop(subset=[*features, label])
+    sums = {r[by]: r.asDict() for r in whole.groupBy(by).agg(*[v.alias(k) for k, v in _product_sums(features, label).items()]).collect()}
+    names = list(_product_sums(features, label))
+    groups = {**sums, None: {k: sum(s[k] for s in sums.values()) for k in names}} if sums else {}
+    return {g: _solved(s, features, label, 0.0) for g, s in groups.items()}
 
 
 def coefficients(model, features: list[str], spark) -> DataFrame:

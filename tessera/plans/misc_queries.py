@@ -280,11 +280,12 @@ m AS (SELECT regime, sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x2 * x2) AS c, su
 w AS (SELECT regime, (c * u - b * v) / (a * c - b * b) AS w1, (a * v - b * u) / (a * c - b * b) AS w2 FROM m) SELECT date, key, regime, CASE WHEN regime = 'NEW' THEN 'global' ELSE 'specialist' END AS model, """ + R("w1 * x1 + w2 * x2", 6) + " AS score FROM g JOIN w USING (regime)")
 def ml_11(spark, d):
     regime = F.when(F.month("date") == 1, "NEW").when(F.month("date") <= 6, "CALM").otherwise("VOLATILE")
-    panel = supplier_month(spark, d).withColumn("regime", regime)
-    train = panel.where("y is not null")
-    weights = {r: [float(w) for w in ML.fit_linear(train.where(F.col("regime") == r) if r else train, FEATURES, "y").coefficients] for r in ("CALM", "VOLATILE", None)}
-    pick = lambda i: F.when(F.col("regime") == "CALM", weights["CALM"][i]).when(F.col("regime") == "VOLATILE", weights["VOLATILE"][i]).otherwise(weights[None][i])
-    scored = panel.withColumn("score", pick(0) * F.col("x1") + pick(1) * F.col("x2")).where("score is not null")
+    # Read for the weights and for the scores, made once.
+    panel = written(supplier_month(spark, d).select("date", "key", "x1", "x2", "y").withColumn("regime", regime))
+    weights = ML.weights_by(panel, "regime", FEATURES, "y")
+    of = lambda regime, f: F.lit(weights.get(regime, {}).get(f)).cast("double")
+    weight = lambda f: F.when(F.col("regime") == "CALM", of("CALM", f)).when(F.col("regime") == "VOLATILE", of("VOLATILE", f)).otherwise(of(None, f))
+    scored = panel.withColumn("score", sum((weight(f) * F.col(f) for f in FEATURES), F.lit(0.0))).where("score is not null")
     return scored.select("date", "key", "regime", F.when(F.col("regime") == "NEW", "global").otherwise("specialist").alias("model"), tidy("score", 6).alias("score"))
 
 

@@ -39,3 +39,20 @@ def test_conflicts_are_counted_in_parts_that_follow_their_rows(spark, monkeypatc
     found = Q.content_conflicts(rows, ["a"], "c")
     assert [tuple(r) for r in found.collect()] == [(7, 3, 3)]
     assert plan(found).count(", 10), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan(found)
+
+
+def test_weights_by_group_come_from_one_aggregate(spark):
+    r = np.random.default_rng(4)
+    rows = [(g, float(a), float(b), float(2 * a - b * (g == "u") + e)) for g in "uv" for a, b, e in r.normal(size=(40, 3))] + [("u", None, 1.0, 1.0), ("v", 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, y double")
+    got = ML.weights_by(df, "g", ["a", "b"], "y")
+    for g in ("u", "v", None):
+        own = df.where("y is not null").where(F.lit(True) if g is None else F.col("g") == g)
+        assert [got[g]["a"], got[g]["b"]] == pytest.approx(list(ML.fit_linear(own, ["a", "b"], "y").coefficients), abs=1e-9)
+    assert ML.weights_by(df.limit(0), "g", ["a", "b"], "y") == {}
+
+
+def test_regimes_score_a_panel_made_once(spark):
+    from tessera.plans import QUERIES
+
+    assert "lineitem" not in plan(QUERIES["ml_11_regime_specialists"](spark, SF))
