@@ -52,7 +52,15 @@ def test_weights_by_group_come_from_one_aggregate(spark):
     assert ML.weights_by(df.limit(0), "g", ["a", "b"], "y") == {}
 
 
+@tables
 def test_regimes_score_a_panel_made_once(spark):
     from tessera.plans import QUERIES
 
     assert "lineitem" not in plan(QUERIES["ml_11_regime_specialists"](spark, SF))
+
+
+def test_normal_share_takes_no_loop_per_row(spark):
+    df = spark.createDataFrame([(-9.0,), (-7.2,), (0.0,), (7.2,)], "x double").select(S.normal_cdf("x").alias("p"), S.inverse_normal(F.lit(0.3), refined=True).alias("z"))
+    assert "sequence(" not in df._jdf.queryExecution().analyzed().toString()
+    got = [r["p"] for r in df.collect()]
+    assert got[0] == pytest.approx(6.22e-16, rel=1e-2) and got[1] == pytest.approx(3.0106e-13, rel=1e-3) and got[2:] == pytest.approx([0.5, 1.0], abs=1e-12)
