@@ -713,23 +713,30 @@ def snk_5_ensemble(spark, d):
 # Streams
 
 
+def arriving(rows, out, path, mode="append"):
+    """Runs a stream's sink over all that has arrived, and stops; called again, it goes on from its checkpoint with what is new."""
+    q = out(rows).writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck")
+    q.trigger(availableNow=True).start().awaitTermination()
+
+
 def streamed(spark, source, build, mode="append", files=2, parts=()):
     """Runs a query over a table's files as a stream to its end and gives what it wrote.
 
-    parts: predicates that cut the table into pieces which arrive one after the other.
+    parts: predicates that cut the table into pieces which arrive one after the other, a batch each, in any number of files.
     """
     path = scratch(spark)
+    reader = spark.readStream.schema(source.schema)
+    if not parts:
+        reader = reader.option("maxFilesPerTrigger", files)
     for piece in [source.where(p) for p in parts] or [source]:
         piece.write.mode("append").parquet(f"{path}/in")
-    rows = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
-    q = build(rows).writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
+        arriving(reader.parquet(f"{path}/in"), build, path, mode)
     return spark.read.parquet(f"{path}/out")
 
 
 @query("stm_1_rolling_buffer", "WITH e AS (SELECT user_id::VARCHAR AS key, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT key, (count(*) - 4)::BIGINT AS full_buffers, (round(sum(coalesce(value, 0)) FILTER (rn > n - 5), 6) + 0.0) AS newest FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM e) GROUP BY 1 HAVING count(*) > 4")
 def stm_1(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date"), F.coalesce("value", F.lit(0.0)).alias("value"), "event_id").repartition(2, "key")
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date"), F.coalesce("value", F.lit(0.0)).alias("value"), "event_id")
     order = F.concat_ws("#", "date", F.lpad(F.col("event_id").cast("string"), 20, "0"))
     # Three pieces in order of time, so that buffers are carried from batch to batch.
     cuts = ["date < '2024-01-11'", "date >= '2024-01-11' and date < '2024-01-21'", "date >= '2024-01-21'"]
@@ -759,13 +766,11 @@ def continued(spark, d):
     """The folder of a stream over events from CUT on, in two batches, that goes on from the buffers of those before."""
     ST.stateful(spark)
     path, e = scratch(spark), ordered_events(spark, d)
-    first = ST.warm_up(e.where(F.col("date") < CUT), 5)
-    # Files arrive in order of their time; each has whole keys for its days.
+    first = written(ST.warm_up(e.where(F.col("date") < CUT), 5))
+    # Pieces arrive in order of their time, each as one batch.
     for piece in (e.where(F.col("date").between(CUT, "2024-01-21")), e.where(F.col("date") > "2024-01-21")):
-        piece.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    rows = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    out = ST.continued_buffer(rows, 5, first)
-    out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start().awaitTermination()
+        piece.write.mode("append").parquet(f"{path}/in")
+        arriving(spark.readStream.schema(e.schema).parquet(f"{path}/in"), lambda rows: ST.continued_buffer(rows, 5, first), path)
     return path
 
 
@@ -789,13 +794,13 @@ def stm_1_ranked(spark, d):
     """Days arrive in batches, are ranked across keys, and a second stream makes windows of each key's ranks."""
     ST.stateful(spark)
     path, days = scratch(spark), written(user_day(spark, d).where("value is not null").select(F.col("key").cast("string").alias("key"), F.col("date").cast("string").alias("date"), "value"))
+    # Each piece is a batch of the first stream, whose ranks are a batch of the second, in any number of files.
     for piece in (days.where(F.col("date") < CUT), days.where(F.col("date") >= CUT)):
-        piece.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    rows = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    rows.writeStream.foreachBatch(ST.ranked_sink("value", f"{path}/ranked")).option("checkpointLocation", f"{path}/ck1").trigger(availableNow=True).start().awaitTermination()
-    ranked = spark.readStream.schema("key string, date string, value double, ranked double").option("maxFilesPerTrigger", 1).parquet(f"{path}/ranked/*")
-    out = ST.continued_buffer(ranked.select("key", "date", F.col("ranked").alias("value")), 3)
-    out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck2").trigger(availableNow=True).start().awaitTermination()
+        piece.write.mode("append").parquet(f"{path}/in")
+        rows = spark.readStream.schema(days.schema).parquet(f"{path}/in")
+        rows.writeStream.foreachBatch(ST.ranked_sink("value", f"{path}/ranked")).option("checkpointLocation", f"{path}/ck1").trigger(availableNow=True).start().awaitTermination()
+        ranked = spark.readStream.schema("key string, date string, value double, ranked double").parquet(f"{path}/ranked/*")
+        arriving(ranked, lambda r: ST.continued_buffer(r.select("key", "date", F.col("ranked").alias("value")), 3), path)
     return spark.read.parquet(f"{path}/out").select("key", "date", tidy(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 8).alias("total"))
 
 

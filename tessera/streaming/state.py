@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,24 +13,49 @@ from ..functions.scalar import business_day_add, pct_rank
 from ..sources.scratch import parts_for
 
 
+#: Buckets of keys that share a state. A call from the engine serves a bucket: calls do not grow with keys.
+BUCKETS = 2048
+
+
+def _bucketed(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket"), "key", *columns)
+
+
+def _windows(before: pd.DataFrame, new: pd.DataFrame, length: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """key, date, n, values of all full windows that end in new rows, and key, value of each key's last length - 1 rows in order.
+
+    before: key, value held, in order; new: key, date, value. All keys at once, in arrays.
+    """
+    new = new.sort_values("date", kind="stable")
+    keys = pd.Series([*before["key"], *new["key"]], dtype="object")
+    codes = pd.factorize(keys, use_na_sentinel=False)[0]
+    order = np.argsort(codes, kind="stable")
+    codes, keys = codes[order], keys.to_numpy()[order]
+    values = np.array([*before["value"], *new["value"]], dtype="float64")[order]
+    dates = np.array([None] * len(before) + new["date"].tolist(), dtype="object")[order]
+    first = np.searchsorted(codes, codes, "left")
+    ends = np.flatnonzero((order >= len(before)) & (np.arange(len(codes)) - first >= length - 1))
+    kept = np.searchsorted(codes, codes, "right") - np.arange(len(codes)) < length
+    full = list(np.lib.stride_tricks.sliding_window_view(values, length)[ends - (length - 1)]) if len(ends) else []
+    return pd.DataFrame({"key": keys[ends], "date": dates[ends], "n": length, "values": full}), pd.DataFrame({"key": keys[kept], "value": values[kept]})
+
+
 def rolling_buffer(rows: DataFrame, length: int) -> DataFrame:
     """key, date, n, values: the last `length` values of each key, whenever a row arrives and the buffer is full.
 
-    rows: key string, date string, value double. Works on batches and streams alike; the state is the
-    buffer of one key.
+    rows: key string, date string, value double, a stream. The state is the last length - 1 values of the
+    keys of one bucket.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = list(state.get[0])[-(length - 1) :] if state.exists and length > 1 else []
-        new = pd.concat(list(batches)).sort_values("date", kind="stable")
-        joint = [*before, *new["value"].astype(float).tolist()]
-        state.update((joint[-length:],))
-        ends = range(max(length, len(before) + 1), len(joint) + 1)
-        if ends:
-            yield pd.DataFrame({"key": key[0], "date": new["date"].tolist()[len(new) - len(ends) :], "n": length, "values": [joint[e - length : e] for e in ends]})
+        held = state.get if state.exists else ([], [])
+        out, kept = _windows(pd.DataFrame({"key": list(held[0]), "value": list(held[1])}), pd.concat(list(batches)), length)
+        state.update((kept["key"].tolist(), kept["value"].tolist()))
+        if len(out):
+            yield out
 
-    return rows.groupBy("key").applyInPandasWithState(update, "key string, date string, n int, values array<double>", "values array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _bucketed(rows, "date", "value").groupBy("bucket").applyInPandasWithState(update, "key string, date string, n int, values array<double>", "keys array<string>, values array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def warm_up(history: DataFrame, length: int) -> DataFrame:
@@ -47,43 +73,42 @@ def stateful(spark) -> None:
 def continued_buffer(rows: DataFrame, length: int, initial: DataFrame | None = None) -> DataFrame:
     """key, date, n, values: the last `length` values of each key, whenever a row arrives and the buffer is full.
 
-    rows: key string, date string, value double, a stream. Each key's state is a list of its last
-    length - 1 values, kept by a stateful processor; it begins with those of initial (key, values, as
-    warm_up gives them), so that a stream goes on where its history ends. A key's rows of one batch are
-    put in order of date; rows of later batches follow them. Keys without history begin empty.
+    rows: key string, date string, value double, a stream. The state is a list of each key's last
+    length - 1 values, kept by a stateful processor for a bucket of keys at a time; it begins with those
+    of initial (key, values, as warm_up gives them), so that a stream goes on where its history ends. A
+    key's rows of one batch are put in order of date; rows of later batches follow them. Keys without
+    history begin empty.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
     class Buffer(StatefulProcessor):
         def init(self, handle) -> None:
-            self.held = handle.getListState("buffer", "value double")
+            self.held = handle.getListState("buffer", "key string, value double")
 
         def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-            values = [float(v) for own in initialState["values"] for v in own][-(length - 1) :] if length > 1 else []
+            values = [(k, float(v)) for k, own in zip(initialState["key"], initialState["values"]) for v in own[max(0, len(own) - (length - 1)) :]]
             if values:
-                self.held.put([(v,) for v in values])
+                self.held.appendList(values)
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-            new = pd.concat(list(rows)).sort_values("date", kind="stable")
-            before = [v for (v,) in self.held.get()] if self.held.exists() else []
-            joint = [*before, *new["value"].tolist()]
-            if length > 1:
-                self.held.put([(v,) for v in joint[-(length - 1) :]])
-            ends = range(max(length, len(before) + 1), len(joint) + 1)
-            if ends:
-                yield pd.DataFrame({"key": key[0], "date": new["date"].tolist()[len(new) - len(ends) :], "n": length, "values": [joint[e - length : e] for e in ends]})
+            before = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=["key", "value"])
+            out, kept = _windows(before, pd.concat(list(rows)), length)
+            if len(kept):
+                self.held.put(list(zip(kept["key"].tolist(), kept["value"].tolist())))
+            if len(out):
+                yield out
 
         def close(self) -> None:
             pass
 
-    own = initial.select("key", "values").groupBy("key") if initial is not None else None
-    return rows.select("key", "date", "value").groupBy("key").transformWithStateInPandas(Buffer(), "key string, date string, n int, values array<double>", "Append", "None", initialState=own)
+    own = _bucketed(initial, "values").groupBy("bucket") if initial is not None else None
+    return _bucketed(rows, "date", "value").groupBy("bucket").transformWithStateInPandas(Buffer(), "key string, date string, n int, values array<double>", "Append", "None", initialState=own)
 
 
 def stored_buffers(spark, checkpoint: str) -> DataFrame:
     """key, values of the state that a stream of continued_buffer has left in its checkpoint, as a table; values are not in order."""
     read = spark.read.format("statestore").option("stateVarName", "buffer").option("flattenCollectionTypes", "true").load(checkpoint)
-    return read.groupBy(F.col("key.key").alias("key")).agg(F.collect_list("list_element.value").alias("values"))
+    return read.groupBy(F.col("list_element.key").alias("key")).agg(F.collect_list("list_element.value").alias("values"))
 
 
 def mature(date: Column, asof: str, horizon: int, settle: int) -> Column:

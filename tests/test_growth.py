@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,26 @@ def test_normal_share_takes_no_loop_per_row(spark):
     assert "sequence(" not in df._jdf.queryExecution().analyzed().toString()
     got = [r["p"] for r in df.collect()]
     assert got[0] == pytest.approx(6.22e-16, rel=1e-2) and got[1] == pytest.approx(3.0106e-13, rel=1e-3) and got[2:] == pytest.approx([0.5, 1.0], abs=1e-12)
+
+
+def test_windows_of_many_keys_in_one_call():
+    before = pd.DataFrame({"key": ["a", "a", "b", None], "value": [1.0, 2.0, 3.0, 4.0]})
+    new = pd.DataFrame({"key": ["b", "a", "b", "c", None], "date": ["2", "2", "1", "1", "1"], "value": [5.0, 6.0, 7.0, 8.0, 9.0]})
+    out, kept = ST._windows(before, new, 3)
+    assert sorted((k, d, n, tuple(v)) for k, d, n, v in out.itertuples(index=False)) == [("a", "2", 3, (1.0, 2.0, 6.0)), ("b", "2", 3, (3.0, 7.0, 5.0))]
+    assert [(k or "", v) for k, v in kept.itertuples(index=False)] == [("a", 2.0), ("a", 6.0), ("b", 7.0), ("b", 5.0), ("", 4.0), ("", 9.0), ("c", 8.0)]
+    out, kept = ST._windows(before.iloc[:0], new, 1)
+    assert len(out) == 5 and not len(kept)
+
+
+@tables
+@pytest.mark.parametrize("name, states", [("stm_1_ranked_windows", 2), ("stm_2_continued_buffer", 2), ("stm_1_rolling_buffer", 3)])
+def test_a_piece_is_one_batch_in_any_number_of_files(spark, name, states):
+    from tessera.plans import QUERIES, misc_queries
+
+    made = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(misc_queries, "scratch", lambda s: made.append(SC.scratch(s)) or made[-1])
+        QUERIES[name](spark, SF)
+    stores = [p for p in made if os.path.isdir(f"{p.removeprefix('file:')}/ck/commits")]
+    assert [len([f for f in os.listdir(f"{p.removeprefix('file:')}/ck/commits") if f.isdigit()]) for p in stores] == [states]
