@@ -17,11 +17,11 @@ def expanding_folds(df: DataFrame, k: int, embargo: int, least: int = 20) -> Dat
 
 
 def fold_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
-    """date, key, fold, part (train or val): the long form of all folds; the fold table is a dimension."""
+    """All columns of df (date, ...), fold, part (train or val): the long form of all folds; the fold table is a dimension."""
     placed = df.join(F.broadcast(date_axis(df).select("date", "pos")), "date")
     inside = (F.col("pos") <= F.col("train_last")) | F.col("pos").between(F.col("first"), F.col("last"))
     part = F.when(F.col("pos") <= F.col("train_last"), "train").otherwise("val")
-    return placed.join(F.broadcast(folds), inside).select("date", "key", "fold", part.alias("part"))
+    return placed.join(F.broadcast(folds), inside).select(*df.columns, "fold", part.alias("part"))
 
 
 def cut_label(date: Column, train_end: str, val_end: str, embargo: int) -> Column:

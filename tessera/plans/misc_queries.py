@@ -68,9 +68,8 @@ LEVEL = "case when x1 < 4.5 then 0.0D when x1 < 5.5 then 1.0D else 2.0D end"
 
 
 def walk_forward_rows(panel):
-    from ..operators import splits as W
-
-    return panel.join(W.fold_rows(panel.select("date", "key"), W.expanding_folds(panel, 5, 3)), ["date", "key"])
+    """The long form of five expanding folds; the panel, a written table, is read for its dates and for its rows, and joined with folds and dates only."""
+    return SP.fold_rows(panel, SP.expanding_folds(panel, 5, 3))
 
 
 @query("ml_3_walk_forward", f"""WITH {FOLDS}, mo AS (SELECT fold, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM wl WHERE part = 'train' GROUP BY 1),
@@ -135,9 +134,9 @@ def ml_3(spark, d):
     """One tree of three levels on the percentile rank within the date: in-sample and out-of-sample rank correlation by fold."""
     from ..operators.metrics import rank_ic
 
-    panel = labelled(spark, d).select("date", "key", F.expr(LEVEL).alias("level"), pct_rank("y", "date").alias("target"))
+    panel = written(labelled(spark, d).select("date", "key", F.expr(LEVEL).alias("level"), pct_rank("y", "date").alias("target")))
     scored = ML.fit_by_fold(walk_forward_rows(panel), ["level"], lambda train: ML.fit_trees(train, ["level"], "target", rounds=1, least=1, share=1.0))
-    scored = scored.withColumn("score", F.round("score", 12))
+    scored = written(scored.select("fold", "part", "date", "target", F.round("score", 12).alias("score")))
     ics = rank_ic(scored, "score", "target", by=("fold", "part", "date")).groupBy("fold", "part").agg(F.avg("ic").alias("ic"))
     means = scored.groupBy("fold", "part").agg(F.count("*").alias("n"), F.avg("score").alias("score"))
     return means.join(ics, ["fold", "part"], "left").select(F.col("fold").cast("int").alias("fold"), "part", "n", tidy("score", 7).alias("score"), tidy("ic", 6).alias("ic"))
@@ -148,7 +147,7 @@ t AS (SELECT wl.fold, part, wl.date, key, level, top FROM wl JOIN tp USING (date
 SELECT t.fold::INT AS fold, date, key, top, {R('score', 7)} AS score FROM t JOIN l USING (fold, level) WHERE part = 'val'""")
 def ml_4(spark, d):
     """The out-of-sample probabilities of one tree of three levels by fold."""
-    panel = X.top_decile_label(labelled(spark, d), "y").select("date", "key", F.expr(LEVEL).alias("level"), F.col("top").cast("int").alias("top"))
+    panel = written(X.top_decile_label(labelled(spark, d), "y").select("date", "key", F.expr(LEVEL).alias("level"), F.col("top").cast("int").alias("top")))
     scored = ML.fit_by_fold(walk_forward_rows(panel), ["level"], lambda train: ML.fit_trees(train, ["level"], "top", classify=True, rounds=1, least=1, share=1.0))
     return scored.where("part = 'val'").select(F.col("fold").cast("int").alias("fold"), "date", "key", "top", tidy("score", 7).alias("score"))
 

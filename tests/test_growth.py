@@ -88,3 +88,17 @@ def test_a_piece_is_one_batch_in_any_number_of_files(spark, name, states):
         QUERIES[name](spark, SF)
     stores = [p for p in made if os.path.isdir(f"{p.removeprefix('file:')}/ck/commits")]
     assert [len([f for f in os.listdir(f"{p.removeprefix('file:')}/ck/commits") if f.isdigit()]) for p in stores] == [states]
+
+
+@tables
+def test_folds_of_trees_read_a_panel_made_once(spark):
+    from tessera.plans import QUERIES
+
+    # Panel, long form and scores are written; the answer itself has no table of lines and no model in it.
+    found = plan(QUERIES["ml_3_tree_ranker"](spark, SF))
+    assert "lineitem" not in found and "UDF(" not in found
+    from tessera.operators import splits as SP
+
+    panel = spark.createDataFrame([(i, "k", i * 1.0) for i in range(1, 61)], "date int, key string, x double")
+    rows = SP.fold_rows(panel, SP.expanding_folds(panel, 2, 3))
+    assert rows.columns == ["date", "key", "x", "fold", "part"] and rows.where("x <> date").count() == 0
