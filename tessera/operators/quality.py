@@ -133,20 +133,36 @@ def chain_hashes(rows: DataFrame, index: str, text: str) -> DataFrame:
     return ordered.mapInArrow(run, f"{kinds}, prev_row_sha string, row_sha string")
 
 
+#: Indexes of a slice of a chain, which is ordered and checked in one task.
+SLICE = 1 << 16
+
+
 def chain_violations(ledger: DataFrame, index: str, text: str, key: str) -> DataFrame:
     """chain, index, problem: gaps in the index, broken links, rows that do not match their hash, repeated business keys.
 
     Every row is checked by itself against the link that it stores, so chains of any length are
-    checked in parallel.
+    checked in parallel: a chain is cut into slices of its index, and a slice's first row is held
+    against the last row of the slice before. Keys are counted in a second deal of narrow rows. The
+    ledger is read three times and should be a written table.
     """
-    w = Window.partitionBy("chain").orderBy(index)
+    parts = parts_for(ledger)
+    cut = ledger.withColumn("_s", F.floor(F.col(index) / SLICE))
+    ends = cut.groupBy("chain", "_s").agg(F.max(F.struct(F.col(index).alias("i"), F.col("row_sha").alias("h"))).alias("_last"))
+    # One row per slice.
+    before = ends.select(F.col("chain").alias("_chain"), F.col("_s").alias("_slice"), F.lag("_last").over(Window.partitionBy("chain").orderBy("_s")).alias("_before"))
+    own = Window.partitionBy("chain", "_s").orderBy(index)
+    at = F.row_number().over(own) == 1
+    rows = cut.repartition(parts, "chain", "_s").withColumns({"_i": F.lag(index).over(own), "_h": F.lag("row_sha").over(own), "_at": at})
+    rows = rows.join(F.broadcast(before), F.col("chain").eqNullSafe(F.col("_chain")) & F.col("_s").eqNullSafe(F.col("_slice")), "left")
     tests = {
-        "gap": F.col(index) != F.coalesce(F.lag(index).over(w) + 1, F.lit(0)),
-        "broken_link": ~F.col("prev_row_sha").eqNullSafe(F.lag("row_sha").over(w)),
+        "gap": F.col(index) != F.coalesce(F.when(F.col("_at"), F.col("_before.i")).otherwise(F.col("_i")) + 1, F.lit(0)),
+        "broken_link": ~F.col("prev_row_sha").eqNullSafe(F.when(F.col("_at"), F.col("_before.h")).otherwise(F.col("_h"))),
         "altered": ~F.col("row_sha").eqNullSafe(row_hash(index, text)),
-        "repeated_key": F.count("*").over(Window.partitionBy("chain", key)) > 1,
     }
-    return ledger.withColumn("_p", reasons(tests)).select("chain", index, F.explode("_p").alias("problem"))
+    found = rows.select("chain", index, F.explode(reasons(tests)).alias("problem"))
+    keys = ledger.select("chain", index, key).repartition(parts, "chain", key)
+    again = keys.withColumn("_n", F.count("*").over(Window.partitionBy("chain", key))).where("_n > 1")
+    return found.union(again.select("chain", index, F.lit("repeated_key")))
 
 
 def series_problems(series: DataFrame, value: str, axis: DataFrame) -> DataFrame:

@@ -487,16 +487,19 @@ SELECT chain::BIGINT AS chain, i::INT AS row_index, 'altered' AS problem FROM r
 def dq_7(spark, d):
     o = table(spark, d, "orders").select((F.col("o_custkey") % 8).alias("chain"), "o_orderkey", F.col("o_totalprice").cast("string").alias("text"))
     rows = o.withColumn("row_index", F.row_number().over(Window.partitionBy("chain").orderBy("o_orderkey")) - 1)
-    ledger = Q.chain_hashes(rows, "row_index", "text")
+    # Written, since the hashes are made in sequence and what follows is not.
+    ledger = written(Q.chain_hashes(rows, "row_index", "text"))
     tampered = ledger.withColumn("text", F.when(F.col("row_index") == 5, F.lit("0")).otherwise(F.col("text"))).where("row_index <> 9")
     # Row 15 is replaced with a fresh hash and the link behind it patched: row 16 no longer matches its own.
     forged = F.sha2(F.concat_ws("|", F.lit("15"), F.lit("forged"), F.coalesce("prev_row_sha", F.lit("-"))), 256)
     tampered = tampered.withColumns({"text": F.when(F.col("row_index") == 15, F.lit("forged")).otherwise(F.col("text")), "row_sha": F.when(F.col("row_index") == 15, forged).otherwise(F.col("row_sha"))})
-    link = F.lag("row_sha").over(Window.partitionBy("chain").orderBy("row_index"))
-    tampered = tampered.withColumn("prev_row_sha", F.when(F.col("row_index") == 16, link).otherwise(F.col("prev_row_sha")))
+    # One row per chain: the hash of row 15, and the last row.
+    ends = tampered.groupBy(F.col("chain").alias("_chain")).agg(F.max(F.when(F.col("row_index") == 15, F.col("row_sha"))).alias("_link"), F.max("row_index").alias("_end"))
+    tampered = tampered.join(F.broadcast(ends), F.col("chain").eqNullSafe(F.col("_chain")))
+    tampered = tampered.withColumn("prev_row_sha", F.when(F.col("row_index") == 16, F.col("_link")).otherwise(F.col("prev_row_sha")))
     # The last row of each chain is changed and its hash taken away: no link follows that could tell.
-    last = F.col("row_index") == F.max("row_index").over(Window.partitionBy("chain"))
-    tampered = tampered.withColumn("_last", last).withColumns({"text": F.when(F.col("_last"), F.lit("forged")).otherwise(F.col("text")), "row_sha": F.when(~F.col("_last"), F.col("row_sha"))}).drop("_last")
+    last = F.col("row_index") == F.col("_end")
+    tampered = tampered.withColumns({"text": F.when(last, F.lit("forged")).otherwise(F.col("text")), "row_sha": F.when(~last, F.col("row_sha"))}).drop("_chain", "_link", "_end")
     return Q.chain_violations(tampered, "row_index", "text", "o_orderkey")
 
 

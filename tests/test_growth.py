@@ -102,3 +102,16 @@ def test_folds_of_trees_read_a_panel_made_once(spark):
     panel = spark.createDataFrame([(i, "k", i * 1.0) for i in range(1, 61)], "date int, key string, x double")
     rows = SP.fold_rows(panel, SP.expanding_folds(panel, 2, 3))
     assert rows.columns == ["date", "key", "x", "fold", "part"] and rows.where("x <> date").count() == 0
+
+
+def test_chains_are_checked_by_slices(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SLICE", 4)
+    small_parts(monkeypatch, Q)
+    rows = spark.createDataFrame([(c, i, f"t{i}", f"{c}-{min(i, 17)}") for c in (1, None) for i in range(19)], "chain long, i int, text string, k string")
+    ledger = SC.written(Q.chain_hashes(rows, "i", "text"))
+    twice = {(c, i, "repeated_key") for c in (1, None) for i in (17, 18)}
+    assert {tuple(r) for r in Q.chain_violations(ledger, "i", "text", "k").collect()} == twice
+    # Rows 4 to 8 go, a whole slice among them; row 11 ends a slice and changes.
+    bad = ledger.where("i not between 4 and 8").withColumn("row_sha", F.when(F.col("i") == 11, F.lit("x")).otherwise(F.col("row_sha")))
+    wanted = {(c, i, p) for c in (1, None) for i, p in ((9, "gap"), (9, "broken_link"), (11, "altered"), (12, "broken_link"))}
+    assert {tuple(r) for r in Q.chain_violations(bad, "i", "text", "k").collect()} == twice | wanted
