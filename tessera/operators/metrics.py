@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import avg_rank, col, correlation
+from ..sources.scratch import written
 
 
 def rank_ic(df: DataFrame, score: str, label: str, *, by: tuple[str, ...] = ("date",), min_names: int = 2) -> DataFrame:
@@ -217,11 +218,12 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ("fold",), slices: int = 1024) -> DataFrame:
     """by, n, positives, auc of 0/1 labels: the rank sum of positives with tie-averaged ranks; null without both classes.
 
-    Rows are counted per value first. The values of all by are put in order within slices of an even
+    Rows are counted per value first, and the counts written, since three steps read them. The values of all by are put in order within slices of an even
     cut of each by's range of scores, and slices add what lies below them; no task orders a whole by.
     """
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     counts = rows.groupBy(*by, F.col(score).cast("double").alias("_v")).agg(F.count("*").alias("_n"), F.count(F.when(F.col(label) == 1, 1)).alias("_p"))
+    counts = written(counts)
     ends = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     cut = counts.join(F.broadcast(ends), list(by)).withColumn("_s", F.coalesce(F.floor(share * slices), F.lit(0)))

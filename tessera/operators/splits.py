@@ -53,11 +53,15 @@ def extend_ladder(cutoffs: DataFrame, target: DataFrame, interval: int) -> DataF
     return begin.where(steps >= 1).select(F.explode(F.sequence(F.lit(1), steps)).alias("_k"), "_first").select(F.date_sub("_first", (F.col("_k") * interval).cast("int")).alias("cutoff"))
 
 
+def clear_of(first: Column, last: Column, horizon: int, embargo: int) -> Column:
+    """Whether the label span of a row's date ends before a validation span, or the date lies behind that span, its labels and the embargo."""
+    return (F.date_add("date", horizon) < first) | (F.col("date") > F.date_add(last, horizon + embargo))
+
+
 def purged_folds(events: DataFrame, k: int, horizon: int, embargo: int) -> DataFrame:
     """fold, part, and all columns of events (date, ...): train events whose label span meets the validation span go."""
     folds = array_split_folds(events, k)
     spans = folds.groupBy("fold").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
     own = events.join(F.broadcast(folds.withColumnRenamed("fold", "_own")), "date")
     val = F.col("_own") == F.col("fold")
-    clear = (F.date_add("date", horizon) < F.col("_a")) | (F.col("date") > F.date_add("_b", horizon + embargo))
-    return own.join(F.broadcast(spans), val | clear).select("fold", F.when(val, "val").otherwise("train").alias("part"), *events.columns)
+    return own.join(F.broadcast(spans), val | clear_of(F.col("_a"), F.col("_b"), horizon, embargo)).select("fold", F.when(val, "val").otherwise("train").alias("part"), *events.columns)

@@ -17,7 +17,7 @@ from ..operators import udfs as U
 from ..operators import walkforward as WF
 from ..sources import files as R_
 from ..sources import sinks as K_
-from ..sources.scratch import scratch, written
+from ..sources.scratch import full_waves, scratch, written
 from ..streaming import state as ST
 from .join_queries import orders
 from .panels import SM, UD, R, corr_sql, supplier_month, table, user_day
@@ -180,13 +180,13 @@ def hits(spark, d):
 def ml_5_boosted(spark, d):
     """Areas under the curve, by purged fold, of ten rounds of trees of depth three that tell a user's errors from the value and time of events and what came before."""
     from ..operators.metrics import auc
-    from ..operators.splits import purged_folds
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("event_id", F.to_date("ts").alias("date"), F.coalesce("value", F.lit(0.0)).alias("value"), F.hour("ts").cast("double").alias("hour"), F.weekday("ts").cast("double").alias("weekday"), F.coalesce(F.lag("value").over(w), F.lit(0.0)).alias("before"), (F.row_number().over(w) - 1).cast("double").alias("so_far"), (F.col("event_type") == "error").cast("int").alias("label"))
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = events.repartition(full_waves(events), "user_id").select(F.to_date("ts").alias("date"), F.coalesce("value", F.lit(0.0)).alias("value"), F.hour("ts").cast("double").alias("hour"), F.weekday("ts").cast("double").alias("weekday"), F.coalesce(F.lag("value").over(w), F.lit(0.0)).alias("before"), (F.row_number().over(w) - 1).cast("double").alias("so_far"), (F.col("event_type") == "error").cast("int").alias("label"))
     features = ["value", "hour", "weekday", "before", "so_far"]
-    scored = ML.fit_by_fold(purged_folds(written(e), 5, 2, 1), features, lambda train: ML.fit_trees(train, features, "label", classify=True), normalise=False)
-    return auc(scored.where("part = 'val'"), "score", "label")
+    scored = WF.purged_boosted_scores(written(e), 5, 2, 1, features, lambda train: ML.fit_trees(train, features, "label", classify=True), classify=True)
+    return auc(scored, "score", "label")
 
 
 @query("ml_6_calibration", f"""WITH {HITS}, b AS (SELECT x, sum(y) AS s, count(*) AS n FROM h GROUP BY 1), r AS (SELECT i.x AS i, k.x AS k, sum(m.s) / sum(m.n) AS mean FROM b i JOIN b k ON k.x >= i.x JOIN b m ON m.x BETWEEN i.x AND k.x GROUP BY 1, 2),

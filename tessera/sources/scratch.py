@@ -31,3 +31,9 @@ def parts_for(*tables: DataFrame, most: int = 250_000) -> int:
     """
     rows = sum(t.count() for t in tables)
     return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-rows // most))
+
+
+def full_waves(*tables: DataFrame, most: int = 250_000) -> int:
+    """parts_for rounded up to a multiple of the cluster's cores: files that are alike are read again by so many tasks that no wave is left half empty."""
+    cores = tables[0].sparkSession.sparkContext.defaultParallelism
+    return -(-parts_for(*tables, most=most) // cores) * cores

@@ -115,3 +115,16 @@ def test_chains_are_checked_by_slices(spark, monkeypatch):
     bad = ledger.where("i not between 4 and 8").withColumn("row_sha", F.when(F.col("i") == 11, F.lit("x")).otherwise(F.col("row_sha")))
     wanted = {(c, i, p) for c in (1, None) for i, p in ((9, "gap"), (9, "broken_link"), (11, "altered"), (12, "broken_link"))}
     assert {tuple(r) for r in Q.chain_violations(bad, "i", "text", "k").collect()} == twice | wanted
+
+
+def test_files_fill_whole_waves(spark):
+    assert [SC.full_waves(spark.range(n), most=100) for n in (0, 399, 401, 900)] == [4, 4, 8, 12]
+
+
+@tables
+def test_boosted_exit_reads_events_and_scores_once(spark):
+    from tessera.plans import QUERIES
+
+    # Counts per score are written: the answer has no model, tree or long form in it.
+    found = QUERIES["ml_5_boosted_exit"](spark, SF)
+    assert not any(word in plan(found) for word in ("UDF(", "ArrowEvalPython", "so_far", "part#"))

@@ -138,3 +138,29 @@ def test_spread_under_permutations_as_by_rows(spark, panel):
     found = S.permuted_spread(marked, "y", "top", 4).toPandas()
     both = wanted.merge(found, on=["seed", "date"], suffixes=("", "_w"))
     assert len(both) == len(wanted) == len(found) == 240 and np.allclose(both["spread"], both["spread_w"], equal_nan=True)
+
+
+def test_purged_folds_grow_as_in_long_form(spark, panel, monkeypatch):
+    """Trees of all rows give the scores of the long form; each fit reads the panel's own rows under a condition on dates, joined with nothing."""
+    features = ["a", "b", "c"]
+    marked = panel.withColumns({"up": (F.col("y") > 1).cast("int"), "a": F.when(F.col("key") != 3, F.col("a"))}).cache()
+    trains, fit = [], lambda t: trains.append(t) or ML.fit_trees(t, features, "up", classify=True, rounds=3, share=1.0)
+    wanted = ML.fit_by_fold(SP.purged_folds(marked, 3, 2, 1), features, fit, normalise=False).where("part = 'val'").toPandas()
+    for at_once in (WF.ROWS_AT_ONCE, 1):
+        trains.clear()
+        monkeypatch.setattr(WF, "ROWS_AT_ONCE", at_once)
+        found = WF.purged_boosted_scores(marked, 3, 2, 1, features, fit, classify=True)
+        assert len(trains) == 3 and not any("Join" in t._jdf.queryExecution().optimizedPlan().toString() for t in trains)
+        both = wanted.merge(found.toPandas(), on=["date", "key", "fold"], suffixes=("_w", ""))
+        assert len(both) == len(wanted) == found.count() and np.allclose(both["score"], both["score_w"], atol=1e-12)
+
+
+@pytest.mark.parametrize("share", [0.5, 1.0])
+def test_rows_walk_the_trees_of_their_own_ensemble(spark, panel, share):
+    features = ["a", "b", "c"]
+    gaps = panel.withColumns({"fold": F.col("key") % 3, "b": F.when(F.col("key") != 4, F.col("b")), "c": F.when(F.col("key") != 5, F.col("c")).otherwise(float("nan"))})
+    nodes = {k: WF.node_table(ML.fit_trees(panel.where(F.col("key") % 2 == k), features, "y", rounds=4, share=share)) for k in (0, 1)}
+    one = F.when(F.col("fold") == 0, WF.ensemble_score(nodes[0], features)).when(F.col("fold") == 1, WF.ensemble_score(nodes[1], features))
+    got = gaps.select("fold", one.alias("w"), WF.trees_by({k: n.collect() for k, n in nodes.items()}, features, F.col("fold")).alias("s")).collect()
+    assert {r["fold"] for r in got} == {0, 1, 2}
+    assert all(r["s"] == r["w"] or (r["fold"] == 2 and (r["s"] is None or r["s"] != r["s"]) and r["w"] is None) for r in got)
