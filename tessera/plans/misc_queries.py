@@ -106,7 +106,10 @@ TREE_FEATURES = ["x1", "x2", "close", "volume", "n"]
 
 
 def tree_panel(spark, d):
-    return written(labelled(spark, d).withColumn("target", pct_rank("y", "date")))
+    """The panel with its percentile rank, a written table; its dates are dealt over all files, so that every task of a fold's fit has its share of train rows."""
+    ranked = labelled(spark, d).withColumn("target", pct_rank("y", "date"))
+    # Some lines make up a row of the panel.
+    return written(ranked.repartition(full_waves(table(spark, d, "lineitem"), most=2_000_000), "date", "key"))
 
 
 @query("ml_3_boosted_ranker")

@@ -128,3 +128,24 @@ def test_boosted_exit_reads_events_and_scores_once(spark):
     # Counts per score are written: the answer has no model, tree or long form in it.
     found = QUERIES["ml_5_boosted_exit"](spark, SF)
     assert not any(word in plan(found) for word in ("UDF(", "ArrowEvalPython", "so_far", "part#"))
+
+
+@tables
+def test_dates_of_the_tree_panel_are_dealt_over_files(spark):
+    from tessera.plans import misc_queries
+
+    files = misc_queries.tree_panel(spark, SF).select("date", F.input_file_name().alias("file")).groupBy("date").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files")).where("n >= 8").collect()
+    assert files and np.mean([r["files"] for r in files]) > 2
+
+
+def test_expanding_folds_fit_rows_of_the_panel_joined_with_nothing(spark):
+    from tessera.operators import splits as SP
+    from tessera.operators import walkforward as WF
+
+    r = np.random.default_rng(2)
+    panel = spark.createDataFrame([(d, k, float(x), float(x + e)) for d in range(1, 61) for k, (x, e) in enumerate(r.normal(size=(9, 2)))], "date int, key int, x double, y double").cache()
+    trains = []
+    found = WF.boosted_scores(panel, SP.expanding_folds(panel, 2, 2), ["x"], "y", lambda t: trains.append(t) or ML.fit_trees(t, ["x"], "y", rounds=2))
+    assert sorted((t.agg(F.max("date")).first()[0], t.count()) for t in trains) == [(38, 38 * 9)]
+    assert not any("Join" in t._jdf.queryExecution().optimizedPlan().toString() for t in trains)
+    assert found.columns == ["date", "key", "x", "y", "fold", "score"] and found.where("score is null").count() == 0
